@@ -95,6 +95,18 @@ def read_file(uri: str) -> bytes:
 
 # ---- Arrow helpers ----------------------------------------------------------------------------------
 
+#: Arrow batches that go to a Python worker hold no more than this, whatever the row count; one text that
+#: is larger comes alone.
+BATCH_BYTES, BATCH_ROWS = "4m", 1024
+
+
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow with batches of bounded bytes, so that a worker's memory doesn't follow the texts' length.
+    The two settings are left in the session: the plan reads them when it runs."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
 
 def utf8(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes, null as empty."""

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, utf8
+from .common import arrow_map, table, utf8
 
 # Fixed values of the format: element ids.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -339,7 +339,7 @@ def with_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
             )
 
     narrow = docs.selectExpr(f"`{id_column}` AS id", f"CAST(`{text_column}` AS STRING) AS text")
-    return narrow.mapInArrow(run, "id long, n_bytes long, media binary")
+    return arrow_map(narrow, run, "id long, n_bytes long, media binary")
 
 
 def packet_table(media: DataFrame, id_column: str = "id", media_column: str = "media") -> DataFrame:
@@ -363,7 +363,7 @@ def packet_table(media: DataFrame, id_column: str = "id", media_column: str = "m
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return media.selectExpr(f"CAST(`{id_column}` AS LONG) AS id", f"`{media_column}` AS media").mapInArrow(run, schema)
+    return arrow_map(media.selectExpr(f"CAST(`{id_column}` AS LONG) AS id", f"`{media_column}` AS media"), run, schema)
 
 
 def read_back(data: bytes) -> tuple[bytes, Packets]:
@@ -401,7 +401,7 @@ def media_digest(media: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in schema.split(", ")])
 
-    return media.mapInArrow(run, schema)
+    return arrow_map(media, run, schema)
 
 
 def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:

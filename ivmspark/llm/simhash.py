@@ -27,7 +27,7 @@ import random
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SCRATCH, materialize, table, utf8
+from .common import SCRATCH, arrow_map, materialize, table, utf8
 
 RADIUS = 4
 SHINGLE = 4
@@ -71,7 +71,8 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             fp = [fingerprint(x, shingle) for x in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x - (x >> 63 << 64) for x in fp], pa.int64())], ["id", "fp"])
 
-    return docs.selectExpr(f"CAST(`{id_column}` AS LONG) AS id", f"CAST(`{text_column}` AS STRING) AS text").mapInArrow(run, "id long, fp long")
+    narrow = docs.selectExpr(f"CAST(`{id_column}` AS LONG) AS id", f"CAST(`{text_column}` AS STRING) AS text")
+    return arrow_map(narrow, run, "id long, fp long")
 
 
 # ---- covering masks ---------------------------------------------------------------------------------
