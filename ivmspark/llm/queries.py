@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .langid import op10_langid
 from .lengths import op7_token_lengths
 from .lines import OP4_SQL, op4_line_dedup
 from .matroska import op1_matroska
 from .mixing import OP2_SQL, op2_mixing
+from .pieces import op9_pieces
 from .simhash import op3_simhash
 
-QUERIES = {f.__name__: f for f in (op1_matroska, op2_mixing, op3_simhash, op4_line_dedup, op7_token_lengths)}
+QUERIES = {f.__name__: f for f in (op1_matroska, op2_mixing, op3_simhash, op4_line_dedup, op7_token_lengths, op9_pieces, op10_langid)}
 
 ORACLE_SQL = {"op2_mixing": OP2_SQL, "op4_line_dedup": OP4_SQL}
