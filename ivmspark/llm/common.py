@@ -75,7 +75,7 @@ def write_file(uri: str, chunks) -> int:
     if hasattr(store, "create_dir"):
         store.create_dir(os.path.dirname(path), recursive=True)
     n = 0
-    with store.open_output_stream(path) as out:
+    with store.open_output_stream(path, compression=None) as out:
         for chunk in chunks:
             out.write(chunk)
             n += len(chunk)

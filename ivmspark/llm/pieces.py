@@ -247,6 +247,8 @@ class Transducer:
         chunks = self.cuts(text) if self.cuts else [text] if text else []
         if len(self.known) > self.most:
             self.known = {}
+        if len(self.fits) > 2 * self.most:
+            self.fits.clear()
         known = self.known
         for c in set(chunks):
             if c not in known:
