@@ -35,7 +35,7 @@ from .common import arrow_map, table, texts
 SAMPLE = 96
 LETTERS = 60_000
 LANGUAGES = 200
-WORDS = 200_000
+WORDS = 400_000
 #: The pipeline's stage rejects a text that needs more phrases than this for each letter and mark: it is
 #: like none of the languages, nearly every letter being a phrase of its own.
 STRANGE = 0.8

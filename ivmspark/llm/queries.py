@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .coder import op8_token_ids
 from .kdtree import OP6_SQL, op6_topk
 from .langid import op10_langid
 from .lengths import op7_token_lengths
@@ -12,6 +13,6 @@ from .pieces import op9_pieces
 from .simhash import op3_simhash
 from .warc import op5_warc
 
-QUERIES = {f.__name__: f for f in (op1_matroska, op2_mixing, op3_simhash, op4_line_dedup, op5_warc, op6_topk, op7_token_lengths, op9_pieces, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_matroska, op2_mixing, op3_simhash, op4_line_dedup, op5_warc, op6_topk, op7_token_lengths, op8_token_ids, op9_pieces, op10_langid)}
 
 ORACLE_SQL = {"op2_mixing": OP2_SQL, "op4_line_dedup": OP4_SQL, "op6_topk": OP6_SQL}
