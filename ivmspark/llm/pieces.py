@@ -13,10 +13,9 @@ An input is composed with N, L and C, and the shortest path in the tropical semi
   boundary for the first time each side runs as if alone. So C leaves one finite path, and it is the
   library's encoding, ties and all.
 
-Composition is lazy (states are made as positions are reached), and a path is written out as soon as one
-state is all there is, so a text's length bounds nothing. No piece spans certain character pairs, the
-meta mark after a letter above all; texts are cut there, and each task keeps the paths of up to ``CHUNKS``
-chunks it has met.
+Composition is lazy: states are made as they are reached. No piece spans certain character pairs, the meta
+mark after a letter above all; texts are cut there, and each task keeps the paths of up to ``CHUNKS``
+chunks it has met. A chunk longer than ``LONG`` is cut at every pair that no piece spans.
 
 Edge cases: null and empty texts encode to no ids; repeated rows each get theirs; an empty table gives no
 rows; other columns may have any name.
@@ -30,6 +29,7 @@ import struct
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +39,7 @@ from .common import SCRATCH, arrow_map, table, texts
 
 MODEL = "piece_bpe_32k.model"
 CHUNKS = 400_000
+LONG = 4096
 META = "▁"
 
 # Fixed values of the model format.
@@ -107,14 +108,17 @@ class Transducer:
         self.trie: dict = {}
         spanned = set()
         for p, i in words.items():
+            if self.bpe and self._merged(p) != [p]:  # no path of C has it
+                continue
             node = self.trie
             for ch in p:
                 node = node.setdefault(ch, {})
             node[""] = i
             spanned.update(p[j : j + 2] for j in range(len(p) - 1))
+        self.spanned = spanned
         self.cuts = self._cutter(spanned)
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.solid: dict[int, bool] = {}
+        self.fits: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
         self.most, self.known = chunks, {}
         raw = [p.replace(META, " ").encode() if k in (NORMAL, BYTE) else b"" for p, k in zip(self.pieces, self.kinds)]
         for b, i in byte_id.items():
@@ -159,12 +163,8 @@ class Transducer:
 
     def _fit(self, a: int, b: int) -> bool:
         x, y = self._spelled(a), self._spelled(b)
-        self.fits[a, b] = ok = self._merged(x + y) == [x, y]
-        return ok
-
-    def _whole(self, label: int) -> bool:
-        x = self._spelled(label)
-        self.solid[label] = ok = self._merged(x) == [x]
+        self.fits.setdefault(a, {})[b] = ok = self._merged(x + y) == [x, y]
+        self.pairs += 1
         return ok
 
     # ---- input o L o C
@@ -185,54 +185,57 @@ class Transducer:
 
     def path(self, text: str) -> list[int]:
         """Labels of the shortest path."""
-        out: list[int] = []
-        # position -> last label -> (cost, position before, label before); without C one state a position
-        at: dict[int, dict] = {0: {None: (0.0, -1, None)}}
-        fits, solid, far, base = self.fits, self.solid, 0, 0
+        return self._only(text) if self.bpe else self._best(text)
+
+    def _best(self, text: str) -> list[int]:
+        """The cheapest path through L alone: a state a position, relaxed from left to right."""
+        best: list = [None] * (len(text) + 1)
+        best[0] = (0.0, -1, 0)
         for i in range(len(text)):
-            here = at.get(i)
-            if not here:
-                continue
-            if i == far and len(here) == 1 and i > base:  # nothing else is open: write the path out
-                last = next(iter(here))
-                out += self._back(at, i, last, base)
-                base = i
-                here = {last: (here[last][0], -1, None)}
-                at = {i: here}
-            for j, label, weight in self._arcs(text, i):
-                if self.bpe and not (solid[label] if label in solid else self._whole(label)):
-                    continue
-                for last, (cost, _, _) in here.items():
-                    if self.bpe and last is not None and not (fits[last, label] if (last, label) in fits else self._fit(last, label)):
-                        continue
-                    there = at.setdefault(j, {})
-                    key = label if self.bpe else 0
-                    if key not in there or cost + weight < there[key][0]:
-                        there[key] = (cost + weight, i, last) if self.bpe else (cost + weight, i, label)
-                    if j > far:
-                        far = j
-        end = at.get(len(text))
-        if end:
-            last = min(end, key=lambda k: end[k][0])
-            out += self._back(at, len(text), last, base)
-        return out
+            cost = best[i] and best[i][0]
+            if cost is not None:
+                for j, label, weight in self._arcs(text, i):
+                    if best[j] is None or cost + weight < best[j][0]:
+                        best[j] = (cost + weight, i, label)
+        out, i = [], len(text)
+        while i > 0:
+            out.append(best[i][2])
+            i = best[i][1]
+        return out[::-1]
 
-    def _back(self, at: dict, i: int, last, base: int) -> list[int]:
-        out = []
-        while i > base:
-            _, before, label = at[i][last]
-            if self.bpe:
-                out.append(last)
-                i, last = before, label
+    def _only(self, text: str) -> list[int]:
+        """The one finite path through L and C. States (position, last label) are opened depth first, the
+        longest piece first; a state all of whose arcs fail is never opened again."""
+        out: list[int] = []
+        opened, dead = [], set()
+        fits, i, last, n = self.fits, 0, None, len(text)
+        arcs = self._arcs(text, 0) if n else []
+        while i < n:
+            known = fits.get(last, ())
+            while arcs:
+                j, label, _ = arcs.pop()
+                if last is None or (known[label] if label in known else self._fit(last, label)):
+                    if dead and (j, label) in dead:
+                        continue
+                    opened.append((i, last, arcs))
+                    out.append(label)
+                    i, last = j, label
+                    arcs = self._arcs(text, j) if j < n else []
+                    break
             else:
-                out.append(label)
-                i = before
-                last = 0 if 0 in at[i] else None
-        return out[::-1]
+                dead.add((i, last))
+                i, last, arcs = opened.pop()
+                out.pop()
+        return out
 
     def _ids(self, chunk: str) -> bytes:
         out: list[int] = []
-        for label in self.path(chunk):
+        if len(chunk) > LONG:
+            at = [0, *(i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in self.spanned), len(chunk)]
+            labels = chain.from_iterable(self.path(chunk[a:b]) for a, b in zip(at, at[1:]))
+        else:
+            labels = self.path(chunk)
+        for label in labels:
             if label >= 0:
                 out.append(label)
             elif self.byte_ids:
@@ -249,8 +252,8 @@ class Transducer:
         chunks = self.cuts(text) if self.cuts else [text] if text else []
         if len(self.known) > self.most:
             self.known = {}
-        if len(self.fits) > 2 * self.most:
-            self.fits.clear()
+        if self.pairs > 2 * self.most:
+            self.fits, self.pairs = {}, 0
         known = self.known
         for c in set(chunks):
             if c not in known:
