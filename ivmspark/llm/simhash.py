@@ -189,8 +189,9 @@ def forest(nodes: DataFrame, radius: int = RADIUS, seed: int = 7, block: int = B
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, root) of each node that has an edge: alternating large-star and small-star steps until
-    nothing changes. Roots are their components' smallest nodes. No step gathers a node's neighbours."""
+    """(node, root) of each node that isn't its component's root: alternating large-star and small-star
+    steps until nothing changes. Roots are their components' smallest nodes. No step gathers a node's
+    neighbours."""
     flat = lambda e: e.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct()
     state = materialize(flat(edges), "edges")
     seen = None
