@@ -30,13 +30,12 @@ import struct
 import uuid
 import zlib
 from array import array
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, read_file, scratch_path, table, texts, write_file
+from .common import arrow_map, materialize, read_file, resident, scratch_path, table, texts, write_file
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -351,11 +350,10 @@ class Tokens:
         return [np.array(next(whole), np.int32) if cs is None else np.frombuffer(b"".join(map(at, cs)), np.int32) for cs in cut]
 
 
-@lru_cache(maxsize=2)
 def tokens(name: str) -> Tokens:
     import public_tokenizers
 
-    return Tokens(public_tokenizers.path(name))
+    return resident(("tokens", name), lambda: Tokens(public_tokenizers.path(name)))
 
 
 # ---- DataFrame forms --------------------------------------------------------------------------------
@@ -392,7 +390,7 @@ def write_ids(docs: DataFrame, folder: str, id_column: str = "doc_id", text_colu
             yield close()
 
     narrow = docs.selectExpr(f"CAST(`{id_column}` AS LONG) AS doc_id", f"CAST(`{text_column}` AS STRING) AS text")
-    return arrow_map(narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), run, schema)
+    return arrow_map(narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), run, schema, model=True)
 
 
 def read_ids(files: DataFrame) -> DataFrame:

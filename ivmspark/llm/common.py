@@ -100,12 +100,38 @@ def read_file(uri: str) -> bytes:
 BATCH_BYTES, BATCH_ROWS = "4m", 1024
 
 
-def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+#: The one model a Python worker keeps from task to task, under its key.
+_RESIDENT: dict = {}
+
+
+def resident(key, make):
+    """A model that takes time to make, kept by the worker until a task of another operator comes."""
+    if key not in _RESIDENT:
+        release()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def release() -> None:
+    if _RESIDENT:
+        import gc
+
+        _RESIDENT.clear()
+        gc.collect()
+
+
+def arrow_map(df: DataFrame, run, schema, model: bool = False) -> DataFrame:
     """mapInArrow with batches of bounded bytes, so that a worker's memory doesn't follow the texts' length.
-    The two settings are left in the session: the plan reads them when it runs."""
+    The two settings are left in the session: the plan reads them when it runs. model: run asks for a
+    resident one; other tasks let go of what an earlier operator's has left in the worker."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+
+    def clean(batches):
+        release()
+        yield from run(batches)
+
+    return df.mapInArrow(run if model else clean, schema)
 
 
 def utf8(column) -> list[bytes]:

@@ -30,12 +30,12 @@ from array import array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table, texts
+from .common import arrow_map, resident, table, texts
 
 SAMPLE = 96
 LETTERS = 60_000
 LANGUAGES = 200
-WORDS = 400_000
+WORDS = 200_000
 #: The pipeline's stage rejects a text that needs more phrases than this for each letter and mark: it is
 #: like none of the languages, nearly every letter being a phrase of its own.
 STRANGE = 0.8
@@ -147,16 +147,8 @@ class CrossParser:
         return out
 
 
-#: The parser of the last samples, kept by each Python worker from task to task.
-_PARSER: dict[int, CrossParser] = {}
-
-
 def parser(samples: dict[str, str]) -> CrossParser:
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _PARSER:
-        _PARSER.clear()
-        _PARSER[key] = CrossParser(samples)
-    return _PARSER[key]
+    return resident(("langid", hash(tuple(sorted(samples.items())))), lambda: CrossParser(samples))
 
 
 def held_out(id_column: str) -> "F.Column":
@@ -194,7 +186,7 @@ def predict(docs: DataFrame, samples: dict[str, str], id_column: str = "doc_id",
             said = model.predict(texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _, _ in said], pa.string()), pa.array([y for _, y, _ in said], pa.float64())], ["id", "lang_pred", "score"])
 
-    return arrow_map(docs.selectExpr(f"CAST(`{id_column}` AS LONG) AS id", f"CAST(`{text_column}` AS STRING) AS text"), run, "id long, lang_pred string, score double")
+    return arrow_map(docs.selectExpr(f"CAST(`{id_column}` AS LONG) AS id", f"CAST(`{text_column}` AS STRING) AS text"), run, "id long, lang_pred string, score double", model=True)
 
 
 def keep_identified(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
@@ -211,7 +203,7 @@ def keep_identified(docs: DataFrame, id_column: str = "doc_id", text_column: str
             said = model.predict(texts(batch.column(at)))
             yield batch.filter(pa.array([x != "und" and z <= STRANGE for x, _, z in said], pa.bool_()))
 
-    return arrow_map(docs, run, docs.schema) if samples else docs
+    return arrow_map(docs, run, docs.schema, model=True) if samples else docs
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

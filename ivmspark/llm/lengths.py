@@ -14,13 +14,11 @@ other columns may have any name.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, table, texts
+from .common import arrow_map, materialize, resident, table, texts
 
 SPAN = 1024
 RANKS = "byte_bpe_50k.tiktoken"
@@ -33,8 +31,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=2)
 def encoding(name: str):
+    return resident(("ranks", name), lambda: _encoding(name))
+
+
+def _encoding(name: str):
     import base64
 
     import public_tokenizers
@@ -55,7 +56,7 @@ def lengths(docs: DataFrame, text_column: str = "text", ranks: str = RANKS) -> D
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([len(enc.encode_ordinary(x)) for x in texts(batch.column(0))], pa.int64())], ["n_tokens"])
 
-    return arrow_map(docs.selectExpr(f"CAST(`{text_column}` AS STRING) AS text"), run, "n_tokens long")
+    return arrow_map(docs.selectExpr(f"CAST(`{text_column}` AS STRING) AS text"), run, "n_tokens long", model=True)
 
 
 def histogram(lens: DataFrame) -> DataFrame:

@@ -28,17 +28,16 @@ import re
 import struct
 import zlib
 from array import array
-from functools import lru_cache
 from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import SCRATCH, arrow_map, table, texts
+from .common import SCRATCH, arrow_map, resident, table, texts
 
 MODEL = "piece_bpe_32k.model"
-CHUNKS = 400_000
+CHUNKS = 200_000
 LONG = 4096
 META = "▁"
 
@@ -266,15 +265,19 @@ class Transducer:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-@lru_cache(maxsize=2)
-def compiled(model: str) -> Transducer:
-    """The transducer of a public model file, kept by each worker."""
+def load(model: str) -> Transducer:
+    """The transducer of a public model file."""
     import public_tokenizers
 
     with open(public_tokenizers.path(model), "rb") as f:
         return Transducer(f.read())
 
 
+def compiled(model: str) -> Transducer:
+    """As load, kept by the worker."""
+    return resident(("pieces", model), lambda: load(model))
+
+
 def encode_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: str = MODEL) -> DataFrame:
     """(id, ids): every whole text's ids as an array."""
 
@@ -289,7 +292,7 @@ def encode_documents(docs: DataFrame, id_column: str = "doc_id", text_column: st
             flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat)], ["id", "ids"])
 
-    return arrow_map(docs.selectExpr(f"CAST(`{id_column}` AS LONG) AS id", f"CAST(`{text_column}` AS STRING) AS text"), run, "id long, ids array<int>")
+    return arrow_map(docs.selectExpr(f"CAST(`{id_column}` AS LONG) AS id", f"CAST(`{text_column}` AS STRING) AS text"), run, "id long, ids array<int>", model=True)
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -302,7 +305,7 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["id", "text"])
 
-    return arrow_map(encoded.select("id", "ids"), run, "id long, text string")
+    return arrow_map(encoded.select("id", "ids"), run, "id long, text string", model=True)
 
 
 def with_ids(docs: DataFrame, text_column: str = "text", model: str = MODEL) -> DataFrame:
@@ -329,7 +332,7 @@ def with_ids(docs: DataFrame, text_column: str = "text", model: str = MODEL) ->
             columns = [batch.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([len(y) for y in ids], pa.int64()), pa.ListArray.from_arrays(ends, flat)], [*kept, "n_tokens", "ids"])
 
-    return arrow_map(narrow, run, schema)
+    return arrow_map(narrow, run, schema, model=True)
 
 
 def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: str = MODEL) -> DataFrame:
@@ -352,7 +355,7 @@ def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in schema.split(", ")])
 
-    return arrow_map(docs.selectExpr(f"CAST(`{id_column}` AS LONG) AS id", f"CAST(`{text_column}` AS STRING) AS text"), run, schema)
+    return arrow_map(docs.selectExpr(f"CAST(`{id_column}` AS LONG) AS id", f"CAST(`{text_column}` AS STRING) AS text"), run, schema, model=True)
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
