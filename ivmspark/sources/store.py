@@ -19,7 +19,7 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -58,11 +58,16 @@ def root(spark: SparkSession) -> str:
     return (at or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/ivmspark").rstrip("/")
 
 
+#: Commits read so far, by table path and version. They never change; a table made anew under a path has
+#: another id, which the latest commit, read by each VersionedTable for itself, gives away.
+_COMMITS: dict[str, dict[int, Commit]] = {}
+
+
 class VersionedTable:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name = spark, name
         self.path = f"{root(spark)}/{name.replace('.', '/')}"
-        self._commits: dict[int, Commit] = {}
+        self._looked = False
 
     # ---- the log
 
@@ -72,11 +77,21 @@ class VersionedTable:
     def _versions(self) -> list[int]:
         return [int(n[:-5]) for n in log.names(self.spark, f"{self.path}/_log") if n.endswith(".json") and n[:-5].isdigit()]
 
+    def _load(self, version: int) -> Commit:
+        d = json.loads(log.read(self.spark, f"{self.path}/_log/{version:020d}.json"))
+        return Commit(**(d | {"pk": None if d["pk"] is None else tuple(d["pk"])}))
+
     def commit_at(self, version: int) -> Commit:
-        if version not in self._commits:
-            d = json.loads(log.read(self.spark, f"{self.path}/_log/{version:020d}.json"))
-            self._commits[version] = Commit(**(d | {"pk": None if d["pk"] is None else tuple(d["pk"])}))
-        return self._commits[version]
+        known = _COMMITS.setdefault(self.path, {})
+        if not self._looked:
+            last = self._load(self._versions()[-1])
+            if any(c.table_id != last.table_id for c in known.values()):
+                known.clear()
+            known[last.version] = last
+            self._looked = True
+        if version not in known:
+            known[version] = self._load(version)
+        return known[version]
 
     def history(self) -> list[Commit]:
         """All commits, newest first."""
@@ -185,16 +200,17 @@ class VersionedTable:
 
     # ---- writing
 
-    def write_stream(self, df: DataFrame, *, segment: bool, pk=None, before: int = 0) -> dict:
-        """Write a base or a segment and describe it for a commit. A segment is checked against its key:
-        no key may have two rows."""
+    def write_stream(self, df: DataFrame, *, segment: bool, pk=None, before: int = 0, unique: bool = False) -> dict:
+        """Write a base or a segment and describe it for a commit. Rows are counted as they are written. It
+        is checked against its key, unless it is unique as made: no key may have two rows."""
         folder = f"{self.path}/data/{'seg' if segment else 'base'}-{uuid.uuid4().hex}"
-        df.write.parquet(folder)
         schema = StructType([f for f in df.schema.fields if f.name != WEIGHT])
-        back = self._parquet(schema, folder, weighted=segment)
-        up, down = (F.sum(F.when(F.col(WEIGHT) > 0, F.col(WEIGHT))), F.sum(F.when(F.col(WEIGHT) < 0, -F.col(WEIGHT)))) if segment else (F.count("*"), F.lit(0))
-        n_ins, n_del = back.agg(F.coalesce(up, F.lit(0)), F.coalesce(down, F.lit(0))).first()
-        if pk and n_ins:
+        w = F.col(WEIGHT) if segment else F.lit(1).cast("long")
+        seen = Observation()
+        df.observe(seen, F.sum(F.when(w > 0, w)).alias("up"), F.sum(F.when(w < 0, -w)).alias("down")).write.parquet(folder)
+        n_ins, n_del = (seen.get[x] or 0 for x in ("up", "down"))
+        if pk and n_ins and not unique:
+            back = self._parquet(schema, folder, weighted=segment)
             live = back.where(F.col(WEIGHT) > 0) if segment else back
             n = F.sum(WEIGHT) if segment else F.count("*")
             twice = live.groupBy(*[F.col(q(c)) for c in pk]).agg(n.alias(WEIGHT)).where(F.col(WEIGHT) > 1).drop(WEIGHT).take(3)
@@ -221,7 +237,7 @@ class VersionedTable:
         check_groupable(df)
         streams = {MAIN: self.write_stream(df, segment=False, pk=pk)}
         for name, (side, key) in (sidecars or {}).items():
-            streams[name] = self.write_stream(side, segment=False, pk=key)
+            streams[name] = self.write_stream(side, segment=False, pk=key, unique=True)
         return self.publish(kind, streams, meta or {}, pk)
 
     def adopt(self, path: str, *, pk=None) -> Commit:
@@ -247,7 +263,7 @@ class VersionedTable:
             if entry["n_ins"] or entry["n_del"]:
                 streams[MAIN] = entry
         for name, (side, key, whole) in (sidecars or {}).items():
-            entry = self.write_stream(side, segment=not whole, pk=key, before=self.rows(stream=name))
+            entry = self.write_stream(side, segment=not whole, pk=key, before=self.rows(stream=name), unique=True)
             if whole or entry["n_ins"] or entry["n_del"]:
                 streams[name] = entry
         done = self.publish(kind, streams, meta or {}, last.pk, last.table_id)
@@ -289,7 +305,8 @@ class VersionedTable:
 
     def drop(self) -> None:
         log.remove(self.spark, self.path)
-        self._commits.clear()
+        _COMMITS.pop(self.path, None)
+        self._looked = False
 
     # ---- plain changes, for tables that people write
 
