@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.agg import Family, Metric, Rows
 from ..sources.store import table
-from .zset import RESERVED, WEIGHT, as_zset, expand, negate, q, restrict, union
+from .zset import RESERVED, WEIGHT, Settled, expand, q, restrict
 
 STATE = "aggregate"
 _N = Rows().name
+_OLD, _NEW = RESERVED + "old", RESERVED + "new"
 
 
 def families(metrics) -> list[Family]:
@@ -60,23 +61,39 @@ def _joined(left: DataFrame, right: DataFrame, by, how: str = "left") -> DataFra
     return left.join(right, on, how).drop(*[f"{RESERVED}g{i}" for i in range(len(by))])
 
 
-def merged(state: DataFrame, folded: DataFrame, rescan: DataFrame | None, by, fams, keep=lambda df: df) -> tuple[DataFrame, DataFrame]:
-    """(old, new) accumulators of the groups in a fold. keep: holds what both are made from."""
+def merged(state: DataFrame, folded: DataFrame, rescan: DataFrame | None, by, fams) -> DataFrame:
+    """The groups of a fold with their accumulators: old (null for a new group) and new (null for a group
+    that has no rows left), as structs."""
     names = [f.name for f in fams]
     both = _joined(folded, state.select(*[F.col(q(b)) for b in by], *[F.col(q(n)) for n in names]), by)
     if rescan is not None:
         both = _joined(both, rescan, by)
-    both = keep(both)
-    keys = [F.col(q(b)) for b in by]
     out = []
     for f in fams:
         a, i, d = (F.col(q(x + f.name)) for x in ("", RESERVED + "i", RESERVED + "d"))
         new = f.merge(a, i, d)
         if f.rescan:
             new = F.when(F.col(RESERVED + "lost"), F.col(q(RESERVED + "r" + f.name))).otherwise(new)
-        out.append(new.alias(f.name))
-    old = both.where(F.col(f"{q(_N)}.n").isNotNull()).select(*keys, *[F.col(q(n)) for n in names])
-    return old, both.select(*keys, *out).where(F.col(f"{q(_N)}.n") > 0)
+        out.append(new.cast(state.schema[f.name].dataType).alias(f.name))
+    old = F.when(F.col(f"{q(_N)}.n").isNotNull(), F.struct(*[F.col(q(n)) for n in names]))
+    both = both.select(*[F.col(q(b)) for b in by], old.alias(_OLD), F.struct(*out).alias(_NEW))
+    return both.withColumn(_NEW, F.when(F.col(f"{_NEW}.{q(_N)}.n") > 0, F.col(_NEW)))
+
+
+def moved(old, new) -> F.Column:
+    """Rows of a change: the new value at +1 and the old one at -1, where they differ. No grouping needed:
+    a group has one value before and one after."""
+    plus = F.struct(new.alias("row"), F.lit(1).cast("long").alias("w"))
+    minus = F.struct(old.alias("row"), F.lit(-1).cast("long").alias("w"))
+    same = old.eqNullSafe(new)
+    return F.filter(F.array(plus, minus), lambda x: ~same & x["row"].isNotNull())
+
+
+def change_of(both: DataFrame, by, old, new, names) -> DataFrame:
+    """The Z-set of (by, *names) that turns old structs into new ones."""
+    e = RESERVED + "e"
+    rows = both.select(*[F.col(q(b)) for b in by], F.explode(moved(old, new)).alias(e))
+    return rows.select(*[F.col(q(b)) for b in by], *[F.col(f"{e}.row.{q(n)}").alias(n) for n in names], F.col(f"{e}.w").alias(WEIGHT))
 
 
 def closures(output: str, by, metrics, compiled):
@@ -107,8 +124,10 @@ def closures(output: str, by, metrics, compiled):
             lost = folded.where(F.col(RESERVED + "lost")).select(*[F.col(q(b)) for b in by])
             members = restrict(plan.current(), lost, by, small=plan.small)
             rescan = members.groupBy(*[F.col(q(b)) for b in by]).agg(*[f.state(F.lit(True)).alias(RESERVED + "r" + f.name) for f in again])
-        old, new = merged(state, folded, rescan, by, fams, ctx.keep)
-        ctx.sidecars[STATE] = (union(as_zset(new), as_zset(old, -1)), by, False)
-        return union(as_zset(derive(new, by, metrics)), negate(as_zset(derive(old, by, metrics))))
+        both = ctx.keep(merged(state, folded, rescan, by, fams))
+        old, new = F.col(_OLD), F.col(_NEW)
+        ctx.sidecars[STATE] = (change_of(both, by, old, new, [f.name for f in fams]), by, False)
+        out = [F.when(s.isNotNull(), F.struct(*[m.derive(s[m.family.name]).alias(k) for k, m in metrics])) for s in (old, new)]
+        return Settled(change_of(both, by, *out, [k for k, _ in metrics]))
 
     return full, delta

@@ -74,7 +74,8 @@ def _at(frame: DataFrame, keys: DataFrame, columns, broadcast: bool) -> DataFram
     return frame.join(keys, F.expr(condition), "left_semi")
 
 
-def join(left: NodeState, right: NodeState, on, how: str, key_filter: bool = True) -> NodeState:
+def join(left: NodeState, right: NodeState, on, how: str, key_filter: bool = True, settle: bool = True) -> NodeState:
+    """settle: consolidate the change, so that a join above sees only keys that did change."""
     kind = HOW[how]
     cols = left.cols if kind in ("left_semi", "left_anti") else left.cols + right.cols
     current = lambda: join_frames(left.current(), right.current(), on, how)
@@ -98,5 +99,5 @@ def join(left: NodeState, right: NodeState, on, how: str, key_filter: bool = Tru
             l, r = _at(l, keys, sides[0][1], broadcast), _at(r, keys, sides[1][1], broadcast)
         return join_frames(l, r, on, how).withColumn(WEIGHT, F.lit(1).cast("long"))
 
-    delta = consolidate(union(state((left.current(), right.current())), negate(state((left.old(), right.old())))))
-    return NodeState(cols, current, old, delta)
+    delta = union(state((left.current(), right.current())), negate(state((left.old(), right.old()))))
+    return NodeState(cols, current, old, consolidate(delta) if settle else delta)

@@ -110,6 +110,18 @@ def restrict(df: DataFrame, keys: DataFrame, columns, how: str = "left_semi", sm
     return df.join(renamed, F.expr(on) if on else F.lit(True), how)
 
 
+@dataclass(frozen=True)
+class Settled:
+    """A Z-set known to be consolidated: no two rows of one image, none of weight 0."""
+
+    zset: DataFrame
+
+
+def settled(change) -> DataFrame:
+    """A change as a consolidated frame, grouped only if it isn't known to be one."""
+    return change.zset if isinstance(change, Settled) else consolidate(change)
+
+
 @dataclass(frozen=True)
 class Delta:
     """A change as a consolidated Z-set. is_full: it is the whole relation, not a change. rows: how many

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.acc import Scan
 from ..functions.agg import Metric, Reduce
 from ..operators.joins import HOW, NodeState, join, leaf
-from ..operators.zset import RESERVED, WEIGHT, as_zset, consolidate, q
+from ..operators.zset import RESERVED, WEIGHT, Settled, as_zset, consolidate, q
 from ..sources.change import ChangelogLayout, ChangelogSource
 from .run import RunContext, RunResult, as_source, run, run_append
 
@@ -256,9 +256,9 @@ class Compiler:
         self.plan, self.ctx, self.key_filter = plan, ctx, key_filter
         self.names = iter(_named(plan.root))
         self.equal: list[set] = []  # columns that join keys make equal
-        self.node = self._node(plan.root)
+        self.node = self._node(plan.root, True)
 
-    def _node(self, node) -> NodeState:
+    def _node(self, node, top: bool = False) -> NodeState:
         if isinstance(node, Leaf):
             return leaf(next(self.names), self.ctx, node.source)
         left, right = self._node(node.left), self._node(node.right)
@@ -267,7 +267,7 @@ class Compiler:
             for a, b in on:
                 hit = [s for s in self.equal if a in s or b in s]
                 self.equal = [s for s in self.equal if s not in hit] + [set().union({a, b}, *hit)]
-        return join(left, right, on, node.how, self.key_filter)
+        return join(left, right, on, node.how, self.key_filter, settle=not top)
 
     def _key(self, name: str, node: NodeState, right: bool) -> tuple[str, str]:
         alias, dot, column = name.partition(".")
@@ -341,7 +341,14 @@ class Compiler:
             return None
         if self.node.delta is None:
             return as_zset(self.current()).limit(0)
-        return consolidate(self._pipeline(self.node.delta))
+        found = self._pipeline(self.node.delta)
+        # a source's change is consolidated as it comes, and dropping rows leaves it so
+        as_it_came = isinstance(self.plan.root, Leaf) and all(kind == "filter" for kind, _ in self.plan.stages)
+        return found if as_it_came else consolidate(found)
+
+    def settled(self) -> Settled | None:
+        found = self.delta()
+        return None if found is None else Settled(found)
 
     @property
     def small(self) -> bool:
@@ -384,7 +391,7 @@ def materialize(plan: Builder, spark: SparkSession, output: str, *, pk=None, ivm
     elif kind == "sql":
         full, delta = (lambda ctx: _sql(plan, ctx)), None
     else:
-        full, delta = (lambda ctx: compiled(ctx).current()), (lambda ctx: compiled(ctx).delta())
+        full, delta = (lambda ctx: compiled(ctx).current()), (lambda ctx: compiled(ctx).settled())
     sources = [x.source for x in leaves(plan.root)]
     return run(spark, output, sources=sources, pk=pk, full=full, delta=delta if ivm else None, p=_limits(plan), tag=tag, plan_print=plan.print(pk))
 
@@ -398,7 +405,7 @@ def materialize_append(plan: Builder, spark: SparkSession, output: str, *, pk=No
     if plan.top:
         full, delta = (lambda ctx: _sql(plan, ctx)), None
     else:
-        full, delta = (lambda ctx: compiled(ctx).current()), (lambda ctx: compiled(ctx).delta())
+        full, delta = (lambda ctx: compiled(ctx).current()), (lambda ctx: compiled(ctx).settled())
     pk = key_columns(pk)
     sources = [x.source for x in leaves(plan.root)]
     return run_append(

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.zset import WEIGHT, Delta, as_zset, check_names, consolidate, diff, present, q, restrict, union
+from ..operators.zset import WEIGHT, Delta, as_zset, check_names, consolidate, diff, present, q, restrict, settled, union
 from ..sources.change import ChangeSource, TableSource, small
 from ..sources.store import Pin, read_plan_print, read_tag, read_watermarks, run_meta, table
 
@@ -146,8 +146,8 @@ def _run(step: Step, spark: SparkSession, output: str, pk, full, delta, tag, pla
         current = table(spark, output).snapshot()
         zset = diff(df, current)
     else:
+        zset = settled(zset)
         _require_key([c for c in zset.columns if c != WEIGHT], pk, output)
-        zset = consolidate(zset)
     changed = apply_zset(spark, output, zset, run_meta(status, ctx.pins, tag, plan_print), ctx.sidecars)
     return RunResult(status, ctx.pins, changed)
 
@@ -219,7 +219,7 @@ def run_append(
         df = full(ctx)
         zset = diff(df, t.snapshot())
     names = t.columns()
-    zset = consolidate(zset.select(*names, WEIGHT))
+    zset = settled(zset).select(*names, WEIGHT)
     _require_key(names, pk, output)
     changed = _append(spark, t, zset, pk, fail_on_conflict, log_drops, run_meta(status, ctx.pins, tag, plan_print))
     return RunResult(status, ctx.pins, changed)
