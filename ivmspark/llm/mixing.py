@@ -107,7 +107,8 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
         again = W.partitionBy(f"{SCRATCH}i").orderBy(sizes(docs, text_column), source_column, text_column)
         mine = mine.withColumn(f"{SCRATCH}p", F.row_number().over(again))
         on.append(F.col(f"{SCRATCH}p") == F.col(place))
-    joined = mine.join(plan.where(f"`{n}` > 0"), on)
+    # hashed at every size: the plan is a few bytes a document, texts are dealt out once, unsorted
+    joined = mine.join(plan.where(f"`{n}` > 0").hint("shuffle_hash"), on)
     return joined.select(*docs.columns, F.explode(F.expr(f"sequence(1L, `{n}`)")).alias(f"{SCRATCH}k")).drop(f"{SCRATCH}k")
 
 

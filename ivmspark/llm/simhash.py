@@ -231,7 +231,8 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     groups = materialize(near_duplicates(docs, id_column, text_column), "groups")
     key, mine = f"{SCRATCH}id", F.col(id_column).cast("long")
     keep = groups.where("id = component_id").groupBy("id").agg(F.count("*").alias(f"{SCRATCH}n")).withColumnRenamed("id", key)
-    kept = docs.join(keep.where(f"{SCRATCH}n = 1"), mine == F.col(key), "left_semi")
+    # hashed at every size: ids are no more than a few bytes a document, texts are dealt out once, unsorted
+    kept = docs.join(keep.where(f"{SCRATCH}n = 1").hint("shuffle_hash"), mine == F.col(key), "left_semi")
     again = keep.where(f"{SCRATCH}n > 1")
     if again.limit(1).count():  # ids that come more than once: one row of each
         kept = kept.unionByName(docs.join(again, mine == F.col(key), "left_semi").dropDuplicates([id_column]))
