@@ -9,17 +9,17 @@ commits the output's change, with how far it has read, at once.
 """
 
 from .functions import acc, agg
-from .operators.zset import WEIGHT, Delta, as_zset, consolidate, diff, rewind
+from .operators.zset import RESERVED, WEIGHT, Delta, as_zset, consolidate, diff, rewind
 from .plans.builder import BuildError, Builder, changelog_source, materialize, materialize_append, source
 from .plans.run import AppendConflict, RunContext, RunResult, apply_changes, apply_zset, current, drop_log, heartbeat, run, run_append
-from .sources.change import ChangelogLayout, ChangelogSource, TableSource, changes_at_tag, table_changes
+from .sources.change import ChangelogLayout, ChangelogSource, TableSource, changes_at_tag, delta_of, pin_table, read_as_of, table_changes
 from .sources.log import CommitConflict
 from .sources.store import Pin, VersionedTable, read_tag, read_watermarks, run_meta, table, tagged_versions
 
 __all__ = [
-    "WEIGHT", "AppendConflict", "BuildError", "Builder", "ChangelogLayout", "ChangelogSource", "CommitConflict", "Delta", "Pin",
+    "RESERVED", "WEIGHT", "AppendConflict", "BuildError", "Builder", "ChangelogLayout", "ChangelogSource", "CommitConflict", "Delta", "Pin",
     "RunContext", "RunResult", "TableSource", "VersionedTable", "acc", "agg", "apply_changes", "apply_zset", "as_zset",
-    "changelog_source", "changes_at_tag", "consolidate", "current", "diff", "drop_log", "heartbeat", "materialize",
-    "materialize_append", "read_tag", "read_watermarks", "rewind", "run", "run_append", "run_meta", "source", "table",
+    "changelog_source", "changes_at_tag", "consolidate", "current", "delta_of", "diff", "drop_log", "heartbeat", "materialize",
+    "materialize_append", "pin_table", "read_as_of", "read_tag", "read_watermarks", "rewind", "run", "run_append", "run_meta", "source", "table",
     "table_changes", "tagged_versions",
 ]

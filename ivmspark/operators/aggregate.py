@@ -128,6 +128,6 @@ def closures(output: str, by, metrics, compiled):
         old, new = F.col(_OLD), F.col(_NEW)
         ctx.sidecars[STATE] = (change_of(both, by, old, new, [f.name for f in fams]), by, False)
         out = [F.when(s.isNotNull(), F.struct(*[m.derive(s[m.family.name]).alias(k) for k, m in metrics])) for s in (old, new)]
-        return Settled(change_of(both, by, *out, [k for k, _ in metrics]))
+        return Settled(change_of(both, by, *out, [k for k, _ in metrics]), tuple(by))
 
     return full, delta

@@ -112,9 +112,11 @@ def restrict(df: DataFrame, keys: DataFrame, columns, how: str = "left_semi", sm
 
 @dataclass(frozen=True)
 class Settled:
-    """A Z-set known to be consolidated: no two rows of one image, none of weight 0."""
+    """A Z-set known to be consolidated: no two rows of one image, none of weight 0. unique_by: columns of
+    which no two rows to add have the same values, where that is known too."""
 
     zset: DataFrame
+    unique_by: tuple[str, ...] | None = None
 
 
 def settled(change) -> DataFrame:

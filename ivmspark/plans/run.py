@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.zset import WEIGHT, Delta, as_zset, check_names, consolidate, diff, present, q, restrict, settled, union
+from ..operators.zset import WEIGHT, Delta, Settled, as_zset, check_names, consolidate, diff, present, q, restrict, settled, union
 from ..sources.change import ChangeSource, TableSource, small
 from ..sources.store import Pin, read_plan_print, read_tag, read_watermarks, run_meta, table
 
@@ -27,6 +27,8 @@ class RunContext:
     last: dict[str, Pin] | None
     p: dict[str, float | None] = field(default_factory=dict)
     _windows: dict[str, Delta] = field(default_factory=dict)
+    _new: dict[str, DataFrame] = field(default_factory=dict)
+    _old: dict[str, DataFrame] = field(default_factory=dict)
     #: Sidecars the run's closures want in its commit: name -> (frame, key, whole).
     sidecars: dict[str, tuple] = field(default_factory=dict)
     _kept: list[DataFrame] = field(default_factory=list)
@@ -51,7 +53,9 @@ class RunContext:
 
     def new(self, source) -> DataFrame:
         ref = self._ref(source)
-        return self.sources[ref].snapshot(self.spark, self.pins[ref])
+        if ref not in self._new:
+            self._new[ref] = self.sources[ref].snapshot(self.spark, self.pins[ref])
+        return self._new[ref]
 
     def old(self, source) -> DataFrame:
         """As of the last run. Asks for a window, so only a source that has one can be asked."""
@@ -59,8 +63,10 @@ class RunContext:
         if not self.last or ref not in self.last:
             raise ValueError(f"{ref} has not been read by an earlier run")
         if self.last[ref] == self.pins[ref]:
-            return self.new(ref) if isinstance(self.sources[ref], TableSource) else self.sources[ref].snapshot(self.spark, self.pins[ref])
-        return self.sources[ref].before(self.spark, self.pins[ref], self.last[ref], self.delta(source))
+            return self.new(source)
+        if ref not in self._old:
+            self._old[ref] = self.sources[ref].before(self.spark, self.pins[ref], self.last[ref], self.delta(source))
+        return self._old[ref]
 
     def delta(self, source) -> Delta:
         ref = self._ref(source)
@@ -135,7 +141,7 @@ def _run(step: Step, spark: SparkSession, output: str, pk, full, delta, tag, pla
         sides = {name: (frame, key) for name, (frame, key, _) in ctx.sidecars.items()}
         t.create(df, pk=pk, meta=run_meta("bootstrap", ctx.pins, tag, plan_print), sidecars=sides)
         return RunResult("bootstrap", ctx.pins, True)
-    zset, status = None, "incremental"
+    zset, status, unique = None, "incremental", False
     if delta is not None and _window_fits(step, output, plan_print):
         zset = delta(ctx)
     if zset is None:
@@ -146,9 +152,10 @@ def _run(step: Step, spark: SparkSession, output: str, pk, full, delta, tag, pla
         current = table(spark, output).snapshot()
         zset = diff(df, current)
     else:
+        unique = isinstance(zset, Settled) and zset.unique_by is not None and set(zset.unique_by) <= set(pk)
         zset = settled(zset)
         _require_key([c for c in zset.columns if c != WEIGHT], pk, output)
-    changed = apply_zset(spark, output, zset, run_meta(status, ctx.pins, tag, plan_print), ctx.sidecars)
+    changed = apply_zset(spark, output, zset, run_meta(status, ctx.pins, tag, plan_print), ctx.sidecars, unique=unique)
     return RunResult(status, ctx.pins, changed)
 
 
@@ -160,10 +167,10 @@ def _require_key(columns, pk, output: str) -> None:
         raise BuildError(f"{output}: the result is missing the PK column(s) {missing}")
 
 
-def apply_zset(spark: SparkSession, output: str, zset: DataFrame, meta: dict, sidecars: dict | None = None, kind: str = "run") -> bool:
+def apply_zset(spark: SparkSession, output: str, zset: DataFrame, meta: dict, sidecars: dict | None = None, kind: str = "run", unique: bool = False) -> bool:
     """Delete, update and insert in one commit, with the run's metadata; a change of no rows is a
     heartbeat, which moves the watermarks and shows no change. Whether rows changed."""
-    done = table(spark, output).commit(zset, kind=kind, meta=meta, sidecars=sidecars)
+    done = table(spark, output).commit(zset, kind=kind, meta=meta, sidecars=sidecars, unique=unique)
     return "" in done.streams
 
 

@@ -10,7 +10,7 @@ from urllib.parse import urlsplit, urlunsplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.zset import WEIGHT, Delta, as_zset, consolidate, present, restrict, rewind, union
+from ..operators.zset import WEIGHT, Delta, as_zset, consolidate, present, restrict, rewind
 from . import log
 from .store import SMALL, Pin, table, tagged_versions
 
@@ -86,6 +86,19 @@ def table_changes(spark: SparkSession, name: str, after: Pin | None, *, p: float
     return source.window(spark, pin, after, p), pin
 
 
+def delta_of(spark: SparkSession, source: ChangeSource | str, pin: Pin, last: Pin | None, *, p: float | None = None) -> Delta:
+    """A source's consolidated change in (last, pin], or all its rows, marked full, where there is none."""
+    return (TableSource(source) if isinstance(source, str) else source).window(spark, pin, last, p)
+
+
+def pin_table(spark: SparkSession, name: str) -> Pin:
+    return table(spark, name).pin()
+
+
+def read_as_of(spark: SparkSession, name: str, version: int) -> DataFrame:
+    return table(spark, name).snapshot(version)
+
+
 # ---- change logs of other engines --------------------------------------------------------------------
 
 
@@ -197,6 +210,3 @@ class ChangelogSource:
 def small(delta: Delta) -> bool:
     """Whether the change's keys are of a known size fit to broadcast."""
     return delta.rows is not None and delta.rows <= SMALL
-
-
-__all__ = ["ChangeSource", "ChangelogLayout", "ChangelogSource", "TableSource", "changes_at_tag", "full", "small", "spark_uri", "table_changes", "union"]

@@ -26,8 +26,8 @@ from pyspark.sql.types import StructType
 from ..operators.zset import WEIGHT, Delta, as_zset, check_groupable, check_names, consolidate, diff, present, q, restrict, union
 from . import log
 
-#: Segments after which a commit is followed by a new base, and the share of the base they may reach.
-COMPACT_AFTER, COMPACT_SHARE = 12, 0.5
+#: Segments after which a commit is followed by a new base, and the times the table's rows they may reach.
+COMPACT_AFTER, COMPACT_SHARE = 12, 4
 #: Changed keys of up to so many rows may be broadcast.
 SMALL = 100_000
 MAIN = ""
@@ -247,9 +247,9 @@ class VersionedTable:
         n = df.count()
         return self.publish("adopt", {MAIN: {"base": path, "segment": None, "schema": df.schema.jsonValue(), "n_ins": n, "n_del": 0, "n_rows": n, "pk": list(pk) if pk else None}}, {}, pk)
 
-    def commit(self, zset: DataFrame | None, *, kind: str = "write", meta: dict | None = None, sidecars: dict[str, tuple[DataFrame, tuple, bool]] | None = None) -> Commit:
+    def commit(self, zset: DataFrame | None, *, kind: str = "write", meta: dict | None = None, sidecars: dict[str, tuple[DataFrame, tuple, bool]] | None = None, unique: bool = False) -> Commit:
         """One more version: a consolidated Z-set, nothing (a heartbeat), and sidecars as (frame, key,
-        whole), whole ones replacing what was there."""
+        whole), whole ones replacing what was there. unique: the key needs no check."""
         last = self.latest()
         streams = {}
         if zset is not None:
@@ -259,7 +259,7 @@ class VersionedTable:
                 raise ValueError(f"{self.name} has columns {known}, the change has {[c for c in zset.columns if c != WEIGHT]}")
             schema = self.schema()
             zset = zset.select(*[F.col(q(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields], WEIGHT)
-            entry = self.write_stream(zset, segment=True, pk=last.pk, before=self.rows())
+            entry = self.write_stream(zset, segment=True, pk=last.pk, before=self.rows(), unique=unique)
             if entry["n_ins"] or entry["n_del"]:
                 streams[MAIN] = entry
         for name, (side, key, whole) in (sidecars or {}).items():

@@ -1,6 +1,6 @@
 import pytest
 
-from ivmspark import WEIGHT, AppendConflict, apply_changes, as_zset, changes_at_tag, current, drop_log, read_tag, read_watermarks, run, source, table, table_changes, tagged_versions
+from ivmspark import WEIGHT, AppendConflict, apply_changes, as_zset, changes_at_tag, current, delta_of, drop_log, pin_table, read_as_of, read_tag, read_watermarks, run, source, table, table_changes, tagged_versions
 
 
 def same(spark, db, delta=True, p=None, out="out"):
@@ -114,6 +114,16 @@ def test_another_plan_is_not_skipped_nor_patched(spark, db):
     assert db.rows("out") == [(1, "a")]
 
 
+def test_windows_and_pins_by_hand(spark, db):
+    t = db.make("src", [(1, "a"), (2, "b")], pk="id")
+    first = pin_table(spark, db("src"))
+    t.update("id = 2", v="'B'")
+    pin = pin_table(spark, db("src"))
+    assert sorted(map(tuple, delta_of(spark, db("src"), pin, first).zset.collect())) == [(2, "B", 1), (2, "b", -1)]
+    assert delta_of(spark, db("src"), pin, None).is_full and delta_of(spark, db("src"), pin, first, p=0.1).is_full
+    assert sorted(map(tuple, read_as_of(spark, db("src"), first.version).collect())) == [(1, "a"), (2, "b")]
+
+
 def test_no_sources(spark, db):
     with pytest.raises(ValueError):
         run(spark, db("out"), sources=[], pk="id", full=None)

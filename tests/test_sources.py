@@ -33,37 +33,37 @@ class Producer:
 
 
 def test_changelog_round_trip(spark, db, tmp_path):
-    pond = Producer(spark, tmp_path)
+    maker = Producer(spark, tmp_path)
     signed = f"order_id int, product_id string, qty int, {LAY.weight} int"
-    pond.part("orders__base", [(1, "A", 2), (2, "B", 1)], "order_id int, product_id string, qty int")
-    pond.part("orders__changelog", [(3, "A", 4, 1)], signed, f="f1")
-    pond.say("orders", mode="merge", pk="order_id", floor="f0", f="f1", f_base="f0")
-    pond.part("catalog.parquet", [("A", 10.0), ("B", 3.0)], "product_id string, price double")
-    pond.say("catalog", mode="overwrite", pk="product_id", floor=None, f="f1")
+    maker.part("orders__base", [(1, "A", 2), (2, "B", 1)], "order_id int, product_id string, qty int")
+    maker.part("orders__changelog", [(3, "A", 4, 1)], signed, f="f1")
+    maker.say("orders", mode="merge", pk="order_id", floor="f0", f="f1", f_base="f0")
+    maker.part("catalog.parquet", [("A", 10.0), ("B", 3.0)], "product_id string, price double")
+    maker.say("catalog", mode="overwrite", pk="product_id", floor=None, f="f1")
     plan = changelog_source(str(tmp_path), "orders", p=1.0).alias("o").join(changelog_source(str(tmp_path), "catalog", p=1.0).alias("c"), on="product_id").mutate(amount="o.qty * c.price")
     plan.merge_into(spark, db("out"), pk="order_id", tag="f1")
     assert db.rows("out", "order_id", "amount") == [(1, 20.0), (2, 3.0), (3, 40.0)]
     assert plan.merge_into(spark, db("out"), pk="order_id", tag="f1").status == "skipped"
-    pond.part("orders__changelog", [(1, "A", 2, -1), (1, "A", 5, 1), (2, "B", 1, -1)], signed, f="f2")
-    pond.say("orders", f="f2")
+    maker.part("orders__changelog", [(1, "A", 2, -1), (1, "A", 5, 1), (2, "B", 1, -1)], signed, f="f2")
+    maker.say("orders", f="f2")
     assert plan.merge_into(spark, db("out"), pk="order_id", tag="f2").status == "incremental"
     assert db.rows("out", "order_id", "amount") == [(1, 50.0), (3, 40.0)]
     assert sorted(r["order_id"] for r in changes_at_tag(spark, db("out"), "f2").zset.collect()) == [1, 1, 2]
-    pond.say("orders", f="f3", floor="f3")  # refreshed: the window is gone
+    maker.say("orders", f="f3", floor="f3")  # refreshed: the window is gone
     assert plan.merge_into(spark, db("out"), pk="order_id").status == "comprehensive"
 
 
 def test_changelog_append_mode_and_fraction(spark, db, tmp_path):
-    pond = Producer(spark, tmp_path)
-    pond.part("items", [(i, "a") for i in range(10)], "item_id int, v string", f="f1")
-    pond.say("items", mode="append", pk="item_id", floor="f1", f="f1")
+    maker = Producer(spark, tmp_path)
+    maker.part("items", [(i, "a") for i in range(10)], "item_id int, v string", f="f1")
+    maker.say("items", mode="append", pk="item_id", floor="f1", f="f1")
     plan = changelog_source(str(tmp_path), "items")
     plan.merge_into(spark, db("out"), pk="item_id")
-    pond.part("items", [(50, "b")], "item_id int, v string", f="f2")
-    pond.say("items", f="f2")
+    maker.part("items", [(50, "b")], "item_id int, v string", f="f2")
+    maker.say("items", f="f2")
     assert plan.merge_into(spark, db("out"), pk="item_id").status == "incremental" and db.feed("out", "item_id") == [50]
-    pond.part("items", [(100 + i, "c") for i in range(20)], "item_id int, v string", f="f3")
-    pond.say("items", f="f3")
+    maker.part("items", [(100 + i, "c") for i in range(20)], "item_id int, v string", f="f3")
+    maker.say("items", f="f3")
     assert plan.merge_into(spark, db("out"), pk="item_id").status == "comprehensive"
 
 
