@@ -7,7 +7,7 @@ is the median of several rounds over fresh outputs, after one that doesn't count
 
     BENCH_SF_DIR   tables (default /root/testdata/sf0.1)
     BENCH_CPUS     threads (default 8)
-    BENCH_ROUNDS   rounds that count (default 3)
+    BENCH_ROUNDS   rounds that count (default 2)
 """
 
 from __future__ import annotations
@@ -24,10 +24,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ivmspark import acc, agg, source, table
+from ivmspark.plans.builder import leaves
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-ROUNDS = int(os.environ.get("BENCH_ROUNDS", "3"))
+ROUNDS = int(os.environ.get("BENCH_ROUNDS", "2"))
 LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
 
 
@@ -52,7 +53,7 @@ def plans(db: str) -> dict:
 def once(spark, name: str) -> tuple[float, float, float]:
     db = f"b{uuid.uuid4().hex[:10]}"
     plan, pk, moving, key, column, mille = plans(db)[name]
-    used = {x.source.split(".")[1] for x in __import__("ivmspark.plans.builder", fromlist=["leaves"]).leaves(plan.root)}
+    used = {x.source.split(".")[1] for x in leaves(plan.root)}
     for t in used:
         df = spark.read.parquet(f"{SF}/{t}.parquet")
         if t == moving and column is None:  # new rows at the end
