@@ -14,7 +14,6 @@ lang and source may have any name and are carried along.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ivmspark.llm.common import scratch_path
 from ivmspark.llm.langid import keep_identified
@@ -65,8 +64,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
-
-
-def pipeline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """run() with the ids as a digest, one row a document and copy."""
-    return run(spark, sf_dir).select("doc_id", "lang", "source", "n_tokens", F.md5(F.array_join("ids", " ").cast("binary")).alias("ids_md5"))
