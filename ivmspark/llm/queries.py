@@ -11,8 +11,8 @@ from .matroska import op1_matroska
 from .mixing import OP2_SQL, op2_mixing
 from .pieces import op9_pieces
 from .simhash import op3_simhash
-from .warc import op5_warc
+from .warc import OP5_SQL, op5_warc
 
 QUERIES = {f.__name__: f for f in (op1_matroska, op2_mixing, op3_simhash, op4_line_dedup, op5_warc, op6_topk, op7_token_lengths, op8_token_ids, op9_pieces, op10_langid)}
 
-ORACLE_SQL = {"op2_mixing": OP2_SQL, "op4_line_dedup": OP4_SQL, "op6_topk": OP6_SQL}
+ORACLE_SQL = {"op2_mixing": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_warc": OP5_SQL, "op6_topk": OP6_SQL}

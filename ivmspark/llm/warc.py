@@ -287,3 +287,18 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A WARC record for each page, written as monolithic gzip, normalised, and read back."""
     found = read_archives(_spread(archive(table(spark, sf_dir, "pages"))))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
+d AS (SELECT page_id, strlen(x) AS payload_bytes, sha1(x) AS h FROM p),
+o AS (
+  SELECT *, row_number() OVER w AS place, first(page_id) OVER w AS kept FROM d
+  WINDOW w AS (PARTITION BY h ORDER BY page_id DESC NULLS LAST))
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN place > 1 THEN kept END AS refers_to
+FROM o
+"""

@@ -7,7 +7,7 @@ import pytest
 from ivmspark.llm import warc as w
 from ivmspark.llm.common import read_file
 
-from .conftest import SF, sf_dir
+from .conftest import SF, oracle, rows, sf_dir
 
 PAGES = [(1, "http://a/\nx", "x"), (2, "u", "x"), (2, "u", "x"), (3, None, None), (None, "u", ""), (4, "v", ""), (None, "z", "x"), (5, "q", "é" * 3_000_000), (6, "r", "y\r\n\r\nWARC/1.1\r\n")]
 
@@ -28,6 +28,9 @@ def test_query(spark, tmp_path):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     assert sorted(map(tuple, w.op5_warc(spark, sf_dir(df, tmp_path / "a", "pages")).collect()), key=str) == brute(df.collect())
     assert sorted(map(tuple, w.op5_warc(spark, SF).collect()), key=str) == brute(spark.read.parquet(f"{SF}/pages.parquet").collect())
+    for d in (df, spark.read.parquet(f"{SF}/pages.parquet")):
+        assert oracle(w.OP5_SQL, pages=d) == brute(d.collect())
+    assert rows(w.op5_warc(spark, SF)) == oracle(w.OP5_SQL, pages=spark.read.parquet(f"{SF}/pages.parquet"))
     assert w.op5_warc(spark, sf_dir(df.limit(0), tmp_path / "b", "pages")).count() == 0
 
 
