@@ -84,7 +84,7 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]").appName("bench").config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", CPUS).config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", f"{base}/warehouse")
-        .config("ivmspark.root", f"{base}/tables").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.ivmspark.root", f"{base}/tables").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     inc, rec, share = {}, {}, {}

@@ -53,8 +53,8 @@ class Commit:
 
 
 def root(spark: SparkSession) -> str:
-    """Where tables live: ivmspark.root, else a folder of the warehouse."""
-    at = spark.conf.get("ivmspark.root", None)
+    """Where tables live: spark.ivmspark.root, else a folder of the warehouse."""
+    at = spark.conf.get("spark.ivmspark.root", None)
     return (at or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/ivmspark").rstrip("/")
 
 

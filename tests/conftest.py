@@ -12,7 +12,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
         .config("spark.sql.warehouse.dir", str(base / "warehouse")).config("spark.checkpoint.dir", f"file://{base}/shared")
-        .config("ivmspark.root", str(base / "tables")).getOrCreate()
+        .config("spark.ivmspark.root", str(base / "tables")).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
