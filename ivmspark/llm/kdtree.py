@@ -8,7 +8,8 @@ and the search of a shard ends when the best bound left is below the query's kth
 The kth score is propagated: a query is first searched in one shard, its home; the k results there give a
 score that the answer's kth can't be below, and with it the query visits the other shards, where boxes that
 can't pass it are never opened. Ties count: a box is dropped only if its bound is below the kth score, and
-equal scores go to the smaller id.
+equal scores go to the smaller id. Scores are exact: in floating point while components are below 2^20,
+in Python's numbers beyond.
 
 Queries against all shards is a stated set against all rows, in blocks: a shard is one group, queries come
 to it in blocks of their own, and what a shard gives back is at most k rows a query. Groups are of bounded
@@ -77,7 +78,7 @@ class KDTree:
         if not len(self.ids):
             return best
         up, down = np.maximum(query, 0), np.minimum(query, 0)
-        waiting = [(-float(up @ self.hi[0] + down @ self.lo[0]), 0)]
+        waiting = [(-(up @ self.hi[0] + down @ self.lo[0]), 0)]
         while waiting:
             bound, node = heapq.heappop(waiting)
             if floor is not None and -bound < floor:
@@ -106,14 +107,14 @@ class KDTree:
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
-def _matrix(values: list):
-    """Lists of integers as a matrix: floating point where that is exact, else Python's own numbers."""
+def _matrices(*lists: list):
+    """Lists of integers as matrices: floating point where scores are exact in it, else Python's own
+    numbers, which are exact at any size and slower."""
     import numpy as np
 
-    m = np.array(values, dtype=np.float64).reshape(len(values), -1)
-    if m.size and np.abs(m).max() >= _EXACT:
-        raise OverflowError("components of 2^20 or more: scale the vectors down for exact scores")
-    return m
+    whole = [np.array(x, dtype=np.int64).reshape(len(x), -1) for x in lists]
+    big = any(m.size and max(int(m.max()), -int(m.min())) >= _EXACT for m in whole)
+    return [m.astype(object if big else np.float64) for m in whole]
 
 
 def search_shard(key, candidates, queries, k: int):
@@ -125,9 +126,9 @@ def search_shard(key, candidates, queries, k: int):
     for size, part in candidates.groupby(candidates["v"].map(len)):
         asked = queries[queries["q"].map(len) == size]
         if len(asked):
-            tree = KDTree(part["vec_id"].to_numpy(np.int64), _matrix(part["v"].tolist()))
-            q = _matrix(asked["q"].tolist())
-            floors = [None if x != x or x is None else float(x) for x in asked["floor"].astype(object).tolist()]
+            v, q = _matrices(part["v"].tolist(), asked["q"].tolist())
+            tree = KDTree(part["vec_id"].to_numpy(np.int64), v)
+            floors = [None if x is None or x != x else int(x) for x in asked["floor"].astype(object).tolist()]
             for i, floor, row in zip(asked["query_id"].tolist(), floors, q):
                 rows += [(i, c, int(s)) for s, c in tree.search(row, i, k, floor)]
     return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
@@ -155,9 +156,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         groups = base.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block"))
         return groups.applyInPandas(run, "query_id long, vec_id long, score long")
 
-    first = materialize(visit(queries.select("query_id", "q", "block", F.col("home").alias("shard"), F.lit(None).cast("double").alias("floor"))), "home")
+    first = materialize(visit(queries.select("query_id", "q", "block", F.col("home").alias("shard"), F.lit(None).cast("string").alias("floor"))), "home")
     if shards > 1:
-        floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
+        floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("string").alias("floor"))
         others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("home")))
         known = queries.join(floors, "query_id", "left").select("query_id", "q", "block", "floor", others.alias("shard"))
         first = first.union(visit(known))

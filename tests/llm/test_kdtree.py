@@ -29,6 +29,20 @@ def test_queries_in_one_shard_and_in_many(spark, monkeypatch, tmp_path):
     assert rows(k.op6_topk(spark, SF)) == want
 
 
+def test_components_past_floating_point(spark, tmp_path, monkeypatch):
+    data = [(i, [float(2**24 + i % 7), float(-(2**23) * (i % 5)), 1.0 / (i + 1)]) for i in range(120)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(k, "SHARD", 40)
+    monkeypatch.setattr(k, "LEAF", 8)
+    held = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in data]
+    want = []
+    for i, q in held:
+        if i % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in held if j != i)[:20]
+            want += [(i, r + 1, -s, j) for r, (s, j) in enumerate(best)]
+    assert rows(k.op6_topk(spark, sf_dir(df, tmp_path, "embeddings"))) == sorted(want, key=str)
+
+
 def test_edges(spark, tmp_path):
     nan, inf = float("nan"), float("inf")
     data = [(0, [1.0, 0.5]), (20, [1.0, 0.5]), (1, [1.0, 0.5]), (1, [1.0, 0.5]), (2, None), (3, [None, 1.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, []), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (40, [-1.0, -0.01]), (8, [0.0, 0.0])]
