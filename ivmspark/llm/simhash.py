@@ -31,6 +31,8 @@ from .common import SCRATCH, arrow_map, materialize, table, utf8
 
 RADIUS = 4
 SHINGLE = 4
+#: What the pipeline's stage takes: five words, and the largest radius whose tables (255) are still few.
+STAGE_RADIUS, STAGE_SHINGLE = 7, 5
 #: A bucket of up to this many nodes is compared at once.
 BLOCK = 4096
 
@@ -80,12 +82,19 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def covering_masks(radius: int, bits: list[int], seed: int) -> list[int]:
     """2^(radius+1)-1 masks over the given bit positions; any set of up to radius of them is missed by one.
-    Vectors are dealt evenly, so that each mask keeps about half of the bits."""
+    Vectors are dealt evenly in a random order; of several orders, that whose lightest mask keeps the most
+    bits, since a mask of few bits has large buckets."""
     rng = random.Random(seed)
     every = list(range(1, 2 ** (radius + 1)))
-    vectors = [every[i % len(every)] for i in range(len(bits))]
-    rng.shuffle(vectors)
-    return [sum(1 << b for b, m in zip(bits, vectors) if (m & v).bit_count() & 1) for v in every]
+    best: list[int] = []
+    for _ in range(24):
+        dealt = rng.sample(every, len(every))
+        vectors = [dealt[i % len(dealt)] for i in range(len(bits))]
+        rng.shuffle(vectors)
+        masks = [sum(1 << b for b, m in zip(bits, vectors) if (m & v).bit_count() & 1) for v in every]
+        if not best or min(map(int.bit_count, masks)) > min(map(int.bit_count, best)):
+            best = masks
+    return best
 
 
 def links_in_bucket(fps, radius: int, fixed: int, block: int = BLOCK, seed: int = 1):
@@ -142,9 +151,11 @@ def forest(nodes: DataFrame, radius: int = RADIUS, seed: int = 7, block: int = B
     """(a, b): edges, all of them links' closure, that connect what links at up to radius bits connect.
     nodes: distinct fp. One shuffle of 2^(radius+1)-1 small rows a node."""
     masks = covering_masks(radius, list(range(64)), seed)
-    signed = [m - (m >> 63 << 64) for m in masks]
-    keyed = nodes.select("fp", F.posexplode(F.array(*[F.lit(m) for m in signed])).alias("t", "m")).select("t", F.expr("fp & m").alias("k"), "fp")
-    dealt = keyed.repartition("t", "k").sortWithinPartitions("t", "k")
+    every = F.array(*[F.lit(m - (m >> 63 << 64)) for m in masks])
+    keyed = nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("t"))
+    bucket = F.col("fp").bitwiseAND(F.get(every, F.col("t")))
+    # only the table's number and the node are moved; the bucket is worked out on either side
+    dealt = keyed.repartition(F.col("t"), bucket).select("t", bucket.alias("k"), "fp").sortWithinPartitions("t", "k")
 
     def run(batches):
         import numpy as np
@@ -224,11 +235,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return marked.join(named, "fp", "left").select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = STAGE_RADIUS, shingle: int = STAGE_SHINGLE) -> DataFrame:
     """The documents less all but one of each near-duplicate group: the one with the smallest id stays (a
     null id goes only where another of its group has one; of rows with that same id, one stays). Columns
     as they came."""
-    groups = materialize(near_duplicates(docs, id_column, text_column), "groups")
+    groups = materialize(near_duplicates(docs, id_column, text_column, radius, shingle), "groups")
     key, mine = f"{SCRATCH}id", F.col(id_column).cast("long")
     keep = groups.where("id = component_id").groupBy("id").agg(F.count("*").alias(f"{SCRATCH}n")).withColumnRenamed("id", key)
     # hashed at every size: ids are no more than a few bytes a document, texts are dealt out once, unsorted

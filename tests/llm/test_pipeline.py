@@ -13,7 +13,7 @@ def test_stages_against_plain_python(spark, small):
     lined = c.line_dedup(spark, kept, SF)
     assert sorted(map(tuple, lined.select("doc_id", "text").collect()), key=str) == without_boilerplate(kept.collect())[0]
     held = lined.collect()
-    groups = clusters([r["doc_id"] for r in held], [plain(r["text"].encode()) for r in held])
+    groups = clusters([r["doc_id"] for r in held], [plain(r["text"].encode(), 5) for r in held], 7)
     single = c.near_dedup(spark, lined, SF)
     assert single.columns == columns and sorted(r["doc_id"] for r in single.collect()) == sorted(set(groups))
     mixed = c.mixing(spark, single, SF)

@@ -10,11 +10,11 @@ from ivmspark.llm import simhash as s
 from .conftest import SF, sf_dir
 
 
-def plain(text):
+def plain(text, k=4):
     words = text.lower().split()
     if not words:
         return 0
-    shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    shingles = [b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
     h = [xxhash.xxh64_intdigest(x, 42) for x in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
@@ -44,10 +44,10 @@ def test_fingerprints():
     assert s.fingerprint(b"ABC def ghi JKL") == s.fingerprint(b"abc  def\tghi\njkl")
 
 
-@pytest.mark.parametrize("radius", [1, 2, 4])
+@pytest.mark.parametrize("radius", [1, 2, 4, 7])
 def test_masks_cover_every_pair_within_the_radius(radius):
     masks = s.covering_masks(radius, list(range(64)), 5)
-    assert len(masks) == 2 ** (radius + 1) - 1 and len(set(masks)) == len(masks)
+    assert len(masks) == 2 ** (radius + 1) - 1 and min(m.bit_count() for m in masks) >= (18 if radius > 1 else 16)
     rng = random.Random(3)
     for _ in range(3000):
         differ = sum(1 << b for b in rng.sample(range(64), radius))
@@ -88,7 +88,7 @@ def test_one_of_each_group_stays(spark, edge, small, empty):
     assert kept.columns == edge.columns
     ids = sorted((r["doc_id"] for r in kept.collect()), key=str)
     assert 7 not in ids and ids.count(3) == 1 and 9 in ids
-    groups = s.near_duplicates(small).select("component_id").distinct().count()
+    groups = s.near_duplicates(small, radius=7, shingle=5).select("component_id").distinct().count()
     assert s.keep_one(small).count() == groups and s.keep_one(empty).count() == 0
     nameless = spark.createDataFrame([(None, "x y"), (None, "x y"), (None, "other words here now")], "doc_id long, text string")
     assert s.keep_one(nameless).count() == 2
