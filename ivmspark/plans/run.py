@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.zset import WEIGHT, Delta, Settled, as_zset, check_names, consolidate, diff, present, q, restrict, settled, union
 from ..sources.change import ChangeSource, TableSource, small
-from ..sources.store import Pin, read_plan_print, read_tag, read_watermarks, run_meta, table
+from ..sources.store import META, Pin, read_plan_print, read_tag, read_watermarks, run_meta, table
 
 
 def as_source(source) -> ChangeSource:
@@ -112,7 +112,12 @@ def _window_fits(step: Step, output: str, plan_print: str | None) -> bool:
     t = table(step.ctx.spark, output)
     if step.ctx.last is None or read_plan_print(step.ctx.spark, output) != plan_print:
         return False
-    return all(ref in step.ctx.last for ref in step.ctx.pins) and "ivmspark" in t.latest().meta
+    for c in t.history():
+        if META in c.meta:
+            break
+        if c.streams:
+            return False
+    return all(ref in step.ctx.last for ref in step.ctx.pins)
 
 
 def run(

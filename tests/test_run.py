@@ -90,6 +90,15 @@ def test_a_foreign_commit_on_the_output_is_repaired(spark, db):
     assert same(spark, db).status == "comprehensive" and db.rows("out") == [(1, "b")]
 
 
+def test_a_commit_without_rows_on_the_output_changes_nothing(spark, db):
+    t = db.make("src", [(1, "a")], pk="id")
+    same(spark, db)
+    table(spark, db("out")).commit(None, kind="note")
+    assert same(spark, db).status == "skipped"
+    t.update("id = 1", v="'b'")
+    assert same(spark, db).status == "incremental" and db.rows("out") == [(1, "b")]
+
+
 def test_an_output_made_by_another_is_adopted(spark, db):
     db.make("src", [(1, "a")], pk="id")
     db.make("out", [(1, "stale")], pk="id")
