@@ -332,7 +332,7 @@ class Tokens:
         self.odd = re.compile(r" (?=\s|$)").search
 
     def _encode(self, items: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(items, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
 
     def encode(self, items: list[str]) -> list:
         """Each text's ids as an array."""
