@@ -4,7 +4,7 @@ For each language a suffix automaton is built over labelled text. A word is cros
 longest match from where the last phrase ended is the next phrase (a letter that matches nothing is a
 phrase). The fewer phrases a text needs, the better the language explains it; phrases are normalised to
 bits a letter, phrases * log2(training letters) / letters, which is the cross-parsing entropy estimate. The
-language of the least wins; ties go to the smallest name.
+language of the least wins; ties, which short texts have, go to the language of more training rows.
 
 Words are runs of letters in lower case with a mark at either end, so a match knows where words start and
 stop. A word's phrase counts depend on nothing else, and each task keeps them for the words it has met, up
@@ -12,7 +12,7 @@ to ``WORDS`` of them. All letters of a text count, at any length.
 
 The model is fitted on a bounded sample: for each language the ``SAMPLE`` training rows of smallest hash of
 the id, ``LETTERS`` letters of each at most and the same number of letters for each language; up to
-``LANGUAGES`` languages, by code point. The bounds are parameters; the sample's ids are picked from the two
+``LANGUAGES`` languages, those of most rows. The bounds are parameters; the sample's ids are picked from the two
 small columns and only their texts are fetched.
 
 Edge cases: null text, or one without letters: ``und`` with score 0; a null language teaches nothing; a
@@ -99,10 +99,11 @@ class SuffixAutomaton:
 
 
 class CrossParser:
-    """Languages' automata, of equally long texts, and the phrase counts of words met."""
+    """Languages' automata, of equally long texts, and the phrase counts of words met. Of languages that
+    explain a text equally well the one given first wins."""
 
     def __init__(self, samples: dict[str, str], letters: int = LETTERS, words: int = WORDS):
-        kept = {lang: x for lang, x in sorted(samples.items()) if x.strip()}
+        kept = {lang: x for lang, x in samples.items() if x.strip()}
         size = min([letters, *map(len, kept.values())])
         self.langs = list(kept)
         self.bits = math.log2(max(2, size))
@@ -148,7 +149,7 @@ class CrossParser:
 
 
 def parser(samples: dict[str, str]) -> CrossParser:
-    return resident(("langid", hash(tuple(sorted(samples.items())))), lambda: CrossParser(samples))
+    return resident(("langid", hash(tuple(samples.items()))), lambda: CrossParser(samples))
 
 
 def held_out(id_column: str) -> "F.Column":
@@ -157,9 +158,10 @@ def held_out(id_column: str) -> "F.Column":
 
 
 def training_sample(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE, letters: int = LETTERS) -> dict[str, str]:
-    """Normalised training text by language, at most letters of each: the bounded sample on the driver."""
+    """Normalised training text by language, most rows first, at most letters of each: the bounded sample
+    on the driver."""
     rows = docs.where(F.col(lang_column).isNotNull() & F.col(id_column).isNotNull() & ~held_out(id_column))
-    names = [r[0] for r in rows.groupBy(lang_column).count().orderBy(lang_column).limit(LANGUAGES).select(lang_column).collect()]
+    names = [r[0] for r in rows.groupBy(lang_column).count().orderBy(F.desc("count"), lang_column).limit(LANGUAGES).select(lang_column).collect()]
     picked = {}
     for lang in names:  # each a bounded top-k of two small columns
         least = rows.where(F.col(lang_column) == lang).select(F.col(id_column).alias("i"), F.xxhash64(F.col(id_column).cast("string")).alias("h"))
@@ -173,7 +175,7 @@ def training_sample(docs: DataFrame, id_column: str = "doc_id", text_column: str
     for r in sorted(chosen.limit(4 * len(picked)).collect(), key=lambda r: (str(r["lang"]), zlib.crc32(str(r["i"]).encode()), r["t"] or "")):
         if r["t"] and r["t"].strip():
             got.setdefault(r["lang"], []).append(r["t"].strip())
-    return {lang: (_MARK + _MARK.join(parts) + _MARK)[:letters] for lang, parts in got.items()}
+    return {lang: (_MARK + _MARK.join(got[lang]) + _MARK)[:letters] for lang in names if lang in got}
 
 
 def predict(docs: DataFrame, samples: dict[str, str], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
