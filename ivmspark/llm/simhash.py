@@ -200,7 +200,7 @@ def forest(nodes: DataFrame, radius: int = RADIUS, seed: int = 7, block: int = B
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, root) of each node that isn't its component's root: alternating large-star and small-star
+    """(node, root) of each node, of any type with an order, that isn't its component's root: alternating large-star and small-star
     steps until nothing changes. Roots are their components' smallest nodes. No step gathers a node's
     neighbours."""
     flat = lambda e: e.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct()
@@ -223,14 +223,21 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp, component_id): component_id is the smallest id reachable by links at up to radius bits."""
+    """(id, fp, component_id): component_id is the smallest id reachable by links at up to radius bits.
+
+    A node is known by the smallest id that has its fingerprint (by the fingerprint itself if none has an
+    id, which sorts after all ids), so a component's root is its component_id, and nothing is ever grouped
+    or joined by component: one that holds a third of the nodes is as even as any."""
     marked = materialize(fingerprints(docs, id_column, text_column, shingle), "fingerprints")
-    nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "nodes")
-    comp = components(forest(nodes.select("fp"), radius))
-    rooted = nodes.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    label = F.when(F.col("least").isNotNull(), F.struct(F.lit(0).alias("k"), F.col("least").alias("v"))).otherwise(F.struct(F.lit(1).alias("k"), F.col("fp").alias("v")))
+    names = nodes.select("fp", label.alias("label"))
+    edges = materialize(forest(nodes.select("fp"), radius), "forest")
+    for end in ("a", "b"):
+        edges = edges.join(names.select(F.col("fp").alias(end), F.col("label").alias(f"to_{end}")), end)
+    comp = components(edges.selectExpr("to_a AS a", "to_b AS b"))
+    root = F.coalesce("root", "label")
+    named = names.join(comp, F.col("label") == F.col("node"), "left").select("fp", F.when(root["k"] == 0, root["v"]).alias("component_id"))
     # copies of one text share fp, so this join's left side can be skewed: adaptive execution splits it
     return marked.join(named, "fp", "left").select("id", "fp", "component_id")
 
