@@ -1,10 +1,13 @@
-"""Joins kept up to date by recomputing affected keys.
+"""Joins kept up to date from their sides' changes.
 
 A leaf's columns are one struct named by its alias, so ``o.qty`` and ``o.*`` mean in a plan what they mean
-in SQL, and nothing is renamed. For L join R on k, with K the keys of either side's change, the change of
-the join is (new L, R at K joined) less (old L, R at K joined): right for inner, outer, semi and anti joins
-alike, null keys included. K goes to the sides as a semi-join, broadcast if the change is of a known, small
-size and otherwise as an equi-join of its own.
+in SQL, and nothing is renamed.
+
+An inner join is linear in either side: its change is (change of L) join (new R) and (old L) join (change of
+R), weights going through. An outer, semi or anti join is linear in the side it keeps, if only that changed.
+Elsewhere affected keys are recomputed: with K the keys of either side's change, the change of the join is
+(new L, R at K joined) less (old L, R at K joined), null keys included. Changes and keys are broadcast if
+they are of a known, small size; otherwise they meet the other side in an equi-join.
 """
 
 from __future__ import annotations
@@ -65,10 +68,16 @@ def leaf(alias: str, ctx, ref) -> NodeState:
 def join_frames(left: DataFrame, right: DataFrame, on, how: str) -> DataFrame:
     """on: ((alias, column), (alias, column)) pairs."""
     condition = [F.expr(f"{q(a)}.{q(c)}") == F.expr(f"{q(b)}.{q(d)}") for (a, c), (b, d) in on]
-    return left.join(right, condition, HOW[how])
+    return left.join(right, condition, HOW.get(how, how))
+
+
+def _key_frame(node: NodeState, columns) -> DataFrame:
+    """The keys of a node's change."""
+    return node.delta.select(*[F.expr(f"{q(a)}.{q(c)}").alias(f"{RESERVED}k{i}") for i, (a, c) in enumerate(columns)])
 
 
 def _at(frame: DataFrame, keys: DataFrame, columns, broadcast: bool) -> DataFrame:
+    """The rows of a frame whose key is among keys, null among them."""
     keys = F.broadcast(keys) if broadcast else keys
     condition = " AND ".join(f"{q(a)}.{q(c)} <=> {RESERVED}k{i}" for i, (a, c) in enumerate(columns))
     return frame.join(keys, F.expr(condition), "left_semi")
@@ -84,20 +93,48 @@ def join(left: NodeState, right: NodeState, on, how: str, key_filter: bool = Tru
         return NodeState(cols, current, current, None, full=True)
     if left.delta is None and right.delta is None:
         return NodeState(cols, current, current, None)
+    delta = _linear(left, right, on, kind)
+    if delta is None:
+        delta = _recomputed(left, right, on, kind, key_filter)
+    delta = delta.select(*[F.col(q(a)) for a in dict.fromkeys(a for a, _ in cols)], WEIGHT)
+    # a few rows can match any number: a join's change is of no known size
+    return NodeState(cols, current, old, consolidate(delta) if settle else delta)
+
+
+def _linear(left: NodeState, right: NodeState, on, kind: str) -> DataFrame | None:
+    """The change by joining the changes themselves, where weights go through the join: an inner join is
+    linear in either side, the others in the side that they keep, if only that one changed."""
+    if kind == "inner":
+        terms = []
+        if left.delta is not None:
+            terms.append(join_frames(F.broadcast(left.delta) if left.small else left.delta, right.current(), on, kind))
+        if right.delta is not None:
+            before = left.old() if left.delta is not None else left.current()
+            terms.append(join_frames(before, F.broadcast(right.delta) if right.small else right.delta, on, kind))
+        cols = [F.col(q(a)) for a in dict.fromkeys([*left.aliases, *right.aliases])]
+        return union(*[t.select(*cols, WEIGHT) for t in terms])
+    if kind in ("left", "left_semi", "left_anti") and right.delta is None:
+        there = _at(right.current(), _key_frame(left, [a for a, _ in on]).distinct(), [b for _, b in on], left.small)
+        return join_frames(left.delta, there, on, kind)
+    if kind == "right" and left.delta is None:
+        there = _at(left.current(), _key_frame(right, [b for _, b in on]).distinct(), [a for a, _ in on], right.small)
+        return join_frames(there, right.delta, on, kind)
+    return None
+
+
+def _recomputed(left: NodeState, right: NodeState, on, kind: str, key_filter: bool) -> DataFrame:
+    """The join at the changed keys as it is now, less as it was."""
     sides = [(left, [a for a, _ in on]), (right, [b for _, b in on])]
     changed = [(n, k) for n, k in sides if n.delta is not None]
-    keys = None
-    for node, columns in changed:
-        part = node.delta.select(*[F.expr(f"{q(a)}.{q(c)}").alias(f"{RESERVED}k{i}") for i, (a, c) in enumerate(columns)])
-        keys = part if keys is None else keys.union(part)
+    keys = _key_frame(*changed[0])
+    for other in changed[1:]:
+        keys = keys.union(_key_frame(*other))
     keys = keys.distinct()
     broadcast = all(n.small for n, _ in changed)
 
-    def state(frames) -> DataFrame:
-        l, r = frames
+    def state(l: DataFrame, r: DataFrame) -> DataFrame:
         if key_filter:
             l, r = _at(l, keys, sides[0][1], broadcast), _at(r, keys, sides[1][1], broadcast)
-        return join_frames(l, r, on, how).withColumn(WEIGHT, F.lit(1).cast("long"))
+        return join_frames(l, r, on, kind).withColumn(WEIGHT, F.lit(1).cast("long"))
 
-    delta = union(state((left.current(), right.current())), negate(state((left.old(), right.old()))))
-    return NodeState(cols, current, old, consolidate(delta) if settle else delta)
+    return union(state(left.current(), right.current()), negate(state(left.old(), right.old())))

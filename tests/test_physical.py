@@ -27,8 +27,8 @@ def shop(spark, db):
     return db
 
 
-def plan_of(db):
-    joined = source(db("orders"), p=1.0).alias("o").join(source(db("customer"), p=1.0).alias("c"), on={"o_custkey": "c_custkey"})
+def plan_of(db, how="inner"):
+    joined = source(db("orders"), p=1.0).alias("o").join(source(db("customer"), p=1.0).alias("c"), on={"o_custkey": "c_custkey"}, how=how)
     return joined.filter("o.o_totalprice > 1000").select("o.o_orderkey, c.c_mktsegment")
 
 
@@ -43,11 +43,13 @@ def test_filters_and_columns_reach_the_scans(spark, shop):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-def test_a_small_change_is_broadcast_and_never_crossed(spark, shop):
-    plan_of(shop).merge_into(spark, shop("out"), pk="o_orderkey")
+@pytest.mark.parametrize("how,join", [("inner", "BroadcastHashJoin Inner"), ("left", "BroadcastHashJoin LeftSemi BuildRight")])
+def test_a_small_change_is_broadcast_and_never_crossed(spark, shop, how, join):
+    plan_of(shop, how).merge_into(spark, shop("out"), pk="o_orderkey")
     table(spark, shop("customer")).update("c_custkey = 7", c_mktsegment="'X'")
-    plan = text(step(spark, shop, plan_of(shop)).delta())
-    assert "LeftSemi BuildRight" in plan and "BroadcastHashJoin" in plan
+    plan = text(step(spark, shop, plan_of(shop, how)).delta())
+    assert join in plan
+    assert (plan.count("Scan parquet") <= 4) == (how == "inner")  # a linear join reads the other side once
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "partial_sum(__ivm_weight" in plan  # summed before the shuffle
 
