@@ -1,6 +1,6 @@
 """Registered queries of the engine and the SQL that gives the same rows.
 
-Each query earns its answer incrementally: its sources are landed in an earlier state (rows missing, rows
+Where a plan can be followed, the answer is earned incrementally: its sources are landed in an earlier state (rows missing, rows
 altered, rows that will go), the plan is run once, the sources are brought to the given tables by a commit,
 and the plan is run again. That run has to be incremental, and what it leaves is the result. The SQL works
 on the given tables alone.
