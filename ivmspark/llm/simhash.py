@@ -15,6 +15,11 @@ after that is compared in blocks: all of it is exact, and nothing is capped.
 Components are found by alternating large-star and small-star steps on the forest edges; each step is two
 group-bys and an equi-join over links only, written to the shared folder.
 
+The pipeline's stage also links texts of shingle-set Jaccard ``SIMILARITY`` or more, which differ in more
+bits than masks can cover. Candidates share one of ``BANDS`` MinHash bands of ``BAND`` values: a pair of
+Jaccard 0.8 shares none with probability (1 - 0.8^7)^48, about 1 in 80,000. Each candidate not yet linked is
+decided by its exact Jaccard: first all of a bucket against one of it, then all that are still apart.
+
 Edge cases: null and empty texts have fingerprint 0 and are linked like any other; repeated rows and ties
 share a component; null ids keep their rows and take part, and the id reported is the smallest that is not
 null; an empty table gives no rows.
@@ -22,9 +27,10 @@ null; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import random
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SCRATCH, arrow_map, materialize, table, utf8
@@ -33,6 +39,8 @@ RADIUS = 4
 SHINGLE = 4
 #: What the pipeline's stage takes: five words, and the largest radius whose tables (255) are still few.
 STAGE_RADIUS, STAGE_SHINGLE = 7, 5
+#: And texts of this Jaccard of shingles or more, at any radius, found by bands of MinHash values.
+SIMILARITY, BANDS, BAND = 0.8, 48, 7
 #: A bucket of up to this many nodes is compared at once.
 BLOCK = 4096
 
@@ -40,22 +48,34 @@ BLOCK = 4096
 # ---- fingerprints -----------------------------------------------------------------------------------
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The unsigned 64-bit SimHash of a whole text (UTF-8)."""
+def digests(text: bytes, shingle: int = SHINGLE) -> bytes:
+    """The 8-byte hashes of a whole text's (UTF-8) shingles, one after another."""
     import numpy as np
     import xxhash
 
     words = text.lower().split()  # bytes: A-Z only, and space and TAB to CR only
     if not words:
-        return 0
+        return b""
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
+        return xxhash.xxh64_digest(b" ".join(words), 42)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_digest
-    h = b"".join([digest(line[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())])
+    return b"".join([digest(line[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())])
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The unsigned 64-bit SimHash of a whole text (UTF-8)."""
+    return simhash(digests(text, shingle))
+
+
+def simhash(h: bytes) -> int:
+    import numpy as np
+
     n = len(h) // 8
+    if n < 2:
+        return int.from_bytes(h, "big")
     counts = np.zeros(64, np.int64)
     rows = np.frombuffer(h, np.uint8).reshape(n, 8)
     for i in range(0, n, 65536):
@@ -77,6 +97,74 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return arrow_map(narrow, run, "id long, fp long")
 
 
+# ---- Jaccard of shingles ----------------------------------------------------------------------------
+
+
+def shingle_set(h: bytes):
+    """Sorted distinct uint64."""
+    import numpy as np
+
+    return np.unique(np.frombuffer(h, np.uint64))
+
+
+def bands(shingles) -> list[int]:
+    """Signed longs, one for each band of the set's MinHash values; none for an empty set."""
+    import numpy as np
+    import xxhash
+
+    if not len(shingles):
+        return []
+    least = None
+    for i in range(0, len(shingles), 2048):
+        part = (_factors()[:, None] * shingles[None, i : i + 2048]).min(1)
+        least = part if least is None else np.minimum(least, part)
+    raw, step = least.tobytes(), 8 * BAND
+    return [x - (x >> 63 << 64) for x in (xxhash.xxh64_intdigest(raw[i * step : i * step + step], i) for i in range(BANDS))]
+
+
+@functools.cache
+def _factors():
+    import numpy as np
+
+    rng = random.Random(11)
+    return np.array([rng.getrandbits(64) | 1 for _ in range(BANDS * BAND)], np.uint64)
+
+
+def signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, fp, t, n, bands) of docs (id, text, t): t is the text's hash, n the size of its set of shingles."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            h = [digests(x, shingle) for x in utf8(batch.column(1))]
+            sets = [shingle_set(x) for x in h]
+            fp = [x - (x >> 63 << 64) for x in map(simhash, h)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), batch.column(2), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(bands, sets)), pa.list_(pa.int64()))], ["id", "fp", "t", "n", "bands"])
+
+    return arrow_map(docs, run, "id long, fp long, t long, n long, bands array<long>")
+
+
+def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): fingerprints of those of the pairs (ta, tb, fa, fb) whose texts' exact Jaccard is similarity
+    or more. Only the pairs' texts are read again."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [shingle_set(digests(x, shingle)).view(np.int64) for x in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["t", "s"])
+
+    wanted = pairs.selectExpr("explode(array(ta, tb)) AS t").distinct()
+    texts = docs.select("t", "text").join(wanted, "t", "left_semi").groupBy("t").agg(F.min("text").alias("text"))
+    sets = materialize(arrow_map(texts, run, "t long, s array<long>"), "sets")
+    both = pairs.join(sets.selectExpr("t AS ta", "s AS sa"), "ta").join(sets.selectExpr("t AS tb", "s AS sb"), "tb")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared / (F.size("sa") + F.size("sb") - shared) >= similarity).selectExpr("fa AS a", "fb AS b").distinct()
+
+
 # ---- covering masks ---------------------------------------------------------------------------------
 
 
@@ -222,31 +310,67 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return state.groupBy("a").agg(F.min("b").alias("root")).selectExpr("a AS node", "root")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp, component_id): component_id is the smallest id reachable by links at up to radius bits.
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """(id, fp, component_id): component_id is the smallest id reachable by links at up to radius bits and,
+    where similarity is given, by links of that Jaccard of shingles or more.
 
     A node is known by the smallest id that has its fingerprint (by the fingerprint itself if none has an
     id, which sorts after all ids), so a component's root is its component_id, and nothing is ever grouped
     or joined by component: one that holds a third of the nodes is as even as any."""
-    marked = materialize(fingerprints(docs, id_column, text_column, shingle), "fingerprints")
+    own = None
+    if similarity is None:
+        marked = materialize(fingerprints(docs, id_column, text_column, shingle), "fingerprints")
+    else:
+        own = docs.selectExpr(f"CAST(`{id_column}` AS LONG) AS id", f"CAST(`{text_column}` AS STRING) AS text", f"xxhash64(CAST(`{text_column}` AS STRING)) AS t")
+        signed = materialize(signatures(own, shingle), "fingerprints")
+        marked = signed.select("id", "fp")
     nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     label = F.when(F.col("least").isNotNull(), F.struct(F.lit(0).alias("k"), F.col("least").alias("v"))).otherwise(F.struct(F.lit(1).alias("k"), F.col("fp").alias("v")))
     names = nodes.select("fp", label.alias("label"))
-    edges = materialize(forest(nodes.select("fp"), radius), "forest")
-    for end in ("a", "b"):
-        edges = edges.join(names.select(F.col("fp").alias(end), F.col("label").alias(f"to_{end}")), end)
-    comp = components(edges.selectExpr("to_a AS a", "to_b AS b"))
     root = F.coalesce("root", "label")
-    named = names.join(comp, F.col("label") == F.col("node"), "left").select("fp", F.when(root["k"] == 0, root["v"]).alias("component_id"))
+
+    def joined(edges: DataFrame) -> DataFrame:
+        for end in ("a", "b"):
+            edges = edges.join(names.select(F.col("fp").alias(end), F.col("label").alias(f"to_{end}")), end)
+        comp = components(edges.selectExpr("to_a AS a", "to_b AS b"))
+        return names.join(comp, F.col("label") == F.col("node"), "left").select("fp", root.alias("root"))
+
+    edges = materialize(forest(nodes.select("fp"), radius), "forest")
+    if similarity is None:
+        named = joined(edges)
+    else:
+        apart = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) > radius
+        sized = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-6
+        texts = materialize(signed.select("t", "fp", "n").distinct(), "texts")
+        # buckets of two texts or more; copies of a text are one row from here on
+        rows = signed.select("t", F.explode("bands").alias("k")).distinct()
+        bucket = Window.partitionBy("k")
+        shared = rows.withColumns({"hub": F.min("t").over(bucket), "c": F.count("*").over(bucket)}).where("c > 1").drop("c")
+        shared = materialize(shared, "buckets")
+        known = lambda df, t, x: df.join(texts.selectExpr(f"t AS {t}", f"fp AS f{x}", f"n AS n{x}"), t)
+        stars = shared.where("t <> hub").select(F.col("t").alias("ta"), F.col("hub").alias("tb")).distinct()
+        stars = materialize(known(known(stars, "ta", "a"), "tb", "b").where(apart & sized), "stars")
+        edges = edges.union(materialize(similar(stars, own, shingle, similarity), "similar"))
+        named = materialize(joined(edges), "named")
+        # what shares a bucket and is still apart: pairs of different components only
+        held = shared.join(texts, "t").join(named, "fp").select("k", "t", "fp", "n", "root")
+        held = held.withColumns({"lo": F.min("root").over(bucket), "hi": F.max("root").over(bucket)}).where("lo <> hi").drop("lo", "hi")
+        held = materialize(held, "apart")
+        one, two = (held.selectExpr("k", f"t AS t{x}", f"fp AS f{x}", f"n AS n{x}", f"root AS r{x}") for x in "ab")
+        rest = one.join(two, "k").where((F.col("ta") < F.col("tb")) & (F.col("ra") != F.col("rb")) & sized).select("ta", "tb", "fa", "fb").distinct()
+        more = materialize(similar(materialize(rest.join(stars.selectExpr("tb AS ta", "ta AS tb"), ["ta", "tb"], "left_anti"), "pairs"), own, shingle, similarity), "similar")
+        if more.limit(1).count():
+            named = joined(edges.union(more))
+    named = named.select("fp", F.when(F.col("root")["k"] == 0, F.col("root")["v"]).alias("component_id"))
     # copies of one text share fp, so this join's left side can be skewed: adaptive execution splits it
     return marked.join(named, "fp", "left").select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = STAGE_RADIUS, shingle: int = STAGE_SHINGLE) -> DataFrame:
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = STAGE_RADIUS, shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The documents less all but one of each near-duplicate group: the one with the smallest id stays (a
     null id goes only where another of its group has one; of rows with that same id, one stays). Columns
     as they came."""
-    groups = materialize(near_duplicates(docs, id_column, text_column, radius, shingle), "groups")
+    groups = materialize(near_duplicates(docs, id_column, text_column, radius, shingle, similarity), "groups")
     key, mine = f"{SCRATCH}id", F.col(id_column).cast("long")
     keep = groups.where("id = component_id").groupBy("id").agg(F.count("*").alias(f"{SCRATCH}n")).withColumnRenamed("id", key)
     # hashed at every size: ids are no more than a few bytes a document, texts are dealt out once, unsorted

@@ -92,3 +92,39 @@ def test_one_of_each_group_stays(spark, edge, small, empty):
     assert s.keep_one(small).count() == groups and s.keep_one(empty).count() == 0
     nameless = spark.createDataFrame([(None, "x y"), (None, "x y"), (None, "other words here now")], "doc_id long, text string")
     assert s.keep_one(nameless).count() == 2
+
+
+def jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_stage_links_all_of_jaccard_08(spark):
+    rng = random.Random(5)
+    held = []
+    for g in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(40, 400))]
+        held.append(" ".join(base))
+        for _ in range(4):
+            words = list(base)
+            for _ in range(rng.randrange(1, 1 + len(words) // 40)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(3000)}"
+            held.append(" ".join(words))
+    fps = [plain(x.encode(), 5) for x in held]
+    parent = list(range(len(held)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    far = 0
+    for i, j in itertools.combinations(range(len(held)), 2):
+        near, alike = (fps[i] ^ fps[j]).bit_count() <= 7, jaccard(held[i], held[j]) >= 0.8
+        far += alike and not near
+        if near or alike:
+            a, b = root(i), root(j)
+            parent[max(a, b)] = min(a, b)
+    assert far > 20
+    docs = spark.createDataFrame(list(enumerate(held)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in s.keep_one(docs).collect()) == sorted({root(i) for i in range(len(held))})
