@@ -3,15 +3,16 @@
 For each language a suffix automaton is built over labelled text. A word is cross-parsed against it: the
 longest match from where the last phrase ended is the next phrase (a letter that matches nothing is a
 phrase). The fewer phrases a text needs, the better the language explains it; phrases are normalised to
-bits a letter, phrases * log2(training letters) / letters, which is the cross-parsing entropy estimate. The
-language of the least wins; ties, which short texts have, go to the language of more training rows.
+bits a letter, phrases * log2(training letters) / letters, which is the cross-parsing entropy estimate. Each
+language's letters are its own; fewer than ``LEAST`` count as that many, since a phrase found in next to no
+text would cost next to nothing. So no language's text changes what another makes of a document. The language of the least wins; ties, which short texts have, go to the language of more training rows.
 
 Words are runs of letters in lower case with a mark at either end, so a match knows where words start and
 stop. A word's phrase counts depend on nothing else, and each task keeps them for the words it has met, up
 to ``WORDS`` of them. All letters of a text count, at any length.
 
 The model is fitted on a bounded sample: for each language the ``SAMPLE`` training rows of smallest hash of
-the id, ``LETTERS`` letters of each at most and the same number of letters for each language; up to
+the id, ``LETTERS`` letters of each at most; up to
 ``LANGUAGES`` languages, those of most rows. The bounds are parameters; the sample's ids are picked from the two
 small columns and only their texts are fetched.
 
@@ -34,6 +35,7 @@ from .common import arrow_map, resident, table, texts
 
 SAMPLE = 96
 LETTERS = 60_000
+LEAST = 1_000
 LANGUAGES = 200
 WORDS = 200_000
 #: The pipeline's stage rejects a text that needs more phrases than this for each letter and mark: it is
@@ -99,15 +101,14 @@ class SuffixAutomaton:
 
 
 class CrossParser:
-    """Languages' automata, of equally long texts, and the phrase counts of words met. Of languages that
+    """Languages' automata, each of its own text, and the phrase counts of words met. Of languages that
     explain a text equally well the one given first wins."""
 
     def __init__(self, samples: dict[str, str], letters: int = LETTERS, words: int = WORDS):
         kept = {lang: x for lang, x in samples.items() if x.strip()}
-        size = min([letters, *map(len, kept.values())])
         self.langs = list(kept)
-        self.bits = math.log2(max(2, size))
-        self.automata = [SuffixAutomaton(x[:size]) for x in kept.values()]
+        self.bits = [math.log2(max(LEAST, min(letters, len(x)))) for x in kept.values()]
+        self.automata = [SuffixAutomaton(x[:letters]) for x in kept.values()]
         self.most, self.known, self.counts = words, {}, []
 
     def _learn(self, new: list[str]) -> None:
@@ -141,7 +142,7 @@ class CrossParser:
                 continue
             total = self.counts[np.fromiter(map(at, ws), np.int64, len(ws))].sum(0, dtype=np.int64)
             letters = sum(map(len, ws))
-            bits = total * self.bits / letters
+            bits = total * np.array(self.bits) / letters
             order = np.argsort(bits, kind="stable")
             best = float(bits[order[0]])
             out.append((self.langs[order[0]], 1.0 - best / float(bits[order[1]]) if len(order) > 1 else 1.0, float(total[order[0]]) / (letters + 2 * len(ws))))

@@ -68,3 +68,15 @@ def test_stage_keeps_what_can_be_told(spark, edge):
 def test_word_cache_is_bounded():
     c = g.CrossParser({"en": " the cat sat on a mat ", "xx": " zxq vbn qqq zzz xxx "}, words=2)
     assert [c.predict([x])[0][0] for x in ("the cat sat", "zxq zzz qqq", "mat the cat")] == ["en", "xx", "en"]
+
+
+def test_a_rare_language_changes_no_other(spark):
+    docs = spark.read.parquet(f"{DOCS}/documents.parquet").limit(60).coalesce(1)
+    rare = spark.createDataFrame([(10**9, "Hello world", "xx", "a", 11)], docs.schema)
+    assert not rare.select(g.held_out("doc_id")).first()[0]
+    two = docs.unionByName(rare).coalesce(1)
+    a, b = g.training_sample(docs), g.training_sample(two)
+    assert set(b) - set(a) == {"xx"}
+    want, got = ({r["id"]: tuple(r) for r in g.predict(docs, m).collect()} for m in (a, b))
+    assert want == got
+    assert sorted(r[0] for r in g.keep_identified(two).where("lang <> 'xx'").select("doc_id").collect()) == sorted(r[0] for r in g.keep_identified(docs).select("doc_id").collect())
