@@ -13,7 +13,9 @@ to ``WORDS`` of them. All letters of a text count, at any length.
 
 The model is fitted on a bounded sample: for each language the ``SAMPLE`` training rows of smallest hash of
 the id, ``LETTERS`` letters of each at most; up to
-``LANGUAGES`` languages, those of most rows. The bounds are parameters; the sample's ids are picked from the two
+``LANGUAGES`` languages, those of most rows. A row gives its first ``ROOM`` letters, found in its whole text;
+where the rows of a language leave it short of ``LETTERS``, further rows that have letters are taken until it
+isn't, or has no more. The bounds are parameters; the sample's ids are picked from the two
 small columns and only their texts are fetched.
 
 Edge cases: null text, or one without letters: ``und`` with score 0; a null language teaches nothing; a
@@ -35,6 +37,7 @@ from .common import arrow_map, resident, table, texts
 
 SAMPLE = 96
 LETTERS = 60_000
+ROOM = 2_500
 LEAST = 1_000
 LANGUAGES = 200
 WORDS = 200_000
@@ -158,25 +161,34 @@ def held_out(id_column: str) -> "F.Column":
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def training_sample(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE, letters: int = LETTERS) -> dict[str, str]:
-    """Normalised training text by language, most rows first, at most letters of each: the bounded sample
-    on the driver."""
+def training_sample(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE, letters: int = LETTERS, room: int = ROOM, languages: int = LANGUAGES) -> dict[str, str]:
+    """Normalised training text by language, most rows first, at most letters of each and room of a row: the
+    bounded sample on the driver."""
     rows = docs.where(F.col(lang_column).isNotNull() & F.col(id_column).isNotNull() & ~held_out(id_column))
-    names = [r[0] for r in rows.groupBy(lang_column).count().orderBy(F.desc("count"), lang_column).limit(LANGUAGES).select(lang_column).collect()]
+    names = {r[0]: r[1] for r in rows.groupBy(lang_column).count().orderBy(F.desc("count"), lang_column).limit(languages).collect()}
     picked = {}
+    digest = F.xxhash64(F.col(id_column).cast("string")).alias("h")
     for lang in names:  # each a bounded top-k of two small columns
-        least = rows.where(F.col(lang_column) == lang).select(F.col(id_column).alias("i"), F.xxhash64(F.col(id_column).cast("string")).alias("h"))
+        least = rows.where(F.col(lang_column) == lang).select(F.col(id_column).alias("i"), digest)
         picked |= {r["i"]: lang for r in least.orderBy("h", "i").limit(sample).collect()}
     if not picked:
         return {}
-    room = letters // sample * 4  # of one document
-    words = F.regexp_replace(F.lower(F.substring(F.col(text_column), 1, 2 * room)), r"[^\p{L}]+", _MARK)
-    chosen = docs.where(F.col(id_column).isin(list(picked)) & F.col(lang_column).isNotNull()).select(F.col(id_column).alias("i"), F.col(lang_column).alias("lang"), F.substring(words, 1, room).alias("t"))
+    words = F.trim(F.substring(F.trim(F.regexp_replace(F.lower(F.col(text_column)), r"[^\p{L}]+", _MARK)), 1, room))
+    chosen = docs.where(F.col(id_column).isin(list(picked)) & F.col(lang_column).isNotNull()).select(F.col(id_column).alias("i"), F.col(lang_column).alias("lang"), words.alias("t"))
     got: dict[str, list[str]] = {}
     for r in sorted(chosen.limit(4 * len(picked)).collect(), key=lambda r: (str(r["lang"]), zlib.crc32(str(r["i"]).encode()), r["t"] or "")):
-        if r["t"] and r["t"].strip():
-            got.setdefault(r["lang"], []).append(r["t"].strip())
-    return {lang: (_MARK + _MARK.join(got[lang]) + _MARK)[:letters] for lang in names if lang in got}
+        if r["t"]:
+            got.setdefault(r["lang"], []).append(r["t"])
+    size = lambda lang: sum(len(x) + 1 for x in got.get(lang, [])) + 1
+    for lang, count in names.items():
+        n = sample
+        while size(lang) < letters and n < count:  # rows without letters, or of few
+            n *= 8
+            more = rows.where(F.col(lang_column) == lang).select(F.col(id_column).alias("i"), digest, words.alias("t")).where("t <> ''")
+            got[lang] = [r["t"] for r in more.orderBy("h", "i", "t").limit(n).collect()]
+            if len(got[lang]) < n:
+                break
+    return {lang: (_MARK + _MARK.join(got[lang]) + _MARK)[:letters] for lang in names if got.get(lang)}
 
 
 def predict(docs: DataFrame, samples: dict[str, str], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

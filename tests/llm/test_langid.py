@@ -80,3 +80,12 @@ def test_a_rare_language_changes_no_other(spark):
     want, got = ({r["id"]: tuple(r) for r in g.predict(docs, m).collect()} for m in (a, b))
     assert want == got
     assert sorted(r[0] for r in g.keep_identified(two).where("lang <> 'xx'").select("doc_id").collect()) == sorted(r[0] for r in g.keep_identified(docs).select("doc_id").collect())
+
+
+def test_letters_after_digits_and_in_later_rows_teach(spark):
+    late = [(i, "12 34 " * 2000 + "el gato duerme", "es") for i in range(6)]
+    blank = [(100 + i, "12 34 !!", "fr") for i in range(60)] + [(200 + i, "le chat dort", "fr") for i in range(6)]
+    docs = spark.createDataFrame(late + blank, "doc_id long, text string, lang string").coalesce(1)
+    got = g.training_sample(docs, sample=2, letters=30)
+    assert set(got) == {"es", "fr"} and "gato" in got["es"] and "chat" in got["fr"] and all(len(x) == 30 for x in got.values())
+    assert set(g.training_sample(docs, languages=1)) == {"fr"}
