@@ -312,10 +312,11 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """(id, fp, component_id): component_id is the smallest id reachable by links at up to radius bits and,
-    where similarity is given, by links of that Jaccard of shingles or more.
+    where similarity is given, by links of that Jaccard of shingles or more; then also root_fp, which tells
+    components of one component_id apart, and t, the text's hash.
 
-    A node is known by the smallest id that has its fingerprint (by the fingerprint itself if none has an
-    id, which sorts after all ids), so a component's root is its component_id, and nothing is ever grouped
+    A node is known by the smallest id that has its fingerprint (none sorts after all ids) and the
+    fingerprint, so a component's root is its component_id, and nothing is ever grouped
     or joined by component: one that holds a third of the nodes is as even as any."""
     own = None
     if similarity is None:
@@ -323,9 +324,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     else:
         own = docs.selectExpr(f"CAST(`{id_column}` AS LONG) AS id", f"CAST(`{text_column}` AS STRING) AS text", f"xxhash64(CAST(`{text_column}` AS STRING)) AS t")
         signed = materialize(signatures(own, shingle), "fingerprints")
-        marked = signed.select("id", "fp")
+        marked = signed.select("id", "fp", "t")
     nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    label = F.when(F.col("least").isNotNull(), F.struct(F.lit(0).alias("k"), F.col("least").alias("v"))).otherwise(F.struct(F.lit(1).alias("k"), F.col("fp").alias("v")))
+    # the fingerprint keeps nodes apart that share an id
+    label = F.struct(F.col("least").isNull().cast("int").alias("k"), F.coalesce("least", F.lit(0)).alias("v"), F.col("fp").alias("f"))
     names = nodes.select("fp", label.alias("label"))
     root = F.coalesce("root", "label")
 
@@ -361,9 +363,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         more = materialize(similar(materialize(rest.join(stars.selectExpr("tb AS ta", "ta AS tb"), ["ta", "tb"], "left_anti"), "pairs"), own, shingle, similarity), "similar")
         if more.limit(1).count():
             named = joined(edges.union(more))
-    named = named.select("fp", F.when(F.col("root")["k"] == 0, F.col("root")["v"]).alias("component_id"))
+    named = named.select("fp", F.when(F.col("root")["k"] == 0, F.col("root")["v"]).alias("component_id"), F.col("root")["f"].alias("root_fp"))
     # copies of one text share fp, so this join's left side can be skewed: adaptive execution splits it
-    return marked.join(named, "fp", "left").select("id", "fp", "component_id")
+    return marked.join(named, "fp", "left").select("id", "fp", "component_id", *["root_fp", "t"][: 2 * (similarity is not None)])
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = STAGE_RADIUS, shingle: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -371,15 +373,16 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     null id goes only where another of its group has one; of rows with that same id, one stays). Columns
     as they came."""
     groups = materialize(near_duplicates(docs, id_column, text_column, radius, shingle, similarity), "groups")
-    key, mine = f"{SCRATCH}id", F.col(id_column).cast("long")
-    keep = groups.where("id = component_id").groupBy("id").agg(F.count("*").alias(f"{SCRATCH}n")).withColumnRenamed("id", key)
+    # the survivor of a component: its root's id and fingerprint (both may be others' too), the least text
+    key, digest, n = f"{SCRATCH}id", f"{SCRATCH}t", f"{SCRATCH}n"
+    own = groups.where((F.col("fp") == F.col("root_fp")) & F.col("id").eqNullSafe(F.col("component_id")))
+    keep = own.groupBy("id", "fp", "t").agg(F.count("*").alias("n")).groupBy("id", "fp").agg(F.min(F.struct("t", "n")).alias("m")).select(F.col("id").alias(key), F.col("m.t").alias(digest), F.col("m.n").alias(n))
+    same = F.col(id_column).cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(F.col(text_column).cast("string")) == F.col(digest))
     # hashed at every size: ids are no more than a few bytes a document, texts are dealt out once, unsorted
-    kept = docs.join(keep.where(f"{SCRATCH}n = 1").hint("shuffle_hash"), mine == F.col(key), "left_semi")
-    again = keep.where(f"{SCRATCH}n > 1")
-    if again.limit(1).count():  # ids that come more than once: one row of each
-        kept = kept.unionByName(docs.join(again, mine == F.col(key), "left_semi").dropDuplicates([id_column]))
-    if groups.where("id IS NULL AND component_id IS NULL").limit(1).count():  # groups of null ids alone
-        kept = kept.unionByName(docs.where(F.col(id_column).isNull()).dropDuplicates([text_column]))
+    kept = docs.join(keep.where(f"{n} = 1").hint("shuffle_hash"), same, "left_semi")
+    again = keep.where(f"{n} > 1")
+    if again.limit(1).count():  # rows that come more than once: one of each
+        kept = kept.unionByName(docs.join(again, same, "left_semi").dropDuplicates([id_column, text_column]))
     return kept
 
 

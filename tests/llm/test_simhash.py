@@ -128,3 +128,13 @@ def test_stage_links_all_of_jaccard_08(spark):
     assert far > 20
     docs = spark.createDataFrame(list(enumerate(held)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in s.keep_one(docs).collect()) == sorted({root(i) for i in range(len(held))})
+
+
+def test_one_stays_with_null_and_repeated_ids(spark):
+    say = lambda seed: [f"w{random.Random(seed).randrange(10**6)}-{i}" for i in range(120)]
+    a, b, c, d = (say(i) for i in range(4))
+    near = lambda w: " ".join([*w[:60], "edited", *w[61:]])
+    rows = [(None, " ".join(a)), (None, near(a)), (5, " ".join(b)), (None, near(b)), (7, " ".join(c)), (7, " ".join(d))]
+    kept = [tuple(r) for r in s.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == 4 and {x for x in kept if x[0] is not None} == {rows[2], rows[4], rows[5]}
+    assert sum(x in rows[:2] for x in kept) == 1
