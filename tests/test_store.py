@@ -108,3 +108,16 @@ def test_schema_is_fixed(spark, db):
     t = db.make("a", [(1, "a")], pk="id")
     with pytest.raises(ValueError, match="columns"):
         t.merge(as_zset(spark.createDataFrame([(2,)], "id int")))
+
+
+def test_read_as_of_version_loads_all_orders(spark, monkeypatch):
+    from ivmspark import queries
+
+    loaded, kind = [], type(table(spark, "x.y"))
+    for name in ("create", "insert"):
+        put = getattr(kind, name)
+        monkeypatch.setattr(kind, name, lambda self, df, *a, put=put, **b: (loaded.append(df.count()), put(self, df, *a, **b))[1])
+    folder = "/root/testdata/sf0.001"
+    got = queries.read_as_of_version(spark, folder)
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    assert sum(loaded) == orders.count() and got.count() == orders.where("o_orderkey % 7 < 5").count()
