@@ -40,6 +40,9 @@ class Family:
 
     columns: tuple[str, ...]
     rescan = False
+    #: The struct's fields in their order, and those of them that don't grow with the rows.
+    fields = ()
+    means = ()
 
     @property
     def name(self) -> str:
@@ -51,6 +54,10 @@ class Family:
     def merge(self, a: Column, i: Column, d: Column) -> Column:
         raise NotImplementedError
 
+    def times(self, s: Column, k: Column) -> Column:
+        """The state of rows that are there k times, from that of the rows."""
+        return s if self.rescan else F.struct(*[s[x].alias(x) if x in self.means else (s[x] * k).alias(x) for x in self.fields])
+
 
 def _n(x: Column) -> Column:
     return F.coalesce(x, F.lit(0).cast("long"))
@@ -63,6 +70,7 @@ def _z(x: Column) -> Column:
 @dataclass(frozen=True)
 class Rows(Family):
     columns: tuple[str, ...] = ()
+    fields = ("n",)
 
     def state(self, where):
         return F.struct(F.count(F.when(where, F.lit(1))).alias("n"))
@@ -73,6 +81,8 @@ class Rows(Family):
 
 @dataclass(frozen=True)
 class Total(Family):
+    fields = ("n", "s")
+
     def state(self, where):
         x = F.when(where, _col(self.columns[0]))
         return F.struct(F.count(x).alias("n"), F.sum(x).alias("s"))
@@ -88,6 +98,8 @@ class Total(Family):
 class Moments(Family):
     """Count, mean and centred sum of squares, merged in and out by the pairwise update."""
 
+    fields, means = ("n", "mean", "m2"), ("mean",)
+
     def state(self, where):
         x = F.when(where, _col(self.columns[0]).cast("double"))
         n = F.count(x)
@@ -122,6 +134,8 @@ class Extremes(Family):
 class Product(Family):
     """Counts of values, zeros and negatives, and the sum of logarithms: a product that factors can leave."""
 
+    fields = ("n", "zeros", "minus", "ln")
+
     def state(self, where):
         x = F.when(where, _col(self.columns[0]).cast("double"))
         return F.struct(
@@ -140,6 +154,8 @@ class Product(Family):
 class Weighted(Family):
     """columns: (x, w), or (w,) for the weight alone."""
 
+    fields = ("n", "num", "den")
+
     def state(self, where):
         w = _col(self.columns[-1]).cast("double")
         x = _col(self.columns[0]).cast("double") if len(self.columns) > 1 else F.lit(1.0)
@@ -156,6 +172,8 @@ class Weighted(Family):
 class Comoments(Family):
     """Counts, means and centred sums of pairs where both are there."""
 
+    fields, means = ("n", "mx", "my", "xx", "yy", "xy"), ("mx", "my")
+
     def state(self, where):
         x, y = (_col(c).cast("double") for c in self.columns)
         both = where & x.isNotNull() & y.isNotNull()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.agg import Family, Metric, Rows
 from ..sources.store import table
-from .zset import RESERVED, WEIGHT, Settled, expand, q, restrict
+from .zset import RESERVED, WEIGHT, Settled, by_bits, q, restrict
 
 STATE = "aggregate"
 _N = Rows().name
@@ -40,14 +40,35 @@ def rebuild(rows: DataFrame, by, fams) -> DataFrame:
     return rows.groupBy(*[F.col(q(b)) for b in by]).agg(*[f.state(F.lit(True)).alias(f.name) for f in fams])
 
 
-def fold(change: DataFrame, by, fams) -> DataFrame:
-    """Per group of a Z-set: accumulators of inserts (i), of deletes (d), and whether it lost rows."""
-    rows = expand(change)
+def _sides(rows: DataFrame, by, fams) -> DataFrame:
+    """Per group of rows at +1 and -1: accumulators of inserts (i), of deletes (d), and whether it lost rows."""
     gain, loss = F.col(WEIGHT) > 0, F.col(WEIGHT) < 0
     parts = [f.state(c).alias(f"{RESERVED}{side}{f.name}") for f in fams for side, c in (("i", gain), ("d", loss))]
     return rows.groupBy(*[F.col(q(b)) for b in by]).agg(*parts, F.bool_or(loss).alias(RESERVED + "lost"))
 
 
+def fold(change: DataFrame, by, fams, unit: bool = False) -> DataFrame:
+    """Per group of a Z-set: accumulators of inserts (i), of deletes (d), and whether it lost rows. unit: no
+    weight is beyond 1. Else a row counts once for each binary digit of its weight, in an accumulator for
+    each power of two; at most 63 of them make the group's, so a weight of any size is a few rows."""
+    if unit:
+        return _sides(change, by, fams)
+    power = RESERVED + "power"
+    parts = _sides(by_bits(change, power), [*by, power], fams)
+    held = F.collect_list(F.struct(*[F.col(q(c)) for c in parts.columns if c not in by]))
+    rows = parts.groupBy(*[F.col(q(b)) for b in by]).agg(held.alias(RESERVED + "held"))
+    out = []
+    for f in fams:
+        for side in "id":
+            name = f"{RESERVED}{side}{f.name}"
+            kind = parts.schema[name].dataType
+            start = F.lit(None).cast(kind)
+            add = lambda acc, x, f=f, name=name, kind=kind: f.merge(acc, f.times(x[name], x[power]), F.lit(None).cast(kind)).cast(kind)
+            out.append(F.aggregate(RESERVED + "held", start, add).alias(name))
+    lost = F.exists(RESERVED + "held", lambda x: x[RESERVED + "lost"]).alias(RESERVED + "lost")
+    return rows.select(*[F.col(q(b)) for b in by], *out, lost)
+
+
 def derive(state: DataFrame, by, metrics) -> DataFrame:
     """Output rows of the groups that have rows."""
     values = [m.derive(F.col(q(m.family.name))).alias(k) for k, m in metrics]
@@ -112,14 +133,15 @@ def closures(output: str, by, metrics, compiled):
         if t.columns(STATE) != [*by, *(f.name for f in fams)]:
             return None
         plan = compiled(ctx)
-        change = plan.delta()
+        # additive families take a row in and out as they come; others shouldn't rescan for rows that cancel
+        again = [f for f in fams if f.rescan]
+        change = plan.delta(consolidated=bool(again))
         if change is None:
             return None
         _check(change.columns, by, metrics, output)
         state = t.snapshot(stream=STATE)
-        folded = fold(change, by, fams)
+        folded = fold(change, by, fams, plan.unit)
         rescan = None
-        again = [f for f in fams if f.rescan]
         if again:
             lost = folded.where(F.col(RESERVED + "lost")).select(*[F.col(q(b)) for b in by])
             members = restrict(plan.current(), lost, by, small=plan.small)

@@ -31,7 +31,8 @@ HOW = {
 @dataclass
 class NodeState:
     """A node of the plan at a run. cols: (alias, column) pairs it gives. current and old: frames, made when
-    asked for. delta: its change, or None if there is none. small: the change is of a known, small size."""
+    asked for. delta: its change, or None if there is none. small: the change is of a known, small size. unit:
+    no weight in it is beyond 1. keyed: no image is there twice."""
 
     cols: list[tuple[str, str]]
     current: Callable[[], DataFrame]
@@ -39,6 +40,8 @@ class NodeState:
     delta: DataFrame | None
     full: bool = False
     small: bool = False
+    unit: bool = True
+    keyed: bool = False
 
     @property
     def aliases(self) -> list[str]:
@@ -61,8 +64,8 @@ def leaf(alias: str, ctx, ref) -> NodeState:
     if delta.is_full:
         return NodeState(cols, current, current, None, full=True)
     if delta.is_empty():
-        return NodeState(cols, current, current, None)
-    return NodeState(cols, current, lambda: packed(ctx.old(ref), alias), packed(delta.zset, alias), small=small(delta))
+        return NodeState(cols, current, current, None, keyed=delta.keyed)
+    return NodeState(cols, current, lambda: packed(ctx.old(ref), alias), packed(delta.zset, alias), small=small(delta), unit=delta.unit, keyed=delta.keyed)
 
 
 def join_frames(left: DataFrame, right: DataFrame, on, how: str) -> DataFrame:
@@ -97,8 +100,10 @@ def join(left: NodeState, right: NodeState, on, how: str, key_filter: bool = Tru
     if delta is None:
         delta = _recomputed(left, right, on, kind, key_filter)
     delta = delta.select(*[F.col(q(a)) for a in dict.fromkeys(a for a, _ in cols)], WEIGHT)
-    # a few rows can match any number: a join's change is of no known size
-    return NodeState(cols, current, old, consolidate(delta) if settle else delta)
+    # a few rows can match any number: a join's change is of no known size. Its rows' weights are products of
+    # weights; summing equal rows leaves them at 1 only if there are none on either side
+    unit, keyed = (left.delta is None or left.unit) and (right.delta is None or right.unit), left.keyed and right.keyed
+    return NodeState(cols, current, old, consolidate(delta) if settle else delta, unit=unit and (keyed or not settle), keyed=keyed)
 
 
 def _linear(left: NodeState, right: NodeState, on, kind: str) -> DataFrame | None:

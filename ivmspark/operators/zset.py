@@ -76,11 +76,27 @@ def diff(new: DataFrame, old: DataFrame) -> DataFrame:
     return consolidate(union(as_zset(new), as_zset(old.select(*[F.col(q(c)) for c in new.columns]), -1)))
 
 
+#: Rows of a weight are made so many at a time, so that no array follows the weight.
+_STEP = 4096
+
+
 def expand(zset: DataFrame) -> DataFrame:
     """Each row as often as its weight says, at +1 or -1."""
-    times = F.sequence(F.lit(1).cast("long"), F.abs(F.col(WEIGHT)))
-    out = zset.withColumn(RESERVED + "i", F.explode(times)).drop(RESERVED + "i")
-    return out.withColumn(WEIGHT, F.signum(WEIGHT).cast("long"))
+    i, out = RESERVED + "i", zset
+    for _ in range(2):  # each level splits what is left by up to _STEP parts; most rows are one part
+        most, step = F.abs(F.col(WEIGHT)), F.greatest(F.lit(1).cast("long"), F.ceil(F.abs(F.col(WEIGHT)) / _STEP))
+        starts = F.when(most <= 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), most - 1, step))
+        out = out.withColumn(i, F.explode(starts)).withColumn(WEIGHT, F.signum(WEIGHT).cast("long") * F.least(step, most - F.col(i))).drop(i)
+    starts = F.when(F.abs(F.col(WEIGHT)) <= 1, F.array(F.lit(1).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), F.abs(F.col(WEIGHT))))
+    return out.withColumn(i, F.explode(starts)).drop(i).withColumn(WEIGHT, F.signum(WEIGHT).cast("long"))
+
+
+def by_bits(zset: DataFrame, name: str) -> DataFrame:
+    """Each row once for each binary digit of its weight, with that power of two in a column and the sign as
+    its weight: at most 63 rows for a weight of any size, and one for a weight of one."""
+    powers = F.filter(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda k: F.pow(F.lit(2.0), k).cast("long")), lambda p: F.abs(F.col(WEIGHT)).bitwiseAND(p) != 0)
+    powers = F.when(F.abs(F.col(WEIGHT)) == 1, F.array(F.lit(1).cast("long"))).otherwise(powers)
+    return zset.withColumn(name, F.explode(powers)).withColumn(WEIGHT, F.signum(WEIGHT).cast("long"))
 
 
 def present(zset: DataFrame) -> DataFrame:
@@ -127,11 +143,15 @@ def settled(change) -> DataFrame:
 @dataclass(frozen=True)
 class Delta:
     """A change as a consolidated Z-set. is_full: it is the whole relation, not a change. rows: how many
-    rows it has, where that is known without a job."""
+    rows it has, where that is known without a job. unit: no row's weight is beyond 1. bytes: of its files,
+    if known. keyed: its relation has a primary key, so that no image is there twice."""
 
     zset: DataFrame
     is_full: bool = False
     rows: int | None = None
+    unit: bool = False
+    bytes: int | None = None
+    keyed: bool = False
 
     @property
     def upserts(self) -> DataFrame:

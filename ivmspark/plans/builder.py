@@ -256,6 +256,7 @@ class Compiler:
         self.plan, self.ctx, self.key_filter = plan, ctx, key_filter
         self.names = iter(_named(plan.root))
         self.equal: list[set] = []  # columns that join keys make equal
+        self.unit = False  # whether no weight of the change asked for is beyond 1
         self.node = self._node(plan.root, True)
 
     def _node(self, node, top: bool = False) -> NodeState:
@@ -335,8 +336,9 @@ class Compiler:
     def old(self) -> DataFrame:
         return self._pipeline(self.node.old())
 
-    def delta(self) -> DataFrame | None:
-        """The change of the pipeline's result, consolidated; None if it has to be recomputed."""
+    def delta(self, consolidated: bool = True) -> DataFrame | None:
+        """The change of the pipeline's result, consolidated unless that isn't asked for; None if it has to
+        be recomputed."""
         if self.node.full:
             return None
         if self.node.delta is None:
@@ -344,7 +346,8 @@ class Compiler:
         found = self._pipeline(self.node.delta)
         # a source's change is consolidated as it comes, and dropping rows leaves it so
         as_it_came = isinstance(self.plan.root, Leaf) and all(kind == "filter" for kind, _ in self.plan.stages)
-        return found if as_it_came else consolidate(found)
+        self.unit = self.node.unit and (as_it_came or not consolidated)
+        return found if as_it_came or not consolidated else consolidate(found)
 
     def settled(self) -> Settled | None:
         found = self.delta()

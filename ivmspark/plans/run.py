@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.zset import WEIGHT, Delta, Settled, as_zset, check_names, consolidate, diff, present, q, restrict, settled, union
-from ..sources.change import ChangeSource, TableSource, small
-from ..sources.store import META, Pin, read_plan_print, read_tag, read_watermarks, run_meta, table
+from ..sources.change import ChangeSource, TableSource
+from ..sources import log
+from ..sources.store import SMALL, SMALL_BYTES, Pin, attempted, read_tag, run_meta, table
 
 
 def as_source(source) -> ChangeSource:
@@ -87,11 +88,18 @@ class RunResult:
 
 @dataclass
 class Step:
-    """A run's decision up to the write: what the terminals share."""
+    """A run's decision up to the write: what the terminals share. head: the output's version that it is
+    made from, -1 if there is none; the write fails if another one has come meanwhile."""
 
     ctx: RunContext
-    exists: bool
+    head: int
     skipped: bool
+    #: Whether the output is this plan's as of its watermarks, with nothing written by others since.
+    fits: bool
+
+    @property
+    def exists(self) -> bool:
+        return self.head >= 0
 
 
 def begin(spark: SparkSession, output: str, sources, p, tag: str | None, plan_print: str | None) -> Step:
@@ -99,25 +107,16 @@ def begin(spark: SparkSession, output: str, sources, p, tag: str | None, plan_pr
     if not sources:
         raise ValueError(f"{output}: a run needs a source")
     limits = p if isinstance(p, dict) else {ref: p for ref in sources}
-    exists = table(spark, output).exists()
-    last = read_watermarks(spark, output) if exists else None
+    t = table(spark, output)
+    head = t.head()
+    commit = t.commit_at(head) if head >= 0 else None
+    stamp = commit and commit.stamp
+    last = {s: Pin(*pin) for s, pin in stamp["sources"].items()} if stamp else None
     pins = {ref: s.pin(spark) for ref, s in sources.items()}
-    same = exists and last is not None and all(last.get(ref) == pin for ref, pin in pins.items())
-    same = same and read_plan_print(spark, output) == plan_print
-    return Step(RunContext(spark, sources, pins, last, limits), exists, same)
-
-
-def _window_fits(step: Step, output: str, plan_print: str | None) -> bool:
-    """Whether the output is this plan's as of its watermarks, with nothing written by others since."""
-    t = table(step.ctx.spark, output)
-    if step.ctx.last is None or read_plan_print(step.ctx.spark, output) != plan_print:
-        return False
-    for c in t.history():
-        if META in c.meta:
-            break
-        if c.streams:
-            return False
-    return all(ref in step.ctx.last for ref in step.ctx.pins)
+    own = last is not None and stamp.get("plan") == plan_print
+    same = own and all(last.get(ref) == pin for ref, pin in pins.items())
+    fits = own and not commit.others and all(ref in last for ref in pins)
+    return Step(RunContext(spark, sources, pins, last, limits), head, same, fits)
 
 
 def run(
@@ -126,15 +125,20 @@ def run(
 ) -> RunResult:
     """One step: skipped if nothing is new; else exactly one commit. full gives the whole output; delta,
     if there is one, its change as a Z-set, or None to have it recomputed. A recomputation is compared with
-    the output, so readers downstream see only what really differs."""
-    step = begin(spark, output, sources, p, tag, plan_print)
-    if step.skipped:
-        return RunResult("skipped", step.ctx.pins, False)
+    the output, so readers downstream see only what really differs. Where another run of the output was
+    first, all of it is done again, from what that one left: overlapping runs come out as if in turn."""
     pk = (pk,) if isinstance(pk, str) else tuple(pk or ())
-    try:
-        return _run(step, spark, output, pk, full, delta, tag, plan_print)
-    finally:
-        step.ctx.release()
+
+    def once() -> RunResult:
+        step = begin(spark, output, sources, p, tag, plan_print)
+        if step.skipped:
+            return RunResult("skipped", step.ctx.pins, False)
+        try:
+            return _run(step, spark, output, pk, full, delta, tag, plan_print)
+        finally:
+            step.ctx.release()
+
+    return attempted(once)
 
 
 def _run(step: Step, spark: SparkSession, output: str, pk, full, delta, tag, plan_print) -> RunResult:
@@ -147,20 +151,19 @@ def _run(step: Step, spark: SparkSession, output: str, pk, full, delta, tag, pla
         t.create(df, pk=pk, meta=run_meta("bootstrap", ctx.pins, tag, plan_print), sidecars=sides)
         return RunResult("bootstrap", ctx.pins, True)
     zset, status, unique = None, "incremental", False
-    if delta is not None and _window_fits(step, output, plan_print):
+    if delta is not None and step.fits:
         zset = delta(ctx)
     if zset is None:
         ctx.sidecars.clear()
         status = "comprehensive"
         df = full(ctx)
         _require_key(df.columns, pk, output)
-        current = table(spark, output).snapshot()
-        zset = diff(df, current)
+        zset = diff(df, table(spark, output).snapshot(step.head))
     else:
         unique = isinstance(zset, Settled) and zset.unique_by is not None and set(zset.unique_by) <= set(pk)
         zset = settled(zset)
         _require_key([c for c in zset.columns if c != WEIGHT], pk, output)
-    changed = apply_zset(spark, output, zset, run_meta(status, ctx.pins, tag, plan_print), ctx.sidecars, unique=unique)
+    changed = apply_zset(spark, output, zset, run_meta(status, ctx.pins, tag, plan_print), ctx.sidecars, unique=unique, expected=step.head)
     return RunResult(status, ctx.pins, changed)
 
 
@@ -172,15 +175,17 @@ def _require_key(columns, pk, output: str) -> None:
         raise BuildError(f"{output}: the result is missing the PK column(s) {missing}")
 
 
-def apply_zset(spark: SparkSession, output: str, zset: DataFrame, meta: dict, sidecars: dict | None = None, kind: str = "run", unique: bool = False) -> bool:
+def apply_zset(spark: SparkSession, output: str, zset: DataFrame, meta: dict, sidecars: dict | None = None, kind: str = "run", unique: bool = False, expected: int | None = None) -> bool:
     """Delete, update and insert in one commit, with the run's metadata; a change of no rows is a
-    heartbeat, which moves the watermarks and shows no change. Whether rows changed."""
-    done = table(spark, output).commit(zset, kind=kind, meta=meta, sidecars=sidecars, unique=unique)
+    heartbeat, which moves the watermarks and shows no change. expected: the output's version that the
+    change was computed from, if it was from any; CommitConflict if there is a newer one. Whether rows
+    changed."""
+    done = table(spark, output).commit(zset, kind=kind, meta=meta, sidecars=sidecars, unique=unique, expected=expected)
     return "" in done.streams
 
 
-def heartbeat(spark: SparkSession, output: str, meta: dict) -> None:
-    table(spark, output).commit(None, kind="heartbeat", meta=meta)
+def heartbeat(spark: SparkSession, output: str, meta: dict, expected: int | None = None) -> None:
+    table(spark, output).commit(None, kind="heartbeat", meta=meta, expected=expected)
 
 
 def current(spark: SparkSession, output: str) -> DataFrame:
@@ -209,12 +214,22 @@ def run_append(
     """As run, for an output whose rows are only ever added. Retractions, and rows whose key is there with
     another image, are conflicts: AppendConflict before anything is written, or, with fail_on_conflict
     off, dropped and logged in the same commit. A row that is there already is passed over."""
-    step = begin(spark, output, sources, p, tag, plan_print)
-    ctx = step.ctx
-    if step.skipped:
-        return RunResult("skipped", ctx.pins, False)
     pk = (pk,) if isinstance(pk, str) else tuple(pk or ())
-    t = table(spark, output)
+
+    def once() -> RunResult:
+        step = begin(spark, output, sources, p, tag, plan_print)
+        if step.skipped:
+            return RunResult("skipped", step.ctx.pins, False)
+        try:
+            return _run_append(step, spark, output, pk, full, delta, tag, fail_on_conflict, log_drops, plan_print)
+        finally:
+            step.ctx.release()
+
+    return attempted(once)
+
+
+def _run_append(step: Step, spark, output: str, pk, full, delta, tag, fail_on_conflict: bool, log_drops: bool, plan_print) -> RunResult:
+    ctx, t = step.ctx, table(spark, output)
     if not step.exists:
         df = full(ctx)
         _require_key(df.columns, pk, output)
@@ -222,18 +237,18 @@ def run_append(
         t.create(df, pk=pk, meta=run_meta("bootstrap", ctx.pins, tag, plan_print))
         return RunResult("bootstrap", ctx.pins, True)
     zset, status = None, "incremental"
-    if delta is not None and _window_fits(step, output, plan_print):
+    if delta is not None and step.fits:
         zset = delta(ctx)
     if zset is None:
         status = "comprehensive"
         if not pk:
             raise ValueError(f"{output}: without a pk a recomputation can't tell old rows from new ones")
         df = full(ctx)
-        zset = diff(df, t.snapshot())
+        zset = diff(df, t.snapshot(step.head))
     names = t.columns()
     zset = settled(zset).select(*names, WEIGHT)
     _require_key(names, pk, output)
-    changed = _append(spark, t, zset, pk, fail_on_conflict, log_drops, run_meta(status, ctx.pins, tag, plan_print))
+    changed = _append(spark, t, zset, pk, fail_on_conflict, log_drops, run_meta(status, ctx.pins, tag, plan_print), step.head)
     return RunResult(status, ctx.pins, changed)
 
 
@@ -244,32 +259,35 @@ def _one_image(df: DataFrame, pk, output: str) -> DataFrame:
     return df.distinct()
 
 
-def _append(spark, t, zset: DataFrame, pk, fail: bool, log_drops: bool, meta: dict) -> bool:
+def _append(spark, t, zset: DataFrame, pk, fail: bool, log_drops: bool, meta: dict, head: int) -> bool:
     # written once: the checks and the commit read this, not the plan again
     held = t.write_stream(zset, segment=True)
     names = t.columns()
-    change = t._parquet(t.schema(), held["segment"], weighted=True) if held["n_ins"] + held["n_del"] else zset.limit(0)
-    gone = change.where(F.col(WEIGHT) < 0)
-    fresh = change.where(F.col(WEIGHT) > 0)
-    other = None
-    if pk and held["n_ins"]:
-        _one_image(fresh.drop(WEIGHT), pk, t.name)
-        keys = fresh.select(*pk)
-        there = restrict(t.snapshot(), keys, pk, small=held["n_ins"] <= 100_000).select(*names)
-        # what is there already cancels; what is left of a key that is there is another image
-        rest = consolidate(union(fresh.withColumn(WEIGHT, F.lit(1).cast("long")), as_zset(there, -1))).where(F.col(WEIGHT) > 0)
-        other = restrict(rest, there.select(*pk), pk)
-        fresh = restrict(rest, there.select(*pk), pk, "left_anti")
-    conflicts = held["n_del"] or (other is not None and other.take(1))
-    if conflicts and fail:
-        what = f"{held['n_del']} retraction(s)" if held["n_del"] else "another image of a key that is there"
-        raise AppendConflict(f"{t.name} only takes new rows; the change has {what}")
-    sidecars = {}
-    if conflicts and log_drops:
-        drops = gone if other is None else gone.unionByName(other)
-        drops = drops.withColumnRenamed(WEIGHT, "sign")
-        sidecars[DROPS] = (as_zset(drops.select(*names, "sign")), (), False) if t.schema(DROPS) else (drops.select(*names, "sign"), (), True)
-    done = t.commit(fresh, kind="append", meta=meta, sidecars=sidecars)
+    try:
+        change = t._parquet(t.schema(), held["segment"], weighted=True) if held["n_ins"] + held["n_del"] else zset.limit(0)
+        gone = change.where(F.col(WEIGHT) < 0)
+        fresh = change.where(F.col(WEIGHT) > 0)
+        other = None
+        if pk and held["n_ins"]:
+            _one_image(fresh.drop(WEIGHT), pk, t.name)
+            keys = fresh.select(*pk)
+            there = restrict(t.snapshot(head), keys, pk, small=held["n_ins"] <= SMALL and held["bytes"] <= SMALL_BYTES).select(*names)
+            # what is there already cancels; what is left of a key that is there is another image
+            rest = consolidate(union(fresh.withColumn(WEIGHT, F.lit(1).cast("long")), as_zset(there, -1))).where(F.col(WEIGHT) > 0)
+            other = restrict(rest, there.select(*pk), pk)
+            fresh = restrict(rest, there.select(*pk), pk, "left_anti")
+        conflicts = held["n_del"] or (other is not None and other.take(1))
+        if conflicts and fail:
+            what = f"{held['n_del']} retraction(s)" if held["n_del"] else "another image of a key that is there"
+            raise AppendConflict(f"{t.name} only takes new rows; the change has {what}")
+        sidecars = {}
+        if conflicts and log_drops:
+            drops = gone if other is None else gone.unionByName(other)
+            drops = drops.withColumnRenamed(WEIGHT, "sign")
+            sidecars[DROPS] = (as_zset(drops.select(*names, "sign")), (), False) if t.schema(DROPS) else (drops.select(*names, "sign"), (), True)
+        done = t.commit(fresh, kind="append", meta=meta, sidecars=sidecars, expected=head)
+    finally:
+        log.remove(spark, held["segment"])
     return "" in done.streams
 
 
@@ -285,16 +303,22 @@ def apply_changes(spark: SparkSession, name: str, changes: DataFrame, pk, *, tag
     check_names([c for c in changes.columns if c != WEIGHT], name)
     t = table(spark, name)
     meta = run_meta("ingest", {}, tag)
-    if not t.exists():
-        t.create(present(changes), pk=pk, meta=meta)
-        return True
-    if tag is not None and read_tag(spark, name) == tag:
-        return False
-    if full:
-        zset = diff(present(changes).select(*t.columns()), t.snapshot())
-    else:
-        change = consolidate(changes if WEIGHT in changes.columns else as_zset(changes))
-        keys = change.select(*pk).distinct()
-        now = present(change).select(*t.columns())
-        zset = diff(now, restrict(t.snapshot(), keys, pk))
-    return apply_zset(spark, name, zset, meta, kind="ingest")
+
+    def once() -> bool:
+        head = t.head()
+        if head < 0:
+            t.create(present(changes), pk=pk, meta=meta)
+            return True
+        if tag is not None and read_tag(spark, name) == tag:
+            return False
+        there = t.snapshot(head)
+        if full:
+            zset = diff(present(changes).select(*there.columns), there)
+        else:
+            change = consolidate(changes if WEIGHT in changes.columns else as_zset(changes))
+            keys = change.select(*pk).distinct()
+            now = present(change).select(*there.columns)
+            zset = diff(now, restrict(there, keys, pk))
+        return apply_zset(spark, name, zset, meta, kind="ingest", expected=head)
+
+    return attempted(once)

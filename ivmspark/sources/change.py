@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Protocol
 from urllib.parse import urlsplit, urlunsplit
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.zset import WEIGHT, Delta, as_zset, consolidate, present, restrict, rewind
 from . import log
-from .store import SMALL, Pin, table, tagged_versions
+from .store import SMALL, SMALL_BYTES, Pin, table, tagged_versions
 
 
 class ChangeSource(Protocol):
@@ -29,7 +29,7 @@ class ChangeSource(Protocol):
 
 
 def full(df: DataFrame) -> Delta:
-    return Delta(as_zset(df), is_full=True)
+    return Delta(as_zset(df), is_full=True, unit=True)
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,7 @@ class TableSource:
         if last is None or last.table_id != pin.table_id:
             return full(t.snapshot(pin.version))
         if last.version >= pin.version:
-            return Delta(as_zset(spark.createDataFrame([], t.schema())), rows=0)
+            return Delta(as_zset(spark.createDataFrame([], t.schema())), rows=0, unit=True, keyed=bool(t.latest().pk))
         found = t.changes(last.version, pin.version)
         if found is None:
             return full(t.snapshot(pin.version))
@@ -70,7 +70,7 @@ class TableSource:
             if n > most:
                 return full(t.snapshot(pin.version))
         if found.rows is None and not t.changed_rows(last.version, pin.version):
-            return Delta(found.zset, rows=0)
+            return replace(found, rows=0)
         return found
 
 
@@ -202,11 +202,15 @@ class ChangelogSource:
             if signed is None:
                 return full(now)
             found = consolidate(signed.select(*now.columns, WEIGHT))
-        if p is not None and p < 1 and found.count() > p * max(1, now.count()):
-            return full(now)
-        return Delta(found)
+        unit = e["mode"] == "append"
+        if p is not None and p < 1:
+            n = found.count()
+            if n and n > p * max(1, now.count()):
+                return full(now)
+            return Delta(found, rows=n, unit=unit, bytes=SMALL_BYTES + 1)
+        return Delta(found, unit=unit)
 
 
 def small(delta: Delta) -> bool:
-    """Whether the change's keys are of a known size fit to broadcast."""
-    return delta.rows is not None and delta.rows <= SMALL
+    """Whether the change's rows are of a known size fit to broadcast."""
+    return delta.rows is not None and delta.rows <= SMALL and (delta.bytes is None or delta.bytes <= SMALL_BYTES)

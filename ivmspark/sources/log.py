@@ -2,11 +2,14 @@
 
 Paths go through Hadoop's file systems, so a table lives wherever Spark's own files can. A commit is
 published by giving a complete file its name, which fails if the name is taken: of two writers one loses.
+That is atomic on local disks and HDFS. An object store whose connector renames by copying has a moment in
+which two writers may both pass; there, let one writer at a time write a table.
 """
 
 from __future__ import annotations
 
 import os
+import time
 import uuid
 from urllib.parse import urlparse
 
@@ -86,6 +89,30 @@ def publish(spark: SparkSession, path: str, text: str) -> None:
         raise CommitConflict(f"{path} is taken") from e
 
 
+def publish_once(spark: SparkSession, path: str, text: str) -> None:
+    """As publish, for a file that says the same whoever wrote it."""
+    try:
+        publish(spark, path, text)
+    except CommitConflict:
+        pass
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files in a folder."""
+    if (at := _local(path)) is not None:
+        return os.path.getsize(at) if os.path.isfile(at) else sum(e.stat().st_size for e in os.scandir(at) if e.is_file()) if os.path.isdir(at) else 0
+    p, fs = _hadoop(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
+def ages(spark: SparkSession, folder: str) -> list[tuple[str, float]]:
+    """Names in a folder with the seconds since each was changed."""
+    if (at := _local(folder)) is not None:
+        return [(e.name, time.time() - e.stat().st_mtime) for e in os.scandir(at)] if os.path.isdir(at) else []
+    p, fs = _hadoop(spark, folder)
+    return [(s.getPath().getName(), time.time() - s.getModificationTime() / 1000) for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """A file or folder, with all in it, if it is there."""
     p, fs = _hadoop(spark, path)

@@ -6,15 +6,26 @@ emptiness and change fractions without a Spark job. Files are written before the
 a crash leaves only files nobody reads. A commit may carry *sidecars*, named relations that move with the
 table in the same commit: an aggregate's state is one, and can't drift from its output.
 
-A snapshot is the newest base at or before the version and the segments after it. With a primary key that
-is an anti-join of the base by the changed keys; without, the rows' weights are summed. ``compact`` writes a
-base for a version that exists: it makes no version and no change. ``vacuum`` gives up windows and
-snapshots from before a version; readers learn that from the log, not from a missing file.
+Writers are optimistic. A change that was computed from the table's rows is published as the version after
+the one it was computed from; if another writer has taken that, it is a CommitConflict, the files are
+removed, and the caller starts over. A change that doesn't depend on the rows (an insert) is published anew
+behind the other writer's.
+
+A snapshot is the newest base at or before the version and the segments after it. Segments that only add
+rows are appended; else, with a primary key, that is an anti-join of the base by the changed keys, and
+without one the rows' weights are summed. Each commit carries the table's *tip*: every stream's schema, base
+and live segments, and the last run's metadata. So a reader needs the newest commit, however long the log.
+
+Segments of about one size are merged into one as they gather (each row is rewritten a logarithm of times),
+and a base is written anew only after changes of ``BASE_SHARE`` of its rows, so upkeep follows the changes,
+not the table. Neither makes a version or a change. ``vacuum`` gives up windows and snapshots from before a
+version and deletes what only they need: files, log entries, and what crashed writers left.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -23,13 +34,16 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.zset import WEIGHT, Delta, as_zset, check_groupable, check_names, consolidate, diff, present, q, restrict, union
+from ..operators.zset import RESERVED, WEIGHT, Delta, as_zset, check_groupable, check_names, consolidate, diff, expand, present, q, restrict, union
 from . import log
 
-#: Segments after which a commit is followed by a new base, and the times the table's rows they may reach.
-COMPACT_AFTER, COMPACT_SHARE = 12, 4
-#: Changed keys of up to so many rows may be broadcast.
-SMALL = 100_000
+#: Segments of about one size that are merged into one; the share of a table's rows in segments after which
+#: it gets a new base.
+MERGE_AFTER, BASE_SHARE = 8, 0.5
+#: Times that a change is published anew behind other writers', or computed anew after them.
+ATTEMPTS = 8
+#: A change of up to so many rows, in files of up to so many bytes, may be broadcast.
+SMALL, SMALL_BYTES = 100_000, 8_000_000
 MAIN = ""
 
 
@@ -50,6 +64,11 @@ class Commit:
     pk: tuple[str, ...] | None
     meta: dict
     streams: dict[str, dict] = field(default_factory=dict)  # name -> base, segment, schema, n_ins, n_del, n_rows
+    #: Every stream as of this version: schema, pk, rows, base, base_at, segments (lo, hi, path, n_ins, n_del, unit).
+    tip: dict[str, dict] = field(default_factory=dict)
+    #: The newest run's metadata, and whether others have written rows since.
+    stamp: dict | None = None
+    others: bool = False
 
 
 def root(spark: SparkSession) -> str:
@@ -63,6 +82,29 @@ def root(spark: SparkSession) -> str:
 _COMMITS: dict[str, dict[int, Commit]] = {}
 
 
+def attempted(step, attempts: int = ATTEMPTS):
+    """What step gives, tried again where another writer was first."""
+    for left in reversed(range(attempts)):
+        try:
+            return step()
+        except log.CommitConflict:
+            if not left:
+                raise
+
+
+@dataclass(frozen=True)
+class Listing:
+    """One look at a log folder."""
+
+    versions: list[int]
+    floor: int
+    bases: list[tuple[str, int, str]]  # stream, version, file
+    runs: list[tuple[str, int, int, str]]  # stream, lo, hi, file
+
+
+_MARK = re.compile(r"(base|run)-(\w*)-(\d+)(?:-(\d+))?\.json$")
+
+
 class VersionedTable:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name = spark, name
@@ -71,11 +113,20 @@ class VersionedTable:
 
     # ---- the log
 
-    def exists(self) -> bool:
-        return bool(self._versions())
+    def _list(self) -> Listing:
+        versions, floor, bases, runs = [], 0, [], []
+        for n in log.names(self.spark, f"{self.path}/_log"):
+            if n.endswith(".json") and n[:-5].isdigit():
+                versions.append(int(n[:-5]))
+            elif n.startswith("floor-"):
+                floor = max(floor, int(n[6:-5]))
+            elif m := _MARK.match(n):
+                kind, stream, lo, hi = m.groups()
+                bases.append((stream, int(lo), n)) if kind == "base" else runs.append((stream, int(lo), int(hi), n))
+        return Listing(versions, floor, bases, runs)
 
-    def _versions(self) -> list[int]:
-        return [int(n[:-5]) for n in log.names(self.spark, f"{self.path}/_log") if n.endswith(".json") and n[:-5].isdigit()]
+    def exists(self) -> bool:
+        return bool(self._list().versions)
 
     def _load(self, version: int) -> Commit:
         d = json.loads(log.read(self.spark, f"{self.path}/_log/{version:020d}.json"))
@@ -84,7 +135,7 @@ class VersionedTable:
     def commit_at(self, version: int) -> Commit:
         known = _COMMITS.setdefault(self.path, {})
         if not self._looked:
-            last = self._load(self._versions()[-1])
+            last = self._load(self._list().versions[-1])
             if any(c.table_id != last.table_id for c in known.values()):
                 known.clear()
             known[last.version] = last
@@ -94,14 +145,17 @@ class VersionedTable:
         return known[version]
 
     def history(self) -> list[Commit]:
-        """All commits, newest first."""
-        return [self.commit_at(v) for v in reversed(self._versions())]
+        """All commits that are kept, newest first."""
+        return [self.commit_at(v) for v in reversed(self._list().versions)]
+
+    def head(self) -> int:
+        """The newest version; -1 where there is no table."""
+        return max(self._list().versions, default=-1)
 
     def latest(self) -> Commit:
-        versions = self._versions()
-        if not versions:
+        if (head := self.head()) < 0:
             raise ValueError(f"no table {self.name}")
-        return self.commit_at(versions[-1])
+        return self.commit_at(head)
 
     def pin(self) -> Pin:
         c = self.latest()
@@ -109,25 +163,33 @@ class VersionedTable:
 
     def floor(self) -> int:
         """Windows that start before this version, and snapshots before it, are given up."""
-        marks = [int(n[6:-5]) for n in log.names(self.spark, f"{self.path}/_log") if n.startswith("floor-")]
-        return max(marks, default=0)
+        return self._list().floor
 
-    def _bases(self, stream: str) -> dict[int, str]:
-        """Version -> path of each base, those of compactions among them."""
-        found = {v: b for v in self._versions() if (b := self.commit_at(v).streams.get(stream, {}).get("base"))}
-        mark = f"base-{stream}-"
-        for n in log.names(self.spark, f"{self.path}/_log"):
-            if n.startswith(mark):
-                found[int(n[len(mark) : -5])] = json.loads(log.read(self.spark, f"{self.path}/_log/{n}"))["path"]
-        return found
+    def _mark(self, name: str) -> dict:
+        return json.loads(log.read(self.spark, f"{self.path}/_log/{name}"))
+
+    def _live(self, version: int, stream: str, look: Listing | None = None) -> dict | None:
+        """A stream's tip as of a version, with the bases and merged segments written since for it."""
+        tip = self.commit_at(version).tip.get(stream)
+        if tip is None:
+            return None
+        look = look or self._list()
+        base, at, segments = tip["base"], tip["base_at"], tip["segments"]
+        for _, v, name in sorted(b for b in look.bases if b[0] == stream and at < b[1] <= version):
+            base, at = self._mark(name)["path"], v
+        segments = [s for s in segments if s["hi"] > at]
+        for _, lo, hi, name in sorted((r for r in look.runs if r[0] == stream and at <= r[1] and r[2] <= version), key=lambda r: r[1] - r[2]):
+            within = [s for s in segments if lo <= s["lo"] and s["hi"] <= hi]
+            if len(within) > 1 and within == [s for s in segments if s["lo"] < hi and s["hi"] > lo]:
+                k = segments.index(within[0])
+                segments = [*segments[:k], self._mark(name), *segments[k + len(within) :]]
+        return tip | {"base": base, "base_at": at, "segments": segments}
 
     # ---- reading
 
     def schema(self, stream: str = MAIN) -> StructType | None:
-        for c in self.history():
-            if stream in c.streams:
-                return StructType.fromJson(c.streams[stream]["schema"])
-        return None
+        tip = self.latest().tip.get(stream)
+        return tip and StructType.fromJson(tip["schema"])
 
     def columns(self, stream: str = MAIN) -> list[str]:
         s = self.schema(stream)
@@ -140,29 +202,32 @@ class VersionedTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
-    def _segments(self, lo: int, hi: int, stream: str) -> list[dict]:
-        return [s for v in self._versions() if lo < v <= hi and (s := self.commit_at(v).streams.get(stream)) and s.get("segment")]
+    def _entries(self, lo: int, hi: int, stream: str) -> list[dict]:
+        return [s for v in self._list().versions if lo < v <= hi and (s := self.commit_at(v).streams.get(stream))]
 
     def snapshot(self, version: int | None = None, stream: str = MAIN) -> DataFrame:
         """The relation as of a version, the latest if none is given."""
-        version = self.latest().version if version is None else version
-        schema = self.schema(stream)
-        if schema is None:
+        look = self._list()
+        version = max(look.versions, default=-1) if version is None else version
+        if version < 0:
+            raise ValueError(f"no table {self.name}")
+        if version < look.floor:
+            raise ValueError(f"{self.name}: version {version} is before the retained {look.floor}")
+        live = self._live(version, stream, look)
+        if live is None:
             raise ValueError(f"{self.name} has no {stream or 'data'}")
-        if version < self.floor():
-            raise ValueError(f"{self.name}: version {version} is before the retained {self.floor()}")
-        bases = {v: b for v, b in self._bases(stream).items() if v <= version}
-        start = max(bases, default=-1)
-        segments = self._segments(start, version, stream)
-        base = self._parquet(schema, bases[start]) if bases else self._parquet(schema)
+        schema, segments = StructType.fromJson(live["schema"]), live["segments"]
+        base = self._parquet(schema, live["base"]) if live["base"] else None
         if not segments:
-            return base
-        changes = self._parquet(schema, *[s["segment"] for s in segments], weighted=True)
+            return self._parquet(schema) if base is None else base
+        changes = self._parquet(schema, *[s["path"] for s in segments], weighted=True)
+        if not any(s["n_del"] for s in segments):
+            added = (changes if all(s["unit"] for s in segments) else expand(changes)).drop(WEIGHT)
+            return added if base is None else base.unionByName(added)
         net = changes if len(segments) == 1 else consolidate(changes)
-        pk = self.latest().pk if stream == MAIN else tuple(self.latest().streams.get(stream, segments[-1]).get("pk") or ())
-        if not bases:
+        if base is None:
             return present(net)
-        if pk:
+        if pk := live["pk"]:
             small = sum(s["n_del"] for s in segments) <= SMALL
             gone = net.where(F.col(WEIGHT) < 0).select(*[F.col(q(c)) for c in pk])
             return restrict(base, gone, pk, "left_anti", small).unionByName(net.where(F.col(WEIGHT) > 0).drop(WEIGHT))
@@ -170,9 +235,9 @@ class VersionedTable:
 
     def changes(self, lo: int, hi: int, stream: str = MAIN) -> Delta | None:
         """The consolidated change of (lo, hi], or None where the log no longer covers it."""
-        if lo < self.floor() or any(self.commit_at(v).streams.get(stream, {}).get("base") for v in self._versions() if lo < v <= hi):
+        if lo < self.floor() or any(s.get("base") for s in self._entries(lo, hi, stream)):
             return None
-        return self.changes_of([v for v in self._versions() if lo < v <= hi], stream)
+        return self.changes_of([v for v in self._list().versions if lo < v <= hi], stream)
 
     def changes_of(self, versions, stream: str = MAIN) -> Delta:
         """The consolidated change of these versions alone; a base counts as all its rows."""
@@ -184,31 +249,30 @@ class VersionedTable:
         parts += [as_zset(self._parquet(schema, s["base"])) for s in bases]
         n = sum(s["n_ins"] + s["n_del"] for s in entries)
         exact = len(segments) <= 1 and not bases  # else rows of several commits may cancel
-        return Delta(parts[0] if exact else consolidate(union(*parts)), rows=n if exact or not n else None)
+        keyed = bool(self.latest().tip[stream]["pk"])
+        unit = keyed or exact and all(s["unit"] for s in segments)
+        return Delta(parts[0] if exact else consolidate(union(*parts)), rows=n if exact or not n else None, unit=unit, bytes=sum(s["bytes"] for s in entries), keyed=keyed)
 
     def changed_rows(self, lo: int, hi: int, stream: str = MAIN) -> int:
         """How many rows the commits of (lo, hi] wrote: at least as many as the consolidated window has."""
-        return sum(s["n_ins"] + s["n_del"] for s in self._segments(lo, hi, stream))
+        return sum(s["n_ins"] + s["n_del"] for s in self._entries(lo, hi, stream) if s.get("segment"))
 
     def rows(self, version: int | None = None, stream: str = MAIN) -> int:
         """Rows as of a version, from the log."""
-        version = self.latest().version if version is None else version
-        for v in sorted((v for v in self._versions() if v <= version), reverse=True):
-            if stream in self.commit_at(v).streams:
-                return self.commit_at(v).streams[stream]["n_rows"]
-        return 0
+        tip = (self.latest() if version is None else self.commit_at(version)).tip.get(stream)
+        return tip["rows"] if tip else 0
 
     # ---- writing
 
-    def write_stream(self, df: DataFrame, *, segment: bool, pk=None, before: int = 0, unique: bool = False) -> dict:
+    def write_stream(self, df: DataFrame, *, segment: bool, pk=None, unique: bool = False) -> dict:
         """Write a base or a segment and describe it for a commit. Rows are counted as they are written. It
         is checked against its key, unless it is unique as made: no key may have two rows."""
         folder = f"{self.path}/data/{'seg' if segment else 'base'}-{uuid.uuid4().hex}"
         schema = StructType([f for f in df.schema.fields if f.name != WEIGHT])
         w = F.col(WEIGHT) if segment else F.lit(1).cast("long")
         seen = Observation()
-        df.observe(seen, F.sum(F.when(w > 0, w)).alias("up"), F.sum(F.when(w < 0, -w)).alias("down")).write.parquet(folder)
-        n_ins, n_del = (seen.get[x] or 0 for x in ("up", "down"))
+        df.observe(seen, F.sum(F.when(w > 0, w)).alias("up"), F.sum(F.when(w < 0, -w)).alias("down"), F.max(F.abs(w)).alias("most")).write.parquet(folder)
+        n_ins, n_del, most = (seen.get[x] or 0 for x in ("up", "down", "most"))
         if pk and n_ins and not unique:
             back = self._parquet(schema, folder, weighted=segment)
             live = back.where(F.col(WEIGHT) > 0) if segment else back
@@ -217,41 +281,76 @@ class VersionedTable:
             if twice:
                 log.remove(self.spark, folder)
                 raise ValueError(f"{self.name}: the key {tuple(pk)} has several rows, for one at {[tuple(r) for r in twice]}")
-        n_rows = before + n_ins - n_del if segment else n_ins
-        return {"base": None if segment else folder, "segment": folder if segment else None, "schema": schema.jsonValue(), "n_ins": n_ins, "n_del": n_del, "n_rows": n_rows, "pk": list(pk) if pk else None}
-
-    def publish(self, kind: str, streams: dict[str, dict], meta: dict, pk, table_id: str | None = None) -> Commit:
-        versions = self._versions()
-        version = versions[-1] + 1 if versions else 0
-        table_id = table_id or (self.commit_at(versions[-1]).table_id if versions else uuid.uuid4().hex)
-        d = {"version": version, "table_id": table_id, "kind": kind, "ts": time.time(), "pk": list(pk) if pk else None, "meta": meta, "streams": streams}
+        size = log.size(self.spark, folder)
+        return {"base": None if segment else folder, "segment": folder if segment else None, "schema": schema.jsonValue(), "n_ins": n_ins, "n_del": n_del, "unit": most <= 1, "bytes": size, "pk": list(pk) if pk else None}
+
+    def _tip(self, expected: int, version: int, streams: dict[str, dict]) -> dict[str, dict]:
+        """Every stream's tip with a commit's streams on it."""
+        look = self._list() if expected >= 0 else None
+        tip = {name: self._live(expected, name, look) for name in self.commit_at(expected).tip} if expected >= 0 else {}
+        for name, s in streams.items():
+            was = tip.get(name)
+            if s["base"]:
+                tip[name] = {"schema": s["schema"], "pk": s["pk"], "rows": s["n_ins"], "base": s["base"], "base_at": version, "segments": []}
+            else:
+                one = {"lo": version - 1, "hi": version, "path": s["segment"]} | {k: s[k] for k in ("n_ins", "n_del", "unit")}
+                was = was or {"schema": s["schema"], "pk": s["pk"], "rows": 0, "base": None, "base_at": -1, "segments": []}
+                tip[name] = was | {"rows": was["rows"] + s["n_ins"] - s["n_del"], "segments": [*was["segments"], one]}
+        return tip
+
+    def publish(self, kind: str, streams: dict[str, dict], meta: dict, pk, *, expected: int) -> Commit:
+        """The version after expected (-1: none yet); CommitConflict if there is one already."""
+        before, version = self.commit_at(expected) if expected >= 0 else None, expected + 1
+        stamped = META in meta
+        d = {
+            "version": version, "table_id": before.table_id if before else uuid.uuid4().hex, "kind": kind, "ts": time.time(), "pk": list(pk) if pk else None,
+            "meta": meta, "streams": streams, "tip": self._tip(expected, version, streams),
+            "stamp": meta[META] if stamped else before and before.stamp, "others": not stamped and bool(streams or before and before.others),
+        }
         log.publish(self.spark, f"{self.path}/_log/{version:020d}.json", json.dumps(d))
         return self.commit_at(version)
 
+    def _publish(self, kind: str, streams: dict[str, dict], meta: dict, pk, expected: int | None) -> Commit:
+        """As publish; if expected is None, behind whatever there is. What can't be published is removed."""
+        try:
+            if expected is not None:
+                return self.publish(kind, streams, meta, pk, expected=expected)
+            return attempted(lambda: self.publish(kind, streams, meta, pk, expected=self.head()))
+        except Exception:
+            for s in streams.values():
+                log.remove(self.spark, s["base"] or s["segment"])
+            raise
+
     def create(self, df: DataFrame, *, pk=None, meta: dict | None = None, sidecars: dict[str, tuple[DataFrame, tuple]] | None = None, kind: str = "bootstrap") -> Commit:
         """The first commit: a base, with its sidecars' bases."""
         if self.exists():
-            raise ValueError(f"{self.name} exists")
+            raise log.CommitConflict(f"{self.name} exists")
         pk = (pk,) if isinstance(pk, str) else pk
         check_names(df.columns, self.name)
         check_groupable(df)
         streams = {MAIN: self.write_stream(df, segment=False, pk=pk)}
         for name, (side, key) in (sidecars or {}).items():
             streams[name] = self.write_stream(side, segment=False, pk=key, unique=True)
-        return self.publish(kind, streams, meta or {}, pk)
+        done = self._publish(kind, streams, meta or {}, pk, -1)
+        self.show()
+        return done
 
     def adopt(self, path: str, *, pk=None) -> Commit:
         """The first commit, over Parquet files that are there and stay where they are."""
         pk = (pk,) if isinstance(pk, str) else pk
         df = self.spark.read.parquet(path)
         n = df.count()
-        return self.publish("adopt", {MAIN: {"base": path, "segment": None, "schema": df.schema.jsonValue(), "n_ins": n, "n_del": 0, "n_rows": n, "pk": list(pk) if pk else None}}, {}, pk)
+        entry = {"base": path, "segment": None, "schema": df.schema.jsonValue(), "n_ins": n, "n_del": 0, "unit": True, "bytes": log.size(self.spark, path), "pk": list(pk) if pk else None}
+        done = self.publish("adopt", {MAIN: entry}, {}, pk, expected=-1)
+        self.show()
+        return done
 
-    def commit(self, zset: DataFrame | None, *, kind: str = "write", meta: dict | None = None, sidecars: dict[str, tuple[DataFrame, tuple, bool]] | None = None, unique: bool = False) -> Commit:
+    def commit(self, zset: DataFrame | None, *, kind: str = "write", meta: dict | None = None, sidecars: dict[str, tuple[DataFrame, tuple, bool]] | None = None, unique: bool = False, expected: int | None = None) -> Commit:
         """One more version: a consolidated Z-set, nothing (a heartbeat), and sidecars as (frame, key,
-        whole), whole ones replacing what was there. unique: the key needs no check."""
-        last = self.latest()
-        streams = {}
+        whole), whole ones replacing what was there. unique: the key needs no check. expected: the version
+        that all of it was computed from, and CommitConflict if the table has moved on; None: it holds
+        whatever there is."""
+        last, streams = self.latest(), {}
         if zset is not None:
             check_names([c for c in zset.columns if c != WEIGHT], self.name)
             known = self.columns()
@@ -259,51 +358,125 @@ class VersionedTable:
                 raise ValueError(f"{self.name} has columns {known}, the change has {[c for c in zset.columns if c != WEIGHT]}")
             schema = self.schema()
             zset = zset.select(*[F.col(q(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields], WEIGHT)
-            entry = self.write_stream(zset, segment=True, pk=last.pk, before=self.rows(), unique=unique)
-            if entry["n_ins"] or entry["n_del"]:
-                streams[MAIN] = entry
+            streams[MAIN] = self.write_stream(zset, segment=True, pk=last.pk, unique=unique)
         for name, (side, key, whole) in (sidecars or {}).items():
-            entry = self.write_stream(side, segment=not whole, pk=key, before=self.rows(stream=name), unique=True)
-            if whole or entry["n_ins"] or entry["n_del"]:
-                streams[name] = entry
-        done = self.publish(kind, streams, meta or {}, last.pk, last.table_id)
+            streams[name] = self.write_stream(side, segment=not whole, pk=key, unique=True)
+        for name in [n for n, s in streams.items() if s["segment"] and not s["n_ins"] and not s["n_del"]]:
+            log.remove(self.spark, streams.pop(name)["segment"])
+        done = self._publish(kind, streams, meta or {}, last.pk, expected)
         for name in streams:
-            self._maybe_compact(name)
+            self._upkeep(name, done.version)
+        if MAIN in streams:
+            self.show()
         return done
 
-    def _maybe_compact(self, stream: str) -> None:
-        bases, now = self._bases(stream), self._versions()[-1]
-        segments = self._segments(max(bases, default=-1), now, stream)
-        written = sum(s["n_ins"] + s["n_del"] for s in segments)
-        if len(segments) >= COMPACT_AFTER or len(segments) > 2 and written > COMPACT_SHARE * max(1, self.rows(stream=stream)):
-            self.compact(stream)
+    # ---- as a view
+
+    def sql(self) -> str:
+        """The newest snapshot as a query."""
+        live = self._live(self.head(), MAIN)
+        names = [q(f["name"]) for f in live["schema"]["fields"]]
+        cols, w = ", ".join(names), q(WEIGHT)
+        file = lambda path: f"parquet.`{path}`"
+        base = f"SELECT {cols} FROM {file(live['base'])}" if live["base"] else None
+        if not live["segments"]:
+            return base or f"SELECT {cols} FROM VALUES (0) WHERE false"
+        every = " UNION ALL ".join(f"SELECT {cols}, {w} FROM {file(s['path'])}" for s in live["segments"])
+        net = f"SELECT {cols}, sum({w}) AS {w} FROM ({every}) GROUP BY {cols} HAVING sum({w}) <> 0"
+        if base and (pk := live["pk"]):
+            on = " AND ".join(f"b.{q(c)} <=> g.{q(c)}" for c in pk)
+            return f"WITH net AS ({net}) SELECT {', '.join('b.' + n for n in names)} FROM {file(live['base'])} b LEFT ANTI JOIN (SELECT * FROM net WHERE {w} < 0) g ON {on} UNION ALL SELECT {cols} FROM net WHERE {w} > 0"
+        every += f" UNION ALL SELECT {cols}, 1L FROM {file(live['base'])}" if base else ""
+        return f"SELECT {cols} FROM (SELECT {cols}, sum({w}) AS {w} FROM ({every}) GROUP BY {cols} HAVING sum({w}) > 0) LATERAL VIEW explode(sequence(1L, {w})) AS {q(RESERVED + 'i')}"
+
+    def show(self) -> None:
+        """Make the table what its name means in SQL: a view of its newest snapshot, in the database before
+        the dot. Commits do it where spark.ivmspark.views is true (else call it): it costs as much as a small
+        job. A table or view of that name that isn't one of ours is left alone."""
+        if self.spark.conf.get("spark.ivmspark.views", "true") == "true" and self.name.count(".") <= 1:
+            self._show()
+
+    def _show(self) -> None:
+        db, _, name = self.name.rpartition(".")
+        if db:
+            self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {q(db)}")
+        self.spark.sql(f"CREATE OR REPLACE VIEW {q(db) + '.' if db else ''}{q(name)} AS {self.sql()}")
+
+    # ---- upkeep
+
+    def _upkeep(self, stream: str, version: int) -> None:
+        """After a commit: a new base if much has changed since the last one, else merge what has gathered."""
+        live = self._live(version, stream)
+        segments = live["segments"]
+        size = lambda s: s["n_ins"] + s["n_del"]
+        if len(segments) > 2 and sum(map(size, segments)) > BASE_SHARE * max(1, live["rows"]):
+            return self.compact(stream, version)
+        # the newest segments, as far back as none is much larger than all after it
+        k, total = len(segments), 0
+        while k and size(segments[k - 1]) <= 2 * max(total, 1000):
+            k -= 1
+            total += size(segments[k])
+        if len(segments) - k >= MERGE_AFTER:
+            self._merge(stream, live, segments[k:])
+
+    def _merge(self, stream: str, live: dict, segments: list[dict]) -> None:
+        """One segment for several that follow one another."""
+        schema, lo, hi = StructType.fromJson(live["schema"]), segments[0]["lo"], segments[-1]["hi"]
+        net = consolidate(self._parquet(schema, *[s["path"] for s in segments], weighted=True))
+        s = self.write_stream(net, segment=True)
+        one = {"lo": lo, "hi": hi, "path": s["segment"]} | {k: s[k] for k in ("n_ins", "n_del", "unit")}
+        self._note(f"run-{stream}-{lo:020d}-{hi:020d}.json", one, s["segment"])
+
+    def _note(self, name: str, what: dict, folder: str) -> None:
+        try:
+            log.publish(self.spark, f"{self.path}/_log/{name}", json.dumps(what))
+        except log.CommitConflict:
+            log.remove(self.spark, folder)
 
-    def compact(self, stream: str = MAIN) -> None:
+    def compact(self, stream: str = MAIN, version: int | None = None) -> None:
         """A base for the latest version. Readers see no new version and no change."""
-        version = self._versions()[-1]
-        if version in self._bases(stream):
+        version = self.head() if version is None else version
+        live = self._live(version, stream)
+        if live is None or live["base"] and not live["segments"]:
             return
         folder = f"{self.path}/data/base-{uuid.uuid4().hex}"
         self.snapshot(version, stream).write.parquet(folder)
-        try:
-            log.publish(self.spark, f"{self.path}/_log/base-{stream}-{version:020d}.json", json.dumps({"path": folder}))
-        except log.CommitConflict:
-            log.remove(self.spark, folder)
-
-    def vacuum(self, floor: int) -> None:
-        """Give up what is from before a version: its windows and snapshots, then their files."""
-        for stream in {s for c in self.history() for s in c.streams}:
-            if not any(floor <= v for v in self._bases(stream)):
-                self.compact(stream)
-        log.publish(self.spark, f"{self.path}/_log/floor-{floor:020d}.json", "{}")
-        for stream in {s for c in self.history() for s in c.streams}:
-            keep = max((v for v in self._bases(stream) if v <= floor), default=floor)
-            for v in self._versions():
-                s = self.commit_at(v).streams.get(stream, {})
-                if v <= keep and s.get("segment") and any(keep <= b for b in self._bases(stream) if b <= floor):
-                    log.remove(self.spark, s["segment"])
+        self._note(f"base-{stream}-{version:020d}.json", {"path": folder}, folder)
+
+    def vacuum(self, floor: int, orphans_after: float = 86_400.0) -> int:
+        """Give up what is from before a version: its windows and snapshots, then their files and log
+        entries, and files of no commit that are older than so many seconds. How many folders went."""
+        look = self._list()
+        floor = min(floor, max(look.versions, default=0))
+        log.publish_once(self.spark, f"{self.path}/_log/floor-{floor:020d}.json", "{}")
+        used, kept = set(), [v for v in look.versions if v >= floor]
+        for v in kept:
+            for stream in self.commit_at(v).tip:
+                live = self._live(v, stream, look)
+                used |= {live["base"], *(s["path"] for s in live["segments"])}
+            if v > floor:
+                used |= {x for s in self.commit_at(v).streams.values() for x in (s["base"], s["segment"])}
+        marks = {name: self._mark(name)["path"] for _, *_, name in (*look.bases, *look.runs)}
+        old = {x for v in look.versions if v <= floor for s in self.commit_at(v).streams.values() for x in (s["base"], s["segment"])} | set(marks.values())
+        for v in look.versions:
+            if v < floor:
+                log.remove(self.spark, f"{self.path}/_log/{v:020d}.json")
+                _COMMITS.get(self.path, {}).pop(v, None)
+        for name, path in marks.items():
+            if path not in used:
+                log.remove(self.spark, f"{self.path}/_log/{name}")
+        n = 0
+        for name, age in log.ages(self.spark, f"{self.path}/data"):
+            folder = f"{self.path}/data/{name}"
+            if folder not in used and (folder in old or age > orphans_after):
+                log.remove(self.spark, folder)
+                n += 1
+        self.show()
+        return n
 
     def drop(self) -> None:
+        if self.exists() and self.spark.conf.get("spark.ivmspark.views", "true") == "true" and self.name.count(".") <= 1:
+            self.spark.sql(f"DROP VIEW IF EXISTS {'.'.join(map(q, self.name.split('.')))}")
         log.remove(self.spark, self.path)
         _COMMITS.pop(self.path, None)
         self._looked = False
@@ -311,20 +484,33 @@ class VersionedTable:
     # ---- plain changes, for tables that people write
 
     def insert(self, df: DataFrame, **meta) -> Commit:
-        return self.commit(consolidate(as_zset(df.select(*self.columns()))), kind="insert", meta=meta)
+        return self.commit(consolidate(as_zset(df.select(*[F.col(q(c)) for c in self.columns()]))), kind="insert", meta=meta)
+
+    def _from(self, change, kind: str, meta: dict) -> Commit:
+        """Commit a change computed from the table's rows, anew where another writer was first."""
 
-    def delete(self, where: str) -> Commit:
-        return self.commit(consolidate(as_zset(self.snapshot().where(where), -1)), kind="delete")
+        def step():
+            head = self.head()
+            return self.commit(change(self.snapshot(head)), kind=kind, meta=meta, expected=head)
+
+        return attempted(step)
+
+    def delete(self, where: str, **meta) -> Commit:
+        return self._from(lambda now: consolidate(as_zset(now.where(where), -1)), "delete", meta)
 
     def update(self, where: str, **values: str) -> Commit:
         """Rows where the condition holds, with columns set to SQL expressions over the old row."""
-        old = self.snapshot().where(where)
-        new = old.select(*[F.expr(values[f.name]).cast(f.dataType).alias(f.name) if f.name in values else F.col(q(f.name)) for f in self.schema().fields])
-        return self.commit(diff(new, old), kind="update")
+
+        def change(now):
+            old = now.where(where)
+            new = old.select(*[F.expr(values[f.name]).cast(f.dataType).alias(f.name) if f.name in values else F.col(q(f.name)) for f in self.schema().fields])
+            return diff(new, old)
+
+        return self._from(change, "update", {})
 
     def overwrite(self, df: DataFrame, **meta) -> Commit:
         """Replace the rows; only what differs is written."""
-        return self.commit(diff(df.select(*self.columns()), self.snapshot()), kind="overwrite", meta=meta)
+        return self._from(lambda now: diff(df.select(*[F.col(q(c)) for c in self.columns()]), now), "overwrite", meta)
 
     def merge(self, zset: DataFrame, **meta) -> Commit:
         return self.commit(consolidate(zset), kind="merge", meta=meta)
@@ -346,7 +532,7 @@ def run_meta(kind: str, pins: dict[str, Pin], tag: str | None = None, plan: str
 
 def _last_stamped(spark: SparkSession, name: str) -> dict | None:
     t = table(spark, name)
-    return next((c.meta[META] for c in t.history() if META in c.meta), None) if t.exists() else None
+    return t.latest().stamp if t.exists() else None
 
 
 def read_watermarks(spark: SparkSession, name: str) -> dict[str, Pin] | None:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.zset import WEIGHT, as_zset
 from ..plans.run import RunResult, apply_changes
-from ..sources.store import read_tag, run_meta, table
+from ..sources.store import attempted, read_tag, run_meta, table
 
 
 def land(batch: DataFrame, batch_id: int, name: str, *, stream: str, pk=None) -> bool:
@@ -23,13 +23,18 @@ def land(batch: DataFrame, batch_id: int, name: str, *, stream: str, pk=None) ->
     if pk:
         return apply_changes(spark, name, batch, pk, tag=tag)
     t = table(spark, name)
-    if not t.exists():
-        t.create(batch, meta=run_meta("ingest", {}, tag))
-        return True
-    if read_tag(spark, name) == tag:
-        return False
-    zset = batch if WEIGHT in batch.columns else as_zset(batch)
-    return "" in t.commit(zset, kind="ingest", meta=run_meta("ingest", {}, tag)).streams
+
+    def once() -> bool:
+        head = t.head()
+        if head < 0:
+            t.create(batch, meta=run_meta("ingest", {}, tag))
+            return True
+        if read_tag(spark, name) == tag:
+            return False
+        zset = batch if WEIGHT in batch.columns else as_zset(batch)
+        return "" in t.commit(zset, kind="ingest", meta=run_meta("ingest", {}, tag), expected=head).streams
+
+    return attempted(once)
 
 
 def stepper(name: str, *, stream: str, pk=None, steps: Iterable[Callable[[SparkSession], RunResult]] = ()) -> Callable[[DataFrame, int], None]:
