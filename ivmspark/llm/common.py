@@ -1,13 +1,14 @@
 """Shared pieces of the training-data operators: shared-folder tables and files, input helpers.
 
-Every intermediate goes to the folder the cluster names in ``spark.checkpoint.dir``; only when that is
-unset (tests, notebooks) is a folder of our own made. Nothing is kept on one executor's disk, so a lost
-executor costs recomputation of its tasks and nothing else.
+Every intermediate goes to the folder the cluster names in ``spark.checkpoint.dir``; only where that is
+unset and all of Spark runs on one machine (tests, notebooks) is a folder of our own made. Nothing is kept on
+one executor's disk, so a lost executor costs recomputation of its tasks and nothing else.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -23,9 +24,12 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one made here where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or, with a local master alone, one made here
+    where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ivmspark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -44,13 +48,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def q(name: str) -> str:
+    """A column's name as a quoted identifier: any name is one column, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def col(name: str) -> "F.Column":
+    return F.col(q(name))
+
+
+def cols(df: DataFrame) -> list:
+    return [col(c) for c in df.columns]
+
+
+def free(df: DataFrame, name: str) -> str:
+    """The name, or with a number after it the first that no column has (names differ by case or not)."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for i in range(len(taken) + 1) if (x := f"{name}_{i}" if i else name).lower() not in taken)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def hot_safe_key(column) -> "F.Column":
     """A string column as a key that is never null, null and '' apart."""
-    c = F.col(column) if isinstance(column, str) else column
+    c = col(column) if isinstance(column, str) else column
     return F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), c.cast("string")))
 
 

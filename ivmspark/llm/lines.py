@@ -1,8 +1,9 @@
 """Line dedup by site-relative frequency, in DataFrame operations.
 
 Pages are grouped by host; a line's ratio is the pages of its host that contain it over the pages of that
-host. A line whose ratio passes ``RATIO`` is boilerplate and leaves every page of that host. A line must
-also be on ``LEAST`` pages, since on a host of a few pages any line has a high ratio.
+host. A line whose ratio passes ``RATIO`` is boilerplate and leaves every page of that host. A line of one page
+alone repeats nothing, so it never is (``LEAST``): that bears on hosts of fewer than ten pages only, of which
+the ratio alone would leave no line.
 
 A page counts a line once. Counts by (host, line) are summed before the shuffle, with the line as its
 128-bit digest, so a common line or a hot host is one small row for each task. What passes is small by
@@ -12,7 +13,8 @@ else by an equi-join on host that adaptive execution may split.
 
 Edge cases: a null text has no lines and stays null; an empty text is one empty line; empty lines are never
 boilerplate, as they only set lines apart; a null host is a host of its own; repeated rows are pages of
-their own; an empty table gives no rows; other columns may have any name.
+their own; a text of any length is split as a whole; an empty table gives no rows; other columns are carried
+along and may have any name.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SCRATCH, hot_safe_key, materialize, table
+from .common import SCRATCH, col, hot_safe_key, materialize, table
 
 RATIO = 0.10
-LEAST = 5
+LEAST = 2
 BROADCAST = 8_000_000
 
 _HOST, _LINES, _DROP = f"{SCRATCH}host", f"{SCRATCH}lines", f"{SCRATCH}drop"
@@ -35,7 +37,7 @@ def _digest(line) -> "F.Column":
 
 def boilerplate(docs: DataFrame, text_column: str = "text", host_column: str = "source", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """(host key, line digest, pages, host_pages) of the lines over the ratio on their host."""
-    pages = docs.select(hot_safe_key(host_column).alias("host"), F.col(text_column).cast("string").alias("text"))
+    pages = docs.select(hot_safe_key(host_column).alias("host"), col(text_column).cast("string").alias("text"))
     on_page = F.array_distinct(F.filter(F.split("text", "\n"), lambda x: x != ""))
     seen = pages.select("host", F.explode(on_page).alias("line")).select("host", _digest(F.col("line")).alias("line"))
     counts = seen.groupBy("host", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
@@ -51,10 +53,10 @@ def drop_boilerplate(docs: DataFrame, text_column: str = "text", host_column: st
     if 48 * digests[0] + digests[1] <= BROADCAST:
         by_host = F.broadcast(by_host)
     joined = docs.withColumn(_HOST, hot_safe_key(host_column)).join(by_host, _HOST, "left")
-    lines = F.split(F.col(text_column).cast("string"), "\n")
+    lines = F.split(col(text_column).cast("string"), "\n")
     left = F.array_join(F.filter(lines, lambda x: ~F.array_contains(F.col(_DROP), _digest(x)) | (x == "")), "\n")
-    text = F.when(F.col(_DROP).isNull(), F.col(text_column)).otherwise(left)
-    return joined.select(*[text.alias(c) if c == text_column else F.col(c) for c in docs.columns])
+    text = F.when(F.col(_DROP).isNull(), col(text_column)).otherwise(left)
+    return joined.select(*[text.alias(c) if c == text_column else col(c) for c in docs.columns])
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

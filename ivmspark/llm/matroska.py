@@ -5,9 +5,10 @@
 lacings and cues become rows of track, timestamp, byte range. Both are pure functions of one value, so the
 DataFrame forms are narrow maps: no shuffle, memory of one Arrow batch.
 
-Edge cases: null or empty text gives a payload of 64 zero bytes; an empty table gives no rows; a file that
-is cut short raises ValueError in ``parse``, and ``packet_table`` returns one row for it with ``error`` set;
-repeated rows are kept; only the named columns are read, so other columns may have any name.
+Edge cases: null or empty text gives a payload of 64 zero bytes; a text of any length is one file, held as a
+whole in its row; an empty table gives no rows; bytes that are no whole Matroska file raise ValueError in
+``parse``, and ``packet_table`` returns one row for them with ``error`` set; null ids stay null, repeated rows
+are kept; only the named columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_map, table, utf8
+from .common import arrow_map, col, table, utf8
 
 # Fixed values of the format: element ids.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -179,8 +180,12 @@ def _unknown_end(data: bytes, at: int, end: int) -> int:
 def _frame_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int], int]:
     if not lacing:
         return [end - at], at
+    if at >= end:
+        raise ValueError("lace cut short")
     n = data[at] + 1
     at += 1
+    if n == 1:  # a lone frame: no size is coded
+        return [end - at], at
     if lacing == 2:
         if (end - at) % n:
             raise ValueError("fixed lace doesn't divide")
@@ -215,6 +220,8 @@ def _number(data: bytes, a: int, b: int) -> int:
 
 
 def _real(data: bytes, a: int, b: int) -> float:
+    if b - a not in (0, 4, 8):
+        raise ValueError(f"a float of {b - a} bytes at byte {a}")
     return struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0] if b > a else 0.0
 
 
@@ -338,7 +345,7 @@ def with_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 [batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([mux(payload_of(x)) for x in raw], pa.binary())], ["id", "n_bytes", "media"]
             )
 
-    narrow = docs.selectExpr(f"`{id_column}` AS id", f"CAST(`{text_column}` AS STRING) AS text")
+    narrow = docs.select(col(id_column).cast("long").alias("id"), col(text_column).cast("string").alias("text"))
     return arrow_map(narrow, run, "id long, n_bytes long, media binary")
 
 
@@ -357,13 +364,16 @@ def packet_table(media: DataFrame, id_column: str = "id", media_column: str = "m
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     p = parse(x or b"")
-                    rows += [(i, t, c, ts * p.scale, o, n, k, lacing, None) for t, c, ts, o, n, k, lacing in p.rows]
+                    found = [(i, t, c, ts * p.scale, o, n, k, lacing, None) for t, c, ts, o, n, k, lacing in p.rows]
+                    if any(abs(r[3]) >= 1 << 63 or r[1] >= 1 << 31 for r in found):
+                        raise ValueError("a timestamp or track number that no column holds")
+                    rows += found
                 except (ValueError, IndexError) as e:
                     rows.append((i, *[None] * 7, str(e)))
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return arrow_map(media.selectExpr(f"CAST(`{id_column}` AS LONG) AS id", f"`{media_column}` AS media"), run, schema)
+    return arrow_map(media.select(col(id_column).cast("long").alias("id"), col(media_column).cast("binary").alias("media")), run, schema)
 
 
 def read_back(data: bytes) -> tuple[bytes, Packets]:

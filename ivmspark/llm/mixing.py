@@ -6,14 +6,17 @@ crosses is one copy. A document so gets the rate rounded down or up, and any run
 expected copies to within one. The order is by size class, then bucket, size and id, so each class is
 sampled in its due share and a source's words come out near its target, however heavy the tail.
 
-The prefix sum is in two parts, so that no task holds a source: counts by (source, size class, bucket) are
-summed before the shuffle and prefix-summed as a table of a few thousand rows a source; the place inside
-a bucket is a row number there. Buckets are by id modulo a number that grows with the input, so a source,
-or a run of equal documents, is spread however large it is.
-
-Edge cases: a null text has size 0; a null source is a source of its own, the last; documents of size 0
-are sampled like others; repeated rows are places of their own; a source with no words has target 0; an
-empty table gives no rows. Other columns may have any name.
+The prefix sum is in three parts, so that no task holds a source: counts by (source, size class, bucket) are
+summed before the shuffle; size classes are prefix-summed within a source (some hundred rows), buckets
+within a size class, and the place inside a bucket is a row number there. Buckets are by a digest of the id,
+and as many as the input asks for, so a source, or a run of equal documents, is spread however large it is and
+whatever pattern its ids have.
+
+Edge cases: a null text has size 0; a text of any length is counted as a whole; a null source is a source of
+its own, the last; documents of size 0 are sampled like others; repeated rows are places of their own, and
+rows without an id are spread by their size; a source with no words has target 0; an empty table gives no
+rows. Other columns are carried along and may have any name. Sources are one row each where targets are
+worked out, in one task: some millions of them at most.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SCRATCH, WORD, hot_safe_key, materialize, table
+from .common import SCRATCH, WORD, col, cols, hot_safe_key, materialize, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)  # 150 %
@@ -41,7 +44,7 @@ def offset(seed: int) -> float:
 
 def sizes(docs: DataFrame, text_column: str = "text") -> "F.Column":
     """Number of words of the whole text; 0 for null."""
-    return F.coalesce(F.expr(f"regexp_count(`{text_column}`, r'{WORD}')").cast("long"), F.lit(0).cast("long"))
+    return F.coalesce(F.regexp_count(col(text_column).cast("string"), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
 def targets(by_source: DataFrame) -> DataFrame:
@@ -73,20 +76,29 @@ def targets(by_source: DataFrame) -> DataFrame:
     return w.withColumn("target", target).select("source", "source_size", "target", F.expr("IF(source_size = 0, 0.0D, target / source_size)").alias("rate"))
 
 
+def _bucket(buckets: int) -> "F.Column":
+    """By 32 bits of a digest of the id, or of the size where there is no id."""
+    name = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("n"), F.col("size").cast("string")))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") % buckets
+
+
 def plan_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: int = SEED) -> DataFrame:
     """(id, source, size, source_size, target, copies), one row a document; copies is how often the mix
     has it."""
-    sized = docs.select(F.col(id_column).cast("long").alias("id"), F.col(source_column).cast("string").alias("source"), sizes(docs, text_column).alias("size"))
+    sized = docs.select(col(id_column).cast("long").alias("id"), col(source_column).cast("string").alias("source"), sizes(docs, text_column).alias("size"))
     sized = materialize(sized, "sizes")
     buckets = BUCKETS * (1 + sized.count() // ROWS)
     # two leading digits and the number of digits: about 90 classes a decade, in order of size
     digits = F.col("size").cast("string")
     band = F.length(digits) * 100 + F.substring(F.rpad(digits, 2, "0"), 1, 2).cast("int")
-    sized = sized.select("*", hot_safe_key("source").alias("key"), band.alias("band"), F.coalesce(F.expr(f"pmod(id, {buckets})"), F.lit(-1)).alias("bucket"))
+    sized = sized.select("*", hot_safe_key("source").alias("key"), band.alias("band"), _bucket(buckets).alias("bucket"))
     counts = materialize(sized.groupBy("key", "source", "band", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "counts")
     rates = targets(counts.groupBy("source").agg(F.sum("words").alias("source_size"))).withColumn("key", hot_safe_key("source")).drop("source")
-    order = W.partitionBy("key").orderBy("band", "bucket").rowsBetween(W.unboundedPreceding, -1)
-    before = counts.select("key", "band", "bucket", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before")).join(rates, "key")
+    ahead = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bands = counts.groupBy("key", "band").agg(F.sum("n").alias("n"))
+    bands = bands.select("key", "band", ahead(W.partitionBy("key").orderBy("band"), "n").alias("lower")).join(rates, "key")
+    before = counts.select("key", "band", "bucket", ahead(W.partitionBy("key", "band").orderBy("bucket"), "n").alias("within")).join(bands, ["key", "band"])
+    before = before.withColumn("before", F.col("lower") + F.col("within")).drop("lower", "within")
     inside = W.partitionBy("key", "band", "bucket").orderBy("size", "id")
     placed = sized.select("*", F.row_number().over(inside).alias("place")).join(before, ["key", "band", "bucket"])
     u, at = offset(seed), F.col("before") + F.col("place")
@@ -101,15 +113,15 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     plan = plan_copies(docs, id_column, text_column, source_column, seed)
     same = W.partitionBy("id").orderBy("size", "source", "copies")
     plan = materialize(plan.select(F.col("id").alias(key), F.col("copies").alias(n), F.row_number().over(same).alias(place)), "copies")
-    mine = docs.withColumn(f"{SCRATCH}i", F.col(id_column).cast("long"))
+    mine = docs.withColumn(f"{SCRATCH}i", col(id_column).cast("long"))
     on = [F.col(f"{SCRATCH}i").eqNullSafe(F.col(key))]
     if plan.where(f"`{place}` > 1").limit(1).count():
-        again = W.partitionBy(f"{SCRATCH}i").orderBy(sizes(docs, text_column), source_column, text_column)
+        again = W.partitionBy(f"{SCRATCH}i").orderBy(sizes(docs, text_column), col(source_column), col(text_column))
         mine = mine.withColumn(f"{SCRATCH}p", F.row_number().over(again))
         on.append(F.col(f"{SCRATCH}p") == F.col(place))
     # hashed at every size: the plan is a few bytes a document, texts are dealt out once, unsorted
     joined = mine.join(plan.where(f"`{n}` > 0").hint("shuffle_hash"), on)
-    return joined.select(*docs.columns, F.explode(F.expr(f"sequence(1L, `{n}`)")).alias(f"{SCRATCH}k")).drop(f"{SCRATCH}k")
+    return joined.select(*cols(docs), F.explode(F.expr(f"sequence(1L, `{n}`)")).alias(f"{SCRATCH}k")).drop(f"{SCRATCH}k")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +154,8 @@ o AS (
     CASE WHEN g.source_size = 0 THEN 0::DOUBLE ELSE g.target / g.source_size END AS rate,
     row_number() OVER (PARTITION BY s.source ORDER BY
       length(size::VARCHAR) * 100 + CAST(substr(rpad(size::VARCHAR, 2, '0'), 1, 2) AS INT),
-      coalesce(doc_id % ({BUCKETS} * (1 + (SELECT count(*) FROM s) // {ROWS})), -1), size, doc_id NULLS FIRST) AS place
+      ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'n' || size)), 1, 8))::BIGINT % ({BUCKETS} * (1 + (SELECT count(*) FROM s) // {ROWS})),
+      size, doc_id NULLS FIRST) AS place
   FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM (
   SELECT *, (floor(place * rate + {offset(SEED)!r}::DOUBLE) - floor((place - 1) * rate + {offset(SEED)!r}::DOUBLE))::BIGINT AS copies FROM o)

@@ -3,8 +3,9 @@
 ``write_monolithic`` puts a response record for each page in WARC files that are one gzip stream each, as
 careless writers do: nothing in such a file can be reached but by inflating all before it. ``normalise``
 inflates each stream once, rewrites every record as a gzip member of its own, and writes a sidecar index of
-offsets; on the way, records whose payload another record already has become revisits. ``read_archives``
-reaches records through the index.
+offsets; on the way, responses whose payload another record already has become revisits. ``read_archives``
+reaches records through the index. Archives of other writers are listed by ``scan_streams`` and take the same
+way: their warcinfo, request, metadata and other records pass through byte by byte.
 
 Which record of equal payloads stays a response is decided on (digest, page id) pairs alone: a maximum
 for each digest, summed before the shuffle, and an equi-join that only digests held twice or more take
@@ -13,10 +14,14 @@ memory is one chunk of a stream and the largest record. Files go to the folder e
 names its files afresh and lists them in its output rows, so files of a lost or repeated attempt are never
 read.
 
-Edge cases: null html is an empty payload; equal empty payloads are revisits like others (``LEAST`` 0);
-null page ids count as smallest; of rows with the same id and payload one is the response; a payload
-shorter than ``least`` is always a response; an empty table gives no files and no rows; a stream that ends
-early, or holds no WARC record where one should start, raises ValueError.
+Heads are read as they come: names of fields in any case, with or without a blank after the colon, folded
+lines, bytes that are no UTF-8.
+
+Edge cases: null html is an empty payload, a null url an empty one; equal empty payloads are revisits like
+others (``LEAST`` 0); a page of any size is one record; null page ids count as smallest; of rows with the same
+id and payload one is the response; a payload shorter than ``least`` is always a response; an empty table
+gives no files and no rows; other columns may have any name; a stream that ends early, or holds no WARC
+record where one should start, raises ValueError.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, open_file, read_file, scratch_path, table, texts, utf8, write_file
+from .common import arrow_map, col, materialize, open_file, read_file, scratch_path, table, texts, utf8, write_file
 
 ROLL = 32_000_000
 LEAST = 0
@@ -44,31 +49,69 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _head(kind: str, fields: list[tuple[str, str]], length: int) -> bytes:
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", *(f"{k}: {v}" for k, v in fields), f"Content-Length: {length}"]
-    return ("\r\n".join(lines) + "\r\n\r\n").encode()
+class Record:
+    """A record as it was: its head (bytes, without the empty line), its fields and its body."""
+
+    def __init__(self, head: bytes, body: bytes):
+        self.head, self.body, self.fields = head, body, []
+        for line in head.decode("utf-8", "surrogateescape").split("\r\n")[1:]:
+            if line[:1] in " \t" and self.fields:
+                name, value = self.fields[-1]
+                self.fields[-1] = name, f"{value} {line.strip()}".strip()
+            else:
+                name, _, value = line.partition(":")
+                self.fields.append((name.strip(), value.strip()))
+        self._by_name = {k.lower(): v for k, v in reversed(self.fields)}
+
+    def get(self, name: str) -> str | None:
+        return self._by_name.get(name.lower())
+
+    @property
+    def kind(self) -> str:
+        return (self.get("WARC-Type") or "").lower()
+
+    @property
+    def payload(self) -> bytes:
+        """A response's body after its HTTP head; another record's whole body."""
+        if self.kind == "response" and (self.get("Content-Type") or "application/http").lower().startswith("application/http"):
+            _, cut, payload = self.body.partition(b"\r\n\r\n")
+            return payload if cut else self.body
+        return self.body
+
+    def bytes(self) -> bytes:
+        return self.head + b"\r\n\r\n" + self.body + b"\r\n\r\n"
+
+
+def _record(kind: str, fields: list[tuple[str, str]], body: bytes) -> Record:
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", *(f"{k}: {v}" for k, v in fields), f"Content-Length: {len(body)}"]
+    return Record("\r\n".join(lines).encode("utf-8", "surrogateescape"), body)
 
 
 def response(record: str, page_id, url: str, payload: bytes, sha: str) -> bytes:
     """A response record: HTTP head and payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     fields = [("WARC-Record-ID", record), ("WARC-Date", _DATE), ("WARC-Target-URI", url), ("WARC-Payload-Digest", "sha1:" + sha), ("X-Page-ID", _id(page_id)), ("Content-Type", "application/http;msgtype=response")]
-    return _head("response", fields, len(http) + len(payload)) + http + payload + b"\r\n\r\n"
+    return _record("response", fields, http + payload).bytes()
 
 
-def revisit(fields: dict[str, str], refers_to, size: int) -> bytes:
-    """The revisit record of a response's fields: no body; the full payload's length in a field."""
-    keep = [(k, v) for k, v in fields.items() if k not in ("WARC-Type", "Content-Length", "Content-Type")]
-    more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{_id(refers_to)}>"), ("X-Payload-Length", str(size))]
-    return _head("revisit", keep + more, 0) + b"\r\n\r\n"
+def revisit(was: Record, refers_to: str, page_id, size: int, sha: str) -> Record:
+    """The revisit record of a response: no body; the full payload's length and digest in fields, and whose
+    payload it is, by record id and page."""
+    gone = {"warc-type", "content-length", "content-type", "warc-payload-digest", "warc-block-digest"}
+    keep = [(k, v) for k, v in was.fields if k.lower() not in gone]
+    more = [
+        ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Payload-Digest", f"sha1:{sha}"),
+        ("WARC-Refers-To", refers_to), ("X-Refers-To-Page-ID", _id(page_id)), ("X-Payload-Length", str(size)),
+    ]
+    return _record("revisit", keep + more, b"")
 
 
 def _id(page_id) -> str:
     return "null" if page_id is None else str(page_id)
 
 
-def _number(text: str):
-    return None if text == "null" else int(text)
+def _number(text: str | None):
+    return int(text) if text and text.lstrip("-").isdigit() else None
 
 
 def _clean(url: str) -> str:
@@ -99,37 +142,45 @@ def inflate(chunks):
 
 
 def records(pieces):
-    """(fields, body) of each WARC record in a byte stream."""
-    held = bytearray()
+    """Each WARC record in a byte stream."""
+    held, start = bytearray(), 0
     pieces = iter(pieces)
 
     def fill(n: int) -> bool:
-        while len(held) < n:
+        nonlocal start
+        while len(held) - start < n:
             piece = next(pieces, None)
             if piece is None:
                 return False
+            if start:
+                del held[:start]
+                start = 0
             held.extend(piece)
         return True
 
     while True:
-        while fill(2) and held[:2] == b"\r\n":
-            del held[:2]
-        if not held:
+        while fill(2) and held[start : start + 2] == b"\r\n":
+            start += 2
+        if len(held) == start:
             return
-        end = -1
-        while (end := held.find(b"\r\n\r\n")) < 0:
-            if not fill(len(held) + 1):
+        sought = start
+        while (end := held.find(b"\r\n\r\n", sought)) < 0:
+            known = len(held) - start
+            if not fill(known + 1):
                 raise ValueError("a record's head is cut short")
-        head = held[:end].decode("utf-8").split("\r\n")
-        if not head[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record: {head[0][:40]!r}")
-        fields = dict(line.split(": ", 1) for line in head[1:])
-        n = int(fields["Content-Length"])
-        if not fill(end + 4 + n):
+            sought = max(start, start + known - 3)
+        head = bytes(held[start:end])
+        if not head.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record: {head[:40]!r}")
+        found = Record(head, b"")
+        n, at = found.get("Content-Length"), end + 4 - start
+        if n is None or not n.isdigit():
+            raise ValueError(f"a record of no length: {head[:200]!r}")
+        if not fill(at + int(n)):
             raise ValueError("a record's body is cut short")
-        body = bytes(held[end + 4 : end + 4 + n])
-        del held[: end + 4 + n]
-        yield fields, body
+        found.body = bytes(held[start + at : start + at + int(n)])
+        start += at + int(n)
+        yield found
 
 
 def _chunks(uri: str, size: int = 1 << 20):
@@ -140,30 +191,55 @@ def _chunks(uri: str, size: int = 1 << 20):
 
 # ---- stages -----------------------------------------------------------------------------------------
 
-_WRITTEN = "file string, ordinal long, page_id long, payload_bytes long, payload_digest string"
+_WRITTEN = "file string, ordinal long, record string, page_id long, payload_bytes long, payload_digest string"
+
+
+def _written(rows):
+    import pyarrow as pa
+
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 6, kinds)], [x.split()[0] for x in _WRITTEN.split(", ")])
+
+
+def scan_streams(files: DataFrame) -> DataFrame:
+    """From (file): what ``write_monolithic`` says of its own, for archives of any writer: a row for each
+    response, with the page's id if the record has an X-Page-ID."""
+
+    def run(batches):
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                rows = []
+                for ordinal, r in enumerate(records(inflate(_chunks(uri)))):
+                    if r.kind == "response":
+                        rows.append((uri, ordinal, r.get("WARC-Record-ID"), _number(r.get("X-Page-ID")), len(r.payload), digest(r.payload)))
+                        if len(rows) >= 4096:
+                            yield _written(rows)
+                            rows = []
+                if rows:
+                    yield _written(rows)
+
+    return arrow_map(files.select("file"), run, _WRITTEN)
 
 
 def write_monolithic(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", roll: int = ROLL) -> DataFrame:
     """Response records in whole-file gzip streams in the folder; a row for each record."""
 
     def run(batches):
-        import pyarrow as pa
-
         uri, z, parts, rows, size = None, None, [], [], 0
 
         def close():
             parts.append(z.flush())
             write_file(uri, parts)
-            columns = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()])], [x.split()[0] for x in _WRITTEN.split(", ")])
+            return _written(rows)
 
         for batch in batches:
             for page_id, url, payload in zip(batch.column(0).to_pylist(), texts(batch.column(1)), utf8(batch.column(2))):
                 if uri is None:
                     uri, z = f"{folder}/mono-{uuid.uuid4().hex}.warc.gz", zlib.compressobj(LEVEL, zlib.DEFLATED, _GZIP)
                 sha = digest(payload)
-                parts.append(z.compress(response(f"<urn:uuid:{uuid.uuid4()}>", page_id, _clean(url), payload, sha)))
-                rows.append((uri, len(rows), page_id, len(payload), sha))
+                record = f"<urn:uuid:{uuid.uuid4()}>"
+                parts.append(z.compress(response(record, page_id, _clean(url), payload, sha)))
+                rows.append((uri, len(rows), record, page_id, len(payload), sha))
                 size += len(payload) + 512
                 if size >= roll:
                     yield close()
@@ -171,18 +247,18 @@ def write_monolithic(pages: DataFrame, folder: str, id_column: str = "page_id",
         if uri is not None:
             yield close()
 
-    narrow = pages.selectExpr(f"CAST(`{id_column}` AS LONG) AS page_id", f"CAST(`{url_column}` AS STRING) AS url", f"CAST(`{html_column}` AS STRING) AS html")
+    narrow = pages.select(col(id_column).cast("long").alias("page_id"), col(url_column).cast("string").alias("url"), col(html_column).cast("string").alias("html"))
     return arrow_map(narrow, run, _WRITTEN)
 
 
 def decisions(written: DataFrame, least: int = LEAST) -> DataFrame:
-    """(file, revisits): for each file the ordinals whose records become revisits and the page each refers
-    to. Of equal payloads the record of largest page id stays, by file and place among equals."""
-    known = written.where(F.col("payload_bytes") >= least).select("payload_digest", F.struct("page_id", "file", "ordinal").alias("r"))
+    """(file, revisits): for each file the ordinals whose records become revisits and the record and page
+    each refers to. Of equal payloads the record of largest page id stays, by file and place among equals."""
+    known = written.where(F.col("payload_bytes") >= least).select("payload_digest", F.struct("page_id", "file", "ordinal", "record").alias("r"))
     kept = known.groupBy("payload_digest").agg(F.max("r").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
     gone = known.join(kept, "payload_digest").where("r <> kept")
     files = written.select("file").distinct()
-    lists = gone.groupBy("r.file").agg(F.collect_list(F.struct(F.col("r.ordinal").alias("ordinal"), F.col("kept.page_id").alias("refers_to"))).alias("revisits"))
+    lists = gone.groupBy("r.file").agg(F.collect_list(F.struct(F.col("r.ordinal").alias("ordinal"), F.col("kept.page_id").alias("page_id"), F.col("kept.record").alias("record"))).alias("revisits"))
     return files.join(lists, "file", "left")
 
 
@@ -196,22 +272,19 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             rows = []
             for uri, gone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                gone = {x["ordinal"]: x["refers_to"] for x in gone or []}
+                gone = {x["ordinal"]: x for x in gone or []}
                 name = f"{folder}/norm-{uuid.uuid4().hex}.warc.gz"
                 index: list[str] = []
 
                 def members():
                     at = 0
-                    for ordinal, (fields, body) in enumerate(records(inflate(_chunks(uri)))):
-                        kind = "revisit" if ordinal in gone else "response"
-                        if kind == "revisit":
-                            raw = revisit(fields, gone[ordinal], len(body) - body.index(b"\r\n\r\n") - 4)
-                        else:
-                            head = [(k, v) for k, v in fields.items() if k not in ("WARC-Type", "Content-Length")]
-                            raw = _head("response", head, len(body)) + body + b"\r\n\r\n"
+                    for ordinal, r in enumerate(records(inflate(_chunks(uri)))):
+                        if kept := gone.get(ordinal):
+                            payload = r.payload
+                            r = revisit(r, kept["record"] or "", kept["page_id"], len(payload), digest(payload))
                         z = zlib.compressobj(LEVEL, zlib.DEFLATED, _GZIP)
-                        member = z.compress(raw) + z.flush()
-                        index.append(f"{at} {len(member)} {kind} {fields['X-Page-ID']}")
+                        member = z.compress(r.bytes()) + z.flush()
+                        index.append(f"{at} {len(member)} {r.kind or '-'} {r.get('X-Page-ID') or '-'}")
                         at += len(member)
                         yield member
 
@@ -224,21 +297,24 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
     return arrow_map(files, run, "archive string, sidecar string, records long, bytes long")
 
 
-def read_record(f, offset: int, length: int) -> tuple[dict[str, str], bytes]:
+def read_record(f, offset: int, length: int) -> Record:
     """One record of an archive, reached by its index entry alone."""
     f.seek(offset)
     return next(records(inflate([f.read(length)])))
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """A row for each record: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload
-    (null for revisits), archive, offset, length."""
-    schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, archive string, offset long, length long"
+    """A row for each record: page_id, url, record_type, refers_to (a page), payload_bytes, payload_digest,
+    payload (null for revisits), archive, offset, length, record, refers_to_record."""
+    schema = (
+        "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, archive string, offset long, length long, "
+        "record string, refers_to_record string"
+    )
 
     def run(batches):
         import pyarrow as pa
 
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = [x.split()[0] for x in schema.split(", ")]
 
         def out(rows):
@@ -250,15 +326,14 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 with open_file(name) as f:
                     for line in read_file(sidecar).decode().splitlines():
                         offset, length = map(int, line.split()[:2])
-                        fields, body = read_record(f, offset, length)
-                        url, kind = fields["WARC-Target-URI"], fields["WARC-Type"]
-                        page = _number(fields["X-Page-ID"])
+                        r = read_record(f, offset, length)
+                        page, url, kind, own = _number(r.get("X-Page-ID")), r.get("WARC-Target-URI"), r.kind, r.get("WARC-Record-ID")
                         if kind == "revisit":
-                            refers = _number(fields["WARC-Refers-To"][len("<urn:page:") : -1])
-                            rows.append((page, url, kind, refers, int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"][5:], None, name, offset, length))
+                            size, sha = _number(r.get("X-Payload-Length")), (r.get("WARC-Payload-Digest") or "").removeprefix("sha1:") or None
+                            rows.append((page, url, kind, _number(r.get("X-Refers-To-Page-ID")), size, sha, None, name, offset, length, own, r.get("WARC-Refers-To")))
                         else:
-                            payload = body[body.index(b"\r\n\r\n") + 4 :]
-                            rows.append((page, url, kind, None, len(payload), digest(payload), payload, name, offset, length))
+                            payload = r.payload
+                            rows.append((page, url, kind, None, len(payload), digest(payload), payload, name, offset, length, own, None))
                             held += len(payload)
                         if held > 4_000_000 or len(rows) >= 1024:
                             yield out(rows)
@@ -269,6 +344,15 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return arrow_map(archives.select("archive", "sidecar"), run, schema)
 
 
+def normalise_archives(files: DataFrame, least: int = LEAST) -> DataFrame:
+    """Archives of any writer, from (file): (archive, sidecar, records, bytes), in the shared folder."""
+    spark = files.sparkSession
+    files = files.select("file").distinct()
+    found = materialize(scan_streams(_spread(files)), "warc-found")
+    gone = materialize(files.join(decisions(found, least), "file", "left"), "warc-decisions")
+    return materialize(_spread(normalise(_spread(gone), scratch_path(spark, "warc-out"))), "warc-archives")
+
+
 def archive(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """Pages written, normalised and listed: (archive, sidecar, records, bytes), in the shared folder."""
     spark = pages.sparkSession

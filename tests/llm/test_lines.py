@@ -35,5 +35,11 @@ def test_query_is_its_sql(spark, edge, small, empty, tmp_path):
 
 
 def test_columns_stay(spark, small):
-    df = small.selectExpr("*", "1 AS host", "2 AS line", "3 AS pages")
-    assert l.drop_boilerplate(df).columns == df.columns
+    df = small.selectExpr("*", "1 AS host", "2 AS line", "3 AS pages", "4 AS `a.b`")
+    kept = l.drop_boilerplate(df)
+    assert kept.columns == df.columns and {(r["host"], r["a.b"]) for r in kept.collect()} == {(1, 4)}
+
+
+def test_a_small_hosts_footer_goes_and_its_lone_lines_stay(spark):
+    docs = spark.createDataFrame([(i, f"page {i} of this\n" + ("the footer" if i < 4 else "an ending"), "host") for i in range(6)], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["text"] for r in l.drop_boilerplate(docs).collect()} == {i: f"page {i} of this" for i in range(6)}

@@ -38,6 +38,44 @@ def test_unknown_sizes_groups_and_foreign_elements():
     assert [(r[1], r[2], r[5]) for r in p.rows] == [(0, 8, False), (1, 8, False)] and [data[r[3] : r[3] + r[4]] for r in p.rows] == [b"xyz"] * 2
 
 
+def test_one_frame_in_a_lace():
+    for lacing in (1, 2, 3):
+        block = m.element(m.SIMPLE_BLOCK, m.vint(1) + b"\x00\x00" + bytes([0x80 | lacing << 1, 0]) + b"frame")
+        data = m._HEADER + m.element(m.SEGMENT, m.element(m.CLUSTER, m.uint(m.TIMESTAMP, 0) + block))
+        p = m.parse(data)
+        assert [data[r[3] : r[3] + r[4]] for r in p.rows] == [b"frame"]
+
+
+def test_any_bytes_give_packets_or_an_error(spark):
+    """Every byte of a small file, changed, and its every prefix: rows or an error, never a dead task."""
+    good = m.mux(m.payload_of(b"seven" * 300))
+    rng = random.Random(8)
+    bad = [good[:i] + bytes([rng.randrange(256)]) + good[i + 1 :] for i in range(len(good) - len(b"seven" * 300))] + [good[:i] for i in range(0, len(good), 7)]
+    short = m._HEADER + m.element(m.SEGMENT, m.element(m.INFO, m.element(m.DURATION, b"\x00\x01")))
+    found = m.packet_table(spark.createDataFrame([(i, x) for i, x in enumerate([short, *bad])], "id long, `media.x` binary"), media_column="media.x").collect()
+    assert [r["error"] for r in found if r["id"] == 0] == ["a float of 2 bytes at byte " + str(len(short) - 2)]
+    assert {r["id"] for r in found} >= {r for r in range(len(good), len(bad))} and all((r["error"] is None) != (r["offset"] is None) for r in found)
+
+
+def plain_feature(payload):
+    """What op1's feature says of a payload, from the way it is laid out."""
+    frames = [payload[i : i + m.FRAME] for i in range(0, len(payload), m.FRAME)]
+    span = m.LACED * m.BLOCKS
+    kinds = {}
+    for c in range(0, len(frames), span):
+        cluster = frames[c : c + span]
+        for b in range(0, len(cluster), m.LACED):
+            block = cluster[b : b + m.LACED]
+            kind = "none" if len(block) == 1 else "fixed" if len(block[-1]) == m.FRAME else "ebml" if len(block) % 2 else "xiph"
+            kinds[kind] = kinds.get(kind, 0) + len(block)
+    n = -(-len(frames) // span)
+    laced = ",".join(f"{k}:{kinds[k]}" for k in m.LACINGS if k in kinds)
+    return (
+        f"tracks=1;clusters={n};packets={len(frames)};cues={n};cues_ok=1;laced={laced};last_ms={64 * (len(frames) - 1)};"
+        f"duration_ms={len(payload) / 8:g};sum={sum(payload)};peak={max(payload)};zeros={payload.count(0)}"
+    )
+
+
 def test_damage():
     good = m.mux(m.payload_of(b"x" * 5000))
     for bad in (b"", b"nothing", good[: len(good) // 2], good[:-1]):
@@ -55,11 +93,11 @@ def test_packet_table(spark, edge):
 
 def test_query(spark, edge, empty, tmp_path):
     def check(df, folder):
-        got = {(r["doc_id"], r["n_bytes"], r["payload_sha256"], r["tail_crc32"], r["payload_bytes"]) for r in m.op1_matroska(spark, folder).collect()}
+        got = {(r["doc_id"], r["n_bytes"], r["payload_sha256"], r["tail_crc32"], r["payload_bytes"], r["media_bytes"], r["media_sha256"], r["feature"]) for r in m.op1_matroska(spark, folder).collect()}
         want = set()
         for r in df.collect():
             p = m.payload_of((r["text"] or "").encode())
-            want.add((r["doc_id"], len((r["text"] or "").encode()), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(p)))
+            want.add((r["doc_id"], len((r["text"] or "").encode()), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(p), len(m.mux(p)), hashlib.sha256(m.mux(p)).hexdigest(), plain_feature(p)))
         assert got == want
 
     check(edge, sf_dir(edge, tmp_path / "a"))

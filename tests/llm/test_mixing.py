@@ -71,5 +71,14 @@ def test_mixed_rows(spark, edge, small, empty):
 
 
 def test_clashing_columns(spark, small):
-    df = small.limit(20).selectExpr("*", "1 AS size", "2 AS copies", "3 AS id", "4 AS target")
-    assert m.mix(df).columns == df.columns
+    df = small.limit(20).selectExpr("*", "1 AS size", "2 AS copies", "3 AS id", "4 AS target", "5 AS `a.b`")
+    mixed = m.mix(df)
+    assert mixed.columns == df.columns and {r["a.b"] for r in mixed.collect()} == {5}
+
+
+def test_ids_of_a_pattern_are_spread(spark):
+    """Whatever step the ids have, and without ids, no bucket gets many."""
+    docs = spark.range(20_000).selectExpr("id * 61 AS doc_id", "concat_ws(' ', sequence(0, 99 + id % 7)) AS text", "'a' AS source")
+    sized = docs.select(m.col("doc_id").alias("id"), m.sizes(docs).alias("size"))
+    top = sized.groupBy(m._bucket(m.BUCKETS).alias("b")).count().agg({"count": "max", "b": "count"}).first()
+    assert top["max(count)"] < 2 * 20_000 / m.BUCKETS and top["count(b)"] == m.BUCKETS

@@ -51,6 +51,12 @@ def test_every_member_stands_alone(spark, monkeypatch):
     assert all(given[k] == v for k, v in back.items()) and back
 
 
+def test_columns_of_any_name_and_what_revisits_refer_to(spark):
+    df = spark.createDataFrame([(1, "u", "x", 5), (2, "v", "x", 6)], "page_id long, url string, html string, `payload.digest` int")
+    back = {r["page_id"]: r for r in w.read_archives(w.archive(df)).collect()}
+    assert back[1]["refers_to"] == 2 and back[1]["refers_to_record"] == back[2]["record"] and back[2]["record"].startswith("<urn:uuid:")
+
+
 def test_least_payload(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     kinds = {r["record_type"] for r in w.read_archives(w.archive(df, least=2)).collect()}
@@ -74,3 +80,36 @@ def test_streams():
             list(w.records(w.inflate([bad])))
     with pytest.raises(ValueError, match="no WARC"):
         list(w.records([b"HTTP/1.1 200 OK\r\n\r\n"]))
+
+
+def foreign():
+    """An archive by another hand: five kinds of records, loose heads, several gzip members."""
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    make = lambda kind, more, body: (f"WARC/1.0\r\nwarc-type:{kind}\r\n{more}CONTENT-LENGTH:{len(body)}\r\n\r\n").encode("latin-1") + body + b"\r\n\r\n"
+    return [
+        make("warcinfo", "WARC-Record-ID: <i>\r\nContent-Type: application/warc-fields\r\n", b"software: other\r\n"),
+        make("request", "WARC-Record-ID: <q>\r\nWARC-Target-URI: http://a/\r\n", b"GET / HTTP/1.1\r\n\r\n"),
+        make("response", "WARC-Record-ID: <r1>\r\nWARC-Target-URI: http://a/\r\n  tail\r\nX-Odd: \xe9\r\n", http + b"same payload"),
+        make("metadata", "WARC-Record-ID: <m>\r\n", b"fetchTimeMs: 1"),
+        make("response", "WARC-Record-ID: <r2>\r\nWARC-Target-URI: http://b/\r\n", http + b"same payload"),
+        make("response", "WARC-Record-ID: <r3>\r\n", b"no http head"),
+        make("resource", "WARC-Record-ID: <s>\r\n", b""),
+    ]
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    raw = foreign()
+    pack = lambda x: (z := zlib.compressobj(6, zlib.DEFLATED, 31)).compress(x) + z.flush()
+    (tmp_path / "one.warc.gz").write_bytes(pack(b"".join(raw)))
+    (tmp_path / "many.warc.gz").write_bytes(b"".join(pack(b"".join(raw[i : i + 2])) for i in range(0, len(raw), 2)))
+    for name in ("one", "many"):
+        files = spark.createDataFrame([(str(tmp_path / f"{name}.warc.gz"),)], "file string")
+        back = w.read_archives(w.normalise_archives(files)).orderBy("offset").collect()
+        assert [r["record_type"] for r in back] == ["warcinfo", "request", "revisit", "metadata", "response", "response", "resource"]
+        assert [r["record"] for r in back] == ["<i>", "<q>", "<r1>", "<m>", "<r2>", "<r3>", "<s>"]
+        assert (back[2]["refers_to_record"], back[2]["payload_bytes"], back[2]["url"]) == ("<r2>", 12, "http://a/ tail")
+        assert [bytes(back[i]["payload"]) for i in (0, 1, 4, 5, 6)] == [b"software: other\r\n", b"GET / HTTP/1.1\r\n\r\n", b"same payload", b"no http head", b""]
+        archive = w.normalise_archives(files).first()
+        data = read_file(archive["archive"])
+        whole = [zlib.decompress(data[int(a) : int(a) + int(b)], 31) for a, b, *_ in (x.split() for x in read_file(archive["sidecar"]).decode().splitlines())]
+        assert [x for i, x in enumerate(whole) if i != 2] == [x for i, x in enumerate(raw) if i != 2]  # byte by byte
