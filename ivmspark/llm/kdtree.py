@@ -11,67 +11,93 @@ can't pass it are never opened. Ties count: a box is dropped only if its bound i
 equal scores go to the smaller id. Scores are exact: in floating point while components are below 2^20,
 in Python's numbers beyond.
 
-Queries against all shards is a stated set against all rows, in blocks: a shard is one group, queries come
-to it in blocks of their own, and what a shard gives back is at most k rows a query. Groups are of bounded
-size: the number of shards and of query blocks follows the table's rows.
+Queries against all shards is a stated set against all rows, in blocks. A shard's tree is built once, where its
+home queries are searched, and is written to the shared folder, as are those queries with their kth scores.
+From there on only the names of files move: a task takes one shard's tree and reads the other shards' queries
+file by file, so vectors are shuffled once, into shards, and memory is a tree and a file of queries. A task
+lists its files in its output rows, so files of lost attempts are never read.
+
+A row is told from others by a number of its own, not by its id: a query's own row takes no part in its
+answer, a copy of it does.
 
 Edge cases: vectors that are null, empty or hold a null or non-finite component take no part; vectors of
-other lengths aren't compared; repeated rows and ids are candidates each, ordered by score, then id; null
-ids take no part; fewer candidates than k give what there is; an empty table gives no rows. Scores too
-large for a 64-bit number raise OverflowError.
+other lengths aren't compared; repeated rows and ids are candidates each, ordered by score, then id, and a
+repeated query row has an answer of its own; null ids take no part; fewer candidates than k give what there
+is; an empty table gives no rows; other columns may have any name. Scores too large for a 64-bit number raise
+OverflowError.
 """
 
 from __future__ import annotations
 
 import heapq
+import io
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import arrow_map, col, materialize, read_file, scratch_path, table, write_file
 
 K = 20
 LEAF = 256
-#: Rows of a shard and queries of a block, on average.
-SHARD, QUERIES = 16_384, 8_192
+#: Rows of a shard, on average.
+SHARD = 16_384
 #: Components below this keep products and sums of any usual length exact in 64-bit floating point.
 _EXACT = 1 << 20
 
 
 class KDTree:
-    """A tree over integer vectors (rows of a float64 matrix of whole numbers) and their ids."""
+    """A tree over integer vectors (rows of a matrix of whole numbers), with their ids and row numbers. Rows
+    lie in the order of the leaves; nodes are arrays of bounds, children (-1: a leaf) and places."""
+
+    PARTS = ("ids", "rows", "vectors", "lo", "hi", "kids", "places")
 
-    def __init__(self, ids, vectors, leaf: int = LEAF):
+    def __init__(self, ids, rows, vectors, leaf: int = LEAF):
         import numpy as np
 
-        self.ids, self.vectors = ids, vectors
-        self.lo, self.hi, self.children, self.rows = [], [], [], []
-
-        def build(at) -> int:
-            me = len(self.lo)
-            part = vectors[at]
-            lo, hi = part.min(0), part.max(0)
-            self.lo.append(lo)
-            self.hi.append(hi)
-            self.children.append(None)
-            self.rows.append(None)
-            side = int(np.argmax(hi - lo))
-            if len(at) <= leaf or hi[side] == lo[side]:
-                self.rows[me] = at
-                return me
-            half = len(at) // 2
-            order = np.argpartition(part[:, side], half)
-            self.children[me] = (build(at[order[:half]]), build(at[order[half:]]))
+        lo, hi, kids, places = [], [], [], []
+        order = np.arange(len(ids))
+
+        def build(a: int, b: int) -> int:
+            me = len(lo)
+            part = vectors[order[a:b]]
+            lo.append(part.min(0))
+            hi.append(part.max(0))
+            kids.append((-1, -1))
+            places.append((a, b))
+            side = int(np.argmax(hi[me] - lo[me]))
+            if b - a > leaf and hi[me][side] > lo[me][side]:
+                half = (b - a) // 2
+                order[a:b] = order[a:b][np.argpartition(part[:, side], half)]
+                kids[me] = build(a, a + half), build(a + half, b)
             return me
 
         if len(ids):
-            build(np.arange(len(ids)))
-        self.lo, self.hi = (np.array(x) for x in (self.lo, self.hi))
+            build(0, len(ids))
+        self.ids, self.rows, self.vectors = ids[order], rows[order], vectors[order]
+        self.lo, self.hi, self.kids, self.places = (np.array(x) for x in (lo, hi, kids, places))
+
+    def pack(self) -> dict:
+        """The parts as matrices of 64-bit numbers."""
+        import numpy as np
+
+        return {k: np.asarray(getattr(self, k)).astype(np.int64) for k in self.PARTS}
+
+    @classmethod
+    def unpack(cls, parts: dict, exact: bool) -> KDTree:
+        """exact: in Python's numbers, else in floating point."""
+        import numpy as np
+
+        self = object.__new__(cls)
+        for k in cls.PARTS:
+            x = parts[k]
+            setattr(self, k, x.astype(object if exact else np.float64) if k in ("vectors", "lo", "hi") else x)
+        return self
 
     def search(self, query, own, k: int, floor=None) -> list[tuple]:
-        """Up to k (score, id), best first and smaller ids first, of vectors not the query's own whose
-        score is at least floor."""
+        """Up to k (score, id), best first and smaller ids first, of all but row own whose score is at least
+        floor."""
         import numpy as np
 
         best: list[tuple] = []  # a heap of (score, -id): its first is the worst kept
@@ -83,21 +109,21 @@ class KDTree:
             bound, node = heapq.heappop(waiting)
             if floor is not None and -bound < floor:
                 break
-            rows = self.rows[node]
-            if rows is None:
-                kids = list(self.children[node])
+            kids = self.kids[node]
+            if kids[0] >= 0:
                 bounds = self.hi[kids] @ up + self.lo[kids] @ down
-                for c, b in zip(kids, bounds.tolist()):
+                for c, b in zip(kids.tolist(), bounds.tolist()):
                     if floor is None or b >= floor:
                         heapq.heappush(waiting, (-b, c))
                 continue
-            scores = self.vectors[rows] @ query
-            fit = np.arange(len(rows)) if floor is None else np.flatnonzero(scores >= floor)
+            a, b = self.places[node]
+            scores = self.vectors[a:b] @ query
+            fit = np.arange(b - a) if floor is None else np.flatnonzero(scores >= floor)
             if len(fit) > 2 * k + 2:  # the kth of these is a floor; equals of it stay
                 kth = np.partition(scores[fit], len(fit) - k - 1)[len(fit) - k - 1]
                 fit = fit[scores[fit] >= kth]
-            for s, i in zip(scores[fit].tolist(), self.ids[rows[fit]].tolist()):
-                if i != own:
+            for s, i, row in zip(scores[fit].tolist(), self.ids[a + fit].tolist(), self.rows[a + fit].tolist()):
+                if row != own:
                     if len(best) < k:
                         heapq.heappush(best, (s, -i))
                     elif (s, -i) > best[0]:
@@ -107,63 +133,143 @@ class KDTree:
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
-def _matrices(*lists: list):
-    """Lists of integers as matrices: floating point where scores are exact in it, else Python's own
-    numbers, which are exact at any size and slower."""
+def _exact(*matrices) -> bool:
+    """Whether scores need Python's whole numbers, which are exact at any size and slower."""
+    return any(m.size and max(int(m.max()), -int(m.min())) >= _EXACT for m in matrices)
+
+
+def _by_length(table, *columns: str) -> dict[int, tuple]:
+    """An Arrow table of rows with vectors v: for each length of vectors their matrix and the other columns."""
+    import numpy as np
+
+    v = table["v"].combine_chunks()
+    lengths = np.diff(v.offsets.to_numpy())
+    flat = v.values.to_numpy(zero_copy_only=False)[v.offsets[0].as_py() :] if len(v) else np.zeros(0, np.int64)
+    starts = np.cumsum(lengths) - lengths
+    rest = [table[c].to_numpy() for c in columns]
+    out = {}
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        out[n] = (flat[starts[at][:, None] + np.arange(n)].astype(np.int64), *(x[at] for x in rest))
+    return out
+
+
+def _save(folder: str, kind: str, parts: dict[str, dict]) -> str:
+    import numpy as np
+
+    data, name = io.BytesIO(), f"{folder}/{kind}-{uuid.uuid4().hex}.npz"
+    np.savez(data, **{f"{n}.{k}": x for n, own in parts.items() for k, x in own.items()})
+    write_file(name, [data.getvalue()])
+    return name
+
+
+def _open(name: str) -> dict[int, dict]:
     import numpy as np
 
-    whole = [np.array(x, dtype=np.int64).reshape(len(x), -1) for x in lists]
-    big = any(m.size and max(int(m.max()), -int(m.min())) >= _EXACT for m in whole)
-    return [m.astype(object if big else np.float64) for m in whole]
+    out: dict[int, dict] = {}
+    with np.load(io.BytesIO(read_file(name))) as data:
+        for k in data.files:
+            n, part = k.split(".")
+            out.setdefault(int(n), {})[part] = data[k]
+    return out
 
 
-def search_shard(key, candidates, queries, k: int):
-    """One shard's answers: (query_id, vec_id, score) rows of pandas frames."""
+def _answers(tree: dict, asked: dict, k: int, exact: bool) -> list[tuple]:
+    """(query row, query id, vec_id, score) of one shard's tree for queries of its length of vectors."""
     import numpy as np
-    import pandas as pd
 
-    rows = []
-    for size, part in candidates.groupby(candidates["v"].map(len)):
-        asked = queries[queries["q"].map(len) == size]
-        if len(asked):
-            v, q = _matrices(part["v"].tolist(), asked["q"].tolist())
-            tree = KDTree(part["vec_id"].to_numpy(np.int64), v)
-            floors = [None if x is None or x != x else int(x) for x in asked["floor"].astype(object).tolist()]
-            for i, floor, row in zip(asked["query_id"].tolist(), floors, q):
-                rows += [(i, c, int(s)) for s, c in tree.search(row, i, k, floor)]
-    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+    built, rows = KDTree.unpack(tree, exact), []
+    for q, row, i, floor, known in zip(asked["vectors"].astype(object if exact else np.float64), *(asked[c].tolist() for c in ("rows", "ids", "floor", "known"))):
+        rows += [(row, i, c, int(s)) for s, c in built.search(q, row, k, floor if known else None)]
+    return rows
+
+
+_FOUND = "query_row long, query_id long, vec_id long, score long"
+
+
+def _index(folder: str, k: int):
+    """A shard's task: its tree is built and written, its home queries answered from it and written with what
+    they know."""
+
+    def run(key, candidates, queries):
+        import numpy as np
+        import pyarrow as pa
+
+        trees, asked, rows = {}, {}, []
+        for n, (v, ids, numbers) in _by_length(candidates, "vec_id", "row").items():
+            trees[n] = KDTree(ids, numbers, v.astype(object if _exact(v) else np.float64)).pack()
+        for n, (v, ids, numbers) in _by_length(queries, "query_id", "row").items():
+            asked[n] = {"vectors": v, "ids": ids, "rows": numbers, "floor": np.zeros(len(v), np.int64), "known": np.zeros(len(v), bool)}
+            if n in trees:
+                found = _answers(trees[n], asked[n], k, _exact(v, trees[n]["vectors"]))
+                rows += found
+                place = {row: i for i, row in enumerate(numbers.tolist())}
+                count = np.zeros(len(v), np.int64)
+                least = np.full(len(v), np.iinfo(np.int64).max)
+                for row, _, _, s in found:
+                    i = place[row]
+                    count[i] += 1
+                    least[i] = min(least[i], s)
+                asked[n] |= {"floor": np.where(count >= k, least, 0), "known": count >= k}
+        shard = key[0].as_py()
+        tree = _save(folder, "tree", {str(n): x for n, x in trees.items()})
+        some = _save(folder, "queries", {str(n): x for n, x in asked.items()}) if asked else None
+        out = [(shard, tree, some, None, None, None, None)] + [(shard, None, None, *r) for r in rows]
+        kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["shard", "tree", "queries", "query_row", "query_id", "vec_id", "score"])
+
+    return run
+
+
+def _visit(k: int):
+    def run(batches):
+        import pyarrow as pa
+
+        at, trees, exact = None, {}, {}
+        for batch in batches:
+            for tree, queries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if tree != at:
+                    at, trees = tree, _open(tree)
+                    exact = {n: _exact(x["vectors"]) for n, x in trees.items()}
+                rows = []
+                for n, asked in _open(queries).items():
+                    if n in trees:
+                        rows += _answers(trees[n], asked, k, exact[n] or _exact(asked["vectors"]))
+                columns = list(zip(*rows)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in _FOUND.split(", ")])
+
+    return run
 
 
 def quantised(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 64) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component as a long; only vectors that take part."""
-    v = F.col(vector_column)
+    """(row, vec_id, v): a number of its own for each row, and floor(scale * x) of each component as a long;
+    only vectors that take part. To be written before it is used twice."""
+    v = col(vector_column)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    fit = F.col(id_column).isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~bad
-    return vectors.where(fit).select(F.col(id_column).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+    fit = col(id_column).isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~bad
+    return vectors.where(fit).select(F.monotonically_increasing_id().alias("row"), col(id_column).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """From (vec_id, v) and (query_id, v): each query's k best (query_id, rank, vec_id, score)."""
-    n, asked = vectors.count(), queries.count()
-    shards, blocks = 1 + n // SHARD, 1 + asked // QUERIES
-    shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int")
-    base = vectors.select("vec_id", "v", shard(F.col("vec_id")).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    queries = queries.select("query_id", F.col("v").alias("q"), block.alias("block"), shard(F.col("query_id")).alias("home"))
-
-    def visit(asked: DataFrame) -> DataFrame:
-        run = lambda key, a, b: search_shard(key, a, b, k)
-        groups = base.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block"))
-        return groups.applyInPandas(run, "query_id long, vec_id long, score long")
-
-    first = materialize(visit(queries.select("query_id", "q", "block", F.col("home").alias("shard"), F.lit(None).cast("string").alias("floor"))), "home")
+    """From (row, vec_id, v) and (row, query_id, v): each query's k best (query_id, rank, vec_id, score). A
+    query whose row is one of the vectors' isn't compared with that one; rows of other queries are below 0."""
+    spark = vectors.sparkSession
+    shards = 1 + vectors.count() // SHARD
+    shard = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")
+    groups = vectors.select("row", "vec_id", "v", shard).groupBy("shard").cogroup(queries.select("row", "query_id", "v", shard).groupBy("shard"))
+    schema = f"shard int, tree string, queries string, {_FOUND}"
+    first = materialize(groups.applyInArrow(_index(scratch_path(spark, "kd"), k), schema), "home")
+    found = first.where("tree IS NULL").select("query_row", "query_id", "vec_id", "score")
     if shards > 1:
-        floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("string").alias("floor"))
-        others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("home")))
-        known = queries.join(floors, "query_id", "left").select("query_id", "q", "block", "floor", others.alias("shard"))
-        first = first.union(visit(known))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return first.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+        listed = first.where("tree IS NOT NULL").select("shard", "tree", "queries")
+        homes = listed.where("queries IS NOT NULL").select(F.col("shard").alias("home"), "queries")
+        pairs = listed.select("shard", "tree", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("home")).where("shard <> home").join(homes, "home")
+        # a shard's visits side by side where there are fewer shards than tasks at once
+        split = 1 + 2 * spark.sparkContext.defaultParallelism // shards
+        pairs = pairs.repartition(shards * split, "shard", F.col("home") % split).sortWithinPartitions("shard", "home")
+        found = found.union(arrow_map(pairs.select("tree", "queries"), _visit(k), _FOUND))
+    order = W.partitionBy("query_row", "query_id").orderBy(F.desc("score"), "vec_id")
+    return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,13 +279,13 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = f"""
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {K}
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {K}
 """
