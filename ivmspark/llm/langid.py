@@ -7,99 +7,106 @@ bits a letter, phrases * log2(training letters) / letters, which is the cross-pa
 language's letters are its own; fewer than ``LEAST`` count as that many, since a phrase found in next to no
 text would cost next to nothing. So no language's text changes what another makes of a document. The language of the least wins; ties, which short texts have, go to the language of more training rows.
 
-Words are runs of letters in lower case with a mark at either end, so a match knows where words start and
-stop. A word's phrase counts depend on nothing else, and each task keeps them for the words it has met, up
-to ``WORDS`` of them. All letters of a text count, at any length.
-
-The model is fitted on a bounded sample: for each language the ``SAMPLE`` training rows of smallest hash of
-the id, ``LETTERS`` letters of each at most; up to
-``LANGUAGES`` languages, those of most rows. A row gives its first ``ROOM`` letters, found in its whole text;
-where the rows of a language leave it short of ``LETTERS``, further rows that have letters are taken until it
-isn't, or has no more. The bounds are parameters; the sample's ids are picked from the two
-small columns and only their texts are fetched.
-
-Edge cases: null text, or one without letters: ``und`` with score 0; a null language teaches nothing; a
-table without labelled rows predicts ``und`` everywhere; one language alone wins with score 1; repeated
-rows each get their prediction; an empty table gives no rows. Other columns may have any name.
+Words are runs of letters (Unicode's letter categories alone: no number signs) in lower case with a mark at
+either end, so a match knows where words start and stop. A word's phrase counts depend on nothing else, and
+each task keeps them for the words it has met, up to ``WORDS`` of them. All letters of a text count, at any
+length.
+
+The model is fitted on a bounded sample, whose bounds are parameters: for each language the ``SAMPLE``
+training rows of smallest hash of the id, and of each row up to ``ROOM`` letters, from a place in its whole
+text that the hash gives; ``LETTERS`` letters of a language at most. Where a language's rows leave it short of
+``LETTERS``, rows that have letters are taken in the same order until it isn't, or there are no more. All
+languages are sampled at once: their ids from the two small columns, then those rows' texts.
+
+Edge cases: null text, or one without letters: ``und`` with score 0; a null language or id teaches nothing; a
+table without labelled rows predicts ``und`` everywhere; one language alone wins with score 1; of several
+texts of one id and language the least one teaches; repeated rows each get their prediction; an empty table
+gives no rows. Other columns may have any name.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
-import zlib
-from array import array
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, resident, table, texts
+from .common import arrow_map, col, resident, table, texts
 
 SAMPLE = 96
 LETTERS = 60_000
 ROOM = 2_500
 LEAST = 1_000
-LANGUAGES = 200
 WORDS = 200_000
 #: The pipeline's stage rejects a text that needs more phrases than this for each letter and mark: it is
 #: like none of the languages, nearly every letter being a phrase of its own.
 STRANGE = 0.8
 
-_WORD = re.compile(r"[^\W\d_]+")
 _MARK = " "
 
 
+@functools.cache
+def _words():
+    """Runs of letters: of what the expression \\w takes, all but digits, the underscore and signs that are
+    numbers and no letters, of which a class is made here."""
+    signs = [i for i in range(sys.maxunicode + 1) if (c := chr(i)).isalnum() and not c.isalpha()]
+    ends = [i for i, n in zip(signs, [*signs[1:], -1]) if n != i + 1]
+    starts = [i for i, n in zip(signs, [-2, *signs[:-1]]) if n != i - 1]
+    return re.compile("[^\\W_" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends)) + "]+").findall
+
+
+def words_of(text: str) -> list[str]:
+    return _words()(text.lower())
+
+
 class SuffixAutomaton:
-    """All substrings of a text. State 0 is the start; next[c] maps state to state."""
+    """All substrings of a text. State 0 is the start; next[state] has the letters that go on from it, so
+    memory follows the text, however many letters its script has."""
 
     def __init__(self, text: str):
-        self.letters = {c: i for i, c in enumerate(sorted(set(text)))}
-        k = len(self.letters)
-        self.k = k
-        nxt, link, length = array("i", [-1] * k), array("i", [-1]), array("i", [0])
-        blank = array("i", [-1] * k)
-        last = 0
-        for ch in text:
-            c = self.letters[ch]
+        nxt: list[dict[str, int]] = [{}]
+        link, length, last = [-1], [0], 0
+        for c in text:
             cur = len(link)
             link.append(0)
             length.append(length[last] + 1)
-            nxt.extend(blank)
+            nxt.append({})
             p = last
-            while p >= 0 and nxt[p * k + c] < 0:
-                nxt[p * k + c] = cur
+            while p >= 0 and c not in nxt[p]:
+                nxt[p][c] = cur
                 p = link[p]
             if p >= 0:
-                q = nxt[p * k + c]
+                q = nxt[p][c]
                 if length[p] + 1 == length[q]:
                     link[cur] = q
                 else:
                     clone = len(link)
                     link.append(link[q])
                     length.append(length[p] + 1)
-                    nxt.extend(nxt[q * k : q * k + k])
-                    while p >= 0 and nxt[p * k + c] == q:
-                        nxt[p * k + c] = clone
+                    nxt.append(nxt[q].copy())
+                    while p >= 0 and nxt[p].get(c) == q:
+                        nxt[p][c] = clone
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
         self.next = nxt
 
     def phrases(self, word: str) -> int:
-        """How many phrases the word is cut into, each the longest match from where the last ended."""
-        get, nxt, k = self.letters.get, self.next, self.k
-        n = state = 0
-        for ch in word:
-            c = get(ch, -1)
-            if c < 0:  # a letter never seen is a phrase of its own
-                n += 1
-                state = 0
-                continue
-            to = nxt[state * k + c] if state else -1
-            if to < 0:
+        """How many phrases the word is cut into, each the longest match from where the last ended; a letter
+        never seen is a phrase of its own."""
+        nxt = self.next
+        start = state = nxt[0]
+        n = 0
+        for c in word:
+            to = state.get(c) if state is not start else None
+            if to is None:
                 n += 1
-                to = nxt[c]
-            state = to
+                to = start.get(c, 0)
+            state = nxt[to]
         return n
 
 
@@ -130,7 +137,7 @@ class CrossParser:
         1 - best bits / second best bits."""
         import numpy as np
 
-        found = [_WORD.findall(x.lower()) for x in items]
+        found = [words_of(x) for x in items]
         if not self.langs:
             return [("und", 0.0, 0.0)] * len(items)
         if len(self.known) > self.most:
@@ -158,37 +165,43 @@ def parser(samples: dict[str, str]) -> CrossParser:
 
 def held_out(id_column: str) -> "F.Column":
     """True for rows that teach nothing: crc32 of the id as text, modulo 3, is 1. A null id counts as ''."""
-    return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    return F.crc32(F.coalesce(col(id_column).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def training_sample(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE, letters: int = LETTERS, room: int = ROOM, languages: int = LANGUAGES) -> dict[str, str]:
+def training_sample(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE, letters: int = LETTERS, room: int = ROOM) -> dict[str, str]:
     """Normalised training text by language, most rows first, at most letters of each and room of a row: the
     bounded sample on the driver."""
-    rows = docs.where(F.col(lang_column).isNotNull() & F.col(id_column).isNotNull() & ~held_out(id_column))
-    names = {r[0]: r[1] for r in rows.groupBy(lang_column).count().orderBy(F.desc("count"), lang_column).limit(languages).collect()}
-    picked = {}
-    digest = F.xxhash64(F.col(id_column).cast("string")).alias("h")
-    for lang in names:  # each a bounded top-k of two small columns
-        least = rows.where(F.col(lang_column) == lang).select(F.col(id_column).alias("i"), digest)
-        picked |= {r["i"]: lang for r in least.orderBy("h", "i").limit(sample).collect()}
-    if not picked:
+    named = docs.select(col(id_column).cast("string").alias("i"), col(lang_column).cast("string").alias("lang"), col(text_column).cast("string").alias("text"), held_out(id_column).alias("out"))
+    rows = named.where("lang IS NOT NULL AND i IS NOT NULL AND NOT out").select("lang", "i", F.xxhash64("i").alias("h"), "text")
+    names = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
+    if not names:
         return {}
-    words = F.trim(F.substring(F.trim(F.regexp_replace(F.lower(F.col(text_column)), r"[^\p{L}]+", _MARK)), 1, room))
-    chosen = docs.where(F.col(id_column).isin(list(picked)) & F.col(lang_column).isNotNull()).select(F.col(id_column).alias("i"), F.col(lang_column).alias("lang"), words.alias("t"))
-    got: dict[str, list[str]] = {}
-    for r in sorted(chosen.limit(4 * len(picked)).collect(), key=lambda r: (str(r["lang"]), zlib.crc32(str(r["i"]).encode()), r["t"] or "")):
-        if r["t"]:
-            got.setdefault(r["lang"], []).append(r["t"])
-    size = lambda lang: sum(len(x) + 1 for x in got.get(lang, [])) + 1
-    for lang, count in names.items():
-        n = sample
-        while size(lang) < letters and n < count:  # rows without letters, or of few
-            n *= 8
-            more = rows.where(F.col(lang_column) == lang).select(F.col(id_column).alias("i"), digest, words.alias("t")).where("t <> ''")
-            got[lang] = [r["t"] for r in more.orderBy("h", "i", "t").limit(n).collect()]
-            if len(got[lang]) < n:
-                break
-    return {lang: (_MARK + _MARK.join(got[lang]) + _MARK)[:letters] for lang in names if got.get(lang)}
+    whole = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", _MARK))
+    spare = F.greatest(F.lit(0), F.length("t") - room)
+    # a window of the whole text, cut back to whole words at its start
+    at = F.when(spare > 0, F.pmod(F.col("h"), spare + 1)).otherwise(0)
+    window = F.trim(F.when(at > 0, F.regexp_replace(F.substr("t", at + 1, F.lit(room)), r"^[^ ]* ", "")).otherwise(F.substr("t", at + 1, F.lit(room))))
+    windows = lambda df: df.withColumn("t", whole).withColumn("t", window).where("t <> ''").select("lang", "i", "h", "t")
+    first = W.partitionBy("lang").orderBy("h", "i")
+    # a bounded top of each language, cut down in each task before the shuffle; of two small columns
+    picked = rows.select("lang", "i", "h").withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample).select("lang", "i").distinct()
+    got: dict[str, list[tuple]] = {}
+
+    def take(found: DataFrame) -> None:
+        once = found.groupBy("lang", "h", "i").agg(F.min("t").alias("t"))
+        for r in once.collect():
+            got.setdefault(r["lang"], []).append((r["h"], r["i"], r["t"]))
+
+    take(windows(rows.join(F.broadcast(picked), ["lang", "i"], "left_semi")))
+    size = lambda lang: sum(len(t) + 1 for _, _, t in got.get(lang, [])) + 1
+    short = [lang for lang, count in names.items() if size(lang) < letters and count > sample]
+    if short:  # rows without letters, or of few: all rows in order, as far as their letters are asked for
+        for lang in short:
+            got.pop(lang, None)
+        upto = F.sum(F.length("t") + 1).over(first.rowsBetween(W.unboundedPreceding, -1))
+        more = windows(rows.where(F.col("lang").isin(short))).withColumn("k", F.row_number().over(first)).where(F.col("k") <= letters)
+        take(more.withColumn("upto", F.coalesce(upto, F.lit(0))).where(F.col("upto") < letters))
+    return {lang: (_MARK + _MARK.join(t for _, _, t in sorted(got[lang])) + _MARK)[:letters] for lang in names if lang in got}
 
 
 def predict(docs: DataFrame, samples: dict[str, str], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -201,7 +214,7 @@ def predict(docs: DataFrame, samples: dict[str, str], id_column: str = "doc_id",
             said = model.predict(texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _, _ in said], pa.string()), pa.array([y for _, y, _ in said], pa.float64())], ["id", "lang_pred", "score"])
 
-    return arrow_map(docs.selectExpr(f"CAST(`{id_column}` AS LONG) AS id", f"CAST(`{text_column}` AS STRING) AS text"), run, "id long, lang_pred string, score double", model=True)
+    return arrow_map(docs.select(col(id_column).cast("long").alias("id"), col(text_column).cast("string").alias("text")), run, "id long, lang_pred string, score double", model=True)
 
 
 def keep_identified(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:

@@ -1,3 +1,5 @@
+import itertools
+import math
 import zlib
 
 from ivmspark.llm import langid as g
@@ -53,6 +55,35 @@ def test_edges(spark, edge, empty, tmp_path):
     assert g.keep_identified(unlabelled).count() == unlabelled.count()
 
 
+def brute(samples, text):
+    """Language, score and phrases a letter and mark by definition: substring search and fractions of bits."""
+    words = ["".join(w) for keep, w in itertools.groupby(text.lower(), str.isalpha) if keep]
+    if not words:
+        return "und", 0.0
+    letters = sum(map(len, words))
+    bits = [(sum(longest(x[: g.LETTERS], f" {w} ") for w in words) * math.log2(max(g.LEAST, min(g.LETTERS, len(x)))) / letters, i, lang) for i, (lang, x) in enumerate(samples.items())]
+    best = sorted(bits)
+    return best[0][2], 1 - best[0][0] / best[1][0] if len(best) > 1 else 1.0
+
+
+def test_predictions_against_their_definition(spark, edge):
+    docs = spark.read.parquet(f"{DOCS}/documents.parquet").select("doc_id", "text", "lang")
+    samples = {lang: x[:4000] for lang, x in g.training_sample(docs).items()}
+    odd = [(10**9 + i, t, None) for i, t in enumerate(["½ ² Ⅷ Ⅸ", "Ⅷth ½é", "x_y 3z", "ÀÉÎ Straße ẞ ﬁn", "a" * 50_000, "漢字 the", None, "", "e\u0301te\u0301"])]
+    small = docs.where("doc_id % 9 = 0").unionByName(spark.createDataFrame(odd, docs.schema)).unionByName(edge.select("doc_id", "text", "lang").where("length(text) < 1000"))
+    text = [(r["doc_id"], r["text"] or "") for r in small.collect() if len(r["text"] or "") < 3000 or r["doc_id"] > 10**8]
+    want = sorted((i, *brute(samples, t)) for i, t in text if i is not None)
+    got = sorted(map(tuple, g.predict(small.where("doc_id IS NOT NULL"), samples).collect()))
+    got = [r for r in got if r[0] in {w[0] for w in want}]
+    assert [r[:2] for r in got] == [w[:2] for w in want] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, want))
+    assert {r[1] for r in got if r[0] == 10**9} == {"und"}
+
+
+def test_a_script_of_many_letters():
+    a = g.SuffixAutomaton("".join(chr(0x4E00 + i * i % 5000) for i in range(20_000)))
+    assert sum(map(len, a.next)) < 3 * 20_000  # transitions, not states times letters
+
+
 def test_one_language():
     assert g.CrossParser({"en": " the cat "}).predict(["cat", "123"])[0][:2] == ("en", 1.0)
 
@@ -88,4 +119,3 @@ def test_letters_after_digits_and_in_later_rows_teach(spark):
     docs = spark.createDataFrame(late + blank, "doc_id long, text string, lang string").coalesce(1)
     got = g.training_sample(docs, sample=2, letters=30)
     assert set(got) == {"es", "fr"} and "gato" in got["es"] and "chat" in got["fr"] and all(len(x) == 30 for x in got.values())
-    assert set(g.training_sample(docs, languages=1)) == {"fr"}
