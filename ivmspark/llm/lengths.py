@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, resident, table, texts
+from .common import arrow_map, col, materialize, resident, table, texts
 
 SPAN = 1024
 RANKS = "byte_bpe_50k.tiktoken"
@@ -56,7 +56,7 @@ def lengths(docs: DataFrame, text_column: str = "text", ranks: str = RANKS) -> D
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([len(enc.encode_ordinary(x)) for x in texts(batch.column(0))], pa.int64())], ["n_tokens"])
 
-    return arrow_map(docs.selectExpr(f"CAST(`{text_column}` AS STRING) AS text"), run, "n_tokens long", model=True)
+    return arrow_map(docs.select(col(text_column).cast("string").alias("text")), run, "n_tokens long", model=True)
 
 
 def histogram(lens: DataFrame) -> DataFrame:

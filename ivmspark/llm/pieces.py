@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import SCRATCH, arrow_map, resident, table, texts
+from .common import SCRATCH, arrow_map, col, free, resident, table, texts
 
 MODEL = "piece_bpe_32k.model"
 CHUNKS = 200_000
@@ -292,7 +292,7 @@ def encode_documents(docs: DataFrame, id_column: str = "doc_id", text_column: st
             flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat)], ["id", "ids"])
 
-    return arrow_map(docs.selectExpr(f"CAST(`{id_column}` AS LONG) AS id", f"CAST(`{text_column}` AS STRING) AS text"), run, "id long, ids array<int>", model=True)
+    return arrow_map(docs.select(col(id_column).cast("long").alias("id"), col(text_column).cast("string").alias("text")), run, "id long, ids array<int>", model=True)
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -309,11 +309,13 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def with_ids(docs: DataFrame, text_column: str = "text", model: str = MODEL) -> DataFrame:
-    """The rows, columns as they came, with n_tokens and ids in place of the text. Each text's ids are
-    decoded again; if that gives another text, ValueError. A column of one of the two names is replaced."""
-    kept = [c for c in docs.columns if c not in (text_column, "n_tokens", "ids")]
-    narrow = docs.select(*kept, F.col(text_column).cast("string").alias(SCRATCH))
-    schema = StructType([*narrow.schema.fields[:-1], StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType()))])
+    """The rows, columns as they came, with n_tokens and ids in place of the text; where a column has one of
+    the two names already, the new one gets a number after its name. Each text's ids are decoded again; if
+    that gives another text, ValueError."""
+    kept = [c for c in docs.columns if c != text_column]
+    length, listed = free(docs, "n_tokens"), free(docs, "ids")
+    narrow = docs.select(*map(col, kept), col(text_column).cast("string").alias(SCRATCH))
+    schema = StructType([*narrow.schema.fields[:-1], StructField(length, LongType()), StructField(listed, ArrayType(IntegerType()))])
 
     def run(batches):
         import numpy as np
@@ -330,7 +332,7 @@ def with_ids(docs: DataFrame, text_column: str = "text", model: str = MODEL) ->
             ends = pa.array(np.concatenate(([0], np.cumsum([len(y) for y in ids]))), pa.int32())
             flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32))
             columns = [batch.column(i) for i in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(y) for y in ids], pa.int64()), pa.ListArray.from_arrays(ends, flat)], [*kept, "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(y) for y in ids], pa.int64()), pa.ListArray.from_arrays(ends, flat)], [*kept, length, listed])
 
     return arrow_map(narrow, run, schema, model=True)
 
@@ -355,7 +357,7 @@ def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in schema.split(", ")])
 
-    return arrow_map(docs.selectExpr(f"CAST(`{id_column}` AS LONG) AS id", f"CAST(`{text_column}` AS STRING) AS text"), run, schema, model=True)
+    return arrow_map(docs.select(col(id_column).cast("long").alias("id"), col(text_column).cast("string").alias("text")), run, schema, model=True)
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

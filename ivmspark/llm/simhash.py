@@ -20,9 +20,10 @@ bits than masks can cover. Candidates share one of ``BANDS`` MinHash bands of ``
 Jaccard 0.8 shares none with probability (1 - 0.8^7)^48, about 1 in 80,000. Each candidate not yet linked is
 decided by its exact Jaccard: first all of a bucket against one of it, then all that are still apart.
 
-Edge cases: null and empty texts have fingerprint 0 and are linked like any other; repeated rows and ties
-share a component; null ids keep their rows and take part, and the id reported is the smallest that is not
-null; an empty table gives no rows.
+Edge cases: null and empty texts have fingerprint 0 and are linked like any other; a text of any length is
+hashed as a whole; repeated rows and ties share a component; rows of one id with texts that don't link are in
+components of their own; null ids keep their rows and take part, and the id reported is the smallest that is
+not null; an empty table gives no rows; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import random
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SCRATCH, arrow_map, materialize, table, utf8
+from .common import SCRATCH, arrow_map, col, materialize, table, utf8
 
 RADIUS = 4
 SHINGLE = 4
@@ -93,7 +94,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             fp = [fingerprint(x, shingle) for x in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x - (x >> 63 << 64) for x in fp], pa.int64())], ["id", "fp"])
 
-    narrow = docs.selectExpr(f"CAST(`{id_column}` AS LONG) AS id", f"CAST(`{text_column}` AS STRING) AS text")
+    narrow = docs.select(col(id_column).cast("long").alias("id"), col(text_column).cast("string").alias("text"))
     return arrow_map(narrow, run, "id long, fp long")
 
 
@@ -322,7 +323,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     if similarity is None:
         marked = materialize(fingerprints(docs, id_column, text_column, shingle), "fingerprints")
     else:
-        own = docs.selectExpr(f"CAST(`{id_column}` AS LONG) AS id", f"CAST(`{text_column}` AS STRING) AS text", f"xxhash64(CAST(`{text_column}` AS STRING)) AS t")
+        own = docs.select(col(id_column).cast("long").alias("id"), col(text_column).cast("string").alias("text"), F.xxhash64(col(text_column).cast("string")).alias("t"))
         signed = materialize(signatures(own, shingle), "fingerprints")
         marked = signed.select("id", "fp", "t")
     nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
@@ -377,7 +378,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     key, digest, n = f"{SCRATCH}id", f"{SCRATCH}t", f"{SCRATCH}n"
     own = groups.where((F.col("fp") == F.col("root_fp")) & F.col("id").eqNullSafe(F.col("component_id")))
     keep = own.groupBy("id", "fp", "t").agg(F.count("*").alias("n")).groupBy("id", "fp").agg(F.min(F.struct("t", "n")).alias("m")).select(F.col("id").alias(key), F.col("m.t").alias(digest), F.col("m.n").alias(n))
-    same = F.col(id_column).cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(F.col(text_column).cast("string")) == F.col(digest))
+    same = col(id_column).cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(col(text_column).cast("string")) == F.col(digest))
     # hashed at every size: ids are no more than a few bytes a document, texts are dealt out once, unsorted
     kept = docs.join(keep.where(f"{n} = 1").hint("shuffle_hash"), same, "left_semi")
     again = keep.where(f"{n} > 1")

@@ -103,5 +103,6 @@ def test_frames(spark, small, library):
     back = {r["id"]: r["text"] for r in p.decode_documents(ids).collect()}
     assert back == {r["doc_id"]: r["text"] for r in small.limit(15).collect()}
     df = p.with_ids(small.limit(5).selectExpr("*", "'x' AS ids", "7 AS extra"))
-    assert df.columns == ["doc_id", "lang", "source", "n_chars", "extra", "n_tokens", "ids"]
+    assert df.columns == ["doc_id", "lang", "source", "n_chars", "ids", "extra", "n_tokens", "ids_1"]
+    assert {r["ids"] for r in df.collect()} == {"x"}
     assert all(r["n_tokens"] == len(r["ids"]) for r in df.collect())
