@@ -3,15 +3,23 @@
 A file holds whole documents in order. Its id stream is cut into blocks of ``BLOCK`` ids; a block's coder
 starts from nothing but the file's header, and a checksum of its ids says whether it came back whole.
 
-For every id, three orders predict: order 2 (by the two ids before) and order 1 (by the one before) the id
-last seen in that context, with a confidence; order 0 every id, by its frequency, which the file's header
-carries. Each (order, confidence) pair has an adaptive chance of being right, kept by block; by these the
-three are mixed into one distribution over ids, predictions that agree adding up. An id is one interval of
-it (and, if only order 0 gave it, a second one inside), and a carryless 64-bit range coder, writing 16 bits
-at a time, narrows to it.
+An id is its *cell* and, where the cell has several ids, its place there; cells are up to 256 runs of ids, by
+falling frequency, of about equal weight, so a frequent id has one to itself. Three orders predict the cell:
+
+- order 0: the cells of the block so far, on top of the file's frequencies; its distribution is made anew
+  every ``REFRESH`` ids;
+- order 1: the file's counts of cells after the cell before;
+- order 2: the cell of the id that last came after the two ids before, if their slot of a hashed table holds
+  one, with the chance that such a prediction has had in the block at its confidence.
+
+Orders 0 and 1 are mixed by a weight that follows which of them has given the cells the larger share; order
+2's cell gets its chance and the mixture the rest. Inside a cell that order 2 had right, its id has a chance
+of its own; any other goes by frequency. A carryless 64-bit range coder, writing 16 bits at a time, narrows to
+the intervals. All numbers are whole, or quotients and products rounded as IEEE has it, so a file reads the
+same on any machine.
 
 Blocks of a file are coded side by side, one NumPy lane each: a step codes the t-th id of every block. So
-the work per id is that of a few dozen vector operations, and memory is ``LANES`` blocks' tables.
+the work per id is that of a hundred vector operations or so, and memory is ``LANES`` blocks' tables.
 
 Files are written in ascending order of document id: a range shuffle, a sort inside partitions, and a file
 for each ``FILE`` ids, in the shared folder. A task lists its files in its output rows, so files of lost
@@ -35,77 +43,231 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, read_file, resident, scratch_path, table, texts, write_file
+from .common import arrow_map, col, materialize, read_file, resident, scratch_path, table, texts, write_file
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-BLOCK = 4096
-LANES = 1024
+BLOCK = 2048
+LANES = 2048
 FILE = 4_000_000
-CHUNKS = 500_000
-MAGIC = b"CMRC0001"
+#: Chunks of text whose ids a worker keeps: two generations of so many.
+CHUNKS = 400_000
+MAGIC = b"CMRC0002"
 
-SLOTS = 2048  # of each context table of a block
-REST = 20  # bits of the order-0 scale
-_CAPS = (58982, 64225)  # the most that orders 1 and 2 may claim of 2^16
+CELLS = 256
+TOTAL, GAP = 1 << 20, 32  # of a distribution over cells: its scale, and the least share of each
+PRIOR, COUNT = 1 << 14, 16  # what the file's frequencies and each id of the block weigh in order 0
+REFRESH = 128
+SLOTS = 1024  # of a block's table of order 2
+_MOST = 61440  # the most that order 2 may claim of 2^16
+_SCALE = 24  # bits of the scale on which a cell has its interval
 
 
-# ---- the coder --------------------------------------------------------------------------------------
+# ---- the model ----------------------------------------------------------------------------------------
+
+
+def _levels():
+    """Counts are carried rounded down to one of these: steps of one, then of about an eighth."""
+    out = [0, 1]
+    while out[-1] < 1 << 31:
+        out.append(out[-1] + max(1, out[-1] // 8))
+    return out
+
+
+def _bounds(weights):
+    """Rows of a whole weight for each cell as upper bounds on the scale of TOTAL, each share at least GAP."""
+    import numpy as np
+
+    upto = weights.cumsum(1)
+    scale = float(TOTAL - CELLS * GAP) / np.maximum(1, upto[:, -1:])
+    out = (upto * scale).astype(np.int32)
+    out += GAP * np.arange(1, CELLS + 1, dtype=np.int32)
+    out[:, -1] = TOTAL
+    return out
+
+
+class _Model:
+    """What a file's header says: ids by falling frequency, their cells, and the distributions that blocks
+    start from."""
+
+    def __init__(self, seen, counts, pairs: bytes):
+        import numpy as np
+
+        rank = np.lexsort((seen, -counts))
+        self.ids, n = seen[rank].astype(np.int64), counts[rank].astype(np.int64)
+        cells, left, cell, held = [], int(n.sum()), 0, 0
+        for k in n.tolist():  # a cell is full when the next id would take it further past its share than it is short
+            if held and cell < CELLS - 1 and (2 * held + k) * (CELLS - cell) >= 2 * left:
+                left, cell, held = left - held, cell + 1, 0
+            cells.append(cell)
+            held += k
+        cell = np.array(cells, np.int64)
+        mass = np.bincount(cell, n, CELLS).astype(np.int64)
+        self.prior = (mass * PRIOR // max(1, int(mass.sum()))).astype(np.int32)
+        # inside a cell: shares of 2^16 by frequency, each at least 1
+        size = np.bincount(cell, minlength=CELLS)
+        share = 1 + n * (65536 - size[cell]) // np.maximum(1, mass[cell])
+        lead = np.flatnonzero(np.diff(cell, prepend=-1))
+        share[lead] += 65536 - np.bincount(cell, share, CELLS).astype(np.int64)[cell[lead]]
+        start = np.cumsum(share) - share - cell * 65536
+        self.key = cell * 65536 + start
+        self.lone = np.full(CELLS, -1, np.int64)  # the id of a cell of one
+        self.lone[cell[lead]] = np.where(size[cell[lead]] == 1, self.ids[lead], -1)
+        self.several = size > 1
+        top = int(seen.max()) + 1 if len(seen) else 1
+        self.cell = np.zeros(top, np.int64)
+        self.start, self.width = np.zeros(top, np.uint64), np.zeros(top, np.uint64)
+        self.cell[self.ids], self.start[self.ids], self.width[self.ids] = cell, start, share
+        if pairs:
+            level = np.array(_levels(), np.int64)[np.frombuffer(zlib.decompress(pairs), np.uint8)].reshape(CELLS, CELLS)
+            self.after = _bounds(np.where(level.any(1, keepdims=True), level, self.prior))
+            self.after_coarse = np.ascontiguousarray(self.after[:, 15::16])
+
+    def pairs(self, ids) -> bytes:
+        """The file's counts of a cell after a cell, rounded, less the rare ones as far as that makes the
+        file smaller: a short file can't pay for all of them."""
+        import numpy as np
+
+        c = self.cell[ids]
+        both = np.bincount(c[:-1] * CELLS + c[1:], minlength=CELLS * CELLS).reshape(CELLS, CELLS)
+        levels = np.array(_levels(), np.int64)
+        zero = self.prior / max(1, int(self.prior.sum()))
+        best = None
+        for least in (1, 2, 3, 5, 9, 1 << 30):
+            level = np.searchsorted(levels, np.where(both >= least, both, 0), "right") - 1
+            held = zlib.compress(level.astype(np.uint8).tobytes(), 6)
+            after = levels[level] / np.maximum(1, levels[level].sum(1, keepdims=True))
+            mixed = np.where(level.any(1, keepdims=True), 0.75 * after + 0.25 * zero, zero)
+            size = 8 * len(held) - float((both * np.log2(np.maximum(mixed, GAP / TOTAL))).sum())
+            if best is None or size < best[0]:
+                best = size, held
+        return best[1]
 
 
 class _Lanes:
-    """The mixed model of many blocks side by side: predict, then learn. A slot of a context table holds
-    id * 16 + confidence."""
+    """The mixed model of many blocks side by side. A slot of order 2 holds id * 16 + confidence."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, model: _Model, lanes: int):
+        import numpy as np
+
+        self.model, self.lane = model, np.arange(lanes, dtype=np.int64)
+        self.counts = np.tile(model.prior, (lanes, 1))
+        self._refresh()
+        self.weight = np.full(lanes, 768, np.int32)  # of order 1, of 1024
+        self.slots = np.zeros(lanes * SLOTS, np.int32)
+        first = [1000 if c == 0 else min(_MOST, (2 * c + 1) * 65536 // (2 * c + 8)) for c in range(16)]
+        self.chance = [np.tile(np.array(x, np.int32), lanes) for x in (first, [49152] * 16)]
+        self.cell, self.one, self.two = (np.zeros(lanes, np.int64) for _ in range(3))
+        self.steps = 0
+
+    def _refresh(self) -> None:
+        import numpy as np
+
+        self.zero = _bounds(self.counts)
+        self.zero_coarse = np.ascontiguousarray(self.zero[:, 15::16])
+
+    def begin(self, n: int) -> None:
+        """Order 2's prediction for the next id of the first n lanes."""
+        lane = self.lane[:n]
+        at = self.two[:n] * 54059 ^ self.one[:n] * 40503
+        self.at = lane * SLOTS + ((at ^ at >> 9) & SLOTS - 1)
+        self.held = self.slots.take(self.at)
+        self.sure = self.held & 15
+        self.guess = self.held >> 4
+        self.want = self.model.cell.take(self.guess)
+        self.rank = lane * 16 + self.sure
+        self.claim = self.chance[0].take(self.rank)
+        self.rows = lane * CELLS, self.cell[:n] * CELLS
+        self.part = self.weight[:n]
+
+    def _mixed(self, a, b, part):
+        b = b - a
+        b *= part
+        b >>= 10
+        b += a
+        return b
+
+    def find(self, n: int, v):
+        """The cell whose interval holds v, on the scale of 2^_SCALE."""
+        import numpy as np
+
+        r0, r1 = self.rows
+        want, claim = self.want, self.claim.astype(np.int64)
+        rest = 65536 - claim
+        # order 2's share lies inside its cell: past it v is taken less the share, before it the cell is that at most
+        edge = self._mixed(self.zero.take(r0 + want), self.model.after.take(r1 + want), self.part).astype(np.int64)
+        claim <<= _SCALE - 16
+        past = v >= (edge * rest >> 36 - _SCALE) + claim
+        v = v - claim * past + 1 << 36 - _SCALE
+        least = np.minimum(-(-v // rest), TOTAL)  # of a bound that is above v
+        least = np.repeat(least.astype(np.int32), 16).reshape(n, 16)
+        part = np.repeat(self.part, 16).reshape(n, 16)
+
+        def below(a, b):
+            count = np.bitwise_count((self._mixed(a, b, part) < least).view(np.uint64))
+            return (count[:, 0] + count[:, 1]).astype(np.int64)
+
+        high = below(self.zero_coarse[:n], self.model.after_coarse.take(self.cell[:n], 0))
+        low = below(self.zero.reshape(-1, 16).take((r0 >> 4) + high, 0), self.model.after.reshape(-1, 16).take((r1 >> 4) + high, 0))
+        cell = high * 16 + low
+        return np.where(past, cell, np.minimum(cell, want))
+
+    def interval(self, n: int, cell):
+        """(start, width) of a cell on the scale of 2^_SCALE; the orders learn it."""
+        import numpy as np
+
+        zero, after, part, claim = self.zero, self.model.after, self.part, self.claim
+        at0, at1 = (r + cell for r in self.rows)
+        # the bound before the first of a row is the last of the row before: TOTAL, which the mask makes 0
+        h0, h1 = zero.take(at0), after.take(at1)
+        l0, l1 = zero.take(at0 - 1) & TOTAL - 1, after.take(at1 - 1) & TOTAL - 1
+        rest = (65536 - claim).astype(np.int64)
+        low = self._mixed(l0, l1, part) * rest
+        high = self._mixed(h0, h1, part) * rest
+        low >>= 36 - _SCALE
+        high >>= 36 - _SCALE
+        hit = cell == self.want
+        share = claim.astype(np.int64) << _SCALE - 16
+        low += share * (cell > self.want)
+        high += share * (cell >= self.want)
+        if self.steps & 3 == 0:  # weights go to the order that gave the cell the larger share, and slowly back to even
+            one = (h1 - l1) * part.astype(np.float64)
+            now = (one * 1024.0 / (one + (h0 - l0) * (1024.0 - part))).astype(np.int32)
+            self.weight[:n] = now + (512 - now >> 4)
+        self.chance[0][self.rank] = np.minimum(claim + ((hit * np.int32(65536) - claim) >> 5), _MOST)
+        counts = self.counts.reshape(-1)
+        counts[at0] = counts.take(at0) + np.int32(COUNT)
+        self.hit = hit
+        return low.astype(np.uint64), (high - low).astype(np.uint64)
+
+    def doubts(self, cell):
+        """(lanes whose cell order 2 had right and that has several ids, the chance of its id)."""
         import numpy as np
 
-        self.base = np.arange(lanes, dtype=np.int64) * SLOTS
-        self.rank = np.arange(lanes, dtype=np.int64) * 16
-        self.slots = [np.zeros(lanes * SLOTS, np.int64) for _ in range(2)]
-        first = [(c + 0.4) / (c + 3.0) for c in range(16)]
-        self.chance = [np.tile(np.array([min(cap, int(x * share * 65536)) for x in first], np.int64), lanes) for cap, share in zip(_CAPS, (0.8, 1.0))]
-        self.one = np.zeros(lanes, np.int64)
-        self.two = np.zeros(lanes, np.int64)
-
-    def predict(self, n: int):
-        """(candidates, widths) of orders 2 and 1 for the first n lanes, on a scale of 2^16; a candidate
-        of order 1 that order 2 has too is of width 0, and order 2 has its share."""
-        one = self.one[:n] * 40503
-        self.at = [self.base[:n] + ((one >> 5) & SLOTS - 1), self.base[:n] + (((one ^ self.two[:n] * 54059) >> 3) & SLOTS - 1)]
-        self.held = [slots.take(at) for slots, at in zip(self.slots, self.at)]
-        c1, c2 = self.cand = [h >> 4 for h in self.held]
-        self.sure = [self.rank[:n] + (h & 15) for h in self.held]
-        p1, p2 = self.p = [chance.take(at) for chance, at in zip(self.chance, self.sure)]
-        a1 = (p1 * (65536 - p2) >> 16) + 1
-        same = c1 == c2
-        shared = a1 * same
-        return p2 + shared, a1 - shared
-
-    def learn(self, n: int, ids, hits) -> None:
-        """What the ids were; hits: whether each order's candidate was right."""
+        at = np.flatnonzero(self.hit & self.model.several.take(cell))
+        return at, self.chance[1].take(self.rank.take(at))
+
+    def settle(self, at, chance, right) -> None:
         import numpy as np
 
-        fresh = ids << 4
-        for order in range(2):
-            held, hit, p = self.held[order], hits[order], self.p[order]
-            self.chance[order][self.sure[order]] = np.minimum(p + ((np.where(hit, 65536, 32) - p) >> 5), _CAPS[order])
-            conf = held & 15
-            kept = np.where(hit, np.minimum(conf + 1, 15), conf >> 1) + (held - conf)
-            self.slots[order][self.at[order]] = np.where(hit | (conf > 0), kept, fresh)
+        self.chance[1][self.rank.take(at)] = np.minimum(np.maximum(chance + ((right * np.int32(65536) - chance) >> 5), 65536 - _MOST), _MOST)
+
+    def end(self, n: int, ids, cell) -> None:
+        import numpy as np
+
+        sure = self.sure
+        hit = ids == self.guess
+        kept = self.held - sure + np.where(hit, np.minimum(sure + 1, 15), sure >> 1)
+        self.slots[self.at] = np.where(hit & (sure > 0) | (sure > 1), kept, (ids.astype(np.int32) << 4) + 1)
         self.two[:n] = self.one[:n]
         self.one[:n] = ids
+        self.cell[:n] = cell
+        self.steps += 1
+        if self.steps % REFRESH == 0:
+            self._refresh()
 
 
-def _frequencies(ids):
-    """Order 0: (distinct ids, their shares of 2^REST), each at least 1, the sum exact."""
-    import numpy as np
-
-    seen, counts = np.unique(ids, return_counts=True)
-    scale = 1 << REST
-    shares = np.maximum(1, counts * (scale - len(seen)) // max(1, counts.sum())).astype(np.int64)
-    shares[np.argmax(shares)] += scale - shares.sum()
-    return seen.astype(np.int64), shares
+# ---- the coder ----------------------------------------------------------------------------------------
 
 
 def _blocks(n: int) -> list[int]:
@@ -117,13 +279,29 @@ _TOP, _BOT = 1 << 48, 1 << 40
 
 class _Range:
     """Lanes of a carryless range coder: 64 bits wide, 16 at a time. A lane's range is above _BOT between
-    ids, which leaves room for both intervals of an id."""
+    ids, which leaves room for the intervals of an id."""
 
     def __init__(self, lanes: int):
         import numpy as np
 
         self.low, self.rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
 
+    def narrow(self, n: int, start, width) -> None:
+        """The first n lanes to intervals on the scale of 2^_SCALE."""
+        import numpy as np
+
+        r = self.rng[:n] >> np.uint64(_SCALE)
+        self.low[:n] += r * start
+        np.multiply(r, width, out=self.rng[:n])
+
+    def narrow_at(self, at, start, width) -> None:
+        """Some lanes to intervals on the scale of 2^16."""
+        import numpy as np
+
+        r = self.rng.take(at) >> np.uint64(16)
+        self.low[at] += r * start
+        self.rng[at] = r * width
+
     def settle(self, n: int, shift) -> None:
         """Shift 16 bits out of, or into, each of the first n lanes while it has them; shift(lanes, low)
         moves them."""
@@ -143,17 +321,17 @@ class _Range:
             at = at[((lo ^ (lo + rg)) < top) | (rg < bot)]
 
 
-def _encode_lanes(ids, sizes: list[int], start, width) -> list[bytes]:
-    """Each lane's code. ids: a row a lane, longest first; start and width: order 0 by id."""
+def _encode_lanes(ids, sizes: list[int], model: _Model) -> list[bytes]:
+    """Each lane's code. ids: a row a lane, longest first."""
     import numpy as np
 
     lanes, steps = len(sizes), sizes[0]
-    model, coder = _Lanes(lanes), _Range(lanes)
-    low, rng = coder.low, coder.rng
+    mixer, coder = _Lanes(model, lanes), _Range(lanes)
     cap = 3 * steps + 8
     out, pos = np.zeros((lanes, cap), np.uint16), np.arange(lanes, dtype=np.int64) * cap
     flat = out.reshape(-1)
-    w16, w48, rest_bits = np.uint64(16), np.uint64(48), np.uint64(REST)
+    w16, w48 = np.uint64(16), np.uint64(48)
+    columns = np.ascontiguousarray(ids.T).astype(np.int64)
 
     def shift(at, lo):
         flat[pos[at]] = (lo >> w48).astype(np.uint16)
@@ -163,24 +341,22 @@ def _encode_lanes(ids, sizes: list[int], start, width) -> list[bytes]:
     for t in range(steps):
         while sizes[n - 1] <= t:
             n -= 1
-        x = ids[:n, t].astype(np.int64)
-        b2, b1 = model.predict(n)
-        hits = [x == c for c in model.cand]
-        is1, is2 = hits
-        claimed = b2 + b1
-        s = np.where(is2, 0, np.where(is1, b2, claimed))
-        w = np.where(is2, b2, np.where(is1, b1, 65536 - claimed))
-        r = rng[:n] >> w16
-        low[:n] += r * s.astype(np.uint64)
-        rng[:n] = r * w.astype(np.uint64)
-        rest = np.flatnonzero(~(is2 | is1))
-        if len(rest):
-            y = x[rest]
-            r = rng[rest] >> rest_bits
-            low[rest] += r * start[y]
-            rng[rest] = r * width[y]
+        x = columns[t, :n]
+        cell = model.cell.take(x)
+        mixer.begin(n)
+        coder.narrow(n, *mixer.interval(n, cell))
+        plain = model.several.take(cell)
+        at, chance = mixer.doubts(cell)
+        right = x.take(at) == mixer.guess.take(at)
+        coder.narrow_at(at, np.where(right, 0, chance).astype(np.uint64), np.where(right, chance, 65536 - chance).astype(np.uint64))
+        mixer.settle(at, chance, right)
+        plain[at[right]] = False
+        at = np.flatnonzero(plain)
+        own = x.take(at)
+        coder.narrow_at(at, model.start.take(own), model.width.take(own))
         coder.settle(n, shift)
-        model.learn(n, x, hits)
+        mixer.end(n, x, cell)
+    low = coder.low
     for _ in range(4):
         flat[pos] = (low >> w48).astype(np.uint16)
         pos += 1
@@ -188,12 +364,12 @@ def _encode_lanes(ids, sizes: list[int], start, width) -> list[bytes]:
     return [flat[i * cap : end].astype("<u2").tobytes() for i, end in enumerate(pos.tolist())]
 
 
-def _decode_lanes(codes: list[bytes], sizes: list[int], seen, start, width, slot):
-    """The lanes' ids, a row a lane. slot: the place in seen for each value of the order-0 scale."""
+def _decode_lanes(codes: list[bytes], sizes: list[int], model: _Model):
+    """The lanes' ids, a row a lane."""
     import numpy as np
 
     lanes, steps = len(sizes), sizes[0]
-    model, coder = _Lanes(lanes), _Range(lanes)
+    mixer, coder = _Lanes(model, lanes), _Range(lanes)
     low, rng = coder.low, coder.rng
     longest = max(len(c) for c in codes) // 2 + 4
     words = np.zeros((lanes, longest), np.uint16)
@@ -202,44 +378,42 @@ def _decode_lanes(codes: list[bytes], sizes: list[int], seen, start, width, slot
     flat = words.reshape(-1)
     pos = np.arange(lanes, dtype=np.int64) * longest
     ends = pos + longest - 1
-    w16, rest_bits, one = np.uint64(16), np.uint64(REST), np.uint64(1)
+    w16, one = np.uint64(16), np.uint64(1)
     code = np.zeros(lanes, np.uint64)
 
     def shift(at, _):
         code[at] = code[at] << w16 | flat[np.minimum(pos[at], ends[at])]
         pos[at] += 1
 
+    def value(at, bits: int):
+        found = (code[at] - low[at]) // np.maximum(rng[at] >> np.uint64(bits), one)
+        return np.minimum(found, np.uint64((1 << bits) - 1)).astype(np.int64)
+
     for _ in range(4):
         shift(np.arange(lanes), None)
-    out = np.zeros((lanes, steps), np.int32)
+    out = np.zeros((steps, lanes), np.int32)
     n = lanes
     for t in range(steps):
         while sizes[n - 1] <= t:
             n -= 1
-        b2, b1 = model.predict(n)
-        c1, c2 = model.cand
-        r = rng[:n] >> w16
-        v = np.minimum((code[:n] - low[:n]) // np.maximum(r, one), np.uint64(65535)).astype(np.int64)
-        claimed = b2 + b1
-        is2 = v < b2
-        known = v < claimed
-        x = np.where(is2, c2, c1)
-        s = np.where(is2, 0, np.where(known, b2, claimed))
-        w = np.where(is2, b2, np.where(known, b1, 65536 - claimed))
-        low[:n] += r * s.astype(np.uint64)
-        rng[:n] = r * w.astype(np.uint64)
-        rest = np.flatnonzero(~known)
-        if len(rest):
-            r = rng[rest] >> rest_bits
-            v = np.minimum((code[rest] - low[rest]) // np.maximum(r, one), np.uint64((1 << REST) - 1))
-            k = slot[v.astype(np.int64)]
-            low[rest] += r * start[k]
-            rng[rest] = r * width[k]
-            x[rest] = seen[k]
+        mixer.begin(n)
+        cell = mixer.find(n, value(slice(n), _SCALE))
+        coder.narrow(n, *mixer.interval(n, cell))
+        x = model.lone.take(cell)
+        at, chance = mixer.doubts(cell)
+        right = value(at, 16) < chance
+        coder.narrow_at(at, np.where(right, 0, chance).astype(np.uint64), np.where(right, chance, 65536 - chance).astype(np.uint64))
+        mixer.settle(at, chance, right)
+        at = at[right]
+        x[at] = mixer.guess[at]
+        at = np.flatnonzero(x < 0)
+        own = model.ids[np.searchsorted(model.key, cell.take(at) * 65536 + value(at, 16), "right") - 1]
+        x[at] = own
+        coder.narrow_at(at, model.start.take(own), model.width.take(own))
         coder.settle(n, shift)
-        out[:n, t] = x
-        model.learn(n, x, [x == c1, x == c2])
-    return out
+        out[t, :n] = x
+        mixer.end(n, x, cell)
+    return np.ascontiguousarray(out.T)
 
 
 # ---- files ------------------------------------------------------------------------------------------
@@ -252,27 +426,26 @@ def pack(docs: list[tuple], ids) -> bytes:
     ids = np.asarray(ids, np.int32)
     if len(ids) and (ids.min() < 0 or ids.max() >= 1 << 27):
         raise ValueError("ids must be from 0 to 2^27 - 1")
-    seen, shares = _frequencies(ids) if len(ids) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    starts = np.cumsum(shares) - shares
-    by_id = np.zeros((2, int(seen.max()) + 1 if len(seen) else 1), np.uint64)
-    by_id[0, seen], by_id[1, seen] = starts, shares
+    seen, counts = np.unique(ids, return_counts=True)
+    pairs = _Model(seen, counts, b"").pairs(ids) if len(ids) else b""
+    model = _Model(seen, counts, pairs) if len(ids) else None
     sizes, codes = _blocks(len(ids)), []
     for g in range(0, len(sizes), LANES):
         group = sizes[g : g + LANES]
         rows = np.zeros((len(group), group[0]), np.int32)
         part = ids[g * BLOCK : g * BLOCK + sum(group)]
         rows.reshape(-1)[: len(part)] = part
-        codes += _encode_lanes(rows, group, by_id[0], by_id[1])
+        codes += _encode_lanes(rows, group, model)
     known = np.array([i is not None for i, _ in docs], np.uint8)
     numbers = np.array([i or 0 for i, _ in docs], "<i8")
-    counts = np.array([c for _, c in docs], "<u4")
+    lengths = np.array([c for _, c in docs], "<u4")
     steps = np.diff(numbers, prepend=np.int64(0)).astype("<i8") if len(numbers) else numbers
-    head = zlib.compress(b"".join([known.tobytes(), steps.tobytes(), counts.tobytes()]), 6)
-    order0 = zlib.compress(np.diff(seen, prepend=0).astype("<u4").tobytes() + shares.astype("<u4").tobytes(), 6)
+    head = zlib.compress(b"".join([known.tobytes(), steps.tobytes(), lengths.tobytes()]), 6)
+    order0 = zlib.compress(np.diff(seen, prepend=0).astype("<u4").tobytes() + counts.astype("<u4").tobytes(), 6)
     sums = [zlib.crc32(ids[i * BLOCK : i * BLOCK + n].astype("<u4").tobytes()) for i, n in enumerate(sizes)]
     index = b"".join(struct.pack("<III", n, len(c), s) for n, c, s in zip(sizes, codes, sums))
-    fixed = struct.pack("<QIIIII", len(ids), len(docs), len(sizes), len(seen), len(head), len(order0))
-    body = b"".join([fixed, head, order0, index])
+    fixed = struct.pack("<QIIIIII", len(ids), len(docs), len(sizes), len(seen), len(head), len(order0), len(pairs))
+    body = b"".join([fixed, head, order0, pairs, index])
     return b"".join([MAGIC, struct.pack("<I", zlib.crc32(body)), body, *codes])
 
 
@@ -282,22 +455,22 @@ def unpack(data: bytes):
 
     if data[:8] != MAGIC:
         raise ValueError("not a token-id file")
-    n, n_docs, n_blocks, n_seen, n_head, n_order0 = struct.unpack_from("<QIIIII", data, 12)
-    at = 12 + struct.calcsize("<QIIIII")
-    end = at + n_head + n_order0 + 12 * n_blocks
+    n, n_docs, n_blocks, n_seen, n_head, n_order0, n_pairs = struct.unpack_from("<QIIIIII", data, 12)
+    at = 12 + struct.calcsize("<QIIIIII")
+    end = at + n_head + n_order0 + n_pairs + 12 * n_blocks
     if zlib.crc32(data[12:end]) != struct.unpack_from("<I", data, 8)[0]:
         raise ValueError("the header's checksum fails")
     head = zlib.decompress(data[at : at + n_head])
     known = np.frombuffer(head, np.uint8, n_docs)
     numbers = np.cumsum(np.frombuffer(head, "<i8", n_docs, n_docs))
-    counts = np.frombuffer(head, "<u4", n_docs, 9 * n_docs)
-    docs = [(i if k else None, c) for k, i, c in zip(known.tolist(), numbers.tolist(), counts.tolist())]
+    lengths = np.frombuffer(head, "<u4", n_docs, 9 * n_docs)
+    docs = [(i if k else None, c) for k, i, c in zip(known.tolist(), numbers.tolist(), lengths.tolist())]
     order0 = zlib.decompress(data[at + n_head : at + n_head + n_order0])
     seen = np.cumsum(np.frombuffer(order0, "<u4", n_seen).astype(np.int64))
-    shares = np.frombuffer(order0, "<u4", n_seen, 4 * n_seen).astype(np.int64)
-    starts = np.cumsum(shares) - shares
-    slot = np.repeat(np.arange(n_seen), shares)
-    index = [struct.unpack_from("<III", data, at + n_head + n_order0 + 12 * i) for i in range(n_blocks)]
+    counts = np.frombuffer(order0, "<u4", n_seen, 4 * n_seen).astype(np.int64)
+    at += n_head + n_order0
+    model = _Model(seen, counts, data[at : at + n_pairs]) if n else None
+    index = [struct.unpack_from("<III", data, at + n_pairs + 12 * i) for i in range(n_blocks)]
     ids, place, done = np.zeros(n, np.int32), end, 0
     for g in range(0, n_blocks, LANES):
         group = index[g : g + LANES]
@@ -305,7 +478,7 @@ def unpack(data: bytes):
         for _, size, _ in group:
             codes.append(data[place : place + size])
             place += size
-        rows = _decode_lanes(codes, [x[0] for x in group], seen, starts.astype(np.uint64), shares.astype(np.uint64), slot)
+        rows = _decode_lanes(codes, [x[0] for x in group], model)
         for (size, _, check), row in zip(group, rows):
             if zlib.crc32(row[:size].astype("<u4").tobytes()) != check:
                 raise ValueError("a block's checksum fails")
@@ -318,33 +491,62 @@ def unpack(data: bytes):
 
 
 class Tokens:
-    """The tokenizers library over whole texts. Where each space has a letter, digit or mark after it, a
-    text's pieces never cross the gap before a space, so it is encoded by such chunks, and the chunks met
-    are kept, up to CHUNKS of them; any other text is encoded whole."""
+    """The tokenizers library over whole texts, as it is. Where each space has a letter, digit or mark after
+    it, a text's pieces never cross the gap before a space, so it is encoded by such chunks, and the ids of
+    chunks met are kept; any other text, and one with a special token's string, is encoded whole. New chunks
+    go to the library one after another in one text, and its ids are dealt out by their lengths in bytes.
+
+    Chunks are kept in two generations: when the young one is full it becomes the old one, and what is met
+    again comes back."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([r" (?=\s|$)", "\0", *special])).search
+        # a token's characters stand for a byte each
+        self.bytes = np.zeros(self.tokenizer.get_vocab_size(True), np.int64)
+        for token, i in self.tokenizer.get_vocab(True).items():
+            self.bytes[i] = len(token)
         self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
-        self.odd = re.compile(r" (?=\s|$)").search
+        self.old: dict[str, bytes] = {}
 
     def _encode(self, items: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        import numpy as np
+
+        plain = [c for c in new if c[:1] != " "]  # the first of a text
+        self.known.update((c, array("i", ids).tobytes()) for c, ids in zip(plain, self._encode(plain)))
+        new = [c for c in new if c[:1] == " "]
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            ids = np.array(self._encode(["".join(part)])[0], np.int32)
+            ends = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in part])
+            cuts = (4 * np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 4).tolist()
+            raw = ids.tobytes()
+            self.known.update((c, raw[a:b]) for c, a, b in zip(part, [0, *cuts], cuts))
+
     def encode(self, items: list[str]) -> list:
         """Each text's ids as an array."""
         import numpy as np
 
         if len(self.known) > CHUNKS:
-            self.known = {}
-        known = self.known
-        cut = [None if self.odd(x) else x.replace(" ", "\0 ").split("\0") if "\0" not in x else None for x in items]
-        new = list({c for cs in cut if cs for c in cs if c not in known})
-        for i in range(0, len(new), 4096):
-            known.update((c, array("i", ids).tobytes()) for c, ids in zip(new[i : i + 4096], self._encode(new[i : i + 4096])))
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        cut = [None if self.odd(x) else x.replace(" ", "\0 ").split("\0") for x in items]
+        met: set[str] = set()
+        for cs in cut:
+            met.update(cs or ())
+        new = list(met.difference(known))
+        if old and new:
+            known.update((c, old[c]) for c in new if c in old)
+            new = [c for c in new if c not in known]
+        self._learn(new)
         at = known.__getitem__
         whole = iter(self._encode([x for x, cs in zip(items, cut) if cs is None]))
         return [np.array(next(whole), np.int32) if cs is None else np.frombuffer(b"".join(map(at, cs)), np.int32) for cs in cut]
@@ -389,7 +591,7 @@ def write_ids(docs: DataFrame, folder: str, id_column: str = "doc_id", text_colu
         if listed:
             yield close()
 
-    narrow = docs.selectExpr(f"CAST(`{id_column}` AS LONG) AS doc_id", f"CAST(`{text_column}` AS STRING) AS text")
+    narrow = docs.select(col(id_column).cast("long").alias("doc_id"), col(text_column).cast("string").alias("text"))
     return arrow_map(narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), run, schema, model=True)
 
 
