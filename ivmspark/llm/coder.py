@@ -47,9 +47,10 @@ from .common import arrow_map, col, materialize, read_file, resident, scratch_pa
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
+#: Ids of a block, but for files that have few; blocks coded at a time.
 BLOCK = 2048
-LANES = 2048
-FILE = 4_000_000
+LANES = 4096
+FILE = 8_000_000
 #: Chunks of text whose ids a worker keeps: two generations of so many.
 CHUNKS = 400_000
 MAGIC = b"CMRC0002"
@@ -271,7 +272,10 @@ class _Lanes:
 
 
 def _blocks(n: int) -> list[int]:
-    return [min(BLOCK, n - i) for i in range(0, n, BLOCK)]
+    """Sizes of a file's blocks: shorter ones in a short file, so that there are some hundred to code side by
+    side, whatever their number a step's cost."""
+    size = min(BLOCK, max(256, -(-n // 512)))
+    return [min(size, n - i) for i in range(0, n, size)]
 
 
 _TOP, _BOT = 1 << 48, 1 << 40
@@ -331,7 +335,7 @@ def _encode_lanes(ids, sizes: list[int], model: _Model) -> list[bytes]:
     out, pos = np.zeros((lanes, cap), np.uint16), np.arange(lanes, dtype=np.int64) * cap
     flat = out.reshape(-1)
     w16, w48 = np.uint64(16), np.uint64(48)
-    columns = np.ascontiguousarray(ids.T).astype(np.int64)
+    columns = np.ascontiguousarray(ids.T)
 
     def shift(at, lo):
         flat[pos[at]] = (lo >> w48).astype(np.uint16)
@@ -341,7 +345,7 @@ def _encode_lanes(ids, sizes: list[int], model: _Model) -> list[bytes]:
     for t in range(steps):
         while sizes[n - 1] <= t:
             n -= 1
-        x = columns[t, :n]
+        x = columns[t, :n].astype(np.int64)
         cell = model.cell.take(x)
         mixer.begin(n)
         coder.narrow(n, *mixer.interval(n, cell))
@@ -433,7 +437,7 @@ def pack(docs: list[tuple], ids) -> bytes:
     for g in range(0, len(sizes), LANES):
         group = sizes[g : g + LANES]
         rows = np.zeros((len(group), group[0]), np.int32)
-        part = ids[g * BLOCK : g * BLOCK + sum(group)]
+        part = ids[g * sizes[0] : g * sizes[0] + sum(group)]
         rows.reshape(-1)[: len(part)] = part
         codes += _encode_lanes(rows, group, model)
     known = np.array([i is not None for i, _ in docs], np.uint8)
@@ -442,7 +446,7 @@ def pack(docs: list[tuple], ids) -> bytes:
     steps = np.diff(numbers, prepend=np.int64(0)).astype("<i8") if len(numbers) else numbers
     head = zlib.compress(b"".join([known.tobytes(), steps.tobytes(), lengths.tobytes()]), 6)
     order0 = zlib.compress(np.diff(seen, prepend=0).astype("<u4").tobytes() + counts.astype("<u4").tobytes(), 6)
-    sums = [zlib.crc32(ids[i * BLOCK : i * BLOCK + n].astype("<u4").tobytes()) for i, n in enumerate(sizes)]
+    sums = [zlib.crc32(ids[i * sizes[0] : i * sizes[0] + n].astype("<u4").tobytes()) for i, n in enumerate(sizes)]
     index = b"".join(struct.pack("<III", n, len(c), s) for n, c, s in zip(sizes, codes, sums))
     fixed = struct.pack("<QIIIIII", len(ids), len(docs), len(sizes), len(seen), len(head), len(order0), len(pairs))
     body = b"".join([fixed, head, order0, pairs, index])

@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
 A model file is compiled into three machines. N, the normaliser, writes spaces as the meta mark and adds
-the dummy prefix. L, the lexicon, is a trie over characters whose final arcs write piece ids at a weight;
-a character no piece covers has a byte-fallback arc that writes its bytes' ids (or the unknown id). C, for
+the dummy prefix. L, the lexicon, is a trie over characters whose final arcs write piece ids at a weight; a
+character that no piece covers has a fallback arc, which writes its bytes' ids (or the unknown id). C, for
 merge models, is an acceptor of piece sequences: its state is the last piece, and an arc to the next is
 there when the merges, run on the two pieces' characters alone, leave exactly these two.
 
@@ -11,11 +11,13 @@ An input is composed with N, L and C, and the shortest path in the tropical semi
 - merge (BPE) models: a sequence is what the merges make of the text if and only if each piece is what they
   make of its own characters and each neighbouring pair is left a pair, since until a merge crosses a
   boundary for the first time each side runs as if alone. So C leaves one finite path, and it is the
-  library's encoding, ties and all.
+  library's encoding, ties and all. A piece weighs 1.
 
-Composition is lazy: states are made as they are reached. No piece spans certain character pairs, the meta
-mark after a letter above all; texts are cut there, and each task keeps the paths of up to ``CHUNKS``
-chunks it has met. A chunk longer than ``LONG`` is cut at every pair that no piece spans.
+Composition is lazy, and the path is found by relaxing states (place, last piece) from left to right. L alone
+says what the rest of a text costs at least; states that can't be on a path of a given cost are not made, and
+that cost is raised from the least that L allows until a path is there. No piece spans certain character
+pairs, the meta mark after a letter above all; texts are cut there, and each task keeps the paths of
+chunks it has met, two generations of ``CHUNKS``. A chunk longer than ``LONG`` is cut at every pair that no piece spans.
 
 Edge cases: null and empty texts encode to no ids; repeated rows each get theirs; an empty table gives no
 rows; other columns may have any name.
@@ -74,6 +76,28 @@ def _fields(data: bytes):
         yield key >> 3, value
 
 
+class Normaliser:
+    """N: from each state, what a space and what any other character writes, and the state after."""
+
+    START, INSIDE, GAP = range(3)
+
+    def __init__(self, prefix: bool, squeeze: bool):
+        mark = META if prefix else ""
+        if squeeze:  # spaces at the ends go, runs of them are one
+            self.space = ("", self.START), ("", self.GAP), ("", self.GAP)
+            self.other = (mark, self.INSIDE), ("", self.INSIDE), (META, self.INSIDE)
+        else:
+            self.space = (mark + META, self.INSIDE), (META, self.INSIDE), (META, self.INSIDE)
+            self.other = (mark, self.INSIDE), ("", self.INSIDE), ("", self.INSIDE)
+
+    def run(self, text: str, state: int = START) -> str:
+        out = []
+        for c in text:
+            write, state = self.space[state] if c == " " else self.other[state]
+            out.append(write if c == " " else write + c)
+        return "".join(out)
+
+
 class Transducer:
     """A compiled model: encode and decode."""
 
@@ -118,7 +142,11 @@ class Transducer:
         self.cuts = self._cutter(spanned)
         self.fits: dict[int, dict[int, bool]] = {}
         self.pairs = 0
-        self.most, self.known = chunks, {}
+        self.normaliser = Normaliser(self.prefix, self.squeeze)
+        self.most = chunks
+        self.known: list[dict[str, bytes]] = [{}, {}]  # by N's state: START for a text's first chunk, INSIDE
+        self.old: dict[str, bytes] = {}  # the generation before, of INSIDE
+        self.fallback: dict[int, tuple[int, ...]] = {}  # what a fallback arc writes, by its label
         raw = [p.replace(META, " ").encode() if k in (NORMAL, BYTE) else b"" for p, k in zip(self.pieces, self.kinds)]
         for b, i in byte_id.items():
             raw[i] = bytes([b])
@@ -128,18 +156,11 @@ class Transducer:
     def _cutter(self, spanned: set[str]):
         """Chunks no path crosses: a run of marks with what follows, if no piece has a mark after another
         character, and line breaks by themselves, if no piece joins them to anything."""
-        if any(s[1] == META != s[0] for s in spanned):
+        if self.squeeze or any(s[1] == META != s[0] for s in spanned):
             return None
         alone = not any("\n" in s for s in spanned)
-        return re.compile(f"{META}+[^{META}\n]*|\n+|[^{META}\n]+" if alone else f"{META}*[^{META}]+|{META}+").findall
-
-    # ---- N
-
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        text = text.replace(" ", META)
-        return META + text if self.prefix and text else text
+        mark = f" {META}"  # before N either is a mark
+        return re.compile(f"[{mark}]+[^{mark}\n]*|\n+|[^{mark}\n]+" if alone else f"[{mark}]*[^{mark}]+|[{mark}]+").findall
 
     # ---- C: labels are piece ids, or -1 - code point for a character that no piece is
 
@@ -178,56 +199,81 @@ class Transducer:
             if j == n:
                 break
             node, j = node.get(text[j]), j + 1
-        if not out or out[0][0] != i + 1:
-            out.append((i + 1, -1 - ord(text[i]), self.penalty))
+        if not out or out[0][0] != i + 1:  # no piece is this character: the fallback arc
+            label = -1 - ord(text[i])
+            if self.byte_ids and label not in self.fallback:
+                self.fallback[label] = tuple(self.byte_ids[b] for b in text[i].encode())
+            out.append((i + 1, label, 1.0 if self.bpe else self.penalty))
         return out
 
     def path(self, text: str) -> list[int]:
-        """Labels of the shortest path."""
-        return self._only(text) if self.bpe else self._best(text)
+        """Labels of the shortest path through L and C."""
+        return self._merges(text) if self.bpe else self._scores(text)
 
-    def _best(self, text: str) -> list[int]:
-        """The cheapest path through L alone: a state a position, relaxed from left to right."""
+    def _scores(self, text: str) -> list[int]:
+        """Where C accepts all, it has one state: a cost and an arc back for each place."""
         best: list = [None] * (len(text) + 1)
-        best[0] = (0.0, -1, 0)
+        best[0] = (0.0, 0, 0)
         for i in range(len(text)):
-            cost = best[i] and best[i][0]
-            if cost is not None:
+            if best[i]:
                 for j, label, weight in self._arcs(text, i):
-                    if best[j] is None or cost + weight < best[j][0]:
-                        best[j] = (cost + weight, i, label)
+                    cost = best[i][0] + weight
+                    if best[j] is None or cost < best[j][0]:
+                        best[j] = (cost, i, label)
         out, i = [], len(text)
-        while i > 0:
-            out.append(best[i][2])
-            i = best[i][1]
+        while i:
+            _, i, label = best[i]
+            out.append(label)
         return out[::-1]
 
-    def _only(self, text: str) -> list[int]:
-        """The one finite path through L and C. States (position, last label) are opened depth first, the
-        longest piece first; a state all of whose arcs fail is never opened again."""
-        out: list[int] = []
-        opened, dead = [], set()
-        fits, i, last, n = self.fits, 0, None, len(text)
-        arcs = self._arcs(text, 0) if n else []
-        while i < n:
-            known = fits.get(last, ())
-            while arcs:
-                j, label, _ = arcs.pop()
-                if last is None or (known[label] if label in known else self._fit(last, label)):
-                    if dead and (j, label) in dead:
+    def _merges(self, text: str) -> list[int]:
+        """States are (place, last piece); weights are 1, so costs are counted as what they have over the
+        least that L alone allows, and no state over the limit is made."""
+        n, fits = len(text), self.fits
+        arcs: list = [None] * n
+        rest = [0] * (n + 1)
+        for i in range(n - 1, -1, -1):
+            arcs[i] = own = self._arcs(text, i)
+            rest[i] = 1 + min([rest[j] for j, _, _ in own])
+        limit = 0
+        while True:
+            states: list = [None] * (n + 1)
+            states[0] = {None: (0, 0, None)}  # last piece: excess, place and piece before
+            for i in range(n):
+                here = states[i]
+                if here is None:
+                    continue
+                least = 1 - rest[i]
+                for j, label, _ in arcs[i]:
+                    more = least + rest[j]
+                    if more > limit:
                         continue
-                    opened.append((i, last, arcs))
-                    out.append(label)
-                    i, last = j, label
-                    arcs = self._arcs(text, j) if j < n else []
-                    break
-            else:
-                dead.add((i, last))
-                i, last, arcs = opened.pop()
-                out.pop()
-        return out
+                    there = states[j]
+                    for last, (excess, _, _) in here.items():
+                        excess += more
+                        if excess > limit or there and label in there and there[label][0] <= excess:
+                            continue
+                        if last is not None:
+                            known = fits.get(last)
+                            ok = known.get(label) if known else None
+                            if not (self._fit(last, label) if ok is None else ok):
+                                continue
+                        if there is None:
+                            there = states[j] = {}
+                        there[label] = (excess, i, last)
+            if states[n]:
+                break
+            limit = 2 * limit + 1
+        out, i = [], n
+        label = min(states[n], key=lambda x: states[n][x][0]) if n else None
+        while i:
+            out.append(label)
+            _, i, label = states[i][label]
+        return out[::-1]
 
-    def _ids(self, chunk: str) -> bytes:
+    def _ids(self, raw: str, state: int) -> bytes:
+        """The ids of a chunk, as N leaves it from a state."""
+        chunk = self.normaliser.run(raw, state)
         out: list[int] = []
         if len(chunk) > LONG:
             at = [0, *(i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in self.spanned), len(chunk)]
@@ -238,7 +284,7 @@ class Transducer:
             if label >= 0:
                 out.append(label)
             elif self.byte_ids:
-                out += [self.byte_ids[b] for b in chr(-1 - label).encode()]
+                out += self.fallback[label]
             elif not out or out[-1] != self.unknown or self.bpe:
                 out.append(self.unknown)
         return array("I", out).tobytes()
@@ -247,17 +293,22 @@ class Transducer:
         """The ids of a whole text, as an array of 32-bit numbers."""
         import numpy as np
 
-        text = self.normalise(text)
-        chunks = self.cuts(text) if self.cuts else [text] if text else []
-        if len(self.known) > self.most:
-            self.known = {}
-        if self.pairs > 2 * self.most:
+        if sum(map(len, self.known)) > self.most:
+            self.old, self.known = self.known[1], [{}, {}]
+        if self.pairs > 4 * self.most:
             self.fits, self.pairs = {}, 0
-        known = self.known
-        for c in set(chunks):
+        if len(self.fallback) > self.most:
+            self.fallback = {}
+        chunks = self.cuts(text) if self.cuts else [text]
+        (first, known), old = self.known, self.old
+        for c in set(chunks[1:]):
             if c not in known:
-                known[c] = self._ids(c)
-        return np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.uint32)
+                known[c] = old[c] if c in old else self._ids(c, Normaliser.INSIDE)
+        if not chunks:
+            return np.empty(0, np.uint32)
+        if chunks[0] not in first:
+            first[chunks[0]] = self._ids(chunks[0], Normaliser.START)
+        return np.frombuffer(first[chunks[0]] + b"".join(map(known.__getitem__, chunks[1:])), np.uint32)
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids: pieces and fallback bytes joined, the dummy prefix dropped."""
