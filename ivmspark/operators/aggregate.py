@@ -57,14 +57,14 @@ def fold(change: DataFrame, by, fams, unit: bool = False) -> DataFrame:
     parts = _sides(by_bits(change, power), [*by, power], fams)
     held = F.collect_list(F.struct(*[F.col(q(c)) for c in parts.columns if c not in by]))
     rows = parts.groupBy(*[F.col(q(b)) for b in by]).agg(held.alias(RESERVED + "held"))
-    out = []
-    for f in fams:
-        for side in "id":
-            name = f"{RESERVED}{side}{f.name}"
-            kind = parts.schema[name].dataType
-            start = F.lit(None).cast(kind)
-            add = lambda acc, x, f=f, name=name, kind=kind: f.merge(acc, f.times(x[name], x[power]), F.lit(None).cast(kind)).cast(kind)
-            out.append(F.aggregate(RESERVED + "held", start, add).alias(name))
+
+    def whole(f: Family, side: str) -> F.Column:
+        name = f"{RESERVED}{side}{f.name}"
+        kind = parts.schema[name].dataType
+        none = F.lit(None).cast(kind)
+        return F.aggregate(RESERVED + "held", none, lambda acc, x: f.merge(acc, f.times(x[name], x[power]), none).cast(kind)).alias(name)
+
+    out = [whole(f, side) for f in fams for side in "id"]
     lost = F.exists(RESERVED + "held", lambda x: x[RESERVED + "lost"]).alias(RESERVED + "lost")
     return rows.select(*[F.col(q(b)) for b in by], *out, lost)
 

@@ -189,40 +189,52 @@ def _folded(df: DataFrame, along: str, users, folds, source: StructType) -> Data
     schema = StructType([*df.schema.fields, *[StructField(n, t) for n, _, t in kinds]])
     own = [(n, m, to_arrow_type(t)) for n, m, t in kinds]
 
-    def step(m, state, row):
-        if m.kind == "scan":
-            return m.fn(state, row)
-        x = row[m.col]
+    def smoothed(m, batch, fresh, last, held, state):
+        """(values, what each group's last row carries, state) of an ema or tema over a batch's numbers."""
+        import pyarrow as pa
+
+        out, f = [], m.factor
+        xs = batch.column(m.col).cast(pa.float64()).to_pylist()
         if m.kind == "ema":
-            state = state if x is None else float(x) if state is None else m.factor * float(x) + (1 - m.factor) * state
-            return state, state
-        if x is not None:
-            t = float(row[along])
-            if state is None:
-                state = {"v": float(x), "t": t}
-            else:
-                a = 1 - math.exp(-m.factor * (t - state["t"]))
-                state = {"v": a * float(x) + (1 - a) * state["v"], "t": t}
-        return state, state and state["v"]
+            for new, x, h in zip(fresh, xs, held):
+                if new:
+                    state = h
+                if x is not None:
+                    state = x if state is None else f * x + (1 - f) * state
+                out.append(state)
+            return out, out, state
+        ts, ends = batch.column(along).cast(pa.float64()).to_pylist(), []
+        for new, end, x, t, h in zip(fresh, last, xs, ts, held):
+            if new:
+                state = h and (h["v"], h["t"])
+            if x is not None:
+                a = 1.0 if state is None else 1 - math.exp(-f * (t - state[1]))
+                state = (x if state is None else a * x + (1 - a) * state[0], t)
+            out.append(state and state[0])
+            ends.append({"v": state[0], "t": state[1]} if end and state else None)
+        return out, ends, state
 
     def run(batches):
         import pyarrow as pa
 
         states: dict = {}
         for batch in batches:
-            rows = batch.to_pylist()
-            values = {n: [] for n, _, _ in own}
-            carried = {n: [] for n, _, _ in own}
-            for row in rows:
-                seen = {c: row[c] for c in users}
-                for n, m, _ in own:
-                    if row[_RN] == 1:
-                        held = row[_carry(n)]
-                        states[n] = (copy.deepcopy(m.init) if held is None else json.loads(held, object_hook=_unpack)) if m.kind == "scan" else held
-                    states[n], value = step(m, states[n], dict(seen) if m.kind == "scan" else seen)
+            fresh = [rn == 1 for rn in batch.column(_RN).to_pylist()]
+            last = batch.column(_LAST).to_pylist()
+            values, carried, rows = {}, {}, None
+            for n, m, _ in own:
+                held = batch.column(_carry(n)).to_pylist()
+                if m.kind != "scan":
+                    values[n], carried[n], states[n] = smoothed(m, batch, fresh, last, held, states.get(n))
+                    continue
+                rows = rows if rows is not None else batch.select(users).to_pylist()
+                values[n], carried[n] = [], []
+                for new, end, h, row in zip(fresh, last, held, rows):
+                    if new:
+                        states[n] = copy.deepcopy(m.init) if h is None else json.loads(h, object_hook=_unpack)
+                    states[n], value = m.fn(states[n], dict(row))
                     values[n].append(value)
-                    keep = states[n] if m.kind != "scan" else json.dumps(states[n], default=_pack) if row[_LAST] else None
-                    carried[n].append(dict(keep) if isinstance(keep, dict) else keep)
+                    carried[n].append(json.dumps(states[n], default=_pack) if end else None)
             columns = [pa.array(carried[f[len(RESERVED) + 2 :]], batch.schema.field(f).type) if f.startswith(RESERVED + "c_") and f[len(RESERVED) + 2 :] in carried else batch.column(f) for f in batch.schema.names]
             columns += [pa.array(values[n], t) for n, _, t in own]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *[n for n, _, _ in own]])

@@ -14,7 +14,7 @@ from ..functions.acc import Scan
 from ..functions.agg import Metric, Reduce
 from ..operators.joins import HOW, NodeState, join, leaf
 from ..operators.zset import RESERVED, WEIGHT, Settled, as_zset, consolidate, q
-from ..sources.change import ChangelogLayout, ChangelogSource
+from ..sources.change import ChangelogLayout, ChangelogSource, TableSource
 from .run import RunContext, RunResult, as_source, run, run_append
 
 
@@ -225,9 +225,14 @@ def _check_output(names) -> None:
         raise BuildError(f"column names may not start with {RESERVED!r}: {bad}")
 
 
-def source(ref, *, p: float | None = 0.3) -> Builder:
+def source(ref, *, p: float | None = 0.3, versions: int | None = None) -> Builder:
     """A plan of one source: a table's name, or a change source. p: the share of its rows above which a
-    change is recomputed rather than followed; 1.0 never."""
+    change is recomputed rather than followed; 1.0 never. versions: how many of a table's versions a run
+    takes at most; None: all there are."""
+    if versions is not None:
+        if versions < 1 or not isinstance(ref, str):
+            raise BuildError("versions is a whole number of at least 1, of a table's")
+        ref = TableSource(ref, versions)
     return Builder(Leaf(ref, p))
 
 
@@ -344,8 +349,11 @@ class Compiler:
         if self.node.delta is None:
             return as_zset(self.current()).limit(0)
         found = self._pipeline(self.node.delta)
-        # a source's change is consolidated as it comes, and dropping rows leaves it so
-        as_it_came = isinstance(self.plan.root, Leaf) and all(kind == "filter" for kind, _ in self.plan.stages)
+        # a source's change is consolidated as it comes; dropping rows and adding columns leave it so
+        names = {c for _, c in self.node.cols}
+        added = [k for kind, arg in self.plan.stages if kind == "mutate" for k, _ in arg]
+        kept = all(kind != "select" for kind, _ in self.plan.stages) and not names & set(added) and len(set(added)) == len(added)
+        as_it_came = isinstance(self.plan.root, Leaf) and kept
         self.unit = self.node.unit and (as_it_came or not consolidated)
         return found if as_it_came or not consolidated else consolidate(found)
 

@@ -112,7 +112,7 @@ def begin(spark: SparkSession, output: str, sources, p, tag: str | None, plan_pr
     commit = t.commit_at(head) if head >= 0 else None
     stamp = commit and commit.stamp
     last = {s: Pin(*pin) for s, pin in stamp["sources"].items()} if stamp else None
-    pins = {ref: s.pin(spark) for ref, s in sources.items()}
+    pins = {ref: s.pin(spark, (last or {}).get(ref)) for ref, s in sources.items()}
     own = last is not None and stamp.get("plan") == plan_print
     same = own and all(last.get(ref) == pin for ref, pin in pins.items())
     fits = own and not commit.others and all(ref in last for ref in pins)

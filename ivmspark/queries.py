@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from . import acc, agg
 from .operators.zset import WEIGHT, as_zset, consolidate, diff, rewind, union
 from .plans.builder import changelog_source, source
-from .plans.run import apply_changes, current, run
+from .plans.run import apply_changes, apply_zset, begin, current, drop_log, heartbeat, run
 from .sources import log
-from .sources.change import ChangelogLayout, changes_at_tag, table_changes
-from .sources.store import root, table
+from .sources.change import ChangelogLayout, changes_at_tag, spark_uri, table_changes
+from .sources.log import CommitConflict
+from .sources.store import read_tag, root, run_meta, table, tagged_versions
 from .streaming.driver import follow
+from .streaming.feed import ChangeFeed
 
 #: Keys, and for each table a column to alter and an offset that makes keys of rows that never were.
 KEYS = {
@@ -41,13 +43,13 @@ GHOST = 50_000_000
 class Staged:
     """A scratch database whose tables are first in an earlier state, then as given."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, **tables: str | None):
-        """tables: name -> condition on the rows that are there at all, or None."""
+    def __init__(self, spark: SparkSession, sf_dir: str, **tables: dict[str, str] | None):
+        """tables: name -> columns that are replaced by SQL expressions over the row, or None."""
         self.spark, self.db = spark, f"q{uuid.uuid4().hex[:12]}"
         self.given = {}
-        for name, where in tables.items():
+        for name, other in tables.items():
             df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-            self.given[name] = df.where(where) if where else df
+            self.given[name] = df.selectExpr(*[f"{other[c]} AS {c}" if c in (other or {}) else c for c in df.columns])
             table(spark, self.ref(name)).create(self.earlier(name), pk=KEYS[name])
 
     def ref(self, name: str) -> str:
@@ -124,14 +126,22 @@ def join_right(spark, sf_dir):
     return s.maintain(plan.select("d.doc_id, d.source, l.quality"), pk="doc_id")
 
 
-@query("""SELECT coalesce(d.doc_id, l.doc_id) AS k, d.source, l.quality FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0) d
-          FULL JOIN (SELECT * FROM labels WHERE doc_id % 4 <> 0) l ON d.doc_id = l.doc_id""")
+@query("""SELECT coalesce(d.doc_id, l.twice) AS k, d.source, l.quality FROM documents d FULL JOIN (SELECT 2 * doc_id + 1 AS twice, quality FROM labels) l ON d.doc_id = l.twice""")
 def join_full(spark, sf_dir):
-    s = Staged(spark, sf_dir, documents="doc_id % 3 <> 0", labels="doc_id % 4 <> 0")
+    """All documents and all labels, these under other ids, so that either side has rows of its own."""
+    s = Staged(spark, sf_dir, documents=None, labels={"doc_id": "2 * doc_id + 1"})
     plan = s.leaf("documents").alias("d").join(s.leaf("labels").alias("l"), on="doc_id", how="full")
     return s.maintain(plan.select("coalesce(d.doc_id, l.doc_id) AS k, d.source, l.quality"), pk="k")
 
 
+@query("SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def join_unfiltered(spark, sf_dir):
+    """Affected keys without the filter on both sides."""
+    s = Staged(spark, sf_dir, documents=None, labels=None)
+    plan = s.leaf("documents").alias("d").join(s.leaf("labels").alias("l"), on="doc_id", how="left")
+    return s.maintain(plan.select("d.doc_id, d.source, l.quality, l.toxic"), pk="doc_id", key_filter=False)
+
+
 @query("SELECT doc_id, lang, source FROM documents SEMI JOIN labels USING (doc_id)")
 def join_semi(spark, sf_dir):
     s = Staged(spark, sf_dir, documents=None, labels=None)
@@ -193,9 +203,61 @@ def sql_escape(spark, sf_dir):
     return current(spark, out)
 
 
+class _Expression:
+    """What a plan sees of another library's expression: an object that gives its text."""
+
+    def to_sql(self, dialect: str) -> str:
+        return "SELECT c_mktsegment, count(*) AS n, max(c_acctbal) AS most FROM c GROUP BY c_mktsegment"
+
+
+@query("SELECT c_mktsegment, count(*) AS n, max(c_acctbal) AS most FROM customer GROUP BY c_mktsegment")
+def sql_expression(spark, sf_dir):
+    s = Staged(spark, sf_dir, customer=None)
+    plan, out = s.leaf("customer").alias("c").sql(_Expression()), s.ref("out")
+    plan.merge_into(spark, out, pk="c_mktsegment")
+    s.arrive()
+    plan.merge_into(spark, out, pk="c_mktsegment")
+    return current(spark, out)
+
+
+@query("SELECT o_orderkey, CAST(o_custkey % 100 AS INT) AS bucket, o_orderpriority FROM orders WHERE o_custkey % 100 > 20")
+def registered_udf(spark, sf_dir):
+    """A function of the user's, registered with Spark, in a plan's text."""
+    spark.udf.register("ivm_bucket", lambda n: None if n is None else n % 100, "int")
+    s = Staged(spark, sf_dir, orders=None)
+    plan = s.leaf("orders").alias("o").filter("ivm_bucket(o.o_custkey) > 20").mutate(bucket="ivm_bucket(o.o_custkey)")
+    return s.maintain(plan.select("o.o_orderkey, bucket, o.o_orderpriority"), pk="o_orderkey")
+
+
 # ---- aggregates -----------------------------------------------------------------------------------------
 
 
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, max(value) AS hi FROM events GROUP BY 1, 2")
+def time_windows(spark, sf_dir):
+    """Windows of time as a computed column; late, moved and withdrawn rows find theirs."""
+    s = Staged(spark, sf_dir, events=None)
+    plan = s.leaf("events").alias("e").mutate(hour="date_trunc('HOUR', e.ts)")
+    return s.maintain(plan.aggregate(by=("hour", "event_type"), n=agg.count(), hi=agg.max("value")))
+
+
+@query("""SELECT s_nationkey, count(*) * 3000000001 AS n, CAST(sum(s_suppkey) * 3000000001 AS BIGINT) AS keys, round(avg(s_acctbal), 6) AS mean, round(var_pop(s_acctbal), 4) AS spread,
+          max(s_acctbal) AS hi FROM supplier GROUP BY s_nationkey""")
+def agg_heavy_weights(spark, sf_dir):
+    """Every row of a keyless source three thousand million times more, as one row of that weight."""
+    db = f"q{uuid.uuid4().hex[:12]}"
+    df = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey", "s_acctbal")
+    t = table(spark, f"{db}.supplier")
+    t.create(df)
+    plan = source(f"{db}.supplier", p=1.0).aggregate(
+        by="s_nationkey", n=agg.count(), keys=agg.sum("s_suppkey"), mean=agg.mean("s_acctbal"), spread=agg.var("s_acctbal", "pop"), hi=agg.max("s_acctbal")
+    )
+    plan.merge_into(spark, f"{db}.out")
+    t.merge(as_zset(df, 3_000_000_000))
+    if plan.merge_into(spark, f"{db}.out").status != "incremental":
+        raise RuntimeError("not incremental")
+    return rounded(current(spark, f"{db}.out")).withColumn("spread", F.round("spread", 4))
+
+
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice), 4) AS price, round(avg(l_quantity), 6) AS qty
           FROM lineitem GROUP BY l_returnflag, l_linestatus""")
 def agg_sum_count_mean(spark, sf_dir):
@@ -375,9 +437,40 @@ def scan_tail(spark, sf_dir):
     return rounded(current(spark, f"{db}.out").select("event_id", "user_id", "n", "back", "total"))
 
 
+@query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS n FROM events WHERE user_id % 3 <> 1")
+def scan_vanished(spark, sf_dir):
+    """Groups that go altogether, and come back later with other rows."""
+    db = f"q{uuid.uuid4().hex[:12]}"
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    t = table(spark, f"{db}.events")
+    t.create(df, pk="event_id")
+    plan = source(f"{db}.events", p=1.0).along("event_id").accumulate(by="user_id", n=acc.count())
+    for change in (lambda: None, lambda: t.delete("user_id % 3 > 0"), lambda: t.insert(df.where("user_id % 3 = 2"))):
+        change()
+        plan.merge_into(spark, f"{db}.out", pk="event_id")
+    return current(spark, f"{db}.out").select("event_id", "user_id", "n")
+
+
 # ---- append-only outputs, Z-sets, bridges -------------------------------------------------------------
 
 
+@query("""SELECT event_id, user_id, value, CAST(-1 AS BIGINT) AS w FROM events WHERE value > 5 AND event_id % 10 = 0 UNION ALL
+          SELECT event_id, user_id, value + 1, CAST(1 AS BIGINT) FROM events WHERE value > 5 AND event_id % 10 = 0 UNION ALL
+          SELECT event_id, user_id, value, CAST(-1 AS BIGINT) FROM events WHERE value > 5 AND event_id % 10 = 1""")
+def drop_log_rows(spark, sf_dir):
+    """What an append-only output has refused: retractions, and second images of a key."""
+    db = f"q{uuid.uuid4().hex[:12]}"
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "value")
+    t = table(spark, f"{db}.events")
+    t.create(df, pk="event_id")
+    plan = source(f"{db}.events", p=1.0).alias("e").filter("e.value > 5")
+    plan.append_to(spark, f"{db}.log", pk="event_id")
+    t.update("event_id % 10 = 0 AND value > 5", value="value + 1")
+    t.delete("event_id % 10 = 1")
+    plan.append_to(spark, f"{db}.log", pk="event_id", fail_on_conflict=False)
+    return drop_log(spark, f"{db}.log").withColumnRenamed(WEIGHT, "w")
+
+
 @query("SELECT event_id, user_id, value FROM events WHERE value > 5")
 def append_log(spark, sf_dir):
     db = f"q{uuid.uuid4().hex[:12]}"
@@ -563,4 +656,144 @@ def scan_conversations(spark, sf_dir):
     return s.maintain(plan, pk=("conv_id", "turn")).select("conv_id", "turn", "role", "n", "before")
 
 
+@query("SELECT user_id, count(*) AS n, round(sum(value), 6) AS total, max(value) AS hi FROM events GROUP BY user_id")
+def overlapping_runs(spark, sf_dir):
+    """Two runs of one output at once: one publishes while the other is at work, and that one starts over."""
+    s = Staged(spark, sf_dir, events=None)
+    out = s.ref("out")
+    plan = s.leaf("events").aggregate(by="user_id", n=agg.count(), total=agg.sum("value"), hi=agg.max("value"))
+    plan.merge_into(spark, out)
+    s.arrive()
+    begun = begin(spark, out, [s.ref("events")], 1.0, None, plan.print(("user_id",)))
+    if plan.merge_into(spark, out).status != "incremental":
+        raise RuntimeError("not incremental")
+    try:
+        late = current(spark, out).withColumn("n", F.col("n") + 1)
+        apply_zset(spark, out, diff(late, current(spark, out)), run_meta("late", begun.ctx.pins), expected=begun.head)
+    except CommitConflict:
+        return rounded(current(spark, out))
+    raise RuntimeError("a change from before another one was taken")
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def sql_outputs(spark, sf_dir):
+    """An output read by its name in SQL."""
+    s = Staged(spark, sf_dir, customer=None)
+    s.maintain(s.leaf("customer").alias("c").select("c.c_custkey, c.c_name, c.c_mktsegment"), pk="c_custkey")
+    view = table(spark, s.ref("out"))
+    view.show()
+    return spark.sql(f"SELECT c_custkey, c_name, c_mktsegment FROM {s.ref('out')}")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def upkeep(spark, sf_dir):
+    """A dozen commits, with a merge of segments, a base made anew and vacuums between."""
+    db = f"q{uuid.uuid4().hex[:12]}"
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
+    t = table(spark, f"{db}.orders")
+    t.create(df.withColumn("o_totalprice", F.lit(0.0)), pk="o_orderkey")
+    for k in range(9):
+        t.update(f"o_orderkey % 40 = {k}", o_totalprice="1.0")
+    t.vacuum(t.head() - 2, orphans_after=0)
+    t.overwrite(df)
+    t.vacuum(t.head(), orphans_after=0)
+    return t.snapshot()
+
+
+@query("SELECT o_orderkey, o_totalprice, CAST(1 AS BIGINT) AS w, CAST(o_orderkey % 3 AS BIGINT) AS version FROM orders")
+def change_feed(spark, sf_dir):
+    """A table's change feed as a Spark data source."""
+    spark.dataSource.register(ChangeFeed)
+    db = f"q{uuid.uuid4().hex[:12]}"
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
+    t = table(spark, f"{db}.orders")
+    t.create(df.where("o_orderkey % 3 = 0"), pk="o_orderkey")
+    for k in (1, 2):
+        t.insert(df.where(f"o_orderkey % 3 = {k}"))
+    feed = spark.read.format("ivm_changes").option("path", t.path).load()
+    return feed.withColumnsRenamed({WEIGHT: "w", "_version": "version"})
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def paced_runs(spark, sf_dir):
+    """At most two of a source's versions a run, until there is nothing new."""
+    db = f"q{uuid.uuid4().hex[:12]}"
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
+    t = table(spark, f"{db}.orders")
+    t.create(df.where("o_orderkey % 6 = 0"), pk="o_orderkey")
+    plan = source(f"{db}.orders", p=1.0, versions=2)
+    plan.merge_into(spark, f"{db}.out", pk="o_orderkey")
+    for k in range(1, 6):
+        t.insert(df.where(f"o_orderkey % 6 = {k}"))
+    steps = [plan.merge_into(spark, f"{db}.out", pk="o_orderkey") for _ in range(4)]
+    if [(x.status, x.pins[f"{db}.orders"].version) for x in steps] != [("incremental", 2), ("incremental", 4), ("incremental", 5), ("skipped", 5)]:
+        raise RuntimeError("not paced")
+    return current(spark, f"{db}.out")
+
+
+@query("""SELECT * FROM (VALUES ('empty change', 'incremental', false), ('nothing new', 'skipped', false), ('heartbeat', 'skipped', false), ('after it', 'incremental', true),
+          ('tag', 'second', true), ('context', 'nightly', true), ('uri', 's3a://b/x', true)) t(step, said, changed)""")
+def steps_said(spark, sf_dir):
+    """What runs, heartbeats, tags and commit metadata say."""
+    db = f"q{uuid.uuid4().hex[:12]}"
+    df = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
+    t, out = table(spark, f"{db}.nation"), f"{db}.out"
+    t.create(df, pk="n_nationkey")
+    plan = source(f"{db}.nation", p=1.0).alias("n").filter("n.n_nationkey < 10")
+    said = []
+    step = lambda name, **how: said.append((name, (r := plan.merge_into(spark, out, pk="n_nationkey", **how)).status, r.changed))
+    plan.merge_into(spark, out, pk="n_nationkey", tag="first")
+    t.update("n_nationkey = 20", n_name="lower(n_name)")
+    step("empty change")
+    step("nothing new")
+    t.update("n_nationkey = 21", n_name="lower(n_name)")
+    heartbeat(spark, out, run_meta("heartbeat", {f"{db}.nation": t.pin()}, plan=plan.print(("n_nationkey",))))
+    step("heartbeat")
+    t.insert(df.limit(0), job="nightly")
+    t.update("n_nationkey = 1", n_name="lower(n_name)")
+    step("after it", tag="second")
+    said.append(("tag", read_tag(spark, out), tagged_versions(spark, out, "second") == [table(spark, out).head()]))
+    said.append(("context", next(c.meta["job"] for c in t.history() if "job" in c.meta), True))
+    said.append(("uri", spark_uri("s3://b/x/?v=1"), True))
+    return spark.createDataFrame(said, "step string, said string, changed boolean")
+
+
+@query("""SELECT * FROM (VALUES ('schema', 'o_orderkey bigint, c_name string'), ('key missing', 'BuildError'), ('stage after aggregate', 'BuildError'), ('name of the engine', 'BuildError'),
+          ('metric column missing', 'ValueError'), ('reserved in a table', 'ValueError'), ('key of two rows', 'ValueError'), ('no tables left', 'true')) t(what, said)""")
+def refusals(spark, sf_dir):
+    """What plans say of themselves, and what they and tables refuse."""
+    db = f"q{uuid.uuid4().hex[:12]}"
+    for name in ("orders", "customer"):
+        table(spark, f"{db}.{name}").adopt(f"{sf_dir}/{name}.parquet", pk=KEYS[name])
+    orders, customer = source(f"{db}.orders").alias("o"), source(f"{db}.customer").alias("c")
+    said = [("schema", ", ".join(f"{k} {v}" for k, v in orders.join(customer, on={"o_custkey": "c_custkey"}).select("o.o_orderkey, c.c_name").schema(spark).items()))]
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    tries = {
+        "key missing": lambda: orders.select("o.o_custkey").merge_into(spark, f"{db}.out", pk="o_orderkey"),
+        "stage after aggregate": lambda: orders.aggregate(by="o_custkey", n=agg.count()).filter("n > 1"),
+        "name of the engine": lambda: orders.mutate(__ivm_x="1"),
+        "metric column missing": lambda: orders.aggregate(by="o_custkey", n=agg.sum("none")).merge_into(spark, f"{db}.out"),
+        "reserved in a table": lambda: table(spark, f"{db}.bad").create(nations.withColumn("__ivm_x", F.lit(1))),
+        "key of two rows": lambda: table(spark, f"{db}.bad").create(nations, pk="n_regionkey"),
+    }
+    for what, attempt in tries.items():
+        try:
+            attempt()
+            said.append((what, "taken"))
+        except ValueError as e:
+            said.append((what, type(e).__name__))
+    said.append(("no tables left", str(not table(spark, f"{db}.out").exists() and not table(spark, f"{db}.bad").exists()).lower()))
+    return spark.createDataFrame(said, "what string, said string")
+
+
+@query("SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000")
+def plan_count(spark, sf_dir):
+    """A plan's rows counted without a run."""
+    db = f"q{uuid.uuid4().hex[:12]}"
+    for name in ("orders", "customer"):
+        table(spark, f"{db}.{name}").adopt(f"{sf_dir}/{name}.parquet", pk=KEYS[name])
+    plan = source(f"{db}.orders").alias("o").join(source(f"{db}.customer").alias("c"), on={"o_custkey": "c_custkey"}).filter("o.o_totalprice > 1000")
+    return spark.createDataFrame([(plan.count(spark),)], "n long")
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "Staged", "query", "rounded"]

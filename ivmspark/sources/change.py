@@ -19,7 +19,7 @@ class ChangeSource(Protocol):
     @property
     def ref(self) -> str: ...
 
-    def pin(self, spark: SparkSession) -> Pin: ...
+    def pin(self, spark: SparkSession, last: Pin | None = None) -> Pin: ...
 
     def snapshot(self, spark: SparkSession, pin: Pin) -> DataFrame: ...
 
@@ -34,16 +34,21 @@ def full(df: DataFrame) -> Delta:
 
 @dataclass(frozen=True)
 class TableSource:
-    """A versioned table."""
+    """A versioned table. versions: how many of them a run takes at most; None: all there are."""
 
     name: str
+    versions: int | None = None
 
     @property
     def ref(self) -> str:
         return self.name
 
-    def pin(self, spark: SparkSession) -> Pin:
-        return table(spark, self.name).pin()
+    def pin(self, spark: SparkSession, last: Pin | None = None) -> Pin:
+        """The newest version, or as far from the last as a run goes."""
+        pin = table(spark, self.name).pin()
+        if self.versions and last and last.table_id == pin.table_id:
+            return Pin(min(pin.version, last.version + self.versions), pin.table_id)
+        return pin
 
     def snapshot(self, spark: SparkSession, pin: Pin) -> DataFrame:
         return table(spark, self.name).snapshot(pin.version)
@@ -157,7 +162,7 @@ class ChangelogSource:
         df = df.where((f <= str(hi)) if lo is None else (f > str(lo)) & (f <= str(hi)))
         return df.withColumn(WEIGHT, F.col(self.layout.weight).cast("long")).drop(self.layout.epoch, self.layout.weight)
 
-    def pin(self, spark: SparkSession) -> Pin:
+    def pin(self, spark: SparkSession, last: Pin | None = None) -> Pin:
         return Pin(0, str(self._entry(spark)["f"]))
 
     def snapshot(self, spark: SparkSession, pin: Pin) -> DataFrame:

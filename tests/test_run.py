@@ -1,248 +1,335 @@
-import pytest
+"""Runs against a dictionary that goes through the same history, and the ladder of ways a step can be taken."""
+
+import random
 
-from ivmspark import WEIGHT, AppendConflict, apply_changes, as_zset, changes_at_tag, current, delta_of, drop_log, pin_table, read_as_of, read_tag, read_watermarks, run, source, table, table_changes, tagged_versions
-
-
-def same(spark, db, delta=True, p=None, out="out"):
-    full = lambda ctx: ctx.new(db("src"))
-    step = (lambda ctx: None if ctx.delta(db("src")).is_full else ctx.delta(db("src")).zset) if delta else None
-    return run(spark, db(out), sources=[db("src")], pk="id", full=full, delta=step, p=p)
-
-
-def test_changes_propagate_and_replays_skip(spark, db):
-    t = db.make("src", [(1, "a"), (2, "b"), (3, "c")], pk="id")
-    assert same(spark, db).status == "bootstrap"
-    assert same(spark, db).status == "skipped"
-    db.insert("src", [(4, "d")])
-    t.update("id = 2", v="'B'")
-    t.delete("id = 3")
-    r = same(spark, db)
-    assert r.status == "incremental" and r.changed
-    assert db.rows("out") == [(1, "a"), (2, "B"), (4, "d")] and db.feed("out", "id") == [2, 3, 4]
-    assert read_watermarks(spark, db("out"))[db("src")] == t.pin()
-
-
-def test_several_commits_are_one_change(spark, db):
-    t = db.make("src", [(1, "a")], pk="id")
-    same(spark, db)
-    t.update("id = 1", v="'b'")
-    t.update("id = 1", v="'c'")
-    db.insert("src", [(9, "ghost")])
-    t.delete("id = 9")
-    same(spark, db)
-    z = table(spark, db("out")).changes(0, 1).zset
-    assert sorted(map(tuple, z.collect())) == [(1, "a", -1), (1, "c", 1)]
-
-
-def test_comprehensive_shows_only_what_differs(spark, db):
-    t = db.make("src", [(1, "a"), (2, "b"), (3, "c")], pk="id")
-    same(spark, db, delta=False)
-    t.update("id = 2", v="'B'")
-    assert same(spark, db, delta=False).status == "comprehensive"
-    assert db.feed("out", "id") == [2]
-
-
-def test_a_recreated_source_is_read_as_a_whole(spark, db):
-    t = db.make("src", [(1, "a"), (2, "b")], pk="id")
-    same(spark, db)
-    t.drop()
-    db.make("src", [(1, "a"), (5, "e")], pk="id")
-    assert same(spark, db).status == "comprehensive"
-    assert db.rows("out") == [(1, "a"), (5, "e")] and db.feed("out", "id") == [2, 5]
-
-
-def test_change_fraction(spark, db):
-    t = db.make("src", [(i, "x") for i in range(10)], pk="id")
-    same(spark, db, p=0.5)
-    t.update("id < 8", v="'y'")
-    assert same(spark, db, p=0.5).status == "comprehensive"
-    t.update("id < 2", v="'z'")
-    assert same(spark, db, p=0.5).status == "incremental"
-    t.update("id < 8", v="'w'")
-    assert same(spark, db, p=1.0).status == "incremental"
-
-
-def test_an_empty_change_is_a_heartbeat(spark, db):
-    t = db.make("src", [(1, "keep"), (2, "drop")], pk="id")
-    plan = source(db("src"), p=1.0).alias("s").filter("s.v <> 'drop' AND s.v <> 'DROP'")
-    plan.merge_into(spark, db("out"), pk="id")
-    t.update("id = 2", v="'DROP'")
-    r = plan.merge_into(spark, db("out"), pk="id")
-    assert (r.status, r.changed) == ("incremental", False) and db.feed("out", "id") == []
-    assert plan.merge_into(spark, db("out"), pk="id").status == "skipped"
-
-
-def test_two_sources_have_two_pins(spark, db):
-    a, b = db.make("a", [(1, "x")], pk="id"), db.make("b", [(1, "y")], "id int, w string", pk="id")
-    plan = source(db("a"), p=1.0).alias("a").join(source(db("b"), p=1.0).alias("b"), on="id")
-    plan.merge_into(spark, db("out"), pk="id")
-    a.update("id = 1", v="'z'")
-    plan.merge_into(spark, db("out"), pk="id")
-    marks = read_watermarks(spark, db("out"))
-    assert marks[db("a")].version == 1 and marks[db("b")] == b.pin()
-
-
-def test_a_foreign_commit_on_the_output_is_repaired(spark, db):
-    t = db.make("src", [(1, "a")], pk="id")
-    same(spark, db)
-    table(spark, db("out")).insert(spark.createDataFrame([(7, "stray")], "id int, v string"))
-    t.update("id = 1", v="'b'")
-    assert same(spark, db).status == "comprehensive" and db.rows("out") == [(1, "b")]
-
-
-def test_a_commit_without_rows_on_the_output_changes_nothing(spark, db):
-    t = db.make("src", [(1, "a")], pk="id")
-    same(spark, db)
-    table(spark, db("out")).commit(None, kind="note")
-    assert same(spark, db).status == "skipped"
-    t.update("id = 1", v="'b'")
-    assert same(spark, db).status == "incremental" and db.rows("out") == [(1, "b")]
-
-
-def test_an_output_made_by_another_is_adopted(spark, db):
-    db.make("src", [(1, "a")], pk="id")
-    db.make("out", [(1, "stale")], pk="id")
-    assert same(spark, db).status == "comprehensive" and db.rows("out") == [(1, "a")]
-
-
-def test_expired_history_is_read_as_a_whole(spark, db):
-    t = db.make("src", [(1, "a"), (2, "b")], pk="id")
-    same(spark, db)
-    t.update("id = 1", v="'x'")
-    t.update("id = 1", v="'y'")
-    t.vacuum(2)
-    assert same(spark, db).status == "comprehensive" and db.rows("out") == [(1, "y"), (2, "b")]
-
-
-def test_another_plan_is_not_skipped_nor_patched(spark, db):
-    db.make("src", [(1, "a"), (2, "b")], pk="id")
-    one = source(db("src")).alias("s").filter("s.id < 9")
-    two = source(db("src")).alias("s").filter("s.id < 2")
-    one.merge_into(spark, db("out"), pk="id")
-    assert two.merge_into(spark, db("out"), pk="id").status == "comprehensive"
-    assert db.rows("out") == [(1, "a")]
-
-
-def test_windows_and_pins_by_hand(spark, db):
-    t = db.make("src", [(1, "a"), (2, "b")], pk="id")
-    first = pin_table(spark, db("src"))
-    t.update("id = 2", v="'B'")
-    pin = pin_table(spark, db("src"))
-    assert sorted(map(tuple, delta_of(spark, db("src"), pin, first).zset.collect())) == [(2, "B", 1), (2, "b", -1)]
-    assert delta_of(spark, db("src"), pin, None).is_full and delta_of(spark, db("src"), pin, first, p=0.1).is_full
-    assert sorted(map(tuple, read_as_of(spark, db("src"), first.version).collect())) == [(1, "a"), (2, "b")]
-
-
-def test_no_sources(spark, db):
+import pytest
+from pyspark.sql import functions as F
+
+from ivmspark import (
+    WEIGHT, AppendConflict, CommitConflict, agg, apply_changes, apply_zset, as_zset, changes_at_tag, consolidate, current, delta_of, drop_log, heartbeat, pin_table, read_as_of, read_tag,
+    read_watermarks, run, run_append, run_meta, source, table, table_changes, tagged_versions,
+)
+from ivmspark.sources.store import VersionedTable
+
+DDL = "sku int, shelf string, stock int"
+
+
+class Shop:
+    """A table of stock and a dictionary that says what is in it."""
+
+    def __init__(self, spark, db, name="stock", rows=24, seed=0):
+        self.spark, self.name, self.rng = spark, db(name), random.Random(seed)
+        self.rows = {i: (self.rng.choice("PQR"), self.rng.randrange(9)) for i in range(rows)}
+        self.table = table(spark, self.name)
+        self.table.create(self.frame(self.rows), pk="sku")
+
+    def frame(self, rows):
+        return self.spark.createDataFrame([(k, *v) for k, v in rows.items()], DDL)
+
+    def add(self, *skus):
+        new = {k: (self.rng.choice("PQR"), self.rng.randrange(9)) for k in skus}
+        self.rows |= new
+        self.table.insert(self.frame(new))
+
+    def sell(self, modulus, rest):
+        self.rows = {k: (s, n - 1) if k % modulus == rest else (s, n) for k, (s, n) in self.rows.items()}
+        self.table.update(f"sku % {modulus} = {rest}", stock="stock - 1")
+
+    def clear(self, sku):
+        self.rows.pop(sku, None)
+        self.table.delete(f"sku = {sku}")
+
+    def low(self):
+        """The rows that the plan of these tests asks for."""
+        return {k: v for k, v in self.rows.items() if v[1] < 6}
+
+
+def low(name, p=1.0):
+    return source(name, p=p).alias("s").filter("s.stock < 6")
+
+
+def held(spark, name):
+    return {r[0]: tuple(r[1:]) for r in current(spark, name).select("sku", "shelf", "stock").collect()}
+
+
+def net(spark, name, lo, hi):
+    """(key, image) -> weight of an output's window."""
+    return {(r[0], tuple(r)[1:3]): r[WEIGHT] for r in table(spark, name).changes(lo, hi).zset.select("sku", "shelf", "stock", WEIGHT).collect()}
+
+
+def between(old, new):
+    gone = {(k, v): -1 for k, v in old.items() if new.get(k) != v}
+    return gone | {(k, v): 1 for k, v in new.items() if old.get(k) != v}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_an_output_and_its_feed_follow_any_history(spark, db, seed):
+    shop, out = Shop(spark, db, seed=seed), db("out")
+    rng = random.Random(seed)
+    assert low(shop.name).merge_into(spark, out, pk="sku").status == "bootstrap"
+    fresh = 100
+    for _ in range(4):
+        before, version = shop.low(), table(spark, out).latest().version
+        for _ in range(rng.randrange(0, 4)):
+            what = rng.randrange(4)
+            if what == 0:
+                shop.add(fresh, fresh + 1)
+                fresh += 2
+            elif what == 1:
+                shop.sell(rng.randrange(2, 6), 1)
+            elif what == 2:
+                shop.clear(rng.randrange(24))
+            else:  # there and gone again before anyone looks
+                shop.add(fresh)
+                shop.clear(fresh)
+                fresh += 1
+        moved = shop.table.pin() != read_watermarks(spark, out)[shop.name]
+        done = low(shop.name).merge_into(spark, out, pk="sku")
+        assert done.status == ("incremental" if moved else "skipped") and held(spark, out) == shop.low()
+        assert done.changed == (before != shop.low()) and done.pins[shop.name] == shop.table.pin()
+        if moved:
+            assert net(spark, out, version, version + 1) == between(before, shop.low())
+        assert low(shop.name).merge_into(spark, out, pk="sku").status == "skipped"
+
+
+SITUATIONS = {
+    # what happens after the first run, the plan's share of changed rows, whether it may be followed, what the step is
+    "nothing": (lambda s, o: None, 1.0, True, "skipped"),
+    "some rows change": (lambda s, o: s.sell(5, 0), 1.0, True, "incremental"),
+    "rows change that the output hasn't": (lambda s, o: (s.add(900), s.clear(900)), 1.0, True, "incremental"),
+    "more rows change than the plan follows": (lambda s, o: s.sell(1, 0), 0.5, True, "comprehensive"),
+    "as many change as it follows": (lambda s, o: s.sell(5, 0), 0.5, True, "incremental"),
+    "it isn't to be followed": (lambda s, o: s.sell(5, 0), 1.0, False, "comprehensive"),
+    "the window has expired": (lambda s, o: (s.sell(5, 0), s.sell(5, 1), s.table.vacuum(2)), 1.0, True, "comprehensive"),
+    "the source is another table of that name": (lambda s, o: (s.table.drop(), s.rows.update({1: ("Z", 0)}), s.table.create(s.frame(s.rows), pk="sku")), 1.0, True, "comprehensive"),
+    "others wrote rows to the output": (lambda s, o: (o.insert(s.frame({777: ("X", 1)})), s.sell(5, 0)), 1.0, True, "comprehensive"),
+    "others left a note on the output": (lambda s, o: (o.commit(None, kind="note"), s.sell(5, 0)), 1.0, True, "incremental"),
+    "others left a note and nothing is new": (lambda s, o: o.commit(None, kind="note"), 1.0, True, "skipped"),
+}
+
+
+@pytest.mark.parametrize("what", SITUATIONS)
+def test_the_ladder(spark, db, what):
+    happen, p, ivm, status = SITUATIONS[what]
+    shop, out = Shop(spark, db), db("out")
+    low(shop.name, p).merge_into(spark, out, pk="sku", ivm=ivm)
+    before, o = held(spark, out), table(spark, out)
+    happen(shop, o)
+    done = low(shop.name, p).merge_into(spark, out, pk="sku", ivm=ivm)
+    assert done.status == status and held(spark, out) == shop.low()
+    if status != "skipped" and o.latest().version == 1:  # a recomputation shows what differs and no more
+        assert net(spark, out, 0, 1) == between(before, shop.low())
+
+
+def test_outputs_made_by_others_and_by_other_plans(spark, db):
+    shop = Shop(spark, db)
+    table(spark, db("theirs")).create(shop.frame({5: ("?", 0), 6000: ("?", 0)}), pk="sku")
+    assert low(shop.name).merge_into(spark, db("theirs"), pk="sku").status == "comprehensive" and held(spark, db("theirs")) == shop.low()
+    other = source(shop.name, p=1.0).alias("s").filter("s.stock > 2")
+    assert other.merge_into(spark, db("theirs"), pk="sku").status == "comprehensive"
+    assert held(spark, db("theirs")) == {k: v for k, v in shop.rows.items() if v[1] > 2}
+
+
+def test_each_source_has_a_watermark_of_its_own(spark, db):
+    one, two = Shop(spark, db, "one"), Shop(spark, db, "two", seed=9)
+    plan = source(one.name, p=1.0).alias("a").join(source(two.name, p=1.0).alias("b"), on="sku").select("a.sku, a.stock, b.stock AS other")
+    plan.merge_into(spark, db("out"), pk="sku")
+    two.sell(2, 0)
+    two.sell(3, 0)
+    plan.merge_into(spark, db("out"), pk="sku")
+    assert read_watermarks(spark, db("out")) == {one.name: one.table.pin(), two.name: two.table.pin()} and two.table.pin().version == 2
+    assert read_watermarks(spark, db("nothing")) is None and read_watermarks(spark, one.name) is None
+
+
+# ---- overlapping runs
+
+
+def meanwhile(monkeypatch, what):
+    """what happens once, between a writer's reading of its inputs and its publication."""
+    put, todo = VersionedTable.write_stream, [what]
+
+    def late(self, df, **how):
+        out = put(self, df, **how)
+        if todo:
+            todo.pop()()
+        return out
+
+    monkeypatch.setattr(VersionedTable, "write_stream", late)
+
+
+@pytest.mark.parametrize("kind", ["aggregate", "rows", "keyless", "first"])
+def test_two_runs_at_once_come_out_as_if_in_turn(spark, db, monkeypatch, kind):
+    shop = Shop(spark, db)
+    if kind == "aggregate":
+        plan = source(shop.name, p=1.0).aggregate(by="shelf", n=agg.count(), total=agg.sum("stock"), most=agg.max("stock"))
+        step = lambda: plan.merge_into(spark, db("out"))
+    elif kind == "keyless":
+        plan = source(shop.name, p=1.0).alias("s").select("s.shelf, s.stock")
+        step = lambda: plan.append_to(spark, db("out"))
+    else:
+        plan = low(shop.name)
+        step = lambda: plan.merge_into(spark, db("out"), pk="sku")
+    if kind != "first":
+        step()
+        shop.add(200, 201, 202)
+    meanwhile(monkeypatch, step)
+    assert step().status == "skipped"  # the other one had done it
+    monkeypatch.undo()
+    assert len([c for c in table(spark, db("out")).history() if c.kind in ("run", "append", "bootstrap")]) == 1 + (kind != "first")
+    shop.add(203)
+    assert step().status == "incremental"
+    got = sorted(map(tuple, current(spark, db("out")).collect()))
+    assert got == sorted(map(tuple, (plan.frame(spark) if kind != "aggregate" else spark.sql(f"SELECT shelf, count(*), sum(stock), max(stock) FROM {shop.name} GROUP BY shelf")).collect()))
+
+
+def test_a_run_takes_in_what_came_while_it_was_at_work(spark, db, monkeypatch):
+    shop = Shop(spark, db)
+    step = lambda: low(shop.name).merge_into(spark, db("out"), pk="sku")
+    step()
+    shop.sell(2, 0)
+    meanwhile(monkeypatch, lambda: (step(), shop.sell(2, 1)))
+    assert step().status == "incremental" and held(spark, db("out")) == shop.low()
+
+
+def test_a_change_that_keeps_losing_is_a_conflict(spark, db, monkeypatch):
+    shop = Shop(spark, db)
+    step = lambda: low(shop.name).merge_into(spark, db("out"), pk="sku")
+    step()
+    shop.sell(2, 0)
+    put = VersionedTable.write_stream
+    note = lambda: table(spark, db("out")).commit(None, kind="note")
+    monkeypatch.setattr(VersionedTable, "write_stream", lambda self, df, **how: (put(self, df, **how), self.name == db("out") and note())[0])
+    with pytest.raises(CommitConflict):
+        step()
+    monkeypatch.undo()
+    assert step().status == "incremental" and held(spark, db("out")) == shop.low()
+
+
+def test_low_level_writes_say_what_they_were_made_from(spark, db):
+    shop = Shop(spark, db)
+    low(shop.name).merge_into(spark, db("out"), pk="sku")
+    head = table(spark, db("out")).head()
+    pins = {shop.name: shop.table.pin()}
+    heartbeat(spark, db("out"), run_meta("note", pins), expected=head)
+    for late in (lambda: heartbeat(spark, db("out"), run_meta("note", pins), expected=head), lambda: apply_zset(spark, db("out"), as_zset(shop.frame({9: ("P", 1)})), run_meta("x", pins), expected=head)):
+        with pytest.raises(CommitConflict):
+            late()
+    assert not table(spark, db("out")).latest().streams and held(spark, db("out")) == shop.low()
+
+
+def test_a_run_needs_sources_and_reads_only_those(spark, db):
     with pytest.raises(ValueError):
-        run(spark, db("out"), sources=[], pk="id", full=None)
+        run(spark, db("out"), sources=[], pk="sku", full=None)
+    shop = Shop(spark, db)
+    with pytest.raises(ValueError, match="not a source"):
+        run(spark, db("out"), sources=[shop.name], pk="sku", full=lambda ctx: ctx.new(db("other")))
+    with pytest.raises(ValueError, match="earlier run"):
+        run(spark, db("out"), sources=[shop.name], pk="sku", full=lambda ctx: ctx.old(shop.name))
 
 
 # ---- append-only outputs
 
 
-def logged(db):
-    return source(db("orders"), p=1.0).alias("o").filter("o.qty > 0")
-
+def images(spark, name):
+    return sorted(map(tuple, current(spark, name).select("sku", "shelf", "stock").collect()))
 
-def orders(db):
-    return db.make("orders", [(1, "widget", 2), (2, "gadget", 1), (3, "widget", 0)], "order_id int, product string, qty int", pk="order_id")
 
-
-def test_append_lifecycle(spark, db):
-    t = orders(db)
-    logged(db).append_to(spark, db("log"), pk="order_id")
-    db.insert("orders", [(4, "gizmo", 5)])
-    assert logged(db).append_to(spark, db("log"), pk="order_id").changed
-    assert [r[0] for r in db.rows("log")] == [1, 2, 4] and db.feed("log", "order_id") == [4]
-    t.update("order_id = 3", product="'other'")
-    r = logged(db).append_to(spark, db("log"), pk="order_id")
-    assert (r.status, r.changed) == ("incremental", False)
-
-
-def test_append_conflicts_raise_before_any_write(spark, db):
-    t = orders(db)
-    logged(db).append_to(spark, db("log"), pk="order_id")
-    before = table(spark, db("log")).latest().version
-    t.update("order_id = 1", qty="9")
-    with pytest.raises(AppendConflict):
-        logged(db).append_to(spark, db("log"), pk="order_id")
-    assert table(spark, db("log")).latest().version == before
-
-
-def test_append_drops_and_logs(spark, db):
-    t = orders(db)
-    logged(db).append_to(spark, db("log"), pk="order_id")
-    assert drop_log(spark, db("log")) is None
-    t.update("order_id = 1", qty="9")
-    t.delete("order_id = 2")
-    db.insert("orders", [(5, "new", 1)])
-    r = logged(db).append_to(spark, db("log"), pk="order_id", fail_on_conflict=False)
-    assert r.changed and db.rows("log", "order_id", "qty") == [(1, 2), (2, 1), (5, 1)]
-    found = sorted((x["order_id"], x["qty"], x[WEIGHT]) for x in drop_log(spark, db("log")).collect())
-    assert found == [(1, 2, -1), (1, 9, 1), (2, 1, -1)]
-    t.delete("order_id = 5")
-    logged(db).append_to(spark, db("log"), pk="order_id", fail_on_conflict=False)
-    assert drop_log(spark, db("log")).count() == 4
-
-
-def test_append_same_image_is_passed_over(spark, db):
-    orders(db)
-    logged(db).append_to(spark, db("log"), pk="order_id")
-    db.insert("orders", [(4, "gizmo", 5)])
-    assert logged(db).append_to(spark, db("log"), pk="order_id", ivm=False).status == "comprehensive"
-    assert db.feed("log", "order_id") == [4]
-
-
-def test_append_two_images_of_a_key_always_raise(spark, db):
-    db.make("raw", [(1, "a"), (1, "b")], "k int, v string")
+def test_a_log_gains_and_never_loses(spark, db):
+    shop, log = Shop(spark, db), db("log")
+    step = lambda **how: low(shop.name).append_to(spark, log, pk="sku", **how)
+    assert step().status == "bootstrap" and step().status == "skipped"
+    shop.add(300, 301, 302, 303, 304, 305)
+    assert step().changed and images(spark, log) == sorted((k, *v) for k, v in shop.low().items())
+    first = {k: v for k, v in shop.low().items()}
+    logged = sorted((k, *v) for k, v in first.items())
+    version = table(spark, log).latest().version
+    shop.sell(4, 0)  # images of keys that are there, and rows that the plan now takes in
+    gone = next(k for k in first if k % 4)
+    shop.clear(gone)
     with pytest.raises(AppendConflict):
-        source(db("raw")).append_to(spark, db("log"), pk="k", fail_on_conflict=False)
-
-
-def test_append_without_a_key(spark, db):
-    db.make("src", [(1, "a")])
-    plan = source(db("src"), p=1.0)
-    plan.append_to(spark, db("log"))
-    db.insert("src", [(1, "a"), (2, "b")])
-    plan.append_to(spark, db("log"))
-    assert db.rows("log") == [(1, "a"), (1, "a"), (2, "b")]
-    db.insert("src", [(3, "c")])
+        step()
+    assert table(spark, log).latest().version == version and drop_log(spark, log) is None
+    step(fail_on_conflict=False)
+    new = {k: v for k, v in shop.low().items() if k not in first}
+    assert images(spark, log) == sorted([*logged, *((k, *v) for k, v in new.items())])
+    refused = {(r["sku"], r["shelf"], r["stock"]): r[WEIGHT] for r in drop_log(spark, log).collect()}
+    assert refused == {(k, *v): w for (k, v), w in between(first, {k: v for k, v in shop.low().items() if k in first}).items()}
+    shop.sell(4, 1)
+    step(fail_on_conflict=False, log_drops=False)
+    assert drop_log(spark, log).count() == len(refused)
+
+
+def test_a_log_recomputed_takes_only_what_is_new(spark, db):
+    shop, log = Shop(spark, db), db("log")
+    low(shop.name).append_to(spark, log, pk="sku")
+    before = shop.low()
+    shop.add(400, 401, 402)
+    assert low(shop.name).append_to(spark, log, pk="sku", ivm=False).status == "comprehensive"
+    assert net(spark, log, 0, 1) == between(before, shop.low())
+
+
+def test_logs_and_keys(spark, db):
+    db.make("twice", [(1, "x"), (1, "y"), (2, "z")])
+    with pytest.raises(AppendConflict):  # whatever may be dropped: which image is the key's can't be told
+        source(db("twice")).append_to(spark, db("log"), pk="id", fail_on_conflict=False)
+    plan = source(db("twice"), p=1.0)
+    plan.append_to(spark, db("bag"))
+    db.insert("twice", [(1, "x"), (3, "w")])
+    plan.append_to(spark, db("bag"))
+    assert db.rows("bag") == [(1, "x"), (1, "x"), (1, "y"), (2, "z"), (3, "w")]
+    db.insert("twice", [(4, "v")])
     with pytest.raises(ValueError, match="pk"):
-        plan.append_to(spark, db("log"), ivm=False)
-
-
-# ---- bridges
-
-
-def test_foreign_changes(spark, db):
-    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
-    assert apply_changes(spark, db("t"), rows, "id", tag="f1")
-    z = spark.createDataFrame([(2, "b", -1), (2, "B", 1), (1, "a", -1)], f"id int, v string, {WEIGHT} long")
-    assert apply_changes(spark, db("t"), z, "id", tag="f2") and db.rows("t") == [(2, "B")]
-    assert not apply_changes(spark, db("t"), z, "id", tag="f2")
-    assert read_tag(spark, db("t")) == "f2" and tagged_versions(spark, db("t"), "f2") == [1]
-    whole = spark.createDataFrame([(2, "B"), (3, "c")], "id int, v string")
-    apply_changes(spark, db("t"), whole, "id", tag="f3", full=True)
-    assert db.rows("t") == [(2, "B"), (3, "c")] and db.feed("t", "id") == [3]
-
-
-def test_foreign_changes_with_two_rows_of_a_key(spark, db):
+        plan.append_to(spark, db("bag"), ivm=False)
+    full = lambda ctx: ctx.new(db("twice")).where("id > 1")
+    assert run_append(spark, db("own"), sources=[db("twice")], pk="id", full=full).status == "bootstrap" and len(db.rows("own")) == 3
+
+
+# ---- windows and bridges
+
+
+def test_windows_by_hand_add_up(spark, db):
+    shop = Shop(spark, db)
+    pins, states = [pin_table(spark, shop.name)], [dict(shop.rows)]
+    for change in (lambda: shop.sell(3, 0), lambda: shop.add(500), lambda: shop.clear(4)):
+        change()
+        pins.append(pin_table(spark, shop.name))
+        states.append(dict(shop.rows))
+    for i, old in enumerate(states):
+        assert {r[0]: tuple(r)[1:] for r in read_as_of(spark, shop.name, pins[i].version).collect()} == old
+        for j in range(i, len(states)):
+            found = delta_of(spark, shop.name, pins[j], pins[i])
+            assert {(r[0], tuple(r)[1:3]): r[WEIGHT] for r in found.zset.collect()} == between(old, states[j])
+    assert delta_of(spark, shop.name, pins[-1], None).is_full and delta_of(spark, shop.name, pins[1], pins[0], p=0.1).is_full
+    change, pin = table_changes(spark, shop.name, pins[1])
+    assert pin == pins[-1] and not change.is_full and table_changes(spark, shop.name, pin)[0].is_empty()
+    assert {r[0] for r in change.upserts.collect()} == {500} and {r[0] for r in change.deletes.collect()} == {4}
+
+
+def test_windows_by_tag(spark, db):
+    shop, out = Shop(spark, db), db("out")
+    states = [shop.low()]
+    low(shop.name).merge_into(spark, out, pk="sku", tag="monday")
+    for tag, change in (("tuesday", lambda: shop.sell(2, 0)), ("monday", lambda: shop.sell(2, 1))):
+        change()
+        low(shop.name).merge_into(spark, out, pk="sku", tag=tag)
+        states.append(shop.low())
+    got = {(r[0], tuple(r)[1:3]): r[WEIGHT] for r in changes_at_tag(spark, out, "tuesday").zset.collect()}
+    assert got == between(states[0], states[1]) and read_tag(spark, out) == "monday" and tagged_versions(spark, out, "monday") == [0, 2]
+    assert changes_at_tag(spark, out, "sunday").is_empty() and tagged_versions(spark, db("nothing"), "monday") == []
+
+
+def test_foreign_changes_land_as_differences(spark, db):
+    shop, name = Shop(spark, db), db("landed")
+    rows = dict(shop.rows)
+    assert apply_changes(spark, name, shop.frame(rows), "sku", tag="a") and held(spark, name) == rows
+    # signed rows; one retraction's image is off, and the key's row goes all the same
+    signed = shop.frame({2: ("?", -5)}).withColumn(WEIGHT, F.lit(-1).cast("long")).unionByName(as_zset(shop.frame({2: ("N", 3), 600: ("N", 1)})))
+    assert apply_changes(spark, name, signed, "sku", tag="b") and not apply_changes(spark, name, signed, "sku", tag="b")
+    old, rows = rows, rows | {2: ("N", 3), 600: ("N", 1)}
+    assert held(spark, name) == rows and net(spark, name, 0, 1) == between(old, rows)
+    assert apply_changes(spark, name, shop.frame(shop.rows), "sku", tag="c", full=True) and net(spark, name, 1, 2) == between(rows, shop.rows)
+    assert not apply_changes(spark, name, shop.frame(shop.rows), "sku", tag="d", full=True)
+    assert tagged_versions(spark, name, "b") == [1] and read_tag(spark, name) == "d"
     with pytest.raises(ValueError, match="key"):
-        apply_changes(spark, db("t"), spark.createDataFrame([(1, "a"), (1, "b")], "id int, v string"), "id")
-
-
-def test_windows_by_tag_and_by_pin(spark, db):
-    t = db.make("src", [(1, "a"), (2, "b")], pk="id")
-    plan = source(db("src"), p=1.0)
-    plan.merge_into(spark, db("out"), pk="id", tag="f1")
-    first, pin = table_changes(spark, db("out"), None)
-    assert first.is_full
-    t.update("id = 1", v="'A'")
-    plan.merge_into(spark, db("out"), pk="id", tag="f2")
-    assert sorted(map(tuple, changes_at_tag(spark, db("out"), "f2").zset.collect())) == [(1, "A", 1), (1, "a", -1)]
-    assert changes_at_tag(spark, db("out"), "none").is_empty()
-    change, pin = table_changes(spark, db("out"), pin)
-    assert not change.is_full and [tuple(r) for r in change.upserts.collect()] == [(1, "A")] and [tuple(r) for r in change.deletes.collect()] == [(1, "a")]
-    assert table_changes(spark, db("out"), pin)[0].is_empty()
-    assert as_zset(current(spark, db("out"))).count() == 2
+        apply_changes(spark, db("bad"), shop.frame({1: ("A", 1)}).union(shop.frame({1: ("B", 1)})), "sku")
+    assert consolidate(as_zset(current(spark, name))).count() == len(shop.rows)
