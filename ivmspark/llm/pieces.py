@@ -39,7 +39,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from .common import SCRATCH, arrow_map, col, free, resident, table, texts
 
 MODEL = "piece_bpe_32k.model"
-CHUNKS = 200_000
+CHUNKS = 500_000
 LONG = 4096
 META = "▁"
 
@@ -195,17 +195,21 @@ class Transducer:
         while node is not None:
             label = node.get("")
             if label is not None:
-                out.append((j, label, 1.0 if self.bpe else -self.scores[label]))
+                out.append((j, label, -self.scores[label]))
             if j == n:
                 break
             node, j = node.get(text[j]), j + 1
-        if not out or out[0][0] != i + 1:  # no piece is this character: the fallback arc
-            label = -1 - ord(text[i])
-            if self.byte_ids and label not in self.fallback:
-                self.fallback[label] = tuple(self.byte_ids[b] for b in text[i].encode())
-            out.append((i + 1, label, 1.0 if self.bpe else self.penalty))
+        if not out or out[0][0] != i + 1:
+            out.append((*self._spare(text[i], i + 1), self.penalty))
         return out
 
+    def _spare(self, char: str, end: int) -> tuple[int, int]:
+        """(end, label) of the fallback arc of a character that no piece is."""
+        label = -1 - ord(char)
+        if self.byte_ids and label not in self.fallback:
+            self.fallback[label] = tuple(self.byte_ids[b] for b in char.encode())
+        return end, label
+
     def path(self, text: str) -> list[int]:
         """Labels of the shortest path through L and C."""
         return self._merges(text) if self.bpe else self._scores(text)
@@ -229,12 +233,25 @@ class Transducer:
     def _merges(self, text: str) -> list[int]:
         """States are (place, last piece); weights are 1, so costs are counted as what they have over the
         least that L alone allows, and no state over the limit is made."""
-        n, fits = len(text), self.fits
-        arcs: list = [None] * n
+        n, fits, trie = len(text), self.fits, self.trie
+        arcs: list = [None] * n  # (end, label) from each place
         rest = [0] * (n + 1)
         for i in range(n - 1, -1, -1):
-            arcs[i] = own = self._arcs(text, i)
-            rest[i] = 1 + min([rest[j] for j, _, _ in own])
+            node, j, own, least = trie.get(text[i]), i + 1, [], n
+            while node is not None:
+                label = node.get("")
+                if label is not None:
+                    own.append((j, label))
+                    if rest[j] < least:
+                        least = rest[j]
+                if j == n:
+                    break
+                node = node.get(text[j])
+                j += 1
+            if not own or own[0][0] != i + 1:
+                own.append(self._spare(text[i], i + 1))
+                least = min(least, rest[i + 1])
+            arcs[i], rest[i] = own, 1 + least
         limit = 0
         while True:
             states: list = [None] * (n + 1)
@@ -244,19 +261,21 @@ class Transducer:
                 if here is None:
                     continue
                 least = 1 - rest[i]
-                for j, label, _ in arcs[i]:
+                for j, label in arcs[i]:
                     more = least + rest[j]
                     if more > limit:
                         continue
                     there = states[j]
-                    for last, (excess, _, _) in here.items():
-                        excess += more
+                    for last, before in here.items():
+                        excess = before[0] + more
                         if excess > limit or there and label in there and there[label][0] <= excess:
                             continue
                         if last is not None:
                             known = fits.get(last)
                             ok = known.get(label) if known else None
-                            if not (self._fit(last, label) if ok is None else ok):
+                            if ok is None:
+                                ok = self._fit(last, label)
+                            if not ok:
                                 continue
                         if there is None:
                             there = states[j] = {}
@@ -295,20 +314,30 @@ class Transducer:
 
         if sum(map(len, self.known)) > self.most:
             self.old, self.known = self.known[1], [{}, {}]
-        if self.pairs > 4 * self.most:
+        if self.pairs > 2 * self.most:
             self.fits, self.pairs = {}, 0
         if len(self.fallback) > self.most:
             self.fallback = {}
         chunks = self.cuts(text) if self.cuts else [text]
-        (first, known), old = self.known, self.old
-        for c in set(chunks[1:]):
-            if c not in known:
-                known[c] = old[c] if c in old else self._ids(c, Normaliser.INSIDE)
         if not chunks:
             return np.empty(0, np.uint32)
-        if chunks[0] not in first:
-            first[chunks[0]] = self._ids(chunks[0], Normaliser.START)
-        return np.frombuffer(first[chunks[0]] + b"".join(map(known.__getitem__, chunks[1:])), np.uint32)
+        (first, known), old = self.known, self.old
+        head = chunks[0]
+        if head not in first:
+            first[head] = self._ids(head, Normaliser.START)
+        chunks[0] = ""
+        known[""] = b""
+        out = list(map(known.get, chunks))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    c = chunks[i]
+                    ids = known.get(c)
+                    if ids is None:
+                        known[c] = ids = old[c] if c in old else self._ids(c, Normaliser.INSIDE)
+                    out[i] = ids
+        out[0] = first[head]
+        return np.frombuffer(b"".join(out), np.uint32)
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids: pieces and fallback bytes joined, the dummy prefix dropped."""
