@@ -144,7 +144,7 @@ def release() -> None:
 
 
 def arrow_map(df: DataFrame, run, schema, model: bool = False) -> DataFrame:
-    """mapInArrow with batches of bounded bytes, so that a worker's memory doesn't follow the texts' length.
+    """mapInArrow, columns by their places, with batches of bounded bytes, so that a worker's memory doesn't follow the texts' length.
     The two settings are left in the session: the plan reads them when it runs. model: run asks for a
     resident one; other tasks let go of what an earlier operator's has left in the worker."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
@@ -154,7 +154,8 @@ def arrow_map(df: DataFrame, run, schema, model: bool = False) -> DataFrame:
         release()
         yield from run(batches)
 
-    return df.mapInArrow(run if model else clean, schema)
+    # by place: a name with a dot in it isn't taken for a column there
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run if model else clean, schema)
 
 
 def utf8(column) -> list[bytes]:

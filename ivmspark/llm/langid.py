@@ -222,14 +222,16 @@ def keep_identified(docs: DataFrame, id_column: str = "doc_id", text_column: str
     none of the languages (STRANGE) go; without labelled rows none can be told, and none goes. The decision
     rides along with the row, so nothing is joined."""
     samples = training_sample(docs, id_column, text_column, lang_column)
-    at = docs.columns.index(text_column)
+    at, names = docs.columns.index(text_column), docs.columns
+
     def run(batches):
         import pyarrow as pa
 
         model = parser(samples)
         for batch in batches:
             said = model.predict(texts(batch.column(at)))
-            yield batch.filter(pa.array([x != "und" and z <= STRANGE for x, _, z in said], pa.bool_()))
+            kept = batch.filter(pa.array([x != "und" and z <= STRANGE for x, _, z in said], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns, names)
 
     return arrow_map(docs, run, docs.schema, model=True) if samples else docs
 

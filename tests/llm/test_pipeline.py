@@ -1,4 +1,5 @@
 import collections
+import math
 
 import corpus_pipeline as c
 from ivmspark.llm import langid, pieces
@@ -47,7 +48,7 @@ def test_run_against_plain_python(spark, small):
     taken = collections.Counter()
     for i, x in sources.items():
         rate = target[str(x)] / size[str(x)] if size[str(x)] else 0
-        assert int(rate - 1e-9) <= times[i] <= -int(-rate - 1e-9), (i, rate, times[i])
+        assert math.floor(rate) <= times[i] <= math.ceil(rate), (i, rate, times[i])
         taken[str(x)] += times[i] * words(lined[i])
     largest = max(map(words, lined.values()))
     assert all(abs(taken[x] - target[x]) <= 2 * largest for x in names)
