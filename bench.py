@@ -4,11 +4,11 @@ For each headline plan: bootstrap over an earlier state of the tables, a commit
 given state, then the incremental run, which is what ``queries`` has, in seconds; ``recompute`` has the
 seconds of the same plan computed as a whole and compared, ``changed`` the share of rows the change has. Each
 is the median of several rounds over fresh outputs, after one that doesn't count; ``spread`` has the least and
-the most of the incremental ones. ``history`` is fifty commits of a thousandth of the rows with a run after each: its first and last ten runs.
+the most of the incremental ones. ``history`` is thirty commits of a thousandth of the rows with a run after each: its first and last ten runs.
 
     BENCH_SF_DIR   tables (default /root/testdata/sf0.1)
     BENCH_CPUS     threads (default 8)
-    BENCH_ROUNDS   rounds that count (default 3)
+    BENCH_ROUNDS   rounds that count (default 2)
     BENCH_MATRIX   if set: every plan at five shares of changed rows instead, as a table in Markdown
 """
 
@@ -30,7 +30,7 @@ from ivmspark.plans.builder import leaves
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-ROUNDS = int(os.environ.get("BENCH_ROUNDS", "3"))
+ROUNDS = int(os.environ.get("BENCH_ROUNDS", "2"))
 LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
 #: Changed rows in a hundred thousand.
 SHARES = (10, 100, 1_000, 10_000, 30_000)
@@ -116,7 +116,7 @@ def once(spark, name: str, share: int | None = None, idle: bool = False) -> dict
     return out
 
 
-def history(spark, commits: int = 50) -> dict:
+def history(spark, commits: int = 30) -> dict:
     """An aggregate run after each of many small commits: the first ten runs and the last ten, and the files."""
     db = f"b{uuid.uuid4().hex[:10]}"
     t = table(spark, f"{db}.orders")
