@@ -680,8 +680,6 @@ def sql_outputs(spark, sf_dir):
     """An output read by its name in SQL."""
     s = Staged(spark, sf_dir, customer=None)
     s.maintain(s.leaf("customer").alias("c").select("c.c_custkey, c.c_name, c.c_mktsegment"), pk="c_custkey")
-    view = table(spark, s.ref("out"))
-    view.show()
     return spark.sql(f"SELECT c_custkey, c_name, c_mktsegment FROM {s.ref('out')}")
 
 

@@ -28,8 +28,10 @@ import json
 import re
 import time
 import uuid
+import warnings
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -391,10 +393,14 @@ class VersionedTable:
 
     def show(self) -> None:
         """Make the table what its name means in SQL: a view of its newest snapshot, in the database before
-        the dot. Commits do it where spark.ivmspark.views is true (else call it): it costs as much as a small
-        job. A table or view of that name that isn't one of ours is left alone."""
-        if self.spark.conf.get("spark.ivmspark.views", "true") == "true" and self.name.count(".") <= 1:
+        the dot. Commits do it unless spark.ivmspark.views is false: it costs as much as a small job. Where the
+        catalog won't have the view (there is a table of that name, say) the commit stands, with a warning."""
+        if self.spark.conf.get("spark.ivmspark.views", "true") != "true" or self.name.count(".") > 1:
+            return
+        try:
             self._show()
+        except AnalysisException as e:
+            warnings.warn(f"{self.name} is not shown in SQL: {e}", stacklevel=2)
 
     def _show(self) -> None:
         db, _, name = self.name.rpartition(".")
@@ -476,7 +482,10 @@ class VersionedTable:
 
     def drop(self) -> None:
         if self.exists() and self.spark.conf.get("spark.ivmspark.views", "true") == "true" and self.name.count(".") <= 1:
-            self.spark.sql(f"DROP VIEW IF EXISTS {'.'.join(map(q, self.name.split('.')))}")
+            try:
+                self.spark.sql(f"DROP VIEW IF EXISTS {'.'.join(map(q, self.name.split('.')))}")
+            except AnalysisException as e:  # it is a table of someone's
+                warnings.warn(f"{self.name} stays in SQL: {e}", stacklevel=2)
         log.remove(self.spark, self.path)
         _COMMITS.pop(self.path, None)
         self._looked = False

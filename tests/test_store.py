@@ -180,6 +180,18 @@ def test_outputs_are_tables_of_sql(spark, db):
     assert "a" not in [x.name for x in spark.catalog.listTables(db.name)]
 
 
+def test_a_name_that_is_taken_in_sql(spark, db):
+    """A commit stands, and the table of that name too."""
+    spark.sql(f"CREATE DATABASE {db.name}")
+    spark.range(3).write.saveAsTable(db("a"))
+    with pytest.warns(UserWarning, match="not shown"):
+        t = db.make("a", [(1, "a")], pk="id")
+    assert db.rows("a") == [(1, "a")] and spark.table(db("a")).count() == 3
+    with pytest.warns(UserWarning, match="stays"):
+        t.drop()
+    assert spark.table(db("a")).count() == 3 and not t.exists()
+
+
 def test_a_crash_before_publishing_leaves_nothing(spark, db, monkeypatch):
     t = db.make("a", [(1, "a")], pk="id")
     monkeypatch.setattr(t, "publish", lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
