@@ -12,13 +12,15 @@ forest of the bucket's link graph, never its pairs, so components keep every lin
 ``BLOCK`` nodes is split by the same masks on further bits (the others can't differ), and what is left
 after that is compared in blocks: all of it is exact, and nothing is capped.
 
-Components are found by alternating large-star and small-star steps on the forest edges; each step is two
-group-bys and an equi-join over links only, written to the shared folder.
+Components are found on the links of each node to its smallest neighbour, by alternating large-star and
+small-star steps, and so on with the links between these; each step is two group-bys and an equi-join over links
+only, written to the shared folder.
 
 The pipeline's stage also links texts of shingle-set Jaccard ``SIMILARITY`` or more, which differ in more
 bits than masks can cover. Candidates share one of ``BANDS`` MinHash bands of ``BAND`` values: a pair of
 Jaccard 0.8 shares none with probability (1 - 0.8^7)^48, about 1 in 80,000. Each candidate not yet linked is
-decided by its exact Jaccard: first all of a bucket against one of it, then all that are still apart.
+decided by its exact Jaccard: first all of a bucket against one of it, then, inside each bucket, all that are
+still apart; that too emits a bucket's spanning links, never its pairs.
 
 Edge cases: null and empty texts have fingerprint 0 and are linked like any other; a text of any length is
 hashed as a whole; repeated rows and ties share a component; rows of one id with texts that don't link are in
@@ -44,6 +46,9 @@ STAGE_RADIUS, STAGE_SHINGLE = 7, 5
 SIMILARITY, BANDS, BAND = 0.8, 48, 7
 #: A bucket of up to this many nodes is compared at once.
 BLOCK = 4096
+#: A MinHash bucket's texts are compared in parts of about so many shingles; and the bitmap of wanted texts has
+#: 2^WORDS words of 64 bits.
+GROUP, WORDS = 1 << 22, 17
 
 
 # ---- fingerprints -----------------------------------------------------------------------------------
@@ -146,9 +151,20 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     return arrow_map(docs, run, "id long, fp long, t long, n long, bands array<long>")
 
 
-def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): fingerprints of those of the pairs (ta, tb, fa, fb) whose texts' exact Jaccard is similarity
-    or more. Only the pairs' texts are read again."""
+def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(t, text) of docs (t, text) for the t's of wanted (distinct), one row each. t is a text's hash, so a bitmap of its
+    bits, whose size is bounded, is sent to the texts and leaves those at home that it shows not to be
+    wanted; the join that follows is exact, and moves little else than the wanted."""
+    word = F.shiftrightunsigned("t", 64 - WORDS)
+    bits = F.expr("shiftleft(1L, int(t & 63)) | shiftleft(1L, int(shiftright(t, 6) & 63))")
+    words = wanted.groupBy(word.alias("w")).agg(F.bit_or(bits).alias("held"))
+    maybe = docs.select("t", "text").join(F.broadcast(words), (word == F.col("w")) & (F.col("held").bitwiseAND(bits) == bits))
+    # an inner join with distinct rows: a semi-join would be pushed below the bitmap, to all texts
+    return maybe.select("t", "text").join(wanted, "t").groupBy("t").agg(F.min("text").alias("text"))
+
+
+def sets_of(wanted: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(t, s): the sets of shingles, sorted, of the texts whose t's are in wanted; only these are read again."""
 
     def run(batches):
         import numpy as np
@@ -158,14 +174,83 @@ def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
             sets = [shingle_set(digests(x, shingle)).view(np.int64) for x in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["t", "s"])
 
-    wanted = pairs.selectExpr("explode(array(ta, tb)) AS t").distinct()
-    texts = docs.select("t", "text").join(wanted, "t", "left_semi").groupBy("t").agg(F.min("text").alias("text"))
-    sets = materialize(arrow_map(texts, run, "t long, s array<long>"), "sets")
+    return materialize(arrow_map(texts_of(wanted, docs), run, "t long, s array<long>"), "sets")
+
+
+def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): fingerprints of those of the pairs (ta, tb, fa, fb) whose texts' exact Jaccard is similarity
+    or more."""
+    sets = sets_of(pairs.selectExpr("explode(array(ta, tb)) AS t").distinct(), docs, shingle)
     both = pairs.join(sets.selectExpr("t AS ta", "s AS sa"), "ta").join(sets.selectExpr("t AS tb", "s AS sb"), "tb")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared / (F.size("sa") + F.size("sb") - shared) >= similarity).selectExpr("fa AS a", "fb AS b").distinct()
 
 
+def links_by_jaccard(sets: list, roots, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of indexes of sets of Jaccard similarity or more that connect what all such pairs connect, where
+    sets of one root are connected already. Exact: each set is compared with all of other roots that are not
+    too large, by a count of what they hold of it."""
+    import numpy as np
+
+    sizes = np.array([len(x) for x in sets], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    size, root = sizes[order], np.unique(roots, return_inverse=True)[1][order]
+    values, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    ends = np.cumsum(size)
+    starts, mine, found = ends - size, np.zeros(len(values), bool), []
+    for i in range(len(order) - 1):
+        upto = int(np.searchsorted(size, size[i] / similarity + 1, "right"))
+        if (root[i + 1 : upto] == root[i]).all():
+            continue
+        own = flat[starts[i] : ends[i]]
+        mine[own] = True
+        shared = np.add.reduceat(mine[flat[ends[i] : ends[upto - 1]]], starts[i + 1 : upto] - ends[i], dtype=np.int64)
+        mine[own] = False
+        near = shared / (size[i] + size[i + 1 : upto] - shared) >= similarity
+        for j in (np.flatnonzero(near & (root[i + 1 : upto] != root[i])) + i + 1).tolist():
+            if root[j] != root[i]:
+                found.append((int(order[i]), int(order[j])))
+                root[root == root[j]] = root[i]
+    return found
+
+
+def similar_in_buckets(held: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): fingerprints of texts of Jaccard similarity or more that share a bucket: of each bucket as many
+    as connect what all its pairs connect, never its pairs. held: (k, t, fp, n, root), rows of a bucket k with
+    one root being connected already. A bucket of more than ``GROUP`` shingles is cut into parts, and any two
+    of them are a group: no more than two parts are held at once."""
+    bucket = Window.partitionBy("k").orderBy("t")
+    part = F.floor((F.sum("n").over(bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")) / GROUP)
+    cut = held.withColumn("part", part).withColumn("parts", F.max("part").over(Window.partitionBy("k")))
+    other = F.when(F.col("parts") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), "parts"), lambda x: x != F.col("part")))
+    cut = cut.withColumn("other", F.explode(other))
+    cut = cut.select("k", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "t", "fp", F.col("root")["f"].alias("r"))
+    sets = sets_of(held.select("t").distinct(), docs, shingle)
+    dealt = cut.join(sets, "t").select("k", "i", "j", "fp", "r", "s").repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def links(group):
+            if len(group) > 1 and (found := links_by_jaccard([x[2] for x in group], np.array([x[1] for x in group]), similarity)):
+                yield pa.RecordBatch.from_arrays([pa.array([group[x[e]][0] for x in found], pa.int64()) for e in (0, 1)], ["a", "b"])
+
+        key, group = None, []
+        for batch in batches:
+            k, i, j, fp, r = (batch.column(c).to_pylist() for c in range(5))
+            flat = batch.column(5)
+            values, ends = flat.values.to_numpy(zero_copy_only=False), flat.offsets.to_numpy()
+            for x in range(batch.num_rows):
+                if (k[x], i[x], j[x]) != key:
+                    yield from links(group)
+                    key, group = (k[x], i[x], j[x]), []
+                group.append((fp[x], r[x], values[ends[x] : ends[x + 1]].copy()))
+        yield from links(group)
+
+    return arrow_map(dealt, run, "a long, b long").distinct()
+
+
 # ---- covering masks ---------------------------------------------------------------------------------
 
 
@@ -288,27 +373,53 @@ def forest(nodes: DataFrame, radius: int = RADIUS, seed: int = 7, block: int = B
 # ---- components -------------------------------------------------------------------------------------
 
 
+def _flat(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct()
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, root) of each node, of any type with an order, that isn't its component's root: alternating large-star and small-star
-    steps until nothing changes. Roots are their components' smallest nodes. No step gathers a node's
-    neighbours."""
-    flat = lambda e: e.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct()
-    state = materialize(flat(edges), "edges")
+    """(node, root) of each node, of any type with an order, that isn't its component's root. Roots are
+    their components' smallest nodes. No step gathers a node's neighbours.
+
+    Each node is tied to its smallest neighbour, which leaves fewer links than nodes, however dense the graph;
+    the components of these are found by stars, and links between two of them are all that goes on. A pass at
+    least halves the nodes that have links."""
+    state, found = materialize(_flat(edges), "edges"), None
+    for _ in range(rounds):
+        both = state.union(state.selectExpr("b AS a", "a AS b"))
+        ties = materialize(_flat(both.groupBy("a").agg(F.min("b").alias("b"))), "edges")
+        comp = _stars(ties, rounds)
+        if found is not None:  # these nodes are roots of the passes before
+            found = _stars(materialize(_flat(found.union(comp).toDF("a", "b")), "edges"), rounds)
+        else:
+            found = comp
+        rest = state
+        for end in ("a", "b"):
+            rest = rest.join(comp, F.col(end) == F.col("node"), "left").withColumn(end, F.coalesce("root", end)).select("a", "b")
+        state = materialize(_flat(rest), "edges")
+        if not state.limit(1).count():
+            return found
+    raise RuntimeError(f"components not settled after {rounds} passes")
+
+
+def _stars(state: DataFrame, rounds: int) -> DataFrame:
+    """components() of distinct edges a > b: alternating large-star and small-star steps until nothing
+    changes."""
     seen = None
     for _ in range(rounds):
         both = state.union(state.selectExpr("b AS a", "a AS b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a AS node", "least(a, m) AS m")
-        large = flat(both.where("b > a").join(least, F.col("a") == F.col("node")).selectExpr("b AS a", "m AS b"))
+        large = _flat(both.where("b > a").join(least, F.col("a") == F.col("node")).selectExpr("b AS a", "m AS b"))
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "node")
         small = large.join(least, F.col("a") == F.col("node")).selectExpr("explode(array(struct(b AS a, m AS b), struct(a AS a, m AS b))) AS e").select("e.*")
-        state = materialize(flat(small), "edges")
+        state = materialize(_flat(small), "edges")
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == now or not now[0]:
             break
         seen = now
     else:
         raise RuntimeError(f"components not settled after {rounds} rounds")
-    return state.groupBy("a").agg(F.min("b").alias("root")).selectExpr("a AS node", "root")
+    return materialize(state.groupBy("a").agg(F.min("b").alias("root")).selectExpr("a AS node", "root"), "roots")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
@@ -332,15 +443,17 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     names = nodes.select("fp", label.alias("label"))
     root = F.coalesce("root", "label")
 
-    def joined(edges: DataFrame) -> DataFrame:
+    def labelled(edges: DataFrame) -> DataFrame:
         for end in ("a", "b"):
             edges = edges.join(names.select(F.col("fp").alias(end), F.col("label").alias(f"to_{end}")), end)
-        comp = components(edges.selectExpr("to_a AS a", "to_b AS b"))
+        return edges.selectExpr("to_a AS a", "to_b AS b")
+
+    def rooted(comp: DataFrame) -> DataFrame:
         return names.join(comp, F.col("label") == F.col("node"), "left").select("fp", root.alias("root"))
 
-    edges = materialize(forest(nodes.select("fp"), radius), "forest")
+    edges = materialize(forest(nodes.select("fp"), radius).distinct(), "forest")
     if similarity is None:
-        named = joined(edges)
+        named = rooted(components(labelled(edges)))
     else:
         apart = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) > radius
         sized = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-6
@@ -354,16 +467,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         stars = shared.where("t <> hub").select(F.col("t").alias("ta"), F.col("hub").alias("tb")).distinct()
         stars = materialize(known(known(stars, "ta", "a"), "tb", "b").where(apart & sized), "stars")
         edges = edges.union(materialize(similar(stars, own, shingle, similarity), "similar"))
-        named = materialize(joined(edges), "named")
-        # what shares a bucket and is still apart: pairs of different components only
+        comp = components(labelled(edges))
+        named = materialize(rooted(comp), "named")
+        # what shares a bucket and is still apart
         held = shared.join(texts, "t").join(named, "fp").select("k", "t", "fp", "n", "root")
         held = held.withColumns({"lo": F.min("root").over(bucket), "hi": F.max("root").over(bucket)}).where("lo <> hi").drop("lo", "hi")
-        held = materialize(held, "apart")
-        one, two = (held.selectExpr("k", f"t AS t{x}", f"fp AS f{x}", f"n AS n{x}", f"root AS r{x}") for x in "ab")
-        rest = one.join(two, "k").where((F.col("ta") < F.col("tb")) & (F.col("ra") != F.col("rb")) & sized).select("ta", "tb", "fa", "fb").distinct()
-        more = materialize(similar(materialize(rest.join(stars.selectExpr("tb AS ta", "ta AS tb"), ["ta", "tb"], "left_anti"), "pairs"), own, shingle, similarity), "similar")
-        if more.limit(1).count():
-            named = joined(edges.union(more))
+        more = materialize(similar_in_buckets(materialize(held, "apart"), own, shingle, similarity), "similar")
+        if more.limit(1).count():  # the components that were found are stars now
+            named = rooted(components(comp.toDF("a", "b").union(labelled(more))))
     named = named.select("fp", F.when(F.col("root")["k"] == 0, F.col("root")["v"]).alias("component_id"), F.col("root")["f"].alias("root_fp"))
     # copies of one text share fp, so this join's left side can be skewed: adaptive execution splits it
     return marked.join(named, "fp", "left").select("id", "fp", "component_id", *["root_fp", "t"][: 2 * (similarity is not None)])

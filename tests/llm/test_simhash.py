@@ -162,3 +162,82 @@ def test_rows_of_one_id_and_columns_of_any_name(spark):
     assert sorted(map(tuple, s.keep_one(docs).collect())) == sorted(rows[:2])
     found = s.near_duplicates(docs.select("doc_id", "text", "id", "fp"))
     assert sorted((r["id"], r["component_id"]) for r in found.collect()) == [(5, 5), (5, 5), (6, 5)] and found.select("fp").distinct().count() == 2
+
+
+def crowd(rng, n, words=120, own=0.12):
+    """Texts of one common passage with some words of their own: many are alike by half or three quarters."""
+    base = [f"w{rng.randrange(3000)}" for _ in range(words)]
+    for _ in range(n):
+        at = rng.randrange(words - 40)
+        yield " ".join([*base[:at], *(f"x{rng.randrange(10**6)}" for _ in range(int(words * own * rng.uniform(0.1, 1.6)))), *base[at:]])
+
+
+def test_a_crowded_bucket_makes_no_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    held = list(crowd(rng, 260))
+    rows, kept = {}, s.materialize
+
+    def counted(df, name):
+        done = kept(df, name)
+        rows[name] = max(rows.get(name, 0), done.count())
+        return done
+
+    monkeypatch.setattr(s, "materialize", counted)
+    found = s.keep_one(spark.createDataFrame(list(enumerate(held)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in found.collect()) == survivors(range(len(held)), held)
+    assert rows["apart"] > 0 and max(rows.values()) <= s.BANDS * len(held)
+
+
+@pytest.mark.parametrize("group", [1 << 22, 2000])
+def test_links_of_a_bucket_by_jaccard(spark, monkeypatch, group):
+    monkeypatch.setattr(s, "GROUP", group)  # 2000: some ten parts
+    rng = random.Random(3)
+    held = list(crowd(rng, 90, 200))
+    docs = spark.createDataFrame(list(enumerate(held)), "t long, text string")
+    rows = [(1, i, 100 + i, len(shingles(x)), (0, i % 60, i % 60)) for i, x in enumerate(held)]
+    buckets = spark.createDataFrame(rows, "k long, t long, fp long, n long, root struct<k: int, v: long, f: long>")
+    edges = [(r["a"] - 100, r["b"] - 100) for r in s.similar_in_buckets(buckets, docs, 5, 0.8).collect()]
+    want = [(i, j) for i, j in itertools.combinations(range(90), 2) if jaccard(held[i], held[j]) >= 0.8]
+
+    def close(pairs):
+        at = [i % 60 for i in range(90)]
+        for i, j in pairs:
+            at = [at[i] if x == at[j] else x for x in at]
+        return [at.index(x) for x in at]
+
+    assert want and all(jaccard(held[i], held[j]) >= 0.8 for i, j in edges) and close(edges) == close(want)
+    assert group < 1 << 22 or len(edges) < 60
+
+
+def test_only_wanted_texts_are_moved(spark):
+    """They are picked by a bitmap before anything is dealt out, whatever may be broadcast."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(f"text {i}",) for i in range(4000)] * 2, "text string").select(F.xxhash64("text").alias("t"), "text")
+    wanted = docs.where("text LIKE '%7'").select("t").distinct()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = s.texts_of(wanted, docs)
+        assert sorted(r["text"] for r in got.collect()) == sorted(f"text {i}" for i in range(7, 4000, 10))
+        plan = got._jdf.queryExecution().executedPlan().toString()  # the last step comes first
+        assert plan.index("SortMergeJoin") < plan.index("BroadcastHashJoin")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_dense_graphs_shrink_to_their_nodes_at_once(spark, monkeypatch):
+    rng = random.Random(4)
+    pairs = [(c * 1000 + rng.randrange(200), c * 1000 + rng.randrange(200)) for c in range(2) for _ in range(6000)]
+    sizes, kept = [], s.materialize
+
+    def counted(df, name):
+        done = kept(df, name)
+        sizes.append(done.count())
+        return done
+
+    monkeypatch.setattr(s, "materialize", counted)
+    found = {r["node"]: r["root"] for r in s.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    nodes = {x for p in pairs for x in p}
+    assert {x: found.get(x, x) for x in nodes} == {x: min(y for y in nodes if y // 1000 == x // 1000) for x in nodes}
+    assert sizes[0] > 8000 and max(sizes[1:]) <= len(nodes)
