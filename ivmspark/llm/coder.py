@@ -32,12 +32,12 @@ have any name.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
-from array import array
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -52,7 +52,9 @@ BLOCK = 2048
 LANES = 4096
 FILE = 8_000_000
 #: Chunks of text whose ids a worker keeps: two generations of so many.
-CHUNKS = 400_000
+CHUNKS = 600_000
+#: Characters of the longest chunk that is kept.
+LONGEST = 256
 MAGIC = b"CMRC0002"
 
 CELLS = 256
@@ -430,7 +432,12 @@ def pack(docs: list[tuple], ids) -> bytes:
     ids = np.asarray(ids, np.int32)
     if len(ids) and (ids.min() < 0 or ids.max() >= 1 << 27):
         raise ValueError("ids must be from 0 to 2^27 - 1")
-    seen, counts = np.unique(ids, return_counts=True)
+    if len(ids) and ids.max() < len(ids):  # by counting, not sorting
+        counts = np.bincount(ids)
+        seen = np.flatnonzero(counts).astype(np.int32)
+        counts = counts[seen]
+    else:
+        seen, counts = np.unique(ids, return_counts=True)
     pairs = _Model(seen, counts, b"").pairs(ids) if len(ids) else b""
     model = _Model(seen, counts, pairs) if len(ids) else None
     sizes, codes = _blocks(len(ids)), []
@@ -494,66 +501,131 @@ def unpack(data: bytes):
 # ---- encoding ---------------------------------------------------------------------------------------
 
 
+#: How the library splits ASCII text, and a word that starts a chunk.
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+_WORD = re.compile(r" ?[^\W\d_]+").match
+#: ASCII marks and at most one white space that a piece ends with wherever a letter follows.
+_GAP = re.compile(r"[!-&(-/:-@\[-`{-~]+(?=[A-Za-z])|[!-&(-/:-@\[-`{-~]*[\t-\r](?=[^\W\d_])").match
+
+
+def _alphabet() -> dict[int, str]:
+    """Byte-level BPE's character for each byte: itself if it prints, else the next from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)}.difference(own)))}
+
+
+class _Odd(Exception):
+    """A text that chunks might not suit."""
+
+
+class _Known(dict):
+    """Chunks' ids as 32-bit numbers; what is asked for and not there is learnt."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.learn(chunk)
+        if len(chunk) <= LONGEST:
+            self[chunk] = ids
+        return ids
+
+
+class _Letters(dict):
+    """Letters and the space in the model's alphabet; a character that the library takes for none is None."""
+
+    def __init__(self, cut, alphabet):
+        self.cut, self.alphabet = cut, alphabet
+        self[" "] = alphabet[32]
+
+    def __missing__(self, c: str):
+        self[c] = "".join(self.alphabet[b] for b in c.encode()) if len(self.cut("a" + c)) == 1 else None
+        return self[c]
+
+
 class Tokens:
     """The tokenizers library over whole texts, as it is. Where each space has a letter, digit or mark after
     it, a text's pieces never cross the gap before a space, so it is encoded by such chunks, and the ids of
-    chunks met are kept; any other text, and one with a special token's string, is encoded whole. New chunks
-    go to the library one after another in one text, and its ids are dealt out by their lengths in bytes.
+    chunks met are kept; any other text, and one with a special token's string, is encoded whole. A new chunk
+    is cut into the library's pieces and its model merges each: a word of letters, those the library takes for
+    some, is one piece up to what is none; what follows is cut by the library's expression if it is ASCII, else
+    by the library. A tokenizer of another build than byte-level BPE encodes all texts whole.
 
     Chunks are kept in two generations: when the young one is full it becomes the old one, and what is met
     again comes back."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([r" (?=\s|$)", "\0", *special])).search
-        # a token's characters stand for a byte each
-        self.bytes = np.zeros(self.tokenizer.get_vocab_size(True), np.int64)
-        for token, i in self.tokenizer.get_vocab(True).items():
-            self.bytes[i] = len(token)
-        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
-        self.old: dict[str, bytes] = {}
+        self.tokenizer, words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        build = json.loads(words.to_str())
+        split, model = build["pre_tokenizer"] or {}, build["model"]
+        self.plain = split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"] and model["type"] == "BPE" and not model["dropout"]
+        self.plain = self.plain and not (build["normalizer"] or build["truncation"] or build["padding"])
+        self.special = ["\0", *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
+        if self.plain:
+            words.model._resize_cache(0)  # its own cache costs more than it saves on words not met before
+            self.merge, self.cut, self.alphabet = words.model.tokenize, words.pre_tokenizer.pre_tokenize_str, _alphabet()
+            self.letters = _Letters(self.cut, self.alphabet)
+            self.raw = [struct.pack("=i", i) for i in range(words.get_vocab_size(True))]
+        self.known, self.old = _Known(self._learn), {}
 
     def _encode(self, items: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        import numpy as np
-
-        plain = [c for c in new if c[:1] != " "]  # the first of a text
-        self.known.update((c, array("i", ids).tobytes()) for c, ids in zip(plain, self._encode(plain)))
-        new = [c for c in new if c[:1] == " "]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            ids = np.array(self._encode(["".join(part)])[0], np.int32)
-            ends = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in part])
-            cuts = (4 * np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 4).tolist()
-            raw = ids.tobytes()
-            self.known.update((c, raw[a:b]) for c, a, b in zip(part, [0, *cuts], cuts))
+    def pieces(self, chunk: str) -> list[str]:
+        """The library's pieces of a chunk, in the model's alphabet."""
+        return [x.translate(self.alphabet) for x in _SPLIT.findall(chunk)] if chunk.isascii() else [x for x, _ in self.cut(chunk)]
+
+    def _merged(self, pieces) -> bytes:
+        raw = self.raw
+        return b"".join([raw[t.id] for x in pieces for t in self.merge(x)])
+
+    def _word(self, word: str) -> bytes | None:
+        """The ids of a word of letters, None if it holds others."""
+        if word.isascii():
+            return self._merged((word.replace(" ", self.alphabet[32]),))
+        own = [*map(self.letters.__getitem__, word)]
+        return None if None in own else self._merged(("".join(own),))
+
+    def _learn(self, chunk: str) -> bytes:
+        if chunk[:1] == " " and (len(chunk) == 1 or chunk[1].isspace()):
+            raise _Odd
+        ids = self.old.get(chunk)
+        if ids is not None:
+            return ids
+        word = _WORD(chunk)
+        end = word.end() if word else 0
+        if end == len(chunk):
+            ids = self._word(chunk) if end else b""
+        elif end and (chunk[end] < "\x80" or not self.letters[chunk[end]]):
+            head = chunk[:end]
+            ids = self.known.get(head) or self.old.get(head) or self._word(head)
+            if ids is not None:
+                ids += self.known[chunk[end:]]
+        elif gap := _GAP(chunk):
+            ids = self.known[gap[0]] + self.known[chunk[gap.end() :]]
+        return self._merged(self.pieces(chunk)) if ids is None else ids
 
     def encode(self, items: list[str]) -> list:
         """Each text's ids as an array."""
         import numpy as np
 
         if len(self.known) > CHUNKS:
-            self.known, self.old = {}, self.known
-        known, old = self.known, self.old
-        cut = [None if self.odd(x) else x.replace(" ", "\0 ").split("\0") for x in items]
-        met: set[str] = set()
-        for cs in cut:
-            met.update(cs or ())
-        new = list(met.difference(known))
-        if old and new:
-            known.update((c, old[c]) for c in new if c in old)
-            new = [c for c in new if c not in known]
-        self._learn(new)
-        at = known.__getitem__
-        whole = iter(self._encode([x for x, cs in zip(items, cut) if cs is None]))
-        return [np.array(next(whole), np.int32) if cs is None else np.frombuffer(b"".join(map(at, cs)), np.int32) for cs in cut]
+            self.known, self.old = _Known(self._learn), self.known
+        at, out, whole = self.known.__getitem__, [], []
+        for i, x in enumerate(items):  # a text at a time: its chunks are used while they are near
+            try:
+                if not self.plain or any(map(x.__contains__, self.special)):
+                    raise _Odd
+                out.append(np.frombuffer(b"".join(map(at, x.replace(" ", "\0 ").split("\0"))), np.int32))
+            except _Odd:
+                out.append(None)
+                whole.append(i)
+        for i, ids in zip(whole, self._encode([items[i] for i in whole])):
+            out[i] = np.array(ids, np.int32)
+        return out
 
 
 def tokens(name: str) -> Tokens:

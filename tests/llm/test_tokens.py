@@ -116,3 +116,23 @@ def test_length_histogram(spark, edge, small, empty, library, tmp_path):
             assert n.cut_total(sums, limit) == sum(min(x, limit) for x in lens)
         assert n.quantile(sums, 0.5) == lens[-(-len(lens) // 2) - 1]
     assert n.op7_token_lengths(spark, sf_dir(empty, tmp_path / "e")).count() == 0
+
+
+def test_words_met_are_not_merged_again(monkeypatch):
+    """The library isn't asked for each chunk anew: a word met before another mark asks nothing, marks are asked once."""
+    t = c.Tokens(public_tokenizers.path(c.TOKENIZER))
+    t.encode(["the alphabeta gammadelta"])
+    asked, merge, encode = [], getattr(t, "merge", None), t._encode
+    monkeypatch.setattr(t, "merge", lambda x: asked.append(x) or merge(x), raising=False)
+    monkeypatch.setattr(t, "_encode", lambda items: asked.extend(items) or encode(items))
+    t.encode(["the alphabeta. gammadelta,\nThe alphabeta, gammadelta."])
+    assert asked == [".", ",", "Ċ", "The", ","]
+
+
+def test_chunks_cut_further_give_the_librarys_ids(library):
+    """Words, marks and white space in every order, each chunk's parts already met or not."""
+    rng = np.random.default_rng(5)
+    parts = ["the", "The", "don", "'t", "'s", "'", ".", ",\n", ".\n\n", "\n", "\r\n", "\t", "%%%", "42", "²", "Ⅷ", "é", "Ça", "中", "😀", "_", "\x85", "　", "́", "‍", "ª", " ", " ", " "]
+    items = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(4000)]
+    t = c.Tokens(public_tokenizers.path(c.TOKENIZER))
+    assert [x.tolist() for x in t.encode(items)] == [library(x) for x in items]
