@@ -11,6 +11,9 @@ which is a column, never a list on the driver.
 
 Order: the order column, nulls last, then the key, then what else can be ordered. A group with a null in
 its order column is always scanned anew, as any later row comes before it.
+
+A scan without groups is cut by ranges of the order. What each part adds up to is carried into the parts after
+it as a group's state is into the next run, so parts are scanned side by side. Folds can't be: they go row by row.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from ..sources.store import table
 from .zset import RESERVED, WEIGHT, as_zset, expand, q, restrict, union
 
 STATE = "scan"
-_HW, _N, _OPEN, _RN, _LAST, _GROUP = (RESERVED + x for x in ("hw", "n", "nulls", "rn", "last", "g"))
+_HW, _N, _OPEN, _RN, _LAST, _GROUP, _PART = (RESERVED + x for x in ("hw", "n", "nulls", "rn", "last", "g", "part"))
 
 
 def _c(name: str) -> F.Column:
@@ -152,14 +155,82 @@ def _native(m: Scan, name: str, schema: StructType, w, run, rn, total):
     return v, kept
 
 
+def _after(rows: DataFrame, by, along: str, pk) -> list[str]:
+    """The columns that rows are in order of after the order column."""
+    users = [c for c in rows.columns if not c.startswith(RESERVED)]
+    rest = [c for c in users if c != along and c not in pk and c not in by and _orderable(rows.schema[c].dataType)]
+    return [c for c in pk if c in users and c != along and c not in by] + rest
+
+
+def _in_parts(ctx, rows: DataFrame, along: str, pk, metrics) -> DataFrame:
+    """scanned, of rows of one group (with its carried columns on each), by ranges of the order side by side."""
+    schema, after = rows.schema, _after(rows, (), along, pk)
+    # parts are by a sample, so they are made once
+    dealt = ctx.keep(rows.repartitionByRange(_c(along).asc_nulls_last(), *map(_c, after)).withColumn(_PART, F.spark_partition_id()))
+    x = lambda i: f"{RESERVED}x{i}"
+    own = [_HW, _N, _OPEN, *[_carry(n) for n, _ in metrics]]
+    sums = [F.count("*").alias(RESERVED + "rows"), F.max(_c(along)).alias(RESERVED + "most"), F.bool_or(_c(along).isNull()).alias(RESERVED + "unplaced"), *[F.first(c).alias(c) for c in own]]
+    place, value, held = F.struct(_c(along).isNull(), _c(along), *map(_c, after)), {}, {}
+    for i, (_, m) in enumerate(metrics):
+        kind = out_type(m, schema)
+        if m.kind == "sum":
+            sums.append(F.sum(F.coalesce(_c(m.col).cast(kind), F.lit(0).cast(kind))).cast(kind).alias(x(i)))
+        elif m.kind in ("min", "max"):
+            sums.append((F.min if m.kind == "min" else F.max)(_c(m.col)).alias(x(i)))
+        elif m.kind == "first":
+            sums.append(F.min_by(_c(m.col), F.when(_c(m.col).isNotNull(), place)).alias(x(i)))
+        elif m.kind == "product":
+            sums.append(F.product(_c(m.col).cast("double")).alias(x(i)))
+        elif m.kind in ("lag", "convolution") and m.n:
+            value[x(i)], held[x(i)] = _c(m.col) if m.kind == "lag" else F.coalesce(_c(m.col).cast("double"), F.lit(0.0)), m.n
+    parts = dealt.groupBy(_PART).agg(*sums)
+    if held:
+        back = W.partitionBy(_PART).orderBy(_c(along).desc_nulls_first(), *[_c(c).desc_nulls_last() for c in after])
+        ends = dealt.select(_PART, *[v.alias(k) for k, v in value.items()], F.row_number().over(back).alias(_RN)).where(F.col(_RN) <= max(held.values()))
+        ends = ends.groupBy(_PART).agg(F.array_sort(F.collect_list(F.struct((-F.col(_RN)).alias("at"), *held))).alias(RESERVED + "ends"))
+        parts = parts.join(ends, _PART)
+    w = W.orderBy(_PART)
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    carried = [F.greatest(_c(_HW), F.max(RESERVED + "most").over(before)).alias(_HW)]
+    carried.append((F.coalesce(_c(_N), F.lit(0).cast("long")) + F.coalesce(F.sum(RESERVED + "rows").over(before), F.lit(0).cast("long"))).alias(_N))
+    carried.append((F.coalesce(_c(_OPEN), F.lit(False)) | F.coalesce(F.bool_or(RESERVED + "unplaced").over(before), F.lit(False))).alias(_OPEN))
+    for i, (n, m) in enumerate(metrics):
+        kind, was = carry_type(m, schema), _c(_carry(n))
+        if m.kind == "sum":
+            zero = F.lit(0).cast(kind)
+            v = F.coalesce(was, zero) + F.coalesce(F.sum(x(i)).over(before).cast(kind), zero)
+        elif m.kind in ("min", "max"):
+            v = F.least(was, F.min(x(i)).over(before)) if m.kind == "min" else F.greatest(was, F.max(x(i)).over(before))
+        elif m.kind == "first":
+            v = F.coalesce(was, F.first(x(i), ignorenulls=True).over(before))
+        elif m.kind == "product":
+            p = F.product(x(i)).over(before)
+            v = F.when(was.isNull(), p).when(p.isNull(), was).otherwise(was * p)
+        elif x(i) in held:
+            mine = F.flatten(F.collect_list(RESERVED + "ends").over(before))[x(i)]
+            every = F.concat(F.coalesce(was, F.array().cast(kind)), mine)
+            v = F.slice(every, F.greatest(F.lit(1), F.size(every) - (held[x(i)] - 1)), held[x(i)])
+        else:
+            v = was
+        carried.append(v.cast(kind).alias(_carry(n)))
+    carry = ctx.keep(parts.select(_PART, *carried, F.lead(_PART).over(w).isNull().alias(RESERVED + "end")))
+    rows = dealt.drop(*own, _GROUP).join(F.broadcast(carry.drop(RESERVED + "end")), _PART)
+    done = scanned(rows, (_PART,), along, pk, metrics).join(F.broadcast(carry.select(_PART, RESERVED + "end")), _PART)
+    return done.withColumn(_LAST, _c(_LAST) & F.col(RESERVED + "end")).withColumn(_GROUP, F.lit(0)).drop(_PART, RESERVED + "end")
+
+
+def _done(ctx, rows: DataFrame, by, along: str, pk, metrics) -> DataFrame:
+    side_by_side = by == (_GROUP,) and not any(m.folded for _, m in metrics)
+    return ctx.keep(_in_parts(ctx, rows, along, pk, metrics) if side_by_side else scanned(rows, by, along, pk, metrics))
+
+
 def scanned(rows: DataFrame, by, along: str, pk, metrics) -> DataFrame:
     """rows, with carried columns of each group on them (null: none), to rows with the metrics' values; on
     each group's last row the carried columns are what the next run resumes from, and _LAST is set."""
     metrics = list(metrics)
     users = [c for c in rows.columns if not c.startswith(RESERVED)]
     schema = rows.schema
-    rest = [c for c in users if c != along and c not in pk and c not in by and _orderable(schema[c].dataType)]
-    w = W.partitionBy(*map(_c, by)).orderBy(_c(along).asc_nulls_last(), *[_c(c) for c in pk if c in users and c != along and c not in by], *map(_c, rest))
+    w = W.partitionBy(*map(_c, by)).orderBy(_c(along).asc_nulls_last(), *map(_c, _after(rows, by, along, pk)))
     run = w.rowsBetween(W.unboundedPreceding, 0)
     rn = F.row_number().over(w)
     total = F.coalesce(_c(_N), F.lit(0).cast("long")) + rn
@@ -284,9 +355,10 @@ def _advance(ctx, output: str, by, along, pk, metrics, compiled):
     resume = touched.where(RESERVED + "tail").drop(RESERVED + "from", RESERVED + "lost", RESERVED + "unplaced", RESERVED + "tail")
     again = touched.where(f"NOT {RESERVED}tail").select(*keys)
     on = F.expr(" AND ".join(f"{q(b)} <=> {k}" for b, k in zip(by, keys)))
-    new = expand(change).where(F.col(WEIGHT) > 0).drop(WEIGHT).join(resume, on).drop(*keys)
-    past = _without_carry(restrict(grouped(plan.current()), again, by, small=plan.small), along, metrics)
-    done = ctx.keep(scanned(new.unionByName(past), by, along, pk, metrics))
+    one = by == (_GROUP,)  # then its state is a row, and all rows are of one key
+    new = expand(change).where(F.col(WEIGHT) > 0).drop(WEIGHT).join(F.broadcast(resume) if one else resume, on).drop(*keys)
+    past = _without_carry(restrict(grouped(plan.current()), again, by, small=one or plan.small), along, metrics)
+    done = _done(ctx, new.unionByName(past), by, along, pk, metrics)
     before = restrict(state, touched.select(*keys), by)
     ctx.sidecars[STATE] = (union(as_zset(_state(done, by, metrics)), as_zset(before, -1)), by, False)
     return done, touched.select(*keys), again
@@ -300,7 +372,7 @@ def closures(output: str, by, metrics, along: str, pk, compiled):
         rows = compiled(ctx).current()
         _check(rows.columns, by, along, pk, metrics, output)
         rows = rows if by else rows.withColumn(_GROUP, F.lit(0))
-        done = ctx.keep(scanned(_without_carry(rows, along, metrics), keys, along, pk, metrics))
+        done = _done(ctx, _without_carry(rows, along, metrics), keys, along, pk, metrics)
         ctx.sidecars[STATE] = (_state(done, keys, metrics), keys, True)
         return done.select(*[_c(c) for c in done.columns if not c.startswith(RESERVED)])
 
