@@ -333,3 +333,36 @@ def test_foreign_changes_land_as_differences(spark, db):
     with pytest.raises(ValueError, match="key"):
         apply_changes(spark, db("bad"), shop.frame({1: ("A", 1)}).union(shop.frame({1: ("B", 1)})), "sku")
     assert consolidate(as_zset(current(spark, name))).count() == len(shop.rows)
+
+
+def test_pairs_of_a_common_key_are_dealt_out(spark, db, monkeypatch):
+    """A join of a key that both sides have many rows of: its pairs are in several tasks, none is left out or
+    met twice, and the change is followed; a source that has two rows of its key is still found."""
+    from ivmspark.operators import joins
+    from ivmspark.plans.builder import Compiler
+    from ivmspark.plans.run import as_source, begin
+    from ivmspark.sources import store
+
+    for module in (joins, store):
+        monkeypatch.setattr(module, "PART_ROWS", 400)
+    t = db.make("s", [(i, None if i % 40 == 3 else i % 40 // 30, f"v{i}") for i in range(120)], "id int, k int, v string", pk="id")
+    plan = source(db("s"), p=1.0).alias("a").join(source(db("s"), p=1.0).alias("b"), on="k").filter("a.id < b.id").select("a.id AS a, b.id AS b, a.k AS k, b.v")
+    monkeypatch.setattr(store, "SMALL", 0)
+
+    def same():
+        status = plan.merge_into(spark, db("out"), pk=("a", "b")).status
+        rows = sorted((r for r in table(spark, db("s")).snapshot().collect()))
+        assert db.rows("out", "a", "b", "k", "v") == sorted(((x["id"], y["id"], x["k"], y["v"]) for x in rows for y in rows if x["k"] is not None and x["k"] == y["k"] and x["id"] < y["id"]), key=str)
+        return status
+
+    assert same() == "bootstrap"
+    c = Compiler(plan, begin(spark, db("new"), [as_source(db("s"))], 1.0, None, None).ctx)
+    sizes = [r[1] for r in c.current().groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 4 and max(sizes) < sum(sizes) / 2 and c.unique(spark, ("a", "b"))
+    t.update("id % 7 = 1", k="1 - k")
+    t.delete("id % 11 = 5")
+    db.insert("s", [(i, 1, "new") for i in range(200, 220)])
+    assert same() == "incremental"
+    db.insert("s", [(200, 1, "again")])
+    with pytest.raises(ValueError, match="several rows"):
+        plan.merge_into(spark, db("other"), pk=("a", "b"))
