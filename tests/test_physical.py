@@ -88,3 +88,19 @@ def test_aggregates_are_partial_first_and_states_are_small(spark, db):
     rows = spark.read.parquet(f"{SF}/lineitem.parquet")
     got = text(aggregate.rebuild(rows, ("l_suppkey",), aggregate.families(plan.top[1][1])))
     assert "partial_min" in got and "l_comment" not in got and "ReadSchema: struct<l_suppkey:bigint,l_quantity:double,l_tax:double>" in got
+
+
+def test_a_change_through_several_joins_has_only_the_columns_asked_for(spark, shop):
+    table(spark, shop("nation")).adopt(f"{SF}/nation.parquet", pk="n_nationkey")
+    leaf = lambda name: source(shop(name), p=1.0)
+    plan = leaf("orders").alias("o").join(leaf("customer").alias("c"), on={"o_custkey": "c_custkey"}).join(leaf("nation").alias("n"), on={"c.c_nationkey": "n.n_nationkey"})
+    plan = plan.select("o.o_orderkey, c.c_mktsegment, n.n_name")
+    plan.merge_into(spark, shop("out"), pk="o_orderkey")
+    table(spark, shop("orders")).update("o_orderkey % 10 = 1", o_totalprice="o_totalprice + 1")
+    change = step(spark, shop, plan).node.delta
+    assert {a: change.schema[a].dataType.names for a in "ocn"} == {"o": ["o_orderkey", "o_custkey"], "c": ["c_custkey", "c_nationkey", "c_mktsegment"], "n": ["n_nationkey", "n_name"]}
+    assert change.count() == 0  # of what is asked for nothing changed
+    table(spark, shop("customer")).update("c_custkey = 7", c_mktsegment="'X'")
+    assert plan.merge_into(spark, shop("out"), pk="o_orderkey").status == "incremental"
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(table(spark, shop("out")).snapshot()) == key(plan.frame(spark))
